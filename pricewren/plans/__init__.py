@@ -1,0 +1 @@
+"""Composite plans: combine, serving queries and data-quality audits."""

@@ -82,6 +82,12 @@ MARKETING_LINE = starts(
 PRICE_ONLY_LINE = (
     r"(?iu)^(\d{1,4}(?:[,.]\d{2})?|\d{1,4},-|[-+]?\d+\s*%|S \d+ BODY|Cena bez bodů:.*|\d{1,2}\s+\d{2})$"
 )
+NOISE_PREFIXES = (
+    "FANDÍME HOKEJI", "Nápoje 90 potraviny 29", "Nápoje", "NAVÍC 1 BOD", "BOD NAVÍC", "KREDIT NAVÍC",
+    "PŘI KOUPI 2 ks A VÍCE 10990", "NABÍDKA PRO NEJMENŠÍ", "VE ZNAČKOVÉ KVALITĚ", "AKČNÍ NABÍDKA", "SUPER CENA",
+    "NAŠE RECEPTURA", "VEZMĚTE SI Z REGÁLU", "VEZMĚTE SI", "CENA BEZ BODŮ", "S BODY", r"A MUŽEŠ JÍ\(S\)T",
+)
+NAME_STOPWORDS = ("druhy", "nápoj", "voda", "víno", "potraviny", "svačinka", "impuls")
 NAME_NOISE_WORDS = ("BEZ APLIKACE", "APLIKACE", "BĚŽNÁ CENA", "NEPORAZITELNÉ", "NOVINKA", "VÍCE AKCÍ", "EXTRA LETÁK")
 PAGE_NOISE_WORDS = (
     "BEZ APLIKACE", "APLIKACE", "BĚŽNÁ CENA", "NEPORAZITELNÉ", "VÍCE AKCÍ", "EXTRA LETÁK", "SUPER CENA",
@@ -113,7 +119,9 @@ NOISY_NAME = word(
     "MASA", "FANDÍME HOKEJI", "BOD NAVÍC", "KREDIT NAVÍC", "NAVÍC", "KTERÉ ZÍSKÁTE", "PŘI KOUPI", "AKCE NEJEN",
     "NABÍDKA PRO NEJMENŠÍ", "VE ZNAČKOVÉ KVALITĚ", "NOVINKY", "NEPORAZITELNÉ", "BĚŽNÁ CENA", "VÍCE AKCÍ",
     "EXTRA LETÁK", "Soutěž probíhá", r"www\..*", "Tato nabídka", "glutamanu sodného", "stejného druhu",
-    "Y O D R O K U", "potraviny", "AKČNÍ NABÍDKA", "SUPER CENA", "HI T MĚSÍCE", "PLATNÉM DO",
+    "Y O D R O K U", "potraviny", "AKČNÍ NABÍDKA", "SUPER CENA", "HI T MĚSÍCE", "PLATNÉM DO", "NAŠE RECEPTURA",
+    "VYBER SI", "Více informací", "VEZMĚTE SI Z REGÁLU", "VEZMĚTE SI", "Z REGÁLU", "CENA BEZ BODŮ", "S BODY", "BODY",
+    r"A MUŽEŠ JÍ\(S\)T", r"JÍ\(S\)T",
 )
 HARD_MARKETING = (
     r"(?iu)^(HI T MĚSÍCE|PLATNÉM DO|VYBER SI|AKČNÍ NABÍDKA|SUPER CENA|NAŠE RECEPTURA)|"
