@@ -107,3 +107,69 @@ SEARCH_SQL = t1(
     """product || ' ' || brand || ' ' || category || ' ' || "packageSize" || ' ' || "storeName" || ' ' || "storeId" || ' ' || chain"""
 )
 QUALITY_SQL = "CASE WHEN suspect THEN 'suspect' WHEN confidence IN ('low','medium') THEN confidence ELSE 'high' END"
+
+
+# --- price rows: lineitem alone, with whole-number prices ---------------------
+def priced_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per lineitem with exact integer prices and a package size."""
+    return table(spark, sf_dir, "lineitem").select(
+        row_key().alias("id"),
+        F.floor(F.col("l_extendedprice") * 100 + 0.5).alias("cents"),
+        ((F.col("l_partkey") % 50 + 1) * 10).alias("pack"),
+        (F.col("l_partkey") * 37 + F.col("l_suppkey") * 11).alias("mix"),
+    ).withColumn("unit_cents", F.col("mix") % 2900 + 100)
+
+
+PRICED_SQL = """
+SELECT *, mix % 2900 + 100 AS unit_cents FROM (
+ SELECT l_orderkey::VARCHAR || '-' || l_linenumber::VARCHAR || '-' || l_partkey::VARCHAR || '-' || l_suppkey::VARCHAR
+   || '-' || CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS id,
+  CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) AS cents, (l_partkey % 50 + 1) * 10 AS pack,
+  l_partkey * 37 + l_suppkey * 11 AS mix FROM lineitem)
+"""
+
+
+def with_prices(sql: str) -> str:
+    return f"WITH rows AS ({PRICED_SQL}) {sql}"
+
+
+def amount_text(cents: Column) -> Column:
+    """``1234,05`` from whole cents."""
+    return F.concat(F.floor(cents / 100).cast("string"), F.lit(","), F.lpad((cents % 100).cast("string"), 2, "0"))
+
+
+def amount_sql(cents: str) -> str:
+    return f"(({cents}) // 100)::VARCHAR || ',' || lpad((({cents}) % 100)::VARCHAR, 2, '0')"
+
+
+# --- pages -------------------------------------------------------------------
+NAMED_ENTITIES = (
+    ("&nbsp;", " "), ("&#160;", " "), ("&amp;", "&"), ("&quot;", '"'), ("&#39;", "''"), ("&lt;", "<"), ("&gt;", ">"),
+)
+
+
+def entities_sql(x: str) -> str:
+    for entity, char in NAMED_ENTITIES:
+        x = f"replace({x}, '{entity}', '{char}')"
+    return x
+
+
+def squeeze_sql(x: str) -> str:
+    return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+
+
+def code_sql(x: str, by: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '(?is)<script.*?</script>', '{by}', 'g'), '(?is)<style.*?</style>', '{by}', 'g')"
+
+
+def strip_tags_sql(x: str) -> str:
+    inner = code_sql(x, " ")
+    return squeeze_sql("replace(" + entities_sql(f"regexp_replace({inner}, '<[^>]+>', ' ', 'g')") + ", '—', '–')")
+
+
+def uri_sql(x: str) -> str:
+    """Decode percent escapes only when every one of them is well formed."""
+    return (
+        f"CASE WHEN contains(regexp_replace({x}, '%[0-9A-Fa-f]{{2}}', '', 'g'), '%') OR NOT contains({x}, '%') THEN {x} "
+        f"ELSE url_decode(replace({x}, '+', '%2B')) END"
+    )
