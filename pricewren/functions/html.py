@@ -11,7 +11,7 @@ from pyspark.sql import Column, functions as F
 from pricewren import rules
 from pricewren.functions.patterns import EDGE_L, EDGE_R
 from pricewren.functions.text import (
-    col, decode_url, first_text, not_blank, single_line, squeeze, strip, text_of,
+    col, decode_url, first_text, let, not_blank, single_line, squeeze, strip, text_of,
 )
 
 _SCRIPT = r"(?is)<script.*?</script>"
@@ -46,13 +46,13 @@ def decode_html(c: Column | str, script_escapes: bool = True) -> Column:
         decoded = F.concat(_code_point(piece), F.regexp_replace(piece, f"^{_NUMERIC}", ""))
         return F.when(piece.rlike(f"^{_NUMERIC}"), F.coalesce(decoded, piece)).otherwise(piece)
 
-    return F.transform(
-        F.array(value),
+    return let(
+        value,
         lambda v: F.when(
             F.contains(v, F.lit("&#")),
             F.array_join(F.transform(F.split(v, f"(?={_NUMERIC})"), rebuild), ""),
         ).otherwise(v),
-    )[0]
+    )
 
 
 def drop_code(c: Column | str, by: str = " ") -> Column:
@@ -111,10 +111,10 @@ def extract_paragraphs(c: Column | str, shortest: int = 50, longest_body: int =
             lambda p: (F.length(p) >= shortest) & ~p.rlike(rules.BOILERPLATE),
         )
         body = strip(F.regexp_replace(strip_tags(decoded), rules.BODY_FOOTER, " "))
-        whole = F.filter(F.array(body), lambda b: F.length(b) > longest_body)
+        whole = F.filter(F.array(body), lambda b: F.length(b) > longest_body)  # bound once by the array
         return F.array_distinct(F.concat(paragraphs, whole))
 
-    return F.transform(F.array(decode_url(decode_html(c))), texts)[0]
+    return let(decode_url(decode_html(c)), texts)
 
 
 def extract_attributes(c: Column | str) -> Column:
@@ -207,7 +207,7 @@ def extract_asset_urls(c: Column | str) -> Column:
         cleaned = F.transform(F.concat(attributes, set_urls, literals), lambda u: F.replace(F.trim(u), F.lit("\\"), F.lit("")))
         return F.array_distinct(F.filter(cleaned, lambda u: u != ""))
 
-    return F.transform(F.array(decode_html(c)), found)[0]
+    return let(decode_html(c), found)
 
 
 def resolve_url(href: Column | str, base: Column | str) -> Column:
@@ -285,7 +285,7 @@ def match_positions(c: Column | str, pattern: str) -> Column:
 
         return F.aggregate(spans, start, step, lambda state: state["found"])
 
-    return F.transform(F.array(text_of(c)), located)[0]
+    return let(text_of(c), located)
 
 
 # --- addresses ---------------------------------------------------------------

@@ -7,7 +7,7 @@ from pyspark.sql import Column, functions as F
 from pricewren import rules
 from pricewren.functions.html import match_positions
 from pricewren.functions.patterns import AMOUNT, EDGE_L, EDGE_R, LOOSE_AMOUNT, SPACE
-from pricewren.functions.text import col, normalize_text, squeeze, text_of
+from pricewren.functions.text import col, let, normalize_text, squeeze, text_of
 
 NBSP = "\u00a0"
 PRICE_LITERAL = (
@@ -53,7 +53,7 @@ def money_text(price: Column | str, whole_decimals: int = 0) -> Column:
     value = col(price).cast("double")
     digits = F.translate(F.format_number(value, 2), ",.", f"{NBSP},")
     if whole_decimals == 0:
-        digits = F.when(value == F.floor(value), F.regexp_replace(digits, ",00$", "")).otherwise(digits)
+        digits = F.regexp_replace(digits, ",00$", "")
     return F.coalesce(F.concat(digits, F.lit(" Kč")), F.lit(""))
 
 
@@ -112,7 +112,7 @@ def classify_price(c: Column | str) -> Column:
         found = F.transform(match_positions(value, BARE_PRICE), one)
         return F.filter(found, lambda p: p["isDummy"] | p["price"].between(1, 9999))
 
-    return F.transform(F.array(text_of(c)), flagged)[0]
+    return let(text_of(c), flagged)
 
 
 def pick_current_price(prices: Column, allow_lowest30: bool = False) -> Column:
@@ -135,23 +135,19 @@ def pick_card_price(lines: Column) -> Column:
 
     ``lines`` is the array of lines of one block; ``pos`` is 1-based.
     """
-    priced = F.filter(
-        F.transform(lines, lambda line, i: F.struct((i + 1).alias("pos"), line_price(line).alias("price"))),
-        lambda p: p["price"].isNotNull(),
-    )
-    flags = F.transform(lines, lambda line: line.rlike(rules.LOYALTY_LINE))
-    card = F.array_position(flags, True).cast("int")
-    after_card = F.try_element_at(F.filter(priced, lambda p: (card > 0) & (p["pos"] > card)), F.lit(1))
-    first = F.try_element_at(priced, F.lit(1))
-    by_card = after_card.isNotNull()
-    return F.when(
-        first.isNotNull(),
-        F.struct(
-            F.when(by_card, after_card["pos"]).otherwise(first["pos"]).alias("pos"),
-            F.when(by_card, after_card["price"]).otherwise(first["price"]).alias("price"),
-            F.when(by_card, F.lit("s kartou")).otherwise(F.lit("akční cena")).alias("priceType"),
-        ),
-    )
+    card = F.array_position(F.transform(lines, lambda line: line.rlike(rules.LOYALTY_LINE)), True).cast("int")
+
+    def candidate(line: Column, i: Column) -> Column:
+        return F.struct((i + 1).alias("pos"), line_price(line).alias("price"))
+
+    def choose(priced: Column, card: Column) -> Column:
+        by_card = F.try_element_at(F.filter(priced, lambda p: (card > 0) & (p["pos"] > card)), F.lit(1))
+        return F.when(by_card.isNotNull(), F.struct(by_card["pos"], by_card["price"], F.lit("s kartou").alias("priceType"))).when(
+            F.size(priced) > 0, F.struct(priced[0]["pos"], priced[0]["price"], F.lit("akční cena").alias("priceType"))
+        )
+
+    found = F.filter(F.transform(lines, candidate), lambda p: p["price"].isNotNull())
+    return let(found, lambda priced: let(card, lambda at: choose(priced, at)))
 
 
 def _unit_label(base: Column) -> Column:
@@ -162,16 +158,18 @@ def parse_unit_price(c: Column | str) -> Column:
     """P10: first unit price anywhere in a text -> struct(unitPrice, unit, unitText)."""
     bases = "|".join(rules.UNIT_BASES)
     pattern = rf"(?iu)({bases})\s*(?:=|od|za)?\s*(\d{{1,4}}(?:\s?\d{{3}})?[,.]\d{{2}}\s*Kč)"
-    text = normalize_text(c)
-    base = F.regexp_extract(text, pattern, 1)
-    return F.when(
-        base != "",
-        F.struct(
-            parse_money(F.regexp_extract(text, pattern, 2)).alias("unitPrice"),
-            _unit_label(base).alias("unit"),
-            F.regexp_extract(text, pattern, 0).alias("unitText"),
-        ),
-    )
+
+    def parts(literal: Column) -> Column:
+        return F.when(
+            literal != "",
+            F.struct(
+                parse_money(F.regexp_extract(literal, pattern, 2)).alias("unitPrice"),
+                _unit_label(F.regexp_extract(literal, pattern, 1)).alias("unit"),
+                literal.alias("unitText"),
+            ),
+        )
+
+    return let(F.regexp_extract(normalize_text(c), pattern, 0), parts)
 
 
 def parse_unit_line(c: Column | str) -> Column:
@@ -208,21 +206,27 @@ def parse_base_price(c: Column | str) -> Column:
 
 def round_retail(price: Column | str) -> Column:
     """Cents 91-94 -> .90, 96-99 -> next whole, 1-4 -> whole."""
-    cents = to_cents(price)
-    rest, whole = cents % 100, F.floor(cents / 100)
-    return (
-        F.when(rest.between(91, 94), whole + 0.9)
-        .when(rest.between(96, 99), (whole + 1).cast("double"))
-        .when(rest.between(1, 4), whole.cast("double"))
-        .otherwise(cents / 100)
-    )
+
+    def rounded(cents: Column) -> Column:
+        rest, whole = cents % 100, F.floor(cents / 100)
+        return (
+            F.when(rest.between(91, 94), whole + 0.9)
+            .when(rest.between(96, 99), (whole + 1).cast("double"))
+            .when(rest.between(1, 4), whole.cast("double"))
+            .otherwise(cents / 100)
+        )
+
+    return let(to_cents(price), rounded)
 
 
 def snap_tenth(price: Column | str) -> Column:
     """To one decimal when within 0.025, else to two."""
-    value = col(price)
-    tenth = F.floor(value * 10 + 0.5) / 10
-    return F.when(F.abs(value - tenth) <= 0.025, tenth).otherwise(round_cents(value))
+
+    def snapped(value: Column) -> Column:
+        tenth = F.floor(value * 10 + 0.5) / 10
+        return F.when(F.abs(value - tenth) <= 0.025, tenth).otherwise(round_cents(value))
+
+    return let(col(price), snapped)
 
 
 def parse_validity(c: Column | str) -> Column:
@@ -280,4 +284,4 @@ def price_conflict(price: Column, context: Column, unit_price: Column) -> Column
         F.transform(extract_prices(context), parse_money),
         lambda p: (p > 0) & (p < 10000) & ~price_close(p, F.nullif(unit_price, F.lit(0.0)), 0.01),
     )
-    return F.coalesce(F.transform(F.array(numbers), judged)[0], F.lit(False))
+    return F.coalesce(let(numbers, judged), F.lit(False))

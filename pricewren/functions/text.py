@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column, functions as F
@@ -20,6 +21,26 @@ def text_of(c: Column | str) -> Column:
     return F.coalesce(col(c).cast("string"), F.lit(""))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often it is used.
+
+    A column expression is a tree: naming a sub-expression twice computes it
+    twice wherever common sub-expressions are not eliminated (conditional
+    branches, lambdas).  Binding it to a lambda variable computes it once.
+    """
+    return F.transform(F.array(value), lambda v: use(v))[0]
+
+
+def each(values: Column, build: Callable[[Column], Column], keep: Callable[[Column], Column] | None = None) -> Column:
+    """Map an array and optionally drop elements, all inside one expression.
+
+    A filter placed on a derived column would be pushed below the projection and
+    repeat the derivation; dropping elements before the generator does not.
+    """
+    built = F.transform(values, lambda v: build(v))
+    return built if keep is None else F.filter(built, lambda v: keep(v))
+
+
 @lru_cache(maxsize=1)
 def _fold_alphabet() -> tuple[str, str]:
     """Translate table: every precomposed letter to its base, marks deleted.
@@ -92,10 +113,12 @@ def normalize_text(c: Column | str) -> Column:
 
 def normalize_line(c: Column | str) -> Column:
     """T5 for one line; a leading dash is dropped, a leading bullet kept."""
-    line = normalize_text(c)
-    return squeeze(
-        F.when(line.startswith("•"), F.regexp_replace(line, f"^•{SPACE}*", "• "))
-        .otherwise(F.regexp_replace(line, f"^-{SPACE}*", ""))
+    return let(
+        normalize_text(c),
+        lambda line: squeeze(
+            F.when(F.startswith(line, F.lit("•")), F.regexp_replace(line, f"^•{SPACE}*", "• "))
+            .otherwise(F.regexp_replace(line, f"^-{SPACE}*", ""))
+        ),
     )
 
 
@@ -127,17 +150,24 @@ def decode_url(c: Column | str, rounds: int = 6) -> Column:
 
 def snippet(text: Column | str, term: Column, radius: int = 350) -> Column:
     """The text around the accent-insensitive first hit of ``term``."""
-    source = single_line(text)
     needle = F.lower(fold_accents(text_of(term)))
-    at = F.instr(F.lower(fold_accents(source)), needle)
-    return _window(source, at, F.length(needle), radius, radius)
+    return let(
+        single_line(text),
+        lambda source: let(
+            F.instr(F.lower(fold_accents(source)), needle),
+            lambda at: _window(source, at, F.length(needle), radius, radius),
+        ),
+    )
 
 
 def context_around(text: Column | str, at: Column, radius: int = 650) -> Column:
     """Compacted text around the 1-based position ``at`` (empty if 0)."""
-    source = text_of(text)
-    start = F.greatest(at - radius, F.lit(1))
-    return F.when(at > 0, compact_text(F.substring(source, start, at + radius - start))).otherwise(F.lit(""))
+    def cut(position: Column) -> Column:
+        start = F.greatest(position - radius, F.lit(1))
+        around = compact_text(F.substring(text_of(text), start, position + radius - start))
+        return F.when(position > 0, around).otherwise(F.lit(""))
+
+    return let(at, cut)
 
 
 def flexible_position(text: Column | str, words: Column) -> Column:

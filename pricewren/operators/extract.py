@@ -15,12 +15,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pricewren.functions import html as H, money as M, names as N, package as K, quality as Q
 from pricewren.functions.patterns import EDGE_L, EDGE_R, LETTER, quote
 from pricewren.functions.text import (
-    compact_text, first_text, normalize_for_index, normalize_line, normalize_search, normalize_text,
+    compact_text, each, first_text, let, normalize_for_index, normalize_line, normalize_search, normalize_text,
     remove_page_noise, single_line, squeeze, text_of,
 )
 from pricewren.operators.enrich import category_by_page_range, guess_category
 
 
+_ALL = 1_000_000_000  # slice length meaning "to the end" (start + length must fit an int)
+
+
 def _first(values: Column) -> Column:
     return F.try_element_at(values, F.lit(1))
 
@@ -32,25 +35,40 @@ def extract_heading_blocks(pages: DataFrame, html: str = "html", keep: Sequence[
     The price follows the loyalty-card rule (P9); the unit price is the first
     one *after* the price line.
     """
-    text = F.array_join(H.html_to_lines(html), "\n")
-    blocks = pages.select(*keep, F.posexplode(F.split(text, r"(?m)^### ")).alias("block", "_text")).filter("block > 0")
-    parsed = blocks.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda v: v != "")).withColumns(
-        {"product": squeeze(F.regexp_replace(_first(F.col("_lines")), r"^#+\s*", "")), "_body": F.slice("_lines", 2, 1_000_000)}
-    )
-    named = parsed.filter(~N.bad_heading_name(F.col("product")))
-    priced = named.withColumn("_price", M.pick_card_price(F.col("_body"))).filter("_price is not null")
-    later = F.expr("slice(_body, _price.pos + 1, size(_body))")
-    units = F.filter(F.transform(later, M.parse_unit_line), lambda u: u.isNotNull())
-    return priced.withColumn("_unit", _first(units)).select(
-        *keep, "block", "product",
-        F.coalesce(_first(F.filter("_body", K.is_package)), F.lit("")).alias("packageSize"),
-        F.col("_price.price").alias("price"),
-        F.col("_price.priceType").alias("priceType"),
-        F.coalesce("_unit.unitPrice", "_price.price").alias("unitPrice"),
-        F.coalesce("_unit.unit", F.lit("Kč/ks")).alias("unit"),
-        F.coalesce(_first(F.filter("_body", lambda v: v.rlike(r"(?iu)^od\s"))), F.lit("")).alias("validFrom"),
-        F.coalesce(_first(F.filter("_body", lambda v: v.rlike(r"(?iu)^do\s"))), F.lit("")).alias("validTo"),
-    )
+    chunks = F.slice(F.split(F.array_join(H.html_to_lines(html), "\n"), r"(?m)^### "), 2, _ALL)
+
+    def titled(chunk: Column) -> Column:
+        return let(
+            F.filter(F.split(chunk, "\n"), lambda v: v != ""),
+            lambda lines: F.struct(
+                squeeze(F.regexp_replace(F.coalesce(_first(lines), F.lit("")), r"^#+\s*", "")).alias("product"),
+                F.slice(lines, 2, _ALL).alias("body"),
+            ),
+        )
+
+    def priced(b: Column) -> Column:
+        return F.struct(b["product"].alias("product"), b["body"].alias("body"), M.pick_card_price(b["body"]).alias("price"))
+
+    def first_line(b: Column, pattern: str) -> Column:
+        return F.coalesce(_first(F.filter(b["body"], lambda v: v.rlike(pattern))), F.lit(""))
+
+    def offer(b: Column) -> Column:
+        later = F.slice(b["body"], b["price"]["pos"] + 1, _ALL)
+        return let(
+            _first(F.filter(F.transform(later, M.parse_unit_line), lambda u: u.isNotNull())),
+            lambda unit: F.struct(
+                b["product"].alias("product"),
+                F.coalesce(_first(F.filter(b["body"], lambda v: K.is_package(v))), F.lit("")).alias("packageSize"),
+                b["price"]["price"].alias("price"), b["price"]["priceType"].alias("priceType"),
+                F.coalesce(unit["unitPrice"], b["price"]["price"]).alias("unitPrice"),
+                F.coalesce(unit["unit"], F.lit("Kč/ks")).alias("unit"),
+                first_line(b, r"(?iu)^od\s").alias("validFrom"), first_line(b, r"(?iu)^do\s").alias("validTo"),
+            ),
+        )
+
+    named = each(chunks, titled, lambda b: ~N.bad_heading_name(b["product"]))
+    offers = each(each(named, priced, lambda b: b["price"].isNotNull()), offer)
+    return pages.select(*keep, F.posexplode(offers).alias("block", "_o")).select(*keep, "block", "_o.*")
 
 
 # --- unit-price segments -----------------------------------------------------
@@ -93,18 +111,20 @@ def extract_unit_segments(pages: DataFrame, line: str = "line", page: str = "pag
             part["unitText"].alias("unitText"),
         )
 
-    segments = F.filter(
-        F.transform(F.transform(F.transform(N.segment_texts("_body"), split_segment), locate), name),
-        lambda s: (s["packageSize"] != "") & ~N.bad_segment_name(s["product"]),
-    )
-    rows = cut.select(*keep, page, "leadPrices", "_dates", F.posexplode(segments).alias("ordinal", "_segment"))
-    return rows.filter(~N.has_unparsed_price("_segment.product")).withColumn(
-        "_unit", M.parse_unit_multi("_segment.unitText")
-    ).filter("_unit is not null").select(
-        *keep, page, "ordinal", "leadPrices",
-        F.col("_segment.product").alias("product"), F.col("_segment.packageSize").alias("packageSize"),
-        F.col("_unit.unitBase").alias("unitBase"), F.col("_unit.unitPrices").alias("unitPrices"),
-        F.col("_unit.unit").alias("unit"), F.col("_dates.validFrom").alias("validFrom"), F.col("_dates.validTo").alias("validTo"),
+    located = each(each(N.segment_texts("_body"), split_segment), locate, lambda p: p["packageSize"] != "")
+    segments = each(located, name, lambda p: ~N.bad_segment_name(p["product"]))
+
+    def priced(p: Column, ordinal: Column) -> Column:
+        return F.struct(
+            ordinal.alias("ordinal"), p["product"].alias("product"), p["packageSize"].alias("packageSize"),
+            F.when(~N.has_unparsed_price(p["product"]), M.parse_unit_multi(p["unitText"])).alias("unit"),
+        )
+
+    rows = F.filter(F.transform(segments, priced), lambda p: p["unit"].isNotNull())
+    return cut.select(*keep, page, "leadPrices", "_dates", F.explode(rows).alias("_s")).select(
+        *keep, page, "_s.ordinal", "leadPrices", "_s.product", "_s.packageSize",
+        F.col("_s.unit.unitBase").alias("unitBase"), F.col("_s.unit.unitPrices").alias("unitPrices"),
+        F.col("_s.unit.unit").alias("unit"), F.col("_dates.validFrom").alias("validFrom"), F.col("_dates.validTo").alias("validTo"),
     )
 
 
@@ -120,29 +140,46 @@ def extract_bullet_blocks(pages: DataFrame, text: str = "text", page: str = "pag
     """
     lines = F.filter(F.transform(F.split(normalize_text(text), "\n"), normalize_line), lambda v: v != "")
     marked = F.regexp_replace(F.array_join(lines, "\n"), r"(?m)^(•[^\n]*)\n(?!•)", "$1\u0001")
-    chunks = pages.select(*keep, page, F.posexplode(F.split(marked, "\u0001")).alias("block", "_chunk"))
-    at = F.when(F.col("_chunk").startswith("•"), F.lit(1)).otherwise(F.instr("_chunk", F.lit("\n•")) + 1)
-    split = chunks.withColumn("_at", at).filter(F.col("_chunk").contains("•") & (F.col("_at") > 0)).withColumns(
-        {
-            "_gap": F.split(F.expr("substring(_chunk, 1, _at - 1)"), "\n"),
-            "_bullets": F.split(F.expr("substring(_chunk, _at, length(_chunk))"), "\n"),
-        }
+
+    def halves(chunk: Column) -> Column:
+        at = F.when(F.startswith(chunk, F.lit("•")), F.lit(1)).otherwise(F.instr(chunk, F.lit("\n•")) + 1)
+        return let(
+            at,
+            lambda a: F.struct(
+                F.split(F.substring(chunk, F.lit(1), a - 1), "\n").alias("gap"),
+                F.split(F.substring(chunk, a, F.length(chunk)), "\n").alias("bullets"),
+            ),
+        )
+
+    def read(b: Column) -> Column:
+        names = F.filter(b["gap"], lambda v: (v != "") & ~N.marketing_line(v) & ~N.price_only_line(v))
+        return let(
+            names,
+            lambda n: let(
+                F.array_join(b["bullets"], " "),
+                lambda t: F.struct(
+                    F.slice(n, F.greatest(F.size(n) - 2, F.lit(1)), 3).alias("names"), b["bullets"].alias("bullets"),
+                    t.alias("text"), K.extract_package(t).alias("package"), M.parse_unit_price(t).alias("unit"),
+                ),
+            ),
+        )
+
+    def offer(b: Column) -> Column:
+        return F.struct(
+            b["names"].alias("names"), b["bullets"].alias("bullets"), b["text"].alias("text"),
+            b["package"].alias("packageSize"), b["unit"]["unitPrice"].alias("unitPrice"),
+            text_of(b["unit"]["unit"]).alias("unit"), text_of(b["unit"]["unitText"]).alias("unitText"),
+            N.name_from_lines(b["names"]).alias("product"),
+            explicit_else_computed(b["text"], b["unit"]["unitPrice"], text_of(b["unit"]["unit"]), b["package"]).alias("price"),
+        )
+
+    chunks = F.filter(F.split(marked, "\u0001"), lambda c: c.rlike("(?m)^•"))
+    blocks = each(each(chunks, halves), read, lambda b: (b["package"] != "") | b["unit"].isNotNull())
+    offers = each(blocks, offer, lambda o: N.good_bullet_name(o["product"]) & (o["price"] > 0) & (o["price"] <= 10000))
+    priced = pages.select(*keep, page, F.posexplode(offers).alias("block", "_o")).select(
+        *keep, page, "block", F.col("_o.names").alias("_names"), F.col("_o.bullets").alias("_bullets"),
+        F.col("_o.text").alias("_bullet_text"), "_o.packageSize", "_o.unitPrice", "_o.unit", "_o.unitText", "_o.product", "_o.price",
     )
-    candidates = F.filter("_gap", lambda v: (v != "") & ~N.marketing_line(v) & ~N.price_only_line(v))
-    read = split.withColumns({"_names": candidates, "_bullet_text": F.array_join("_bullets", " ")}).withColumns(
-        {
-            "_names": F.expr("slice(_names, greatest(size(_names) - 2, 1), 3)"),
-            "packageSize": K.extract_package("_bullet_text"),
-            "_unit": M.parse_unit_price("_bullet_text"),
-        }
-    ).filter("packageSize <> '' or _unit is not null")
-    named = read.withColumn("product", N.name_from_lines(F.col("_names"))).filter(N.good_bullet_name(F.col("product")))
-    priced = named.withColumns(
-        {
-            "unitPrice": F.col("_unit.unitPrice"), "unit": text_of("_unit.unit"), "unitText": text_of("_unit.unitText"),
-            "price": explicit_else_computed(F.col("_bullet_text"), F.col("_unit.unitPrice"), text_of("_unit.unit"), F.col("packageSize")),
-        }
-    ).filter("price > 0 and price <= 10000")
     context = F.array_join(F.concat("_names", "_bullets"), " ")
     judged = priced.withColumn("rawContext", context if context_limit is None else F.substring(context, 1, context_limit))
     judged = judged.withColumn(
@@ -169,10 +206,10 @@ def explicit_else_computed(bullets: Column, unit_price: Column, unit: Column, pa
         lambda p: (p > 0) & (p < 10000)
         & ~F.coalesce(F.abs(p - F.nullif(unit_price, F.lit(0.0))) <= 0.001, F.lit(False)),
     )
-    computed = K.pack_price(unit_price, unit, package)
-    return F.coalesce(
-        M.round_retail(F.try_element_at(explicit, F.lit(-1))), F.when((computed > 0) & (computed < 10000), computed)
+    computed = let(
+        K.pack_price(unit_price, unit, package), lambda c: F.when((c > 0) & (c < 10000), c)
     )
+    return F.coalesce(M.round_retail(F.try_element_at(explicit, F.lit(-1))), computed)
 
 
 def final_clean(offers: DataFrame) -> DataFrame:
@@ -201,31 +238,35 @@ _PATTERN = (
 
 def extract_bullet_pattern(pages: DataFrame, text: str = "text", keep: Sequence[str] = ("page_id",)) -> DataFrame:
     """``product • description • package • unit price`` sequences."""
-    found = pages.select(
-        *keep, F.posexplode(F.regexp_extract_all(single_line(text), F.lit(_PATTERN), F.lit(0))).alias("match", "_hit")
-    )
-    parts = found.select(*keep, "match", "_hit", *[
-        F.regexp_extract("_hit", _PATTERN, i).alias(n) for i, n in enumerate(("_name", "_desc", "packageSize", "unitText", "_after"), 1)
-    ])
-    unit = F.regexp_extract("unitText", r"(?iu)^(100\s*g|1\s*kg|1\s*l|100\s*ml|1\s*ks|100\s*ks|1\s*role)", 1)
-    read = parts.withColumns(
-        {
-            "product": N.name_from_pattern("_name"),
-            "description": N.name_from_pattern("_desc", 1000),
-            "packageSize": squeeze("packageSize"),
-            "unit": F.concat(F.lit("Kč/"), F.regexp_replace(unit, r"\s+", " ")),
-            "unitPrice": M.repair_ocr_money(F.regexp_extract("unitText", r"\d{1,6}[,.]\d{2}", 0)),
-        }
-    ).filter(~N.bad_pattern_name(F.col("product")))
-    computed = M.round_cents(_raw_pack_price(F.col("unitPrice"), F.col("unit"), F.col("packageSize")))
-    priced = read.withColumn("_computed", computed).withColumn("price", computed_with_close_explicit(F.col("_after"), F.col("_computed")))
+    def group(hit: Column, index: int) -> Column:
+        return F.regexp_extract(hit, _PATTERN, index)
+
+    def read(hit: Column) -> Column:
+        unit = F.regexp_extract(group(hit, 4), r"(?iu)^(100\s*g|1\s*kg|1\s*l|100\s*ml|1\s*ks|100\s*ks|1\s*role)", 1)
+        return F.struct(
+            hit.alias("hit"), N.name_from_pattern(group(hit, 1)).alias("product"),
+            N.name_from_pattern(group(hit, 2), 1000).alias("description"), squeeze(group(hit, 3)).alias("packageSize"),
+            group(hit, 4).alias("unitText"), F.concat(F.lit("Kč/"), F.regexp_replace(unit, r"\s+", " ")).alias("unit"),
+            M.repair_ocr_money(F.regexp_extract(group(hit, 4), r"\d{1,6}[,.]\d{2}", 0)).alias("unitPrice"),
+        )
+
+    def price(r: Column) -> Column:
+        computed = M.round_cents(_raw_pack_price(r["unitPrice"], r["unit"], r["packageSize"]))
+        chosen = let(computed, lambda c: computed_with_close_explicit(group(r["hit"], 5), c))
+        return F.struct(r.alias("r"), chosen.alias("price"))
+
+    hits = each(F.regexp_extract_all(single_line(text), F.lit(_PATTERN), F.lit(0)), read, lambda r: ~N.bad_pattern_name(r["product"]))
+    offers = each(hits, price, lambda o: (o["price"] > 0) & (o["price"] <= 10000))
+    priced = pages.select(*keep, F.posexplode(offers).alias("match", "_o")).select(
+        *keep, "match", "_o.r.*", "_o.price"
+    ).withColumnRenamed("hit", "_hit")
     reasons = Q.reasons(
         (F.col("product").rlike("(?iu)VÍCE AKCÍ|BĚŽNÁ CENA|BEZ APLIKACE|NEPORAZITELNÉ"), "šum v názvu"),
         (F.col("product").rlike(rf"{EDGE_L}\d{{3,6}}{EDGE_R}"), "čísla v názvu"),
         (F.col("product").rlike("Kč|%|="), "cena v názvu"),
         (F.col("_hit").rlike("(?iu)BĚŽNÁ CENA"), "v okolí běžná cena"),
     )
-    return priced.filter("price > 0 and price <= 10000").withColumn("suspectReasons", reasons).select(
+    return priced.withColumn("suspectReasons", reasons).select(
         *keep, "match", "product", "description", "packageSize", "price", "unitPrice", "unit", "unitText",
         F.when(F.size("suspectReasons") > 0, F.lit("low")).otherwise(F.lit("medium")).alias("confidence"),
         (F.size("suspectReasons") > 0).alias("suspect"), "suspectReasons",
@@ -233,12 +274,12 @@ def extract_bullet_pattern(pages: DataFrame, text: str = "text", keep: Sequence[
 
 
 def _raw_pack_price(unit_price: Column, unit: Column, package: Column) -> Column:
-    amount = F.nullif(K.base_amount(package), F.lit(0.0))
-    return (
-        F.when(unit.rlike(r"(?iu)100\s*g|100\s*ml"), unit_price * (amount / 100))
-        .when(unit.rlike(r"(?iu)1\s*kg|1\s*l"), unit_price * (amount / 1000))
-        .when(unit.rlike(r"(?iu)1\s*ks|1\s*role"), unit_price * amount)
+    divisor = (
+        F.when(unit.rlike(r"(?iu)100\s*g|100\s*ml"), F.lit(100.0))
+        .when(unit.rlike(r"(?iu)1\s*kg|1\s*l"), F.lit(1000.0))
+        .when(unit.rlike(r"(?iu)1\s*ks|1\s*role"), F.lit(1.0))
     )
+    return unit_price * (F.nullif(K.base_amount(package), F.lit(0.0)) / divisor)
 
 
 def computed_with_close_explicit(after: Column, computed: Column) -> Column:
@@ -250,8 +291,13 @@ def computed_with_close_explicit(after: Column, computed: Column) -> Column:
         ),
         lambda p: (p > 0) & (p < 10000),
     )
-    close = _first(F.filter(explicit, lambda p: F.abs(p - computed) / F.greatest(computed, F.lit(1.0)) < 0.08))
-    return F.when(computed > 0, F.coalesce(close, computed)).otherwise(F.try_element_at(explicit, F.lit(-1)))
+    return let(
+        explicit,
+        lambda found: F.when(
+            computed > 0,
+            F.coalesce(_first(F.filter(found, lambda p: F.abs(p - computed) / F.greatest(computed, F.lit(1.0)) < 0.08)), computed),
+        ).otherwise(F.try_element_at(found, F.lit(-1))),
+    )
 
 
 _UNIT_WINDOW = r"(?iu)(?:100\s*g|1\s*kg|1\s*l|100\s*ml|1\s*ks|100\s*ks|1\s*role)\s*(?:=|od|za)?\s*\d{1,6}[,.]\d{2}\s*Kč"
@@ -279,16 +325,20 @@ def extract_by_unit_window(pages: DataFrame, text: str = "text", keep: Sequence[
         F.expr(f"substring(_flat, greatest(_mark.pos - {name_before} + 1, 1), least(_mark.pos, {name_before}))").alias("_before"),
     )
     chunks = F.filter(F.transform(F.split("_before", "•"), lambda p: N.name_from_pattern(p)), lambda n: ~N.bad_pattern_name(n))
-    read = cut.withColumns(
-        {
-            "product": F.coalesce(F.try_element_at(chunks, F.lit(-1)), F.lit("")),
-            "packageSize": F.coalesce(_first(F.regexp_extract_all("rawContext", F.lit(_ANY_PACKAGE), F.lit(0))), F.lit("")),
-            "unitPrice": F.try_element_at(_all_prices(F.col("unitText")), F.lit(-1)),
-        }
+
+    def offer(unit_price: Column) -> Column:
+        other = F.filter(_all_prices(F.col("rawContext")), lambda p: F.abs(p - F.coalesce(unit_price, F.lit(-999999.0))) > 0.001)
+        return F.struct(
+            F.coalesce(F.try_element_at(chunks, F.lit(-1)), F.lit("")).alias("product"),
+            F.coalesce(_first(F.regexp_extract_all("rawContext", F.lit(_ANY_PACKAGE), F.lit(0))), F.lit("")).alias("packageSize"),
+            F.try_element_at(other, F.lit(-1)).alias("price"), unit_price.alias("unitPrice"),
+        )
+
+    found = each(
+        F.array(F.try_element_at(_all_prices(F.col("unitText")), F.lit(-1))), offer,
+        lambda o: (o["product"] != "") & o["price"].isNotNull(),
     )
-    other = F.filter(_all_prices(F.col("rawContext")), lambda p: F.abs(p - F.coalesce("unitPrice", F.lit(-999999.0))) > 0.001)
-    priced = read.withColumn("price", F.try_element_at(other, F.lit(-1)))
-    return priced.filter("product <> '' and price is not null").select(
+    return cut.select(*keep, "unitText", "rawContext", F.inline(found)).select(
         *keep, "product", "packageSize", "price", "unitPrice", "unitText", "rawContext"
     )
 
@@ -296,21 +346,26 @@ def extract_by_unit_window(pages: DataFrame, text: str = "text", keep: Sequence[
 def extract_bullet_neighbourhood(pages: DataFrame, text: str = "text", keep: Sequence[str] = ("page_id",), width: int = 6) -> DataFrame:
     """``width`` consecutive bullet parts as one candidate."""
     parts = F.filter(F.transform(F.split(single_line(text), "•"), lambda p: F.trim(p)), lambda p: p != "")
-    windows = F.transform(
-        F.filter(F.transform("_parts", lambda p, i: F.struct(i.alias("i"), p.alias("p"))), lambda s: s["i"] < F.size("_parts") - 1),
-        lambda s: F.struct(
+
+    def window(s: Column) -> Column:
+        return F.struct(
             s["i"].alias("part"), N.name_from_pattern(s["p"]).alias("product"),
             F.array_join(F.slice("_parts", s["i"] + 1, width), " • ").alias("nearby"),
-        ),
-    )
-    rows = pages.withColumn("_parts", parts).select(*keep, F.inline(windows)).filter(~N.bad_pattern_name(F.col("product")))
-    read = rows.withColumns(
-        {
-            "packageSize": _first(F.regexp_extract_all("nearby", F.lit(_ANY_PACKAGE), F.lit(0))),
-            "price": F.try_element_at(_all_prices(F.col("nearby")), F.lit(-1)),
-        }
+        )
+
+    def priced(w: Column) -> Column:
+        return F.struct(
+            w["part"].alias("part"), w["product"].alias("product"), w["nearby"].alias("nearby"),
+            _first(F.regexp_extract_all(w["nearby"], F.lit(_ANY_PACKAGE), F.lit(0))).alias("packageSize"),
+            F.try_element_at(_all_prices(w["nearby"]), F.lit(-1)).alias("price"),
+        )
+
+    numbered = F.filter(
+        F.transform("_parts", lambda p, i: F.struct(i.alias("i"), p.alias("p"))), lambda s: s["i"] < F.size("_parts") - 1
     )
-    return read.filter("packageSize is not null and price is not null")
+    named = each(numbered, window, lambda w: ~N.bad_pattern_name(w["product"]))
+    offers = each(named, priced, lambda o: o["packageSize"].isNotNull() & o["price"].isNotNull())
+    return pages.withColumn("_parts", parts).select(*keep, F.inline(offers))
 
 
 def extract_line_windows(pages: DataFrame, text: str = "text", keep: Sequence[str] = ("page_id",), before: int = 3,
@@ -323,26 +378,38 @@ def extract_line_windows(pages: DataFrame, text: str = "text", keep: Sequence[st
             F.slice("_lines", F.greatest(i - before, F.lit(0)) + 1, F.least(i, F.lit(before)) + after + 1), " "
         ),
     )
-    price = F.try_element_at(M.extract_prices("rawContext"), F.lit(-1))
-    rows = pages.withColumn("_lines", lines).select(*keep, F.explode(F.array_distinct(windows)).alias("rawContext"))
-    return rows.withColumns(
-        {
-            "priceText": price, "price": M.parse_money(price),
-            "packageSize": F.regexp_extract("rawContext", rf"(?iu){EDGE_L}\d+(?:[,.]\d+)?\s*(?:kg|g|ml|l|ks|role){EDGE_R}", 0),
-        }
-    ).filter(F.col("priceText").isNotNull() & (F.col("packageSize") != "") & F.col("rawContext").rlike(f"[{LETTER}]"))
+
+    def priced(context: Column) -> Column:
+        return let(
+            F.try_element_at(M.extract_prices(context), F.lit(-1)),
+            lambda price: F.struct(
+                context.alias("rawContext"), price.alias("priceText"), M.parse_money(price).alias("price"),
+                F.regexp_extract(context, rf"(?iu){EDGE_L}\d+(?:[,.]\d+)?\s*(?:kg|g|ml|l|ks|role){EDGE_R}", 0).alias("packageSize"),
+            ),
+        )
+
+    offers = each(
+        F.filter(F.array_distinct(windows), lambda w: w.rlike(f"[{LETTER}]")), priced,
+        lambda o: o["priceText"].isNotNull() & (o["packageSize"] != ""),
+    )
+    return pages.withColumn("_lines", lines).select(*keep, F.inline(offers))
 
 
 # --- price markers -----------------------------------------------------------
 def extract_price_marker_candidates(pages: DataFrame, text: str = "text", page: str = "page_number",
                                     keep: Sequence[str] = (), before: int = 260, after: int = 160) -> DataFrame:
     """One candidate per price marker, its name read from the text before."""
-    marks = pages.select(*keep, page, F.col(text).alias("_text"), F.explode(M.price_markers(text)).alias("_mark"))
-    cut = marks.select(
-        *keep, page, F.col("_mark.pos").alias("pos"), F.col("_mark.price").alias("price"), F.col("_mark.kind").alias("kind"),
-        single_line(F.expr(f"substring(_text, greatest(_mark.pos - {before} + 1, 1), least(_mark.pos, {before}) + {after})")).alias("rawContext"),
-        N.name_before_marker(F.expr(f"substring(_text, greatest(_mark.pos - {before} + 1, 1), least(_mark.pos, {before}))")).alias("product"),
-    ).filter(~N.bad_candidate_name(F.col("product")))
+    def around(m: Column) -> Column:
+        start = F.greatest(m["pos"] - before, F.lit(0)) + 1
+        ahead = F.least(m["pos"], F.lit(before))
+        return F.struct(
+            m["pos"].alias("pos"), m["price"].alias("price"), m["kind"].alias("kind"),
+            single_line(F.substring(F.col(text), start, ahead + after)).alias("rawContext"),
+            N.name_before_marker(F.substring(F.col(text), start, ahead)).alias("product"),
+        )
+
+    found = each(M.price_markers(text), around, lambda c: ~N.bad_candidate_name(c["product"]))
+    cut = pages.select(*keep, page, F.inline(found))
     package = F.regexp_extract(
         "rawContext", rf"(?iu){EDGE_L}\d+(?:[,.]\d+)?\s*(?:ml|l|g|kg|ks|balení|plech|sklo|role|rolí|m){EDGE_R}", 0
     )
@@ -396,7 +463,8 @@ def dictionary_offers(blocks: DataFrame) -> DataFrame:
     package = F.regexp_extract_all("block", F.lit(rf"(?iu){EDGE_L}\d+(?:[,.]\d+)?\s*(?:ml|l|g|kg|ks|balení|sáčků|kapslí){EDGE_R}"), F.lit(0))
     real = F.filter(package, lambda p: ~p.rlike(r"(?iu)^(?:100\s*g|1\s*kg)$"))
     unit = rf"(?iu){EDGE_L}(100\s*g|1\s*kg)\s+(\d{{1,4}}[,.]\d{{1,2}})\s*Kč"
-    return blocks.withColumns(
+    marked = blocks.filter(F.col("block").rlike(r"(?iu)<\s*\d{1,4}[,.]\d{1,2}\s*Kč"))
+    return marked.withColumns(
         {
             "product": N.name_from_block("block"),
             "packageSize": F.regexp_replace(F.coalesce(_first(real), _first(package), F.lit("")), r"\s+", " "),
@@ -404,7 +472,7 @@ def dictionary_offers(blocks: DataFrame) -> DataFrame:
             "unitPrice": M.parse_money(F.regexp_extract("block", unit, 2)),
             "price": M.parse_money(F.regexp_extract("block", r"(?iu)<\s*(\d{1,4}[,.]\d{1,2})\s*Kč", 1)),
         }
-    ).filter("price is not null")
+    )
 
 
 def missing_starts(blocks: DataFrame, starts: Sequence[str]) -> DataFrame:
@@ -454,20 +522,24 @@ def extract_uppercase_lines(pages: DataFrame, text: str = "text", page: str = "p
             F.struct(F.lit(False).alias("open"), state["lines"].alias("lines"))
         )
 
-    rows = pages.withColumn("_lines", lines).select(*keep, page, "_lines", F.posexplode("_lines").alias("_i", "_line"))
-    heads = rows.filter(N.product_start_line(F.col("_line")))
-    begin = F.struct(F.lit(True).alias("open"), F.array("_line").alias("lines"))
-    grown = F.aggregate(F.expr("slice(_lines, _i + 2, 4)"), begin, grow, lambda s: s["lines"])
-    context = F.array_join(F.expr("slice(_lines, greatest(_i - 8, 0) + 1, least(_i, 8) + 10)"), " | ")
-    named = heads.select(
-        *keep, page, F.col("_i").alias("line"), F.array_join(grown, " ").alias("_raw"), context.alias("_context")
-    )
-    cleaned = squeeze(
-        F.regexp_replace(
-            F.regexp_replace(F.regexp_replace("_raw", r"\*", ""), r"\s*\|\s*$", ""), r"(?iu)\s+<\s*\d{1,4}[,.]\d{2}\s*Kč.*$", ""
+    def head(line: Column, i: Column) -> Column:
+        return F.struct(i.alias("i"), line.alias("line"))
+
+    def assemble(h: Column) -> Column:
+        begin = F.struct(F.lit(True).alias("open"), F.array(h["line"]).alias("lines"))
+        grown = F.aggregate(F.slice("_lines", h["i"] + 2, 4), begin, grow, lambda s: s["lines"])
+        name = F.regexp_replace(F.regexp_replace(F.array_join(grown, " "), r"\*", ""), r"\s*\|\s*$", "")
+        above = F.least(h["i"], F.lit(8))
+        return F.struct(
+            h["i"].alias("line"),
+            squeeze(F.regexp_replace(name, r"(?iu)\s+<\s*\d{1,4}[,.]\d{2}\s*Kč.*$", "")).alias("product"),
+            F.array_join(F.slice("_lines", h["i"] - above + 1, above + 10), " | ").alias("_context"),
         )
-    )
-    read = named.withColumn("product", cleaned).filter("length(product) >= 4").withColumn("_prices", M.classify_price("_context"))
+
+    heads = F.filter(F.transform("_lines", head), lambda h: N.product_start_line(h["line"]))
+    products = each(heads, assemble, lambda p: F.length(p["product"]) >= 4)
+    named = pages.withColumn("_lines", lines).select(*keep, page, F.inline(products))
+    read = named.withColumn("_prices", M.classify_price("_context"))
     built = read.withColumns(
         {
             "price": M.pick_current_price(F.col("_prices")),
@@ -565,7 +637,9 @@ def extract_product_tiles(pages: DataFrame, html: str = "html", url: str = "url"
             "_src": attribute("src"),
         }
     )
-    return read.filter((F.col("product") != "") & F.col("price").isNotNull()).select(
+    # The offer is built as one struct and dropped in the generator, see ``each``.
+    named = F.filter(F.array(F.struct("product", "price")), lambda o: (o["product"] != "") & o["price"].isNotNull())
+    return read.withColumn("_kept", F.explode(named)).select(
         *keep, "tile", "klNr", "product", "packageSize", "price", "oldPrice",
         F.coalesce("_base.unitPrice", "price").alias("unitPrice"), F.coalesce("_base.unit", F.lit("Kč/ks")).alias("unit"),
         H.category_from_url("sourceUrl").alias("category"), "priceType",
