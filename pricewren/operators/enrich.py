@@ -12,7 +12,7 @@ from pricewren.functions.names import clean_product_name
 from pricewren.functions.patterns import quote, word
 from pricewren.functions.quality import is_true
 from pricewren.functions.text import (
-    first_text, normalize_ascii, normalize_loose, normalize_search, not_blank, text_of,
+    first_text, let, normalize_ascii, normalize_loose, normalize_search, not_blank, text_of,
 )
 
 
@@ -104,10 +104,14 @@ def tag_by_dictionary(text: Column, dictionary: Sequence[tuple[str, Sequence[str
 
     Terms are folded here, once, so each entry is a single regex alternation.
     """
-    label = F.lit(default)
-    for name, terms in reversed(list(dictionary)):
-        label = F.when(has_term(text, [fold_term(t) for t in terms]), F.lit(name)).otherwise(label)
-    return label
+
+    def first_label(folded: Column) -> Column:
+        label = F.lit(default)
+        for name, terms in reversed(list(dictionary)):
+            label = F.when(has_term(folded, [fold_term(t) for t in terms]), F.lit(name)).otherwise(label)
+        return label
+
+    return let(text, first_label)
 
 
 def fold_term(term: str) -> str:
@@ -126,11 +130,14 @@ def is_beer(product: Column, description: Column, context: Column) -> Column:
 
 def beer_description(product: Column, description: Column, context: Column) -> Column:
     """Kind of beer by degree and wording."""
-    text = F.concat_ws(" ", text_of(product), text_of(description), text_of(context))
-    kind = F.lit(rules.BEER_DEFAULT)
-    for pattern, name in reversed(rules.BEER_KINDS):
-        kind = F.when(text.rlike(pattern), F.lit(name)).otherwise(kind)
-    return kind
+
+    def kind_of(text: Column) -> Column:
+        kind = F.lit(rules.BEER_DEFAULT)
+        for pattern, name in reversed(rules.BEER_KINDS):
+            kind = F.when(text.rlike(pattern), F.lit(name)).otherwise(kind)
+        return kind
+
+    return let(F.concat_ws(" ", text_of(product), text_of(description), text_of(context)), kind_of)
 
 
 def search_terms(*parts: Column) -> Column:
@@ -181,10 +188,14 @@ def category_by_page_range(page: Column, product: Column, ranges=rules.PAGE_CATE
 
     The ranges are a fixed short list, so the range join is a ``CASE``.
     """
-    name = normalize_search(product)
-    label = F.lit("")
-    for pattern, category, _ in reversed(texts):
-        label = F.when(name.rlike(pattern), F.lit(category)).otherwise(label)
+
+    def by_text(name: Column) -> Column:
+        found = F.lit("")
+        for pattern, category, _ in reversed(texts):
+            found = F.when(name.rlike(pattern), F.lit(category)).otherwise(found)
+        return found
+
+    label = let(normalize_search(product), by_text)
     for first, last, category, _ in reversed(ranges):
         label = F.when(page.between(first, last), F.lit(category)).otherwise(label)
     return label

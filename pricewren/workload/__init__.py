@@ -4,7 +4,7 @@ from pricewren.workload.registry import ORACLES, QUERIES
 
 
 def _load() -> None:
-    from pricewren.workload import prices, serving, texts  # noqa: F401
+    from pricewren.workload import audits, extraction, matching, prices, serving, texts  # noqa: F401
 
 
 def all_queries():

@@ -8,16 +8,16 @@ from pricewren.functions import html as H, names as N, text as T
 from pricewren.operators import lines as L
 from pricewren.workload.registry import query
 from pricewren.workload.views import (
-    code_sql, entities_sql, squeeze_sql, strip_tags_sql, t1, t2, t3, table, uri_sql,
+    code_sql, entities_sql, squeeze_sql, strip_tags_sql, t1, t2, t3, table, uri_sql, wide_table,
 )
 
 
 def documents(spark, sf):
-    return table(spark, sf, "documents")
+    return wide_table(spark, sf, "documents")
 
 
 def pages(spark, sf):
-    return table(spark, sf, "pages")
+    return wide_table(spark, sf, "pages")
 
 
 def _document_text(name, build, sql):

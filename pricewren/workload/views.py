@@ -10,18 +10,32 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from pricewren.sources.readers import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def wide_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """A table for CPU-heavy work: only the needed columns, on all cores."""
+    scan = table(spark, sf_dir, name)
+    return spread(scan.select(*columns) if columns else scan)
+
+
+LINE_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+
+
 def base_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem with its part, supplier, nation and region.
 
     Plain equi joins: the dimensions are broadcast only while they are below the
     session's broadcast threshold.
     """
-    t = {n: table(spark, sf_dir, n) for n in ("lineitem", "part", "supplier", "nation", "region")}
+    t = {n: table(spark, sf_dir, n) for n in ("part", "supplier", "nation", "region")}
+    t["lineitem"] = wide_table(
+        spark, sf_dir, "lineitem", *LINE_KEY, "l_extendedprice", "l_quantity", "l_returnflag", "l_linestatus"
+    )
     return (
         t["lineitem"]
         .join(t["part"], F.col("l_partkey") == F.col("p_partkey"))
@@ -112,7 +126,7 @@ QUALITY_SQL = "CASE WHEN suspect THEN 'suspect' WHEN confidence IN ('low','mediu
 # --- price rows: lineitem alone, with whole-number prices ---------------------
 def priced_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per lineitem with exact integer prices and a package size."""
-    return table(spark, sf_dir, "lineitem").select(
+    return wide_table(spark, sf_dir, "lineitem", *LINE_KEY, "l_extendedprice").select(
         row_key().alias("id"),
         F.floor(F.col("l_extendedprice") * 100 + 0.5).alias("cents"),
         ((F.col("l_partkey") % 50 + 1) * 10).alias("pack"),
