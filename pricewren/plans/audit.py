@@ -23,6 +23,7 @@ from pricewren.operators.enrich import joined_text
 from pricewren.operators.extract import extract_price_marker_candidates
 from pricewren.operators.lines import top_k_per_group
 from pricewren.operators.match import already_in, count_checks, match_checks, pages_with_counts, substring_join
+from pricewren.session import staged
 
 
 def count_rows(name: str = "n") -> Column:
@@ -177,7 +178,8 @@ def coverage_candidates(pages: DataFrame, text: str = "text", page: str = "pageN
 
 def coverage_audit(pages: DataFrame, offers: DataFrame, text: str = "text", page: str = "pageNumber", useful: int = 3) -> DataFrame:
     """Markers, candidates, missing candidates and risk per page."""
-    candidates = coverage_candidates(pages, text, page)
+    # Parsed once: the candidates feed the counts and every branch of the anti join.
+    candidates = staged(coverage_candidates(pages, text, page), "coverage-candidates")
     good = candidates.filter(F.col("score") >= useful)
     known = offers.withColumn("_text", normalize_loose(joined_text(offers, ("product", "description", "searchTerms", "category"))))
     covered = already_in(good, known, F.col("_text"), normalize_loose, page).select(

@@ -301,7 +301,7 @@ def page_gap_audit(spark, sf):
 
 def _coverage_pages(spark, sf):
     filler = " " + "x" * 300 + " "
-    name = F.concat(F.upper("p_name"), F.lit(" N"), F.col("p_partkey").cast("string"), F.lit("X"))
+    name = F.concat(F.upper("p_name"), F.lit(" NR"), F.col("p_partkey").cast("string"), F.lit("X"))
     text = F.concat(F.lit("strana 50% "), name, F.lit(" 100 g < 12,90 Kč" + filler + "30% "), name, F.lit(" PIVO 200 g < 15,90 Kč" + filler + "konec"))
     return table(spark, sf, "part").select(F.col("p_partkey").alias("pageNumber"), text.alias("text"))
 
@@ -313,7 +313,7 @@ SELECT p_partkey AS "pageNumber", 2 AS "actionMarkers", CASE WHEN known THEN 1 E
 def coverage_audit(spark, sf):
     offers = table(spark, sf, "part").filter("p_partkey % 2 = 0").select(
         F.col("p_partkey").alias("pageNumber"), F.lit("").alias("category"),
-        F.concat("p_name", F.lit(" n"), F.col("p_partkey").cast("string"), F.lit("x pivo")).alias("product"),
+        F.concat("p_name", F.lit(" nr"), F.col("p_partkey").cast("string"), F.lit("x pivo")).alias("product"),
     )
     return _coverage_numbers(audit.coverage_audit(_coverage_pages(spark, sf), offers))
 
