@@ -6,7 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from pricewren import rules
 from pricewren.functions.html import match_positions
-from pricewren.functions.patterns import AMOUNT, EDGE_L, EDGE_R, LOOSE_AMOUNT, SPACE
+from pricewren.functions.patterns import AMOUNT, EDGE_L, EDGE_R, LOOSE_AMOUNT, SPACES
 from pricewren.functions.text import col, let, normalize_text, squeeze, text_of
 
 NBSP = "\u00a0"
@@ -19,15 +19,16 @@ BARE_PRICE = rf"(?iu){EDGE_L}\d{{1,4}}[,.]\d{{2}}{EDGE_R}"
 
 def parse_money(c: Column | str) -> Column:
     """``"1 299,90 Kč"`` -> 1299.9, ``"12,-"`` -> 12.0, no digit -> null."""
-    value = F.regexp_replace(text_of(c), rf"(?iu){SPACE}+|Kč", "")
+    value = F.regexp_replace(text_of(c), rf"(?iu){SPACES}|Kč", "")
     value = F.regexp_replace(value, "^([^,]*),-", "$1,00")
     value = F.regexp_replace(value, "^([^,]*),", "$1.")
-    return F.regexp_replace(value, r"[^\d.]", "").try_cast("double")
+    # A failed cast costs an exception, so empty text is ruled out first.
+    return F.nullif(F.regexp_replace(value, r"[^\d.]+", ""), F.lit("")).try_cast("double")
 
 
 def repair_ocr_money(c: Column | str) -> Column:
     """P1 after dropping a leaked ``20`` or ``0`` prefix (``2016,90``)."""
-    value = F.regexp_replace(text_of(c), rf"(?iu){SPACE}+|Kč", "")
+    value = F.regexp_replace(text_of(c), rf"(?iu){SPACES}|Kč", "")
     value = F.regexp_replace(value, "^([^,]*),-", "$1,00")
     value = F.regexp_replace(value, r"^20(?=\d{2},\d{2}$)", "")
     return parse_money(F.regexp_replace(value, r"^0(?=\d{2,3},\d{2}$)", ""))

@@ -8,9 +8,10 @@ delimited with explicit Unicode look-arounds.  ``(?iu)`` is needed because
 EDGE_L = r"(?<![\p{L}\p{N}_])"
 EDGE_R = r"(?![\p{L}\p{N}_])"
 
-# White space in the JavaScript sense (Java's \s is ASCII only).
-SPACE_CLASS = r"\s\x0b\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
-SPACE = f"[{SPACE_CLASS}]"
+# White space in the JavaScript sense: Unicode white space and the byte-order mark
+# (Java's \s alone is ASCII only; (?U:..) makes it one cheap Unicode test).
+SPACES = r"(?U:[\s\ufeff]+)"
+SPACES_OR_NONE = r"(?U:[\s\ufeff]*)"
 BLANKS = " \t\n\r\f\x0b\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 # An upper-case letter that can open a Czech product name.

@@ -8,7 +8,7 @@ from functools import lru_cache
 
 from pyspark.sql import Column, functions as F
 
-from pricewren.functions.patterns import BLANKS, SPACE
+from pricewren.functions.patterns import BLANKS, SPACES, SPACES_OR_NONE
 from pricewren.rules import PAGE_SLOGANS
 
 
@@ -68,7 +68,7 @@ def fold_accents(c: Column | str) -> Column:
 
 def squeeze(c: Column | str) -> Column:
     """Collapse runs of white space to one blank and trim."""
-    return F.trim(F.regexp_replace(col(c), f"{SPACE}+", " "))
+    return F.trim(F.regexp_replace(col(c), SPACES, " "))
 
 
 def strip(c: Column | str) -> Column:
@@ -107,7 +107,9 @@ def normalize_for_index(c: Column | str) -> Column:
 
 def normalize_text(c: Column | str) -> Column:
     """T5: plain blanks, one dash form, no carriage returns, line breaks kept."""
-    unified = F.translate(text_of(c), "\u00a0\u2014\r", " \u2013")
+    unified = text_of(c)
+    for char, by in (("\u00a0", " "), ("\u2014", "\u2013"), ("\r", "")):
+        unified = F.replace(unified, F.lit(char), F.lit(by))
     return strip(F.regexp_replace(unified, r"[ \t]+", " "))
 
 
@@ -116,8 +118,8 @@ def normalize_line(c: Column | str) -> Column:
     return let(
         normalize_text(c),
         lambda line: squeeze(
-            F.when(F.startswith(line, F.lit("•")), F.regexp_replace(line, f"^•{SPACE}*", "• "))
-            .otherwise(F.regexp_replace(line, f"^-{SPACE}*", ""))
+            F.when(F.startswith(line, F.lit("•")), F.regexp_replace(line, f"^•{SPACES_OR_NONE}", "• "))
+            .otherwise(F.regexp_replace(line, f"^-{SPACES_OR_NONE}", ""))
         ),
     )
 
@@ -129,7 +131,7 @@ def compact_text(c: Column | str) -> Column:
 
 def single_line(c: Column | str) -> Column:
     """T5 plus squeezing of every kind of white space."""
-    return squeeze(F.translate(text_of(c), "—", "–"))
+    return squeeze(F.replace(text_of(c), F.lit("—"), F.lit("–")))
 
 
 def decode_url(c: Column | str, rounds: int = 6) -> Column:
