@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pricewren.functions.quality import offer_quality, shown_in_mode
 from pricewren.functions.text import first_text, normalize_ascii
 from pricewren.operators.dedupe import keep_one
-from pricewren.operators.enrich import joined_text
+from pricewren.operators.enrich import joined_text, present
 from pricewren.operators.lines import comparable_value, sort_visible
 
 INFINITY = float("inf")
@@ -39,9 +39,9 @@ def search(offers: DataFrame, text: str) -> DataFrame:
     return offers.filter((needle == "") | F.contains(index, needle))
 
 
-def comparable_key() -> Column:
+def comparable_key(offers: DataFrame) -> Column:
     """Key under which offers are compared: T1 of compareKey, else of the name."""
-    return normalize_ascii(first_text("compareKey", "product"))
+    return normalize_ascii(first_text(*present(offers, ("compareKey", "product"))))
 
 
 def cheapest_by_key(offers: DataFrame, order: Sequence[str] = ("id",)) -> DataFrame:
@@ -51,7 +51,7 @@ def cheapest_by_key(offers: DataFrame, order: Sequence[str] = ("id",)) -> DataFr
     most one row per key and map task.
     """
     value = F.coalesce(comparable_value(), F.lit(INFINITY))
-    slim = offers.select(comparable_key().alias("key"), value.alias("value"), *dict.fromkeys(["id", *order]))
+    slim = offers.select(comparable_key(offers).alias("key"), value.alias("value"), *dict.fromkeys(["id", *order]))
     return keep_one(slim, ["key"], F.asc("value"), *[F.asc(o) for o in order])
 
 

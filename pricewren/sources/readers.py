@@ -142,7 +142,7 @@ def split_pages(documents: DataFrame, text: str = "text", keep: Sequence[str] =
 
 def read_text_pages(spark: SparkSession, path: str) -> DataFrame:
     """Pages of whole text files, tagged with their file."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
     return split_pages(files, keep=("file",))
 
 
@@ -153,7 +153,7 @@ def read_html_pages(spark: SparkSession, path: str) -> DataFrame:
 
 def read_html_files(spark: SparkSession, path: str) -> DataFrame:
     """Already fetched HTML files; the page number comes from the file name."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     return files.select(
         F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)", 1).try_cast("bigint").alias("page_id"),
         F.col("_metadata.file_path").alias("url"), F.col("value").alias("html"),
