@@ -7,7 +7,7 @@ from pyspark.sql import Column, functions as F
 from pricewren import rules
 from pricewren.functions.html import match_positions
 from pricewren.functions.patterns import AMOUNT, EDGE_L, EDGE_R, LOOSE_AMOUNT, SPACES
-from pricewren.functions.text import col, let, normalize_text, squeeze, text_of
+from pricewren.functions.text import as_normalized, col, let, squeeze, text_of
 
 NBSP = "\u00a0"
 PRICE_LITERAL = (
@@ -66,9 +66,9 @@ def number_text(price: Column | str) -> Column:
     )
 
 
-def extract_prices(c: Column | str) -> Column:
+def extract_prices(c: Column | str, normalized: bool = False) -> Column:
     """P5: distinct price literals in order of appearance."""
-    return F.array_distinct(F.regexp_extract_all(normalize_text(c), F.lit(PRICE_LITERAL), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(as_normalized(c, normalized), F.lit(PRICE_LITERAL), F.lit(0)))
 
 
 def price_markers(c: Column | str) -> Column:
@@ -155,7 +155,7 @@ def _unit_label(base: Column) -> Column:
     return F.when(base != "", F.concat(F.lit("Kč/"), F.regexp_replace(base, r"\s+", " "))).otherwise(F.lit(""))
 
 
-def parse_unit_price(c: Column | str) -> Column:
+def parse_unit_price(c: Column | str, normalized: bool = False) -> Column:
     """P10: first unit price anywhere in a text -> struct(unitPrice, unit, unitText)."""
     bases = "|".join(rules.UNIT_BASES)
     pattern = rf"(?iu)({bases})\s*(?:=|od|za)?\s*(\d{{1,4}}(?:\s?\d{{3}})?[,.]\d{{2}}\s*Kč)"
@@ -170,7 +170,7 @@ def parse_unit_price(c: Column | str) -> Column:
             ),
         )
 
-    return let(F.regexp_extract(normalize_text(c), pattern, 0), parts)
+    return let(F.regexp_extract(as_normalized(c, normalized), pattern, 0), parts)
 
 
 def parse_unit_line(c: Column | str) -> Column:

@@ -113,6 +113,11 @@ def normalize_text(c: Column | str) -> Column:
     return strip(F.regexp_replace(unified, r"[ \t]+", " "))
 
 
+def as_normalized(c: Column | str, normalized: bool) -> Column:
+    """T5, skipped for text that a caller has normalised already."""
+    return text_of(c) if normalized else normalize_text(c)
+
+
 def normalize_line(c: Column | str) -> Column:
     """T5 for one line; a leading dash is dropped, a leading bullet kept."""
     return let(

@@ -124,8 +124,10 @@ def fold_term(term: str) -> str:
 
 def is_beer(product: Column, description: Column, context: Column) -> Column:
     """Beer by keyword or brand."""
-    text = F.concat_ws(" ", text_of(product), text_of(description), text_of(context))
-    return text.rlike(rules.BEER_WORDS) | text.rlike(word(*[quote(b) for b in rules.BEER_BRANDS]))
+    return let(
+        F.concat_ws(" ", text_of(product), text_of(description), text_of(context)),
+        lambda text: text.rlike(rules.BEER_WORDS) | text.rlike(word(*[quote(b) for b in rules.BEER_BRANDS])),
+    )
 
 
 def beer_description(product: Column, description: Column, context: Column) -> Column:
@@ -151,7 +153,7 @@ def compare_key(product: Column, package: Column) -> Column:
     key = normalize_ascii(F.concat_ws(" ", text_of(product), text_of(package)))
     stopwords = rf"\b(?:{'|'.join(rules.COMPARE_STOPWORDS)})\b"
     cleaned = F.trim(F.regexp_replace(F.regexp_replace(key, stopwords, " "), " +", " "))
-    return F.coalesce(not_blank(cleaned), normalize_ascii(product))
+    return let(cleaned, lambda k: F.coalesce(not_blank(k), normalize_ascii(product)))
 
 
 def enrich_offer(offers: DataFrame) -> DataFrame:

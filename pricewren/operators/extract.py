@@ -159,7 +159,7 @@ def extract_bullet_blocks(pages: DataFrame, text: str = "text", page: str = "pag
                 F.array_join(b["bullets"], " "),
                 lambda t: F.struct(
                     F.slice(n, F.greatest(F.size(n) - 2, F.lit(1)), 3).alias("names"), b["bullets"].alias("bullets"),
-                    t.alias("text"), K.extract_package(t).alias("package"), M.parse_unit_price(t).alias("unit"),
+                    t.alias("text"), K.extract_package(t, True).alias("package"), M.parse_unit_price(t, True).alias("unit"),
                 ),
             ),
         )
@@ -169,8 +169,8 @@ def extract_bullet_blocks(pages: DataFrame, text: str = "text", page: str = "pag
             b["names"].alias("names"), b["bullets"].alias("bullets"), b["text"].alias("text"),
             b["package"].alias("packageSize"), b["unit"]["unitPrice"].alias("unitPrice"),
             text_of(b["unit"]["unit"]).alias("unit"), text_of(b["unit"]["unitText"]).alias("unitText"),
-            N.name_from_lines(b["names"]).alias("product"),
-            explicit_else_computed(b["text"], b["unit"]["unitPrice"], text_of(b["unit"]["unit"]), b["package"]).alias("price"),
+            N.name_from_lines(b["names"], True).alias("product"),
+            explicit_else_computed(b["text"], b["unit"]["unitPrice"], text_of(b["unit"]["unit"]), b["package"], True).alias("price"),
         )
 
     chunks = F.filter(F.split(marked, "\u0001"), lambda c: c.rlike("(?m)^•"))
@@ -190,7 +190,7 @@ def extract_bullet_blocks(pages: DataFrame, text: str = "text", page: str = "pag
     doubtful = F.size("suspectReasons") > 0
     return judged.select(
         N.row_id(prefix, F.col(page), F.col("product"), F.col("packageSize"), M.number_text("price")).alias("id"),
-        *keep, page, "block", "product", N.bullet_description(F.col("_bullets")).alias("description"), "packageSize",
+        *keep, page, "block", "product", N.bullet_description(F.col("_bullets"), True).alias("description"), "packageSize",
         "price", M.money_text("price").alias("priceText"), "unitPrice", "unit", "unitText",
         F.when(F.col("_bullet_text").rlike("(?iu)aplikace"), F.lit("s aplikací / kartou"))
         .otherwise(F.lit("akční cena")).alias("priceType"),
@@ -199,10 +199,10 @@ def extract_bullet_blocks(pages: DataFrame, text: str = "text", page: str = "pag
     )
 
 
-def explicit_else_computed(bullets: Column, unit_price: Column, unit: Column, package: Column) -> Column:
+def explicit_else_computed(bullets: Column, unit_price: Column, unit: Column, package: Column, normalized: bool = False) -> Column:
     """Last explicit price that is not the unit price, else P15."""
     explicit = F.filter(
-        F.transform(M.extract_prices(bullets), M.parse_money),
+        F.transform(M.extract_prices(bullets, normalized), M.parse_money),
         lambda p: (p > 0) & (p < 10000)
         & ~F.coalesce(F.abs(p - F.nullif(unit_price, F.lit(0.0))) <= 0.001, F.lit(False)),
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -30,9 +30,26 @@ def filter_marketing(offers: DataFrame) -> DataFrame:
     return offers.filter(~is_marketing(F.col("product"), description, context))
 
 
+def keep_where(df: DataFrame, keep: Callable[[Column], Column]) -> DataFrame:
+    """Filter on derived columns without deriving them again.
+
+    A plain filter is pushed below the projection together with a copy of every
+    expression it names; dropping the row in a generator evaluates them once.
+    """
+    return df.select(F.inline(F.filter(F.array(F.struct(*df.columns)), lambda row: keep(row))))
+
+
 def prepare_source(offers: DataFrame, name: str | Column) -> DataFrame:
-    """One source on its way into the combined table: a chain of narrow steps."""
-    return filter_marketing(filter_not_suspect(filter_valid(enrich_offer(normalize_offer(offers, name)))))
+    """One source on its way into the combined table: a chain of narrow steps.
+
+    The cheap tests (price, suspect) run on the scanned columns; the tests on the
+    cleaned name run once, after it is derived.
+    """
+    priced = filter_not_suspect(normalize_offer(offers, name).filter(F.col("price").isNotNull()))
+    return keep_where(
+        enrich_offer(priced),
+        lambda o: (o["product"] != "") & ~is_marketing(o["product"], o["description"], o["rawContext"]),
+    )
 
 
 def combine_offers(sources: Mapping[str, DataFrame], order: tuple[str, ...] = ("sourceOrder", "seq"),

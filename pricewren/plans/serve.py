@@ -65,11 +65,14 @@ def cheapest_visible(offers: DataFrame, stores=None, mode: str = "trusted", text
     """D3: visible offers that are the cheapest of their product.
 
     The cheapest is decided among all selected and trusted offers, before the
-    text query.  Joining back by offer id keeps hot products spread out.
+    text query; the query then only has to look at the winners.  One scan, one
+    shuffle of at most one row per product and map task, no join back.
     """
     picked = filter_quality(offers if stores is None else filter_stores(offers, stores), mode)
-    best = cheapest_by_key(picked).select("id", "key", "value")
-    return search(picked, text).join(best, "id").dropDuplicates(["id"])
+    valued = picked.withColumns(
+        {"key": comparable_key(picked), "value": F.coalesce(comparable_value(), F.lit(INFINITY))}
+    )
+    return search(keep_one(valued, ["key"], F.asc("value"), F.asc("id")), text).dropDuplicates(["id"])
 
 
 def flag_cheapest(offers: DataFrame, order: Sequence[str] = ("id",)) -> DataFrame:
