@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,7 +76,7 @@ def map_slices(df: DataFrame, function, schema: str, text: str = "text", slice_b
 
 
 def slices(batch: pa.RecordBatch, text: str, slice_bytes: int) -> Iterator[pa.RecordBatch]:
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
     start = held = 0
     for i, size in enumerate(sizes):
         if i > start and held + size > slice_bytes:

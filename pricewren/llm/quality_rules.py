@@ -7,8 +7,8 @@ itself. The host verdict is `reject` at a rate of reject_rate or more, `watch` a
 joined back: a base failure always rejects a document; on a watched host a document that fails one of the soft
 rules goes too; on a rejected host every document goes.
 
-The sums are combined before the shuffle, so a host with a third of all rows is one row per task. The prior is one
-row that Spark computes. Host rows are joined by Spark's own choice (a skewed join is split at run time).
+The sums are combined before the shuffle, so a host with a third of all rows is one row per task. Of the prior, two
+numbers come to the driver. Host rows are joined by Spark's own choice (a skewed join is split at run time).
 
 A null text counts as a text without words, which fails the base rules. A null host is a host of its own. Repeated
 rows count and stay each for themselves. Empty tables give empty results. Other columns of the input are not read.
@@ -105,19 +105,13 @@ def host_verdicts(measured: DataFrame, host: str, reject_rate: float = 0.9, watc
     failed = (F.col("base_failed") | F.col("soft_failed")).cast("long")
     hosts = measured.groupBy(host).agg(F.count("*").alias("n_docs"), F.sum(failed).alias("n_failed"))
     share = F.col("n_failed") / F.col("n_docs")
-    # Moments over hosts: a beta of mean m and variance v has the strength m(1-m)/v - 1.
-    prior = hosts.agg(F.avg(share).alias("m"), F.var_pop(share).alias("v"))
-    spread = F.col("m") * (1 - F.col("m"))
-    strength = F.when((F.col("v") > 0) & (F.col("v") < spread), spread / F.col("v") - 1).otherwise(F.lit(1.0))
-    prior = prior.select("m", strength.alias("s"), F.lit(1).alias("__one"))
-    rate = (F.col("n_failed") + F.col("s") * F.col("m")) / (F.col("n_docs") + F.col("s"))
+    # Moments over hosts: a beta of mean m and variance v has the strength m(1-m)/v - 1. Two numbers come to the driver.
+    mean, variance = hosts.agg(F.avg(share), F.var_pop(share)).first()
+    mean, spread = mean or 0.0, (mean or 0.0) * (1 - (mean or 0.0))
+    strength = spread / variance - 1 if variance and variance < spread else 1.0
+    rate = (F.col("n_failed") + strength * mean) / (F.col("n_docs") + strength)
     verdict = F.when(F.col("rate") >= reject_rate, "reject").when(F.col("rate") >= watch_rate, "watch").otherwise("trust")
-    return (
-        hosts.withColumn("__one", F.lit(1))
-        .join(prior, "__one")
-        .select(host, "n_docs", "n_failed", rate.alias("rate"))
-        .withColumn("host_verdict", verdict)
-    )
+    return hosts.select(host, "n_docs", "n_failed", rate.alias("rate")).withColumn("host_verdict", verdict)
 
 
 def _with_verdicts(measured: DataFrame) -> DataFrame:
