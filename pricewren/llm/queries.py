@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewren.llm import byte_bpe, decontaminate, html_extract, language_id, line_dedup, near_dup, quality_rules, url_filter
+from pricewren.llm import byte_bpe, decontaminate, html_extract, language_id, line_dedup, near_dup, ngram_lm, quality_rules, url_filter
 from pricewren.llm.common import remainder, table
 from pricewren.llm.url_filter import Rule
 
@@ -45,6 +45,15 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(rows, model, ["doc_id", "held_out"])
 
 
+def op6_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(remainder(F.col("doc_id"), 5) == 1, F.lit(False))
+    model = ngram_lm.fit(docs.where(~held_out & F.col("doc_id").isNotNull()))
+    rows = docs.select("doc_id", "text", held_out.alias("held_out"))
+    scored = ngram_lm.score(rows, model, ["doc_id", "held_out"])
+    return scored.withColumn("train_tokens", F.lit(model.total).cast("long"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = line_dedup.dedup_lines(docs)
@@ -72,6 +81,7 @@ QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op4_decontaminate": op4_decontaminate,
     "op5_language_id": op5_language_id,
+    "op6_ngram_lm": op6_ngram_lm,
     "op7_line_dedup": op7_line_dedup,
     "op8_near_dup": op8_near_dup,
     "op9_html_extract": op9_html_extract,
