@@ -6,10 +6,11 @@ written as Parquet and read again as the next one's input.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewren.llm import line_dedup, quality_rules
+from pricewren.llm import byte_bpe, decontaminate, line_dedup, near_dup, quality_rules
 from pricewren.llm.common import shared_dir, table
 
 #: SQL can express neither the near-duplicate groups nor byte-pair merges; tests/llm compares the stages with brute force.
@@ -27,9 +28,33 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest id of each group of near duplicates (five words, similarity 0.8)."""
+    return near_dup.keep_one(docs, size=5, percent=80)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark passages."""
+    return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The columns of documents, token_ids and n_tokens; the text is the one decoded from the ids."""
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    rest = [c for c in docs.columns if c != "text"]
+    both = byte_bpe.decode(byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN, rest), ranks)
+    return both.select(
+        *[F.col("decoded").cast("string").alias("text") if c == "text" else c for c in docs.columns],
+        "token_ids", F.size("token_ids").cast("long").alias("n_tokens"),
+    )
+
+
 STAGES = [
     ("quality_rules", quality),
     ("line_dedup", lines),
+    ("near_dup", near_duplicates),
+    ("decontaminate", decontaminated),
+    ("byte_bpe", encoded),
 ]
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewren.llm import byte_bpe, decontaminate, html_extract, language_id, line_dedup, near_dup, ngram_lm, quality_rules, url_filter
+from pricewren.llm import byte_bpe, decontaminate, html_extract, language_id, line_dedup, near_dup, ngram_lm, pii, quality_rules, url_filter
 from pricewren.llm.common import remainder, table
 from pricewren.llm.url_filter import Rule
 
@@ -32,6 +32,16 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.fit(docs), ["doc_id"])
+    number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *[number(kind) for kind in pii.KINDS],
+        F.sha2(pii.spans_text(F.col("base")), 256).alias("base_sha256"), pii.spans_text(F.col("spans")).alias("spans"),
+    )
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that hold benchmark passages, with the items: one row per document and item."""
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -79,6 +89,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_pii": op3_pii,
     "op4_decontaminate": op4_decontaminate,
     "op5_language_id": op5_language_id,
     "op6_ngram_lm": op6_ngram_lm,
