@@ -90,7 +90,7 @@ def matched_words(words: Column, at: Column, b_words: Column, b_at: Column) -> C
         return F.when(size >= need, F.when(best >= MIN_SHARE * need, total))
 
     begin = F.greatest(-shift, F.lit(0))
-    length = F.least(F.size(words) - shift, F.size(b_words)) - begin
+    length = F.greatest(F.least(F.size(words) - shift, F.size(b_words)) - begin, F.lit(0))
     equal = F.zip_with(F.slice(words, begin + shift + 1, length), F.slice(b_words, begin + 1, length), lambda x, y: (x == y).cast("int"))
     return bound(equal, judged)
 

@@ -60,7 +60,7 @@ measured AS (
   FROM docs LEFT JOIN covered USING (doc_id)),
 judged AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-         n_words = 0 OR n_symbols > 0.10 * word_chars OR word_chars / n_words < 2.0 OR word_chars / n_words > 15.0
+         n_words = 0 OR n_symbols > 0.10 * word_chars OR word_chars < 2.0 * n_words OR word_chars > 15.0 * n_words
          OR n_dup_lines > 0.30 * n_lines OR n_repeat_words > 0.20 * n_words AS soft_failed
   FROM measured),
 hosts AS (

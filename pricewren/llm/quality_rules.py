@@ -89,12 +89,11 @@ def measure(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
 
 def soft_failed() -> Column:
     """Whether a measured document breaks one of the soft rules."""
-    mean = F.col("word_chars") / F.col("n_words")
     return (
         (F.col("n_words") == 0)
         | (F.col("n_symbols") > MAX_SYMBOL_SHARE * F.col("word_chars"))
-        | (mean < MIN_WORD_LENGTH)
-        | (mean > MAX_WORD_LENGTH)
+        | (F.col("word_chars") < MIN_WORD_LENGTH * F.col("n_words"))
+        | (F.col("word_chars") > MAX_WORD_LENGTH * F.col("n_words"))
         | (F.col("n_dup_lines") > MAX_DUP_LINE_SHARE * F.col("n_lines"))
         | (F.col("n_repeat_words") > MAX_REPEAT_SHARE * F.col("n_words"))
     )
