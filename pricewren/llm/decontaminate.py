@@ -2,14 +2,14 @@
 
 Texts are words in lower case (runs of letters and digits). A seed is a fixed mask over SPAN consecutive words that
 ignores some of them, so a window still hashes alike if an ignored word was replaced. Every window of every document is hashed
-under every mask and joined with the hashes of the benchmark's windows. A hit fixes a diagonal (document position minus
-item position); around it the words of the item are compared in place, and the best stretch of min(item length, MIN_WORDS)
-or more words on the diagonal must agree in MIN_SHARE of its words. Items shorter than SPAN words use a contiguous mask of their length.
+under every mask and joined with the hashes of the benchmark's windows. A hit aligns document and item; the words around it
+are compared, and a stretch of MIN_WORDS words (the whole of a shorter item) that holds the hit must agree in
+MIN_SHARE of its words. Items shorter than SPAN words use a contiguous mask of their length.
 
-No text is shuffled. Words become 64-bit hashes in place; windows are generated, hashed and probed in one stage; only
-verified hits leave it, and are combined by (document, item) before the shuffle. The benchmark's windows are broadcast if they
-number at most max_broadcast (counted first); beyond that the same join is left to Spark, which shuffles window hashes of 16 bytes,
-with the hits verified in a second pass over the documents that have hits.
+No text is shuffled. Words become 64-bit hashes in place, and array operations combine them to seeds; generating and probing
+seeds is one compiled loop that looks into the words' array at a hit. Only verified hits go on, and are combined by
+(document, item) before the shuffle. A window of the benchmark carries the few words around it that verification needs. The benchmark's windows are broadcast if they number at most max_broadcast (counted first); beyond
+that the same join is left to Spark, which shuffles the windows with the words around them.
 
 Null or empty texts have no words and no hits. Repeated rows are one document by their id; rows with a null id are reported
 under a null id. An item whose text is null or empty is never found. Empty tables give no rows. Other columns are not read.
@@ -22,13 +22,15 @@ from pyspark.sql import functions as F
 
 from pricewren.llm.common import bound
 
-#: Masks of weight 6 over 8 words: any 2 adjacent or spread substitutions in a window leave a neighbouring window whole.
+#: Masks over SPAN words, made of three pairs each (the places where a pair begins): 11111100, 11110011 and 11001111.
 SPAN = 8
-MASKS = ("11111100", "11011011", "10110111", "11101101")
+MASKS = ((0, 2, 4), (0, 2, 6), (0, 4, 6))
 #: An overlap counts at this many words (or the whole of a shorter item) and this share of equal words.
 MIN_WORDS, MIN_SHARE = 13, 0.8
-#: Benchmark windows that are broadcast at most (about 60 bytes each).
-MAX_BROADCAST = 2_000_000
+#: Words before and after a window's first word that a stretch around the window can reach.
+BEFORE, AFTER = MIN_WORDS - SPAN, MIN_WORDS - 1
+#: Benchmark windows that are broadcast at most (about 200 bytes each).
+MAX_BROADCAST = 500_000
 
 
 def word_hashes(text: Column) -> Column:
@@ -37,21 +39,28 @@ def word_hashes(text: Column) -> Column:
     return F.transform(found, lambda w: F.xxhash64(w))
 
 
-def _windows(words: Column, last: Column) -> Column:
-    """Array of structs w0..w7: SPAN consecutive words from each of the first `last` positions, null beyond the end."""
-    shifted = [F.slice(words, k + 1, F.greatest(last, F.lit(0))).alias(f"w{k}") for k in range(SPAN)]
-    return F.arrays_zip(*shifted)
+def _around(words: Column, at: Column) -> Column:
+    """The words from BEFORE ahead of a position to AFTER behind it, null beyond the ends."""
+    return F.array(*[F.get(words, at + k) for k in range(-BEFORE, AFTER + 1)])
 
 
-def _seeds(lengths: list[int]) -> list[Column]:
-    """Hashes of the columns w0..w7 under each mask, and under a contiguous mask for each shorter length; null where words lack."""
-    masks = [m for m in MASKS] + ["1" * k for k in lengths]
-    out = []
-    for number, mask in enumerate(masks):
-        used = [F.col(f"w{k}") for k, bit in enumerate(mask) if bit == "1"]
-        last = F.col(f"w{len(mask) - 1}")
-        out.append(F.when(last.isNotNull(), F.xxhash64(F.lit(number), *used)))
-    return out
+def _seeds(words: Column, lengths: list[int]) -> Column:
+    """Array of seeds: for each mask, then each shorter length, the hash at every position (number of mask * size + position).
+
+    Where words lack at the end, the hash is of those that are there.
+    """
+    later = lambda x, k: F.slice(x, k + 1, F.greatest(F.size(x) - k, F.lit(0)))
+
+    def masked(pairs: Column, number: int, places: tuple[int, int, int]) -> Column:
+        first = F.zip_with(later(pairs, places[0]), later(pairs, places[1]), lambda x, y: F.xxhash64(F.lit(number), x, y))
+        return F.zip_with(first, later(pairs, places[2]), lambda x, y: F.xxhash64(x, y))
+
+    def run(number: int, length: int) -> Column:
+        return F.transform(words, lambda w, i: F.xxhash64(F.lit(number), *[F.get(words, i + k) for k in range(length)]))
+
+    pairs = F.zip_with(words, later(words, 1), lambda x, y: F.xxhash64(x, y))
+    shorter = [run(len(MASKS) + i, length) for i, length in enumerate(lengths)]
+    return bound(pairs, lambda p: F.concat(*[masked(p, i, places) for i, places in enumerate(MASKS)], *shorter))
 
 
 def benchmark_items(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
@@ -62,60 +71,46 @@ def benchmark_items(benchmark: DataFrame, item_id: str = "item_id", text: str =
 
 
 def benchmark_windows(items: DataFrame, lengths: list[int]) -> DataFrame:
-    """seed, item_id, b_words, b_at: the hashes of all windows of all items."""
-    rows = items.select("item_id", "b_words", "b_size", F.posexplode(_windows(F.col("b_words"), F.col("b_size"))).alias("b_at", "w"))
-    rows = rows.select("item_id", "b_words", "b_at", "b_size", "w.*")
-    seeds = F.array(*_seeds(lengths))
-    # A short mask serves only the items of its own length.
-    number = F.lit(len(MASKS))
-    wanted = F.filter(
-        F.transform(seeds, lambda s, i: F.when((i < number) | (F.element_at(F.lit([0] * len(MASKS) + lengths), i + 1) == F.col("b_size")), s)),
-        lambda s: s.isNotNull(),
-    )
-    return rows.select("item_id", "b_words", "b_at", F.explode(F.array_distinct(wanted)).alias("seed"))
-
-
-def matched_words(words: Column, at: Column, b_words: Column, b_at: Column) -> Column:
-    """Equal words in the best window of the diagonal through (at, b_at), or null if it falls short.
-
-    The diagonal is compared from end to end, in windows of min(item size, MIN_WORDS) words.
-    """
-    shift = at - b_at
+    """seed, item_id, b_size, b_near (the words around the window): the hashes of all windows of all items."""
+    rows = items.withColumn("b_seeds", _seeds(F.col("b_words"), lengths))
+    rows = rows.select("item_id", "b_size", "b_words", F.posexplode("b_seeds").alias("b_at", "seed"))
+    # A short mask serves only the items of its own length, from their first word.
+    number, place = F.floor(F.col("b_at") / F.col("b_size")), F.col("b_at") % F.col("b_size")
+    whole = F.element_at(F.lit([0] * len(MASKS) + lengths), (number + 1).cast("int"))
+    rows = rows.where((number < len(MASKS)) | ((whole == F.col("b_size")) & (place == 0)))
+    return rows.select("seed", "item_id", "b_size", _around(F.col("b_words"), place).alias("b_near"))
+
+
+def _matched(near: Column, b_near: Column, b_size: Column) -> Column:
+    """Equal words of the best stretch that holds the hit, or null if it falls short."""
+    equal = F.zip_with(near, b_near, lambda x, y: F.coalesce((x == y).cast("int"), F.lit(0)))
+    total = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
+    inside = lambda i: F.get(b_near, i).isNotNull() & F.get(b_near, i + MIN_WORDS - 1).isNotNull()
 
-    def judged(equal: Column) -> Column:
-        size, need = F.size(equal), F.least(F.size(b_words), F.lit(MIN_WORDS))
-        window = lambda i: F.aggregate(F.slice(equal, i + 1, need), F.lit(0), lambda a, x: a + x)
-        best = F.array_max(F.transform(F.sequence(F.lit(0), size - need), window))
-        total = F.aggregate(equal, F.lit(0), lambda a, x: a + x)
-        return F.when(size >= need, F.when(best >= MIN_SHARE * need, total))
+    def best(flags: Column) -> Column:
+        stretches = F.transform(F.sequence(F.lit(0), F.lit(BEFORE)), lambda i: F.when(inside(i), total(F.slice(flags, i + 1, MIN_WORDS))))
+        return F.when(b_size < MIN_WORDS, total(flags)).otherwise(F.array_max(stretches))
 
-    begin = F.greatest(-shift, F.lit(0))
-    length = F.greatest(F.least(F.size(words) - shift, F.size(b_words)) - begin, F.lit(0))
-    equal = F.zip_with(F.slice(words, begin + shift + 1, length), F.slice(b_words, begin + 1, length), lambda x, y: (x == y).cast("int"))
-    return bound(equal, judged)
+    enough = lambda n: F.when(n >= MIN_SHARE * F.least(b_size, F.lit(MIN_WORDS)), n)
+    return bound(bound(equal, best), enough)
 
 
 def overlaps(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", max_broadcast: int = MAX_BROADCAST
 ) -> DataFrame:
-    """Verified overlaps, one row per document and item: doc_id, item_id, n_item_words, n_matched (equal words of the best diagonal)."""
+    """Verified overlaps, one row per document and item: doc_id, item_id, n_item_words, n_matched (of the best stretch)."""
     items = benchmark_items(benchmark)
     lengths = sorted(r["b_size"] for r in items.where(F.col("b_size") < SPAN).select("b_size").distinct().collect())  # at most SPAN - 1
     seeds = benchmark_windows(items, lengths)
-    rows = docs.select(F.col(id_col).alias("doc_id"), word_hashes(F.col(text)).alias("words")).where(F.size("words") > 0)
-    cut = rows.select("doc_id", "words", F.posexplode(_windows(F.col("words"), F.size("words"))).alias("at", "w"))
-    cut = cut.select("doc_id", "words", "at", "w.*").select("doc_id", "words", "at", F.array(*_seeds(lengths)).alias("seeds"))
-    probes = cut.select("doc_id", "words", "at", F.explode("seeds").alias("seed"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), word_hashes(F.col(text)).alias("words"))
+    probes = rows.withColumn("seeds", _seeds(F.col("words"), lengths)).select("doc_id", "words", F.posexplode("seeds").alias("at", "seed"))
+    near = _around(F.col("words"), F.col("at") % F.size("words")).alias("near")
     if seeds.count() <= max_broadcast:
-        hits = probes.join(F.broadcast(seeds), "seed")
+        hits = probes.join(F.broadcast(seeds), "seed").select("doc_id", "item_id", "b_size", "b_near", near)
     else:
-        # The words would be shuffled with every window here, so the hits are found without them and the words fetched after.
-        found = probes.select("doc_id", "at", "seed").join(seeds.select("seed", "item_id", "b_at"), "seed")
-        found = found.select("doc_id", "item_id", (F.col("at") - F.col("b_at")).alias("at"), F.lit(0).alias("b_at")).distinct()
-        hits = found.join(items.select("item_id", "b_words"), "item_id").join(rows, "doc_id")
-    matched = matched_words(F.col("words"), F.col("at"), F.col("b_words"), F.col("b_at"))
-    hits = hits.select("doc_id", "item_id", F.size("b_words").alias("n_item_words"), matched.alias("n_matched")).where("n_matched is not null")
-    return hits.groupBy("doc_id", "item_id").agg(F.max("n_item_words").alias("n_item_words"), F.max("n_matched").alias("n_matched"))
+        hits = probes.select("doc_id", "seed", near).join(seeds, "seed")
+    hits = hits.select("doc_id", "item_id", "b_size", _matched(F.col("near"), F.col("b_near"), F.col("b_size")).alias("n")).where("n is not null")
+    return hits.groupBy("doc_id", "item_id").agg(F.max("b_size").alias("n_item_words"), F.max("n").alias("n_matched"))
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

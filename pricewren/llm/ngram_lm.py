@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pricewren.llm.common import slices, staged
 
 #: Least share of all tokens for the vocabulary and for stored n-grams; 1 / RARE bounds their number.
-RARE = 1e-7
+RARE = 5e-7
 #: Bits of a vocabulary number in a packed n-gram, by order.
 BITS = {2: 31, 3: 21}
 BEGIN, CLASS, FIRST = 0, 1, 2  # numbers of the text's begin, the class of rare words, the first word
@@ -82,17 +82,17 @@ def _counted(values: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
         yield flush(held)
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[str | None]:
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[str | None]]:
     for batch in batches:
-        for part in slices(batch, "text", 4_000_000):
-            yield from part.column("text").to_pylist()
+        for part in slices(batch, "text", 2_000_000):
+            yield part.column("text").to_pylist()
 
 
 class Files:
     """Arrays by name in files that Spark sends to every executor once; workers map them into memory."""
 
-    def __init__(self, spark, arrays: dict[str, np.ndarray]) -> None:
-        folder, self.names = tempfile.mkdtemp(prefix="spark-lm-"), {}
+    def __init__(self, spark, arrays: dict[str, np.ndarray], known: dict[str, str] | None = None) -> None:
+        folder, self.names = tempfile.mkdtemp(prefix="spark-lm-"), dict(known or {})
         for name, array in arrays.items():
             self.names[name] = f"{name}-{uuid.uuid4().hex}.npy"
             np.save(f"{folder}/{self.names[name]}", array)
@@ -111,15 +111,28 @@ def numbers(hashes: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
     return np.where(vocabulary[at] == hashes, at + FIRST, CLASS)
 
 
-def packed(ids: np.ndarray, order: int, bits: int) -> np.ndarray:
-    """The n-gram that ends at each token, packed; the last token has the lowest bits, BEGIN fills up the front."""
+def packed(ids: np.ndarray, order: int, bits: int, place: np.ndarray | None = None) -> np.ndarray:
+    """The n-gram that ends at each token, packed; the last token has the lowest bits, BEGIN fills up the front.
+
+    place is each token's position in its text (default: all are one text).
+    """
+    place = np.arange(len(ids)) if place is None else place
     line = np.concatenate([np.full(order - 1, BEGIN, np.int64), ids])
     out = np.zeros(len(ids), np.int64)
     for k in range(order):
-        out = (out << bits) | line[k : k + len(ids)]
+        out = (out << bits) | np.where(place >= order - 1 - k, line[k : k + len(ids)], BEGIN)
     return out
 
 
+def joined(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token hashes of several texts in one array, the start of each text, and each token's position in its text."""
+    parts = [token_hashes(x) for x in texts]
+    sizes = np.array([len(x) for x in parts])
+    starts = np.cumsum(sizes) - sizes
+    flat = np.concatenate(parts)
+    return flat, starts, np.arange(len(flat)) - np.repeat(starts, sizes)
+
+
 def discounts(table: DataFrame) -> list[float]:
     """The discounts for counts of 1, 2 and 3 or more, from the numbers of n-grams of counts 1 to 4."""
     n = [x or 0 for x in table.agg(*[F.sum((F.col("n") == k).cast("long")) for k in range(1, 5)]).first()]
@@ -143,7 +156,7 @@ def fit(train: DataFrame, order: int = 2, rare: float = RARE, text: str = "text"
     texts = train.select(F.col(text).alias("text"))
 
     def count_words(batches):
-        yield from _counted(map(token_hashes, _texts(batches)))
+        yield from _counted(joined(x)[0] for x in _texts(batches))
 
     words = staged(texts.mapInArrow(count_words, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")))
     total, distinct = (x or 0 for x in words.agg(F.sum("n"), F.count("*")).first())
@@ -152,11 +165,14 @@ def fit(train: DataFrame, order: int = 2, rare: float = RARE, text: str = "text"
     vocabulary, counts = head["g"].to_numpy().view(np.uint64), head["n"].to_numpy()
     by_hash = np.argsort(vocabulary)
     vocabulary, counts = vocabulary[by_hash], counts[by_hash]
-    names = Files(spark, {"vocabulary": vocabulary, "counts": counts})
+    gains = np.zeros(len(vocabulary) + FIRST)  # by number, for the base score
+    gains[FIRST:] = np.log10(counts + 0.5)
+    names = Files(spark, {"vocabulary": vocabulary, "gains": gains})
 
     def count_grams(batches):
         known = names.mapped()["vocabulary"]
-        yield from _counted(packed(numbers(token_hashes(x), known), order, bits) for x in _texts(batches))
+        for_texts = ((hashes, place) for hashes, _, place in map(joined, _texts(batches)))
+        yield from _counted(packed(numbers(hashes, known), order, bits, place) for hashes, place in for_texts)
 
     table = staged(texts.mapInArrow(count_grams, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")))
     arrays: dict[str, np.ndarray] = {}
@@ -172,9 +188,13 @@ def fit(train: DataFrame, order: int = 2, rare: float = RARE, text: str = "text"
             grams = table.where(kept).select(context, "g", off.alias("a")).join(sums, "h").select("g", (F.col("a") / F.col("t")).alias("p"))
             for name, part in ((f"gram{k}", grams.select("g", "p")), (f"context{k}", sums.select(F.col("h").alias("g"), F.col("rest").alias("p")))):
                 found = part.toArrow()  # 1 / rare rows at most
-                key = found["g"].to_numpy()
+                key, value = found["g"].to_numpy(), found["p"].to_numpy()
+                if name == "context2":  # a context of one token is looked up by its number
+                    arrays[name] = np.ones(len(vocabulary) + FIRST)
+                    arrays[name][key] = value
+                    continue
                 by_key = np.argsort(key)
-                arrays[f"{name}_keys"], arrays[f"{name}_values"] = key[by_key], found["p"].to_numpy()[by_key]
+                arrays[f"{name}_keys"], arrays[f"{name}_values"] = key[by_key], value[by_key]
             table = staged(table.groupBy(F.col("g").bitwiseAND((1 << bits * (k - 1)) - 1).alias("g")).agg(F.count("*").alias("n")))
         else:
             # The vocabulary and the class: 1 / rare + 1 rows at most. What the discounts free goes to all of them alike.
@@ -186,7 +206,7 @@ def fit(train: DataFrame, order: int = 2, rare: float = RARE, text: str = "text"
                 p[found["g"].to_numpy()] = found["a"].to_numpy() / sum_n
             p[CLASS:] += (1 - p.sum()) / size
             arrays["single"] = p
-    files = Files(spark, {"vocabulary": vocabulary, "counts": counts} | arrays)
+    files = Files(spark, arrays, names.names)
     rare_total, rare_distinct = total - int(counts.sum()), distinct - len(vocabulary)
     return Model(order, bits, files, total, distinct, rare_total, rare_distinct, words.where(F.col("n") < least))
 
@@ -199,14 +219,16 @@ def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: flo
     return np.where(keys[at] == wanted, values[at], default)
 
 
-def probabilities(ids: np.ndarray, arrays: dict[str, np.ndarray], order: int, bits: int) -> np.ndarray:
+def probabilities(ids: np.ndarray, arrays: dict[str, np.ndarray], order: int, bits: int, place: np.ndarray | None = None) -> np.ndarray:
     """The model's probability of each vocabulary number after its predecessors."""
     p = arrays["single"][ids]
-    grams = packed(ids, order, bits)
+    grams = packed(ids, order, bits, place)
     for k in range(2, order + 1):
         gram = grams & ((1 << bits * k) - 1)
         known = _find(arrays[f"gram{k}_keys"], arrays[f"gram{k}_values"], gram, 0.0)
-        p = known + _find(arrays[f"context{k}_keys"], arrays[f"context{k}_values"], gram >> bits, 1.0) * p
+        context = gram >> bits
+        rest = arrays["context2"][context] if k == 2 else _find(arrays[f"context{k}_keys"], arrays[f"context{k}_values"], context, 1.0)
+        p = known + rest * p
     return p
 
 
@@ -223,25 +245,32 @@ def score(docs: DataFrame, model: Model, keys: list[str], text: str = "text") ->
         arrays = files.mapped()
         for batch in batches:
             for part in slices(batch, "text", 2_000_000):
-                source, words, times, totals = [], [], [], []
-                for i, value in enumerate(part.column("text").to_pylist()):
-                    hashes = token_hashes(value)
-                    ids = numbers(hashes, arrays["vocabulary"])
-                    often = ids >= FIRST
-                    base = np.log10(arrays["counts"][ids[often] - FIRST] + 0.5).sum() - len(ids) * base_all
-                    p = np.log10(probabilities(ids, arrays, order, bits)).sum() - (len(ids) - often.sum()) * class_all
-                    seldom, n = np.unique(hashes[~often], return_counts=True)
-                    # The row of the document itself has a word of its own, so that these rows do not meet in one partition.
-                    own = np.array([int(hashes[0]) ^ len(hashes)], np.uint64)
-                    words.append(np.concatenate([own, seldom]).view(np.int64))
-                    times.append(np.concatenate([[0], n]))
-                    source.append(np.full(len(seldom) + 1, i))
-                    totals += [{"n_tokens": len(ids), "n_known": int(often.sum()), "base": float(base), "score": float(p)}, *[None] * len(seldom)]
-                at = pa.array(np.concatenate(source)) if source else pa.array([], pa.int64())
-                out = [part.column("key").take(at), part.column("t_a").take(at)]
-                out += [pa.array(np.concatenate(words), pa.int64()), pa.array(np.concatenate(times).astype(np.int32))]
-                kinds = pa.struct([("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
-                yield pa.RecordBatch.from_arrays([*out, pa.array(totals, kinds)], names=["key", "t_a", "g", "times", "own"])
+                if not len(part):
+                    continue
+                hashes, starts, place = joined(part.column("text").to_pylist())
+                ids = numbers(hashes, arrays["vocabulary"])
+                often = ids >= FIRST
+                each = lambda values: np.add.reduceat(values, starts)
+                n, n_often = each(np.ones(len(ids), np.int64)), each(often.astype(np.int64))
+                base = each(arrays["gains"][ids]) - n * base_all
+                total = each(np.log10(probabilities(ids, arrays, order, bits, place))) - (n - n_often) * class_all
+                # Rare words by document, each once with its number.
+                line = np.cumsum(place == 0) - 1
+                of, rare = line[~often], hashes[~often]
+                by = np.lexsort((rare, of))
+                of, rare = of[by], rare[by]
+                new = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (rare[1:] != rare[:-1])) if len(of) else np.empty(0, bool))
+                # The row of the document itself has a word of its own, so that these rows do not meet in one partition.
+                own = hashes[starts] ^ n.astype(np.uint64)
+                at = pa.array(np.concatenate([np.arange(len(n)), of[new]]))
+                words = pa.array(np.concatenate([own, rare[new]]).view(np.int64))
+                times = pa.array(np.concatenate([np.zeros(len(n)), np.diff(np.append(new, len(of)))]).astype(np.int32))
+                numbers_of = [pa.array(np.concatenate([x, np.zeros(len(new), x.dtype)])) for x in (n, n_often, base, total)]
+                is_rare = pa.array(np.arange(len(at)) >= len(n))
+                totals = pa.StructArray.from_arrays(numbers_of, names=["n_tokens", "n_known", "base", "score"], mask=is_rare)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("key").take(at), part.column("t_a").take(at), words, times, totals], names=["key", "t_a", "g", "times", "own"]
+                )
 
     found = rows.mapInArrow(run, f"key {key_type}, t_a long, g long, times int, own {numbers_type}")
     rare = model.rare_counts.select("g", F.col("n").alias("c"))
