@@ -103,14 +103,18 @@ def overlaps(
     lengths = sorted(r["b_size"] for r in items.where(F.col("b_size") < SPAN).select("b_size").distinct().collect())  # at most SPAN - 1
     seeds = benchmark_windows(items, lengths)
     rows = docs.select(F.col(id_col).alias("doc_id"), word_hashes(F.col(text)).alias("words"))
-    probes = rows.withColumn("seeds", _seeds(F.col("words"), lengths)).select("doc_id", "words", F.posexplode("seeds").alias("at", "seed"))
+    probes = rows.withColumn("seeds", _seeds(F.col("words"), lengths))
+    # The outer form keeps Spark from adding a filter on the seeds' number, which would compute them twice.
+    probes = probes.select("doc_id", "words", F.posexplode_outer("seeds").alias("at", "seed")).where("seed is not null")
     near = _around(F.col("words"), F.col("at") % F.size("words")).alias("near")
     if seeds.count() <= max_broadcast:
         hits = probes.join(F.broadcast(seeds), "seed").select("doc_id", "item_id", "b_size", "b_near", near)
     else:
         hits = probes.select("doc_id", "seed", near).join(seeds, "seed")
-    hits = hits.select("doc_id", "item_id", "b_size", _matched(F.col("near"), F.col("b_near"), F.col("b_size")).alias("n")).where("n is not null")
-    return hits.groupBy("doc_id", "item_id").agg(F.max("b_size").alias("n_item_words"), F.max("n").alias("n_matched"))
+    hits = hits.select("doc_id", "item_id", "b_size", _matched(F.col("near"), F.col("b_near"), F.col("b_size")).alias("n"))
+    # The test comes after the grouping; before it, Spark would make it a condition of the join, which then isn't compiled.
+    found = hits.groupBy("doc_id", "item_id").agg(F.max("b_size").alias("n_item_words"), F.max("n").alias("n_matched"))
+    return found.where("n_matched is not null")
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -73,11 +73,11 @@ def test_repeated_rows_missing_ids_and_empty_table(spark):
 
 def test_sketch_estimates():
     rnd = np.random.default_rng(1)
-    shared, a, b = (rnd.integers(0, 1 << 63, n, np.uint64) for n in (4000, 500, 500))
+    shared, a, b = (rnd.integers(0, 1 << 64, n, np.uint64) for n in (4000, 500, 500))
     left, right = near_dup.sketch(np.unique(np.concatenate([shared, a]))), near_dup.sketch(np.unique(np.concatenate([shared, b])))
     similarity, n = near_dup.estimate(left, right)
     assert n == near_dup.REGISTERS and abs(similarity - 0.8) < 0.11
-    other = near_dup.sketch(rnd.integers(0, 1 << 63, 4000, np.uint64))
+    other = near_dup.sketch(rnd.integers(0, 1 << 64, 4000, np.uint64))
     assert near_dup.estimate(left, other)[0] < 0.03
     assert len(near_dup.band_keys(near_dup.sketch(np.array([5], np.uint64)))) == near_dup.BANDS
     assert len(near_dup.band_keys(near_dup.sketch(np.empty(0, np.uint64)))) == 0
