@@ -10,17 +10,19 @@ Pieces repeat, so each task keeps the ids of recent pieces in a bounded table; t
 independent: nothing is shuffled, and a lost task is computed again. The vocabulary (a file of ranks, its size checked) is
 read by the driver and sent to the workers with the function.
 
-A null text is the empty text: no ids, empty bytes. Ids outside the vocabulary in decode() raise an error. Repeated rows each
+A null text is the empty text: no ids, empty bytes. Ids beyond the vocabulary raise an error in decode(). Repeated rows each
 get their own result; empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import base64
-from itertools import chain
+from array import array
 
+import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +31,10 @@ from pricewren.llm.common import map_slices
 #: A vocabulary file may have this many bytes, as it is sent to every task.
 MAX_VOCABULARY_BYTES = 64_000_000
 #: Pieces whose ids a task remembers; the table is emptied when full.
-MAX_REMEMBERED = 300_000
+MAX_REMEMBERED = 500_000
 #: Longer pieces are not remembered.
 MAX_REMEMBERED_LENGTH = 64
+_NONE = 1 << 62
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -45,92 +48,107 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Token ids of one piece."""
-    whole = ranks.get(piece)
+    rank_of = ranks.get
+    whole = rank_of(piece)
     if whole is not None:
         return [whole]
     n = len(piece)
-    leaves = 1 << max(n - 1, 1).bit_length()
-    none = 1 << 62
+    leaves = 1 << (n - 1).bit_length()
     shift = n.bit_length()
-    tree = [none] * (2 * leaves)
-    after = list(range(1, n + 1))  # where the token at a live position ends, and the next begins
-    before = list(range(-1, n))
-    pair_at = lambda i: ranks.get(piece[i : after[after[i]]]) if after[i] < n else None
+    mask = (1 << shift) - 1
+    tree = [_NONE] * (2 * leaves)
     for i in range(n - 1):
-        rank = pair_at(i)
+        rank = rank_of(piece[i : i + 2])
         if rank is not None:
             tree[leaves + i] = rank << shift | i
     for k in range(leaves - 1, 0, -1):
-        tree[k] = min(tree[2 * k], tree[2 * k + 1])
-
-    def put(i: int, rank: int | None) -> None:
-        value = none if rank is None else rank << shift | i
-        k = leaves + i
-        tree[k] = value
-        while k > 1:
-            k >>= 1
-            least = min(tree[2 * k], tree[2 * k + 1])
-            if tree[k] == least:
-                return
-            tree[k] = least
-
-    while tree[1] < none:
-        i = tree[1] & (1 << shift) - 1
+        left, right = tree[2 * k], tree[2 * k + 1]
+        tree[k] = left if left < right else right
+    after = list(range(1, n + 2))  # where the token at a live position ends, and the next begins
+    before = list(range(-1, n))
+    while (least := tree[1]) < _NONE:
+        i = least & mask
         gone = after[i]
         after[i] = end = after[gone]
+        changed = [(gone, None), (i, None)]
         if end < n:
             before[end] = i
-        put(gone, None)
-        put(i, pair_at(i))
-        if before[i] >= 0:
-            put(before[i], pair_at(before[i]))
+            changed[1] = (i, rank_of(piece[i : after[end]]))
+        ahead = before[i]
+        if ahead >= 0:
+            changed.append((ahead, rank_of(piece[ahead:end])))
+        for at, rank in changed:
+            k = leaves + at
+            value = tree[k] = _NONE if rank is None else rank << shift | at
+            while k > 1:
+                other = tree[k ^ 1]
+                if other < value:
+                    value = other
+                k >>= 1
+                if tree[k] == value:
+                    break
+                tree[k] = value
     ids, i = [], 0
     while i < n:
-        ids.append(ranks[piece[i : after[i]]])
-        i = after[i]
+        end = after[i]
+        ids.append(ranks[piece[i:end]])
+        i = end
     return ids
 
 
 class Encoder(dict):
-    """Ids by piece (a str), filled on demand and bounded."""
+    """Ids by piece (a str), as packed 32-bit numbers, filled on demand and bounded."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks, self.find = ranks, regex.compile(pattern).findall
 
-    def __missing__(self, piece: str) -> list[int]:
-        ids = merge_piece(piece.encode(), self.ranks)
+    def __missing__(self, piece: str) -> bytes:
+        ids = array("i", merge_piece(piece.encode(), self.ranks)).tobytes()
         if len(piece) <= MAX_REMEMBERED_LENGTH:
             if len(self) >= MAX_REMEMBERED:
                 self.clear()
             self[piece] = ids
         return ids
 
+    def packed(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, self.find(text)))
+
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.__getitem__, self.find(text))))
+        return array("i", self.packed(text)).tolist()
+
+
+_encoders: dict[str, Encoder] = {}
 
 
-_encoders: dict[tuple[str, int], Encoder] = {}
+def _encoder(digest: str, ranks: dict[bytes, int], pattern: str) -> Encoder:
+    """The worker's encoder of a vocabulary and pattern; its remembered pieces serve all slices and later tasks."""
+    if digest not in _encoders:
+        _encoders.clear()
+        _encoders[digest] = Encoder(ranks, pattern)
+    return _encoders[digest]
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keys: list[str], text: str = "text") -> DataFrame:
     """keys and token_ids (array<int>) of the whole text of every row."""
     rows = docs.select(*[F.col(k) for k in keys], F.col(text).alias("__text"))
     fields = ", ".join(f"`{k}` {t}" for k, t in rows.dtypes[:-1])
+    digest = xxhash.xxh3_128_hexdigest(repr((pattern, sorted(ranks.items()))))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        # One encoder for each worker and vocabulary, so that its remembered pieces serve all slices.
-        encoder = _encoders.setdefault((pattern, len(ranks)), Encoder(ranks, pattern))
-        if encoder.ranks is not ranks and encoder.ranks != ranks:
-            encoder = _encoders[pattern, len(ranks)] = Encoder(ranks, pattern)
-        ids = [encoder.encode(x) if x else [] for x in batch.column("__text").to_pylist()]
-        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.list_(pa.int32()))], names=[*keys, "token_ids"])
+        encoder = _encoder(digest, ranks, pattern)
+        packed = [encoder.packed(x) if x else b"" for x in batch.column("__text").to_pylist()]
+        ends = np.cumsum([0, *(len(x) // 4 for x in packed)], dtype=np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], names=[*keys, "token_ids"])
 
     return map_slices(rows, run, f"{fields + ', ' if fields else ''}token_ids array<int>", "__text")
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "token_ids") -> DataFrame:
     """All columns and decoded (binary): the bytes of the ids, in order. Null ids are no ids."""
-    tokens = {rank: token for token, rank in ranks.items()}
+    tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
     fields = ", ".join(f"`{k}` {t}" for k, t in encoded.dtypes)
 
     def run(batches):
