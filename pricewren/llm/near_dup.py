@@ -6,12 +6,19 @@ full bucket that comes first in a fixed random order of its own, so that short d
 bands of ROWS registers catch a pair of similarity 0.8 but for 3 in a million.
 
 1. Documents of equal sets form classes; one row per class goes on, under its smallest id.
-2. In every band bucket, all members pair with two pivots (the least id and the least hashed id). Pairs are
-   estimated by their sketches, corrected for registers that agree by chance; those not clearly below the threshold are
-   verified on the full sets. Components of the links follow (alternating large and small stars).
-3. In buckets that still hold several components, the members outside the bucket's largest component pair with all
-   members of other components, and are estimated and verified likewise. So every pair of a bucket is verified or already
-   connected, and no bucket emits all its pairs; groups of any size are connected through pivots.
+2. In every band bucket, all members pair with one pivot: the member whose buckets hold most members, which stands
+   in the middle of its near copies. Pairs are estimated by their sketches, corrected for registers that agree by chance;
+   those not clearly below 0.4 are verified on the full sets, which gives their similarity. At the threshold or above they link.
+3. What is left are pairs of which neither is the pivot, and the pivot links one of them at most. By the triangle inequality
+   of the Jaccard distance, the distances to the pivot of two members that link differ by 0.2 at most. So where one member
+   has a similarity of 0.6 or more to the pivot, the other has 0.4 or more. All members of 0.4 or more are cut into
+   blocks of BLOCK, those that the pivot doesn't link into blocks as well, and each of the latter is compared with all
+   of the former on full sets, a pair of blocks in one row. Nothing leaves it but links between different components.
+4. Members whose similarity to the bucket's pivot is below 0.6 pair among themselves, and are estimated and verified.
+   (0.6 and 0.4 are for a threshold of 0.8; they follow from it.)
+
+So every pair of a bucket is verified, connected or excluded by the inequality, no bucket emits its pairs, and groups of any size
+are connected through pivots.
 
 Ids, sketches and, for verification, the two texts of a pair travel; a third of all rows in one group is a key whose
 join Spark splits at run time. Rounds are written to the shared folder. Nothing is collected but two numbers per round.
@@ -34,8 +41,10 @@ from pricewren.llm.common import map_slices, staged
 REGISTERS, BANDS, ROWS = 252, 42, 6
 REST_BITS, MANTISSA = 40, 10
 EMPTY = 0xFFFF
-#: Estimates this many standard errors below the threshold are not verified (3 in ten million at the threshold).
+#: Estimates this many standard errors below a similarity are taken to be below it (3 in ten million are not).
 MARGIN = 5.0
+#: Members per block.
+BLOCK = 128
 #: Words whose hashes a task remembers; the table is emptied when full.
 MAX_REMEMBERED = 400_000
 
@@ -141,45 +150,89 @@ def bucket_members(classes: DataFrame) -> DataFrame:
             ids = np.repeat(batch.column("id").to_numpy(), [len(k) for k in keys])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*keys, np.empty(0, np.int64)])), pa.array(ids, pa.int64())], names=["key", "id"])
 
-    rows = classes.select("id", "registers").mapInArrow(run, "key long, id long")
-    shared = rows.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("key")
-    return rows.join(staged(shared), "key").distinct()
+    rows = staged(classes.select("id", "registers").mapInArrow(run, "key long, id long").distinct())
+    shared = rows.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("size")).where("a < b").select("key", "size")
+    return rows.join(staged(shared), "key")
 
 
-def _similar_sketches(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sizes allow the similarity and whose estimate isn't clearly below it."""
+def _similarities(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
+    """a, b, both (shared shingles) and all (shingles of either) of the pairs whose estimate isn't clearly below `least`."""
 
-    def run(batches):
+    def likely(batches):
         for batch in batches:
             keep = []
             for a, b in zip(batch.column("ra").to_pylist(), batch.column("rb").to_pylist(), strict=True):
                 similarity, n = estimate(np.frombuffer(a, np.uint16), np.frombuffer(b, np.uint16))
-                share = percent / 100
-                keep.append(similarity >= share - MARGIN * (share * (1 - share) / max(1, n)) ** 0.5)
+                keep.append(similarity >= least - MARGIN * (least * (1 - least) / max(1, n)) ** 0.5)
             yield batch.select(["a", "b", "ta", "tb"]).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda x: classes.select(F.col("id").alias(x), F.col("t_a").alias(f"t{x}"), F.col("n").alias(f"n{x}"), F.col("registers").alias(f"r{x}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
-    joined = joined.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    return joined.select("a", "b", "ta", "tb", "ra", "rb").mapInArrow(run, "a long, b long, ta long, tb long")
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep, memo = [], {}
-        for a, x, y in zip(batch.column("a").to_pylist(), batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
-            if a not in memo:
-                memo = {a: shingles(x, size)}  # pivots stand together
-            left, right = memo[a], shingles(y, size)
-            both = len(np.intersect1d(left, right, assume_unique=True))
-            keep.append(100 * both >= percent * (len(left) + len(right) - both))
-        return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    def exact(batch: pa.RecordBatch) -> pa.RecordBatch:
+        shared, either, memo = [], [], {}
+        for b, x, y in zip(batch.column("b").to_pylist(), batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
+            if b not in memo:
+                memo = {b: shingles(y, size)}  # pivots stand together
+            left, right = shingles(x, size), memo[b]
+            shared.append(len(np.intersect1d(left, right, assume_unique=True)))
+            either.append(len(left) + len(right) - shared[-1])
+        columns = [batch.column("a"), batch.column("b"), pa.array(shared, pa.int64()), pa.array(either, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["a", "b", "both", "all"])
 
-    side = lambda x: texts.select(F.col("id").alias(x), F.col("t_a").alias(f"t{x}"), F.col("text").alias(f"text_{x}"))
-    joined = pairs.join(side("b"), ["b", "tb"]).join(side("a"), ["a", "ta"]).select("a", "b", "text_a", "text_b")
-    return map_slices(joined, run, "a long, b long", "text_b")
+    side = lambda x: classes.select(F.col("id").alias(x), F.col("t_a").alias(f"t{x}"), F.col("n").alias(f"n{x}"), F.col("registers").alias(f"r{x}"))
+    joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") >= least * F.greatest("na", "nb"))
+    found = joined.select("a", "b", "ta", "tb", "ra", "rb").mapInArrow(likely, "a long, b long, ta long, tb long")
+    text = lambda x: texts.select(F.col("id").alias(x), F.col("t_a").alias(f"t{x}"), F.col("text").alias(f"text_{x}"))
+    both = found.join(text("a"), ["a", "ta"]).join(text("b"), ["b", "tb"]).select("a", "b", "text_a", "text_b")
+    return map_slices(both, exact, "a long, b long, both long, all long", "text_a")
+
+
+def _block_links(near: DataFrame, classes: DataFrame, texts: DataFrame, labels: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between different components among the members (id, p, linked) of the same pivot p.
+
+    A pair of members is compared if one of them is not linked with the pivot. Only pivots with such members take part.
+    """
+    open_pivots = near.where("not linked").groupBy("p").agg(F.count("*").alias("x")).select("p")
+    number = near.groupBy("p").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).join(open_pivots, "p")
+    rows = near.join(staged(number), "p").join(labels, "id", "left").withColumn("c", F.coalesce("label", "id"))
+    rows = rows.join(classes.select("id", "t_a"), "id").join(texts, ["id", "t_a"])
+    cut = F.pmod(F.xxhash64(F.lit(11), "id"), F.col("blocks"))
+    rows = rows.select("p", "id", "c", "linked", cut.alias("block"), "text")
+
+    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [shingles(x, size).tobytes() for x in batch.column("text").to_pylist()]
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.binary())], names=[*batch.schema.names[:-1], "set"])
+
+    rows = staged(map_slices(rows, sets, "p long, id long, c long, linked boolean, block long, set binary"))
+    member = F.collect_list(F.struct("id", "c", "set"))
+    whole = rows.groupBy("p", "block").agg(member.alias("whole"))
+    strays = rows.where("not linked").groupBy("p", "block").agg(member.alias("strays")).drop("block")
+
+    def compare(batches):
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for left, right in zip(batch.column("strays").to_pylist(), batch.column("whole").to_pylist(), strict=True):
+                out += linked_pairs(left, right, percent)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return strays.join(whole, "p").select("strays", "whole").mapInArrow(compare, "a long, b long")
+
+
+def linked_pairs(left: list[dict], right: list[dict], percent: int) -> list[tuple[int, int]]:
+    """(id, id) of members of two blocks that link and are of different components."""
+    sets = [np.frombuffer(x["set"], np.uint64) for x in right]
+    sizes = np.array([len(x) for x in sets])
+    values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    by = np.argsort(values, kind="stable")
+    values, owner = values[by], owner[by]
+    components, out = np.array([x["c"] for x in right]), []
+    for x in left:
+        own = np.frombuffer(x["set"], np.uint64)
+        begin, end = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+        counts = end - begin
+        at = np.repeat(begin - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        both = np.bincount(owner[at], minlength=len(sets))
+        good = (100 * both >= percent * (len(own) + sizes - both)) & (components != x["c"])
+        out += [(x["id"], right[k]["id"]) for k in np.flatnonzero(good)]
+    return out
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -212,26 +265,34 @@ def group(
     classes = staged(classes.select("sig_a", "sig_b", "of.*", "n", "registers"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("t_a"), F.col(text).alias("text"))
     members = staged(bucket_members(classes))
-
-    mixed = lambda c: F.xxhash64(F.lit(7), c)
-    pivots = members.groupBy("key").agg(F.min("id").alias("p"), F.min_by("id", mixed("id")).alias("q"))
-    stars = members.join(staged(pivots), "key").select("id", F.explode(F.array_distinct(F.array("p", "q"))).alias("p"))
-    pairs = _pairs(stars.select("id", "p"))
-    tested = staged(pairs)
-    links = _verified(_similar_sketches(tested, classes, percent), texts, size, percent)
+    share = percent / 100
+    # The least similarity to a pivot of what can link with a member that the pivot links, and with one of these.
+    loose, wide = max(0.0, 2 * share - 1), max(0.0, 3 * share - 2)
+
+    # The pivot of a bucket: the member that shares buckets with most others.
+    weight = members.groupBy("id").agg(F.sum("size").alias("w"))
+    placed = members.join(weight, "id")
+    pivots = placed.groupBy("key").agg(F.max_by("id", F.struct("w", -F.col("id"))).alias("p"))
+    stars = staged(members.join(staged(pivots), "key").where("id <> p").select("key", "id", "p"))
+    tested = stars.select(F.col("id").alias("a"), F.col("p").alias("b")).distinct()
+    known = staged(_similarities(tested, classes, texts, size, wide))
+    enough = 100 * F.col("both") >= percent * F.col("all")
+    links = known.where(enough)
     # An id with several texts ties their classes together.
     same = named.groupBy("sig_a", "sig_b").agg(F.min("id").alias("c")).join(named.select("sig_a", "sig_b", "id"), ["sig_a", "sig_b"])
     links = links.select("a", "b").union(same.where("id <> c").join(classes.select("id"), "id").select(F.col("id").alias("a"), F.col("c").alias("b")))
     first = staged(components(links))
 
+    near = known.where(F.col("both") >= wide * F.col("all")).select(F.col("a").alias("id"), F.col("b").alias("p"), enough.alias("linked"))
+    blocks = _block_links(near, classes, texts, first, size, percent)
+    # Members that the bucket's pivot is far from pair among themselves.
+    close = known.where(F.col("both") >= loose * F.col("all")).select(F.col("a").alias("id"), F.col("b").alias("p"))
+    far = stars.join(close, ["id", "p"], "left_anti").select("key", "id")
+    pairs = far.join(far.select("key", F.col("id").alias("other")), "key").where("id < other")
+    pairs = pairs.select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
+    rest = _similarities(staged(pairs), classes, texts, size, share).where(enough)
+    more = blocks.union(rest.select("a", "b"))
     label = F.coalesce("label", "id")
-    placed = staged(members.join(first, "id", "left").select("key", "id", label.alias("c")))
-    mixed_buckets = placed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.mode("c", True).alias("main")).where("x < y")
-    split = placed.join(staged(mixed_buckets.select("key", "main")), "key")
-    strays = split.where("c <> main").select("key", F.col("id").alias("p"), F.col("c").alias("pc"))
-    rest = split.join(staged(strays), "key").where("c <> pc").select("id", "p")
-    rest = _pairs(rest).join(tested, ["a", "b"], "left_anti")
-    more = _verified(_similar_sketches(staged(rest), classes, percent), texts, size, percent)
     merged = more.join(_named(first, "a", "ca"), "a", "left").join(_named(first, "b", "cb"), "b", "left")
     merged = merged.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     second = staged(components(merged))
@@ -244,12 +305,6 @@ def group(
     return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    """Distinct (a, b) with a < b of the columns id and p."""
-    pair = rows.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))
-    return pair.where("a < b").distinct()
-
-
 def _named(labels: DataFrame, key: str, label: str) -> DataFrame:
     return labels.select(F.col("id").alias(key), F.col("label").alias(label))
 
