@@ -292,19 +292,21 @@ def match_positions(c: Column | str, pattern: str) -> Column:
 _IMAGE_FILE = r"(?iu)\.(?:jpg|jpeg|png|webp)(?:[?#].*)?$"
 
 
-def classify_image(url: Column | str) -> Column:
-    """What an image address most likely shows."""
+def classify_image(url: Column | str, leaflet_words: tuple[str, ...] = ()) -> Column:
+    """What an image address most likely shows; ``leaflet_words`` adds local words for leaflets."""
     u = text_of(url)
+    leaflet = "|".join(("leaflet", "page", "publication", "catalog", "brochure", "prospekt", *leaflet_words))
     return (
         F.when(u.rlike("(?iu)logo|icon|sprite|favicon|placeholder|pagestub|fbthumb|cover"), F.lit("decorative-or-cover"))
-        .when(u.rlike("(?iu)leaflet|page|publication|catalog|letak|leták|brochure|prospekt"), F.lit("page-or-leaflet-image"))
+        .when(u.rlike(f"(?iu){leaflet}"), F.lit("page-or-leaflet-image"))
         .when(u.rlike("(?iu)product|media|image|img|asset|cdn|usercontent"), F.lit("possible-product-image"))
         .otherwise(F.lit("unknown-image"))
     )
 
 
-def classify_asset(url: Column | str) -> Column:
-    """Every asset kind an address falls under, in a fixed order."""
+def classify_asset(url: Column | str, leaflet_words: tuple[str, ...] = ()) -> Column:
+    """Every asset kind an address falls under, in a fixed order; ``leaflet_words`` adds local words."""
+    leaflet = "|".join(("leaflet", "page-", "page_", "catalog", "brochure", "prospekt", *leaflet_words))
     u = text_of(url)
     kinds = (
         ("html", r"(?iu)\.html?(?:[?#].*)?$|/\d+/?$"),
@@ -314,7 +316,7 @@ def classify_asset(url: Column | str) -> Column:
         ("pdf", r"(?iu)\.pdf(?:[?#].*)?$"),
         ("image", _IMAGE_FILE),
         ("text", r"(?iu)\.(?:txt|xml)(?:[?#].*)?$"),
-        ("leaflet", r"(?iu)leaflet|letak|leták|page-|page_|catalog|brochure|prospekt"),
+        ("leaflet", f"(?iu){leaflet}"),
     )
     return F.array_compact(F.array(*[F.when(u.rlike(p), F.lit(kind)) for kind, p in kinds]))
 
@@ -357,11 +359,10 @@ def category_from_url(url: Column | str, parameter: str = "kloffer-category", fa
 
 
 # --- counts used by the source audits ----------------------------------------
-def endpoint_hints(c: Column | str, words: tuple[str, ...] = rules.ENDPOINT_WORDS, longest: int = 300) -> Column:
-    """Quoted strings that look like data endpoints, distinct."""
+def endpoint_hints(c: Column | str, words: tuple[str, ...] = rules.ENDPOINT_WORDS) -> Column:
+    """Quoted strings that look like data endpoints, distinct, of any length."""
     pattern = F.lit(rf"""(?iu)["']([^"']*(?:{'|'.join(words)})[^"']*)["']""")
-    hints = F.array_distinct(F.regexp_extract_all(text_of(c), pattern, F.lit(1)))
-    return F.filter(hints, lambda h: F.length(h) < longest)
+    return F.array_distinct(F.regexp_extract_all(text_of(c), pattern, F.lit(1)))
 
 
 def store_hints(c: Column | str) -> Column:

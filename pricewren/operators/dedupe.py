@@ -114,11 +114,12 @@ def new_offers(base: DataFrame, candidates: DataFrame, order: Key) -> DataFrame:
     """Candidates to append: absent from ``base``, first of their name in the batch.
 
     Equal exact keys imply equal folded names, so one anti join covers both tests.
-    Nameless candidates never collide and are all kept.
+    One candidate per name is kept first (a map-side limit), so only those meet
+    ``base``.  Nameless candidates never collide and are all kept.
     """
-    fresh = not_present(candidates, base.filter(normalize_loose("product") != ""))
-    named = keep_one(fresh.filter(loose_name() != ""), [loose_name()], *[F.asc(o) for o in order])
-    return named.unionByName(fresh.filter(loose_name() == ""))
+    firsts = keep_one(candidates.filter(loose_name() != ""), [loose_name()], *[F.asc(o) for o in order])
+    named = not_present(firsts, base.filter(normalize_loose("product") != ""))
+    return named.unionByName(candidates.filter(loose_name() == ""))
 
 
 def append_new(base: DataFrame, candidates: DataFrame, order: Key) -> DataFrame:

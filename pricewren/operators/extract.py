@@ -130,13 +130,11 @@ def extract_unit_segments(pages: DataFrame, line: str = "line", page: str = "pag
 
 # --- bullets -----------------------------------------------------------------
 def extract_bullet_blocks(pages: DataFrame, text: str = "text", page: str = "page_number",
-                          keep: Sequence[str] = ("page_id",), context_limit: int | None = 650,
-                          prefix: str = "offer-") -> DataFrame:
+                          keep: Sequence[str] = ("page_id",), prefix: str = "offer-") -> DataFrame:
     """A run of bullet lines is a block, the lines above it are its name.
 
     At most the last three lines between two bullet runs that are neither
-    slogans nor bare prices form the name.  ``context_limit`` is the stored
-    width of ``rawContext``; pages themselves are always read whole.
+    slogans nor bare prices form the name.  ``rawContext`` is the whole block.
     """
     lines = F.filter(F.transform(F.split(normalize_text(text), "\n"), normalize_line), lambda v: v != "")
     marked = F.regexp_replace(F.array_join(lines, "\n"), r"(?m)^(•[^\n]*)\n(?!•)", "$1\u0001")
@@ -180,8 +178,7 @@ def extract_bullet_blocks(pages: DataFrame, text: str = "text", page: str = "pag
         *keep, page, "block", F.col("_o.names").alias("_names"), F.col("_o.bullets").alias("_bullets"),
         F.col("_o.text").alias("_bullet_text"), "_o.packageSize", "_o.unitPrice", "_o.unit", "_o.unitText", "_o.product", "_o.price",
     )
-    context = F.array_join(F.concat("_names", "_bullets"), " ")
-    judged = priced.withColumn("rawContext", context if context_limit is None else F.substring(context, 1, context_limit))
+    judged = priced.withColumn("rawContext", F.array_join(F.concat("_names", "_bullets"), " "))
     judged = judged.withColumn(
         "suspectReasons",
         Q.block_reasons(F.col("product"), F.col("price"), F.col("unitPrice"), F.col("packageSize"), F.col("rawContext"),

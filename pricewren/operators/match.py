@@ -8,10 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pricewren.functions.text import normalize_search, not_blank, text_of
 
-# A check list this long is written into the plan; longer ones must be tables.
-LITERAL_LIMIT = 200
-
-
 def grams(text: Column, size: int) -> Column:
     """Distinct substrings of ``size`` characters (one linear pass)."""
     return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{size}}}))"), F.lit(1)))
@@ -64,32 +60,34 @@ def substring_join(texts: DataFrame, needles: DataFrame, *, text_id: str, text:
 
 
 def match_checks(df: DataFrame, text: Column, checks: Sequence[tuple[str, str]], normalize=normalize_search) -> DataFrame:
-    """J7 / J8 for a fixed check list: one row per (row, matching check label).
+    """J7 / J8 for a check list of any length: one row per (row, matching check label).
 
-    ``text`` must already be normalised.  The list becomes a literal array in
-    the plan, so there is no join at all.
+    ``text`` must already be normalised.  The list is two literal arrays of the
+    plan, labels and queries, so the plan has the same shape for every length and
+    there is no join at all; tables of checks use substring_join.
     """
-    if len(checks) > LITERAL_LIMIT:
-        raise ValueError(f"{len(checks)} checks: put them in a table and use substring_join")
-    table = F.array(*[F.struct(F.lit(label).alias("label"), normalize(F.lit(query)).alias("query")) for label, query in checks])
-    hits = F.filter(table, lambda c: F.contains(F.col("_text"), c["query"]))
     return (
         df.withColumn("_text", text)
-        .withColumn("label", F.explode(F.transform(hits, lambda c: c["label"])))
+        .withColumn("label", F.explode(_matching(F.col("_text"), checks, normalize, lambda i: F.get(F.lit([c[0] for c in checks]), i))))
         .drop("_text")
     )
 
 
+def _matching(text: Column, checks: Sequence[tuple[str, str]], normalize, value) -> Column:
+    """``value(i)`` of every check ``i`` whose query the text contains."""
+    if not checks:
+        return F.array().cast("array<string>")
+    queries = F.transform(F.lit([query for _, query in checks]), normalize)
+    hits = F.transform(queries, lambda q, i: F.when(F.contains(text, q), i))
+    return F.transform(F.array_compact(hits), value)
+
+
 def count_checks(df: DataFrame, text: Column, checks: Sequence[tuple[str, str]], normalize=normalize_search) -> DataFrame:
     """Matches per check, checks without a match included."""
-    counted = df.select(text.alias("_text")).agg(
-        *[
-            F.count_if(F.contains("_text", normalize(F.lit(query)))).alias(f"c{i}")
-            for i, (_, query) in enumerate(checks)
-        ]
-    )
-    rows = F.array(*[F.struct(F.lit(label).alias("label"), F.col(f"c{i}").alias("matches")) for i, (label, _) in enumerate(checks)])
-    return counted.select(F.inline(rows))
+    hits = df.select(text.alias("_text")).select(F.explode(_matching(F.col("_text"), checks, normalize, lambda i: i)).alias("check"))
+    counted = hits.groupBy("check").agg(F.count(F.lit(1)).alias("n"))
+    rows = df.sparkSession.createDataFrame([(i, label) for i, (label, _) in enumerate(checks)], "check int, label string")
+    return rows.join(counted, "check", "left").select("label", F.coalesce("n", F.lit(0)).alias("matches"))
 
 
 def words_of(term: Column, shortest: int = 3) -> Column:

@@ -54,16 +54,29 @@ def profile_fields(offers: DataFrame, article: str = "klNr") -> DataFrame:
     )
 
 
-def schema_profile(items: DataFrame, json: str, depth: int = 4) -> DataFrame:
+def nesting(json: str) -> Column:
+    """How deep objects and arrays are nested in a JSON text (brackets inside strings don't count)."""
+    bare = F.regexp_replace(json, r'"(?:[^"\\]|\\.)*+"', "")
+    steps = F.split(F.regexp_replace(bare, r"[^\[\]{}]", ""), "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(state: Column, c: Column) -> Column:
+        now = state["now"] + F.when(c.isin("[", "{"), 1).when(c.isin("]", "}"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(state["most"], now).alias("most"))
+
+    return F.aggregate(steps, start, step, lambda s: s["most"])
+
+
+def schema_profile(items: DataFrame, json: str) -> DataFrame:
     """(path, type) of everything inside JSON texts, with count and sample.
 
-    Each level unnests objects and arrays one step further; all items count, not
-    a sample of them.
+    Each level unnests objects and arrays one step further, down to the deepest
+    one of all items, which is measured first (one number); all items count.
     """
     spark = items.sparkSession
     level = items.select(F.lit("$").alias("path"), F.try_parse_json(json).alias("v")).filter("v is not null")
     levels = [level]
-    for _ in range(depth):
+    for _ in range(items.agg(F.max(nesting(json))).first()[0] or 0):
         inner = spark.tvf.variant_explode(F.col("v").outer())
         path = F.when(F.col("key").isNull(), F.concat("path", F.lit("[]"))).when(F.col("path") == "$", F.col("key")).otherwise(
             F.concat_ws(".", "path", "key")
@@ -91,17 +104,28 @@ def near_duplicate_groups(offers: DataFrame) -> DataFrame:
     return keyed.groupBy("page", "name").agg(count_rows("count")).filter("name is not null and count > 1")
 
 
-def duplicate_items(offers: DataFrame, sample: int = 20, order: str = "id") -> DataFrame:
-    """Up to ``sample`` members of every exact duplicate group.
+def _members(offers: DataFrame, key: Sequence[Column], groups: DataFrame) -> DataFrame:
+    """The rows of ``offers`` in the counted groups, with the group's count.
 
-    Groups are counted with map-side aggregation first; the members are then
-    ranked with a map-side limit, so a huge group never lands in one task.
+    Groups are counted with map-side aggregation; the members then meet them in
+    an equi join, whose crowded groups Spark splits at run time.
     """
-    keyed = offers.select("*", *[c.alias(f"_{n}") for n, c in zip(("page", "name", "amount"), exact_key(), strict=True)])
-    ranked = top_k_per_group(keyed, ["_page", "_name", "_amount"], max(sample, 2), F.asc(order))
-    groups = exact_duplicate_groups(offers).select(*[F.col(c).alias(f"_{n}") for n, c in (("page", "page"), ("name", "name"), ("amount", "price"))], "count")
-    same = [F.equal_null(ranked[c], groups[c]) for c in ("_page", "_name", "_amount")]
-    return ranked.join(groups, same).filter(F.col("rank") <= sample).select(*offers.columns, "rank", "count")
+    names = groups.columns[:-1]
+    keyed = offers.select("*", *[c.alias(f"_{n}") for c, n in zip(key, names, strict=True)])
+    other = groups.withColumnsRenamed({n: f"_of_{n}" for n in names})
+    same = [F.equal_null(keyed[f"_{n}"], other[f"_of_{n}"]) for n in names]
+    return keyed.join(other, same).select(*offers.columns, "count")
+
+
+def duplicate_items(offers: DataFrame) -> DataFrame:
+    """Every member of the exact duplicate groups, with the size of its group."""
+    return _members(offers, exact_key(), exact_duplicate_groups(offers))
+
+
+def near_duplicate_items(offers: DataFrame) -> DataFrame:
+    """Every member of the near duplicate groups, with the size of its group."""
+    key = [F.col("pageNumber"), Q.near_duplicate_key(F.col("product"))]
+    return _members(offers, key, near_duplicate_groups(offers))
 
 
 # --- pages -------------------------------------------------------------------
@@ -243,12 +267,11 @@ def target_checks(pages: DataFrame, offers: DataFrame, checks: Sequence[tuple[st
     on_pages = match_checks(pages.select(page, text), normalize_search(text), pairs).groupBy("label").agg(count_rows("foundPages"))
     searchable = normalize_search(joined_text(offers))
     hits = match_checks(offers.select(page, "price", searchable.alias("_search")), F.col("_search"), pairs)
-    expected = {label: (p, price) for label, _, p, price in checks}
-    wrong = F.lit(False)
-    for label, (p, price) in expected.items():
-        if price is not None:
-            off = F.abs(F.coalesce("price", F.lit(0.0)) - price) > rules.SAME_PRICE
-            wrong = wrong | ((F.col("label") == label) & (F.col(page) == p) & off)
+    prices = offers.sparkSession.createDataFrame(
+        [(label, p, price) for label, _, p, price in checks if price is not None], "label string, _page int, _price double"
+    )
+    hits = hits.join(prices, "label", "left")
+    wrong = (F.col(page) == F.col("_page")) & (F.abs(F.coalesce("price", F.lit(0.0)) - F.col("_price")) > rules.SAME_PRICE)
     in_offers = hits.groupBy("label").agg(count_rows("matches"), F.count_if(wrong).alias("priceProblems"))
     rows = offers.sparkSession.createDataFrame(
         [(label, query, p) for label, query, p, _ in checks], "label string, query string, expectedPage int"
@@ -276,7 +299,7 @@ def target_gaps(pages: DataFrame, offers: DataFrame, targets: Sequence[tuple[str
     for i, p in expected.items():
         on_page = on_page | ((F.col("_target") == i) & (F.col(page) == p))
     hits = match_checks(
-        offers.select(page, normalize_search(joined_text(offers, rules.SEARCH_FIELDS[:8])).alias("_search")), F.col("_search"), variants
+        offers.select(page, normalize_search(joined_text(offers, rules.PRODUCT_SEARCH_FIELDS)).alias("_search")), F.col("_search"), variants
     ).withColumn("_target", F.split("label", "\u0001")[0].cast("int"))
     matched = hits.filter(on_page).groupBy("_target").agg(count_rows("variantMatches"))
 
@@ -318,15 +341,13 @@ def search_mode_comparison(offers: DataFrame, queries: Sequence[str]) -> DataFra
         "productDescription": ("product", "name", "title", "description"),
         "productOnly": ("product", "name", "title"),
     }
-    texts = offers.select(*[normalize_search(joined_text(offers, fields)).alias(mode) for mode, fields in modes.items()])
-    counts = texts.agg(*[
-        F.count_if(F.contains(mode, normalize_search(F.lit(q)))).alias(f"{mode}_{i}") for i, q in enumerate(queries) for mode in modes
-    ])
-    rows = F.array(*[
-        F.struct(F.lit(q).alias("query"), *[F.col(f"{mode}_{i}").alias(mode) for mode in modes]) for i, q in enumerate(queries)
-    ])
+    checks = [(q, q) for q in dict.fromkeys(queries)]
+    found = offers.sparkSession.createDataFrame([(q,) for q, _ in checks], "query string")
+    for mode, fields in modes.items():
+        counts = count_checks(offers, normalize_search(joined_text(offers, fields)), checks)
+        found = found.join(counts.select(F.col("label").alias("query"), F.col("matches").alias(mode)), "query")
     hidden = (F.col("full") > 0) & (F.col("productOnly") == 0)
-    return counts.select(F.inline(rows)).withColumn(
+    return found.withColumn(
         "diagnosis", F.when(hidden, F.lit("full-search-finds-results-but-product-only-does-not")).otherwise(F.lit("ok"))
     )
 

@@ -22,12 +22,13 @@ META_STOPLIST = exactly(
     "@flippingbook", "article", "FlippingBook", "yes", "EBook",
 )
 VIEWER_WORDS = (
-    "letak", "leták", "leaflet", "prospekt", "brozura", "brožura",
+    "leaflet", "prospekt", "brozura", "brožura",
     "prohlednout", "prohlédnout", "catalog", "katalog",
 )
-ENDPOINT_WORDS = ("api", "graphql", "product", "products", "offers", "leaflet", "letak", "leták", "catalog", "brochure")
+ENDPOINT_WORDS = ("api", "graphql", "product", "products", "offers", "leaflet", "catalog", "brochure")
 STORE_HINT_KEYS = ("storeName", "storename", "store-name", "storeId", "storeID", "market", "branch", "filiale", "store")
-STORE_ENDPOINT_WORDS = ("kloffers", "klxtra", "offer", "offers", "leaflet", "letak", "filiale", "storeName", "store")
+STORE_ENDPOINT_WORDS = ("kloffers", "klxtra", "offer", "offers", "leaflet", "filiale", "storeName", "store")
+LEAFLET_WORDS = ("leaflet", "catalog", "brochure", "prospekt")
 
 # --- fixed values: units and prices ------------------------------------------
 UNIT_BASES = (r"100\s*g", r"1\s*kg", r"1\s*l", r"100\s*ml", r"1\s*ks", r"100\s*ks", r"1\s*role", r"1\s*dávka", r"0,5\s*l")
@@ -64,17 +65,19 @@ PATTERN_BAD_NAMES = exactly(
 )
 HEADING_BAD_NAMES = r"(?iu)akční nabídka|chcete nás poznat|penny market|kontaktujte nás|sledujte penny"
 LOYALTY_LINE = r"(?iu)^s PENNY kartou$"
-CANDIDATE_BAD_NAMES = (
+# Names that are rejected outright, and those that only make a name doubtful.
+REJECTED_NAMES = (
     r"^záloha na lahev(?![\p{L}\p{N}_])", "^tuku$", "^pomeranč$", r"^cm\s+\d+\s+balení(?![\p{L}\p{N}_])",
     r"^různé typy\s+\d+\s+balení(?![\p{L}\p{N}_])", r"^Kč(?![\p{L}\p{N}_])", r"^Nabídka(?![\p{L}\p{N}_])",
-    r"^Nejnižší(?![\p{L}\p{N}_])", "^ilustrační foto$", r"^MAX\.",
+    r"^Nejnižší(?![\p{L}\p{N}_])", "^ilustrační foto$",
 )
+CANDIDATE_BAD_NAMES = (*REJECTED_NAMES, r"^MAX\.")
 DESCRIPTION_STOPWORDS = (
     r"(?iu)^(vybrané druhy|různé druhy|bez Aplikace|od \d|záloha|cena za|limitovaná edice|Francie|Itálie|"
     r"Moldávie|Chile|Španělsko)$"
 )
 MARKETING_LINE = starts(
-    "NEPORAZITELNÉ", "BĚŽNÁ CENA", "BEZ", "APLIKACE", "NOVINKA", "VÍCE AKCÍ", "EXTRA LETÁK", "PLATÍ", "POUZE",
+    "NEPORAZITELNÉ", "BĚŽNÁ CENA", "BEZ", "APLIKACE", "NOVINKA", "VÍCE AKCÍ", "PLATÍ", "POUZE",
     r"www\.albert\.cz", r"Od \d", "A$", "▼", "Tato nabídka", "Nelze garantovat", "produktů označených",
     "NEPORA ZITELNÉ produkty", "S APLIKACÍ", "KUPÓNY", "KREDITY", "JEŠTĚ NEMÁTE", "NABÍDKA PRO NEJMENŠÍ",
     "VE ZNAČKOVÉ KVALITĚ", "AKČNÍ NABÍDKA", "SUPER CENA", "NAŠE RECEPTURA", "VYBER SI", "HI T MĚSÍCE", "PLATNÉM DO",
@@ -88,9 +91,9 @@ NOISE_PREFIXES = (
     "NAŠE RECEPTURA", "VEZMĚTE SI Z REGÁLU", "VEZMĚTE SI", "CENA BEZ BODŮ", "S BODY", r"A MUŽEŠ JÍ\(S\)T",
 )
 NAME_STOPWORDS = ("druhy", "nápoj", "voda", "víno", "potraviny", "svačinka", "impuls")
-NAME_NOISE_WORDS = ("BEZ APLIKACE", "APLIKACE", "BĚŽNÁ CENA", "NEPORAZITELNÉ", "NOVINKA", "VÍCE AKCÍ", "EXTRA LETÁK")
+NAME_NOISE_WORDS = ("BEZ APLIKACE", "APLIKACE", "BĚŽNÁ CENA", "NEPORAZITELNÉ", "NOVINKA", "VÍCE AKCÍ")
 PAGE_NOISE_WORDS = (
-    "BEZ APLIKACE", "APLIKACE", "BĚŽNÁ CENA", "NEPORAZITELNÉ", "VÍCE AKCÍ", "EXTRA LETÁK", "SUPER CENA",
+    "BEZ APLIKACE", "APLIKACE", "BĚŽNÁ CENA", "NEPORAZITELNÉ", "VÍCE AKCÍ", "SUPER CENA",
     "FANDÍME HOKEJI", "NOVINKA", "KREDITY NAVÍC", "AKČNÍ NABÍDKA", "Trvanlivé", "potraviny", "Nápoje", "Drogerie",
     "Zvířata", "Nature", "Akce", "Nabídka",
 )
@@ -118,7 +121,7 @@ QUALITY_MODES = {
 NOISY_NAME = word(
     "MASA", "FANDÍME HOKEJI", "BOD NAVÍC", "KREDIT NAVÍC", "NAVÍC", "KTERÉ ZÍSKÁTE", "PŘI KOUPI", "AKCE NEJEN",
     "NABÍDKA PRO NEJMENŠÍ", "VE ZNAČKOVÉ KVALITĚ", "NOVINKY", "NEPORAZITELNÉ", "BĚŽNÁ CENA", "VÍCE AKCÍ",
-    "EXTRA LETÁK", "Soutěž probíhá", r"www\..*", "Tato nabídka", "glutamanu sodného", "stejného druhu",
+    "Soutěž probíhá", r"www\..*", "Tato nabídka", "glutamanu sodného", "stejného druhu",
     "Y O D R O K U", "potraviny", "AKČNÍ NABÍDKA", "SUPER CENA", "HI T MĚSÍCE", "PLATNÉM DO", "NAŠE RECEPTURA",
     "VYBER SI", "Více informací", "VEZMĚTE SI Z REGÁLU", "VEZMĚTE SI", "Z REGÁLU", "CENA BEZ BODŮ", "S BODY", "BODY",
     r"A MUŽEŠ JÍ\(S\)T", r"JÍ\(S\)T",
@@ -135,15 +138,38 @@ MERGED_NAMES = (
     "Ovocná svačinka Hami Masozeleninový příkrm", "Magnum pinta Míša Tvarohový mls", "Milka Sušenky Chupa Chups",
     "Heinz Fazole Knorr Jíška", "Strážnické brambůrky Březňák",
 )
-# product pattern, price literal in the context, the price the offer must have
+# product pattern, price literal in the context, the price the offer must have, label
 KNOWN_PRICES = (
-    ("Dolce Gusto Kapsle", "199 Kč", 199.0),
-    ("Pampers Plenkové kalhotky", "279 Kč", 279.0),
-    ("Johnnie Walker Red Label", "329 Kč", 329.0),
-    ("Captain Morgan", "319 Kč", 319.0),
-    ("Ben & Jerry", "159 Kč", 159.0),
-    ("Jar Platinum", "599 Kč", 599.0),
-)
+    ("Dolce Gusto Kapsle", "199 Kč", 199.0, "finální filtr: Dolce Gusto cena konflikt"),
+    ("Pampers Plenkové kalhotky", "279 Kč", 279.0, "finální filtr: Pampers cena konflikt"),
+    ("Johnnie Walker Red Label", "329 Kč", 329.0, "finální filtr: Johnnie Walker cena konflikt"),
+    ("Captain Morgan", "319 Kč", 319.0, "finální filtr: Captain Morgan cena konflikt"),
+    ("Ben & Jerry", "159 Kč", 159.0, "finální filtr: Ben & Jerry cena konflikt"),
+    ("Jar Platinum", "599 Kč", 599.0, "finální filtr: Jar cena konflikt"),
+)
+# product pattern, the only verified price, label
+VERIFIED_PRICES = (
+    ("woolite", 199.9, "Woolite má v aktuálních ověřených datech jinou cenu; kandidát nepouštět automaticky"),
+)
+STRICT_LABELS = {
+    "confidence": "není high confidence z V3",
+    "price": "cena nevypadá jako akční cena {chain}; pravděpodobně jednotková cena",
+    "price_text": "chybí priceText",
+    "package": "chybí balení",
+    "product": "název produktu je moc obecný, krátký, slepený nebo obsahuje podezřelé znaky",
+    "category": "kategorie neodpovídá produktu nebo jde o známý chybný vzor",
+    "context": "kontext obsahuje zálohu, nejnižší cenu nebo patičkový text",
+    "cents": "haléře neodpovídají běžné akční ceně, pravděpodobně jednotková cena",
+}
+BUCKET_LABELS = {
+    "rejected": "zjevný šum v názvu produktu",
+    "attached": "blok obsahuje přilepenou další položku, chce ještě rozdělit",
+    "targeted": "cílený parser stránky {page}",
+    "package": "pravděpodobně špatně převzaté balení z předchozí položky",
+    "review": "obsahuje promo/limitní text nebo složený kontext",
+    "safe": "obecný kandidát prošel základním filtrem",
+    "other": "obecný parser zatím nechávám ke kontrole",
+}
 REVIEW_PATTERNS = (
     word("za posledních 30 dní"), word(r"osoba/nákup/\s*den"), word("nabídka Jedinečná"),
     word(r"MAX\.\s*ks"), word(r"\d+\s*/\s*\d+\s*g"),
@@ -255,9 +281,7 @@ IMAGE_FIELDS = (
     "productImage", "productImageUrl", "pageImage",
 )
 STORE_FIELDS = ("chain", "storeName", "storeId", "source", "sourceName")
-SEARCH_FIELDS = (
-    "product", "name", "title", "brand", "description", "category", "searchTerms", "compareKey", "packageSize",
-    "storeName", "storeId", "chain",
-)
+PRODUCT_SEARCH_FIELDS = ("product", "name", "title", "brand", "description", "category", "searchTerms", "compareKey")
+SEARCH_FIELDS = (*PRODUCT_SEARCH_FIELDS, "packageSize", "storeName", "storeId", "chain")
 REQUIRED_FIELDS = ("id", "storeId", "chain", "storeName", "product", "price")
 UPPER_LINE = rf"^[{UPPER}0-9][{UPPER}0-9\s,&./()+\-*]+$"

@@ -5,21 +5,9 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.utils import AnalysisException
 
 from pricewren import schema
-from pricewren.functions.text import normalize_text, text_of
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """A plain scan spread over all cores when it has fewer partitions than that.
-
-    Text parsing is bound by CPU, and a table of one small file is read by one
-    task.  A scan with enough partitions (any large table) is returned as it is,
-    so nothing is shuffled there.  No job runs to decide.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= 2 * cores else scan.repartition(cores)
+from pricewren.functions.text import normalize_text
 
 
 def explode_container(documents: DataFrame, arrays: Sequence[str] = ("offers",)) -> DataFrame:
@@ -65,13 +53,9 @@ def offers_from_json(documents: DataFrame, json: str, keep: Sequence[str] = ())
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether Spark can list anything under ``path`` (any file system)."""
-    try:
-        return bool(spark.read.format("binaryFile").load(path).inputFiles())
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" in str(error):
-            return False
-        raise
+    """Whether ``path`` (or anything that a pattern fits) exists, on any file system; nothing below it is listed."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop))
 
 
 def load_inputs(spark: SparkSession, inputs: Sequence[Mapping], reader=read_offers) -> dict[str, DataFrame]:
@@ -175,6 +159,3 @@ def flatten_json_index(documents: DataFrame, json: str, keep: Sequence[str] = ()
     items = F.when(F.ltrim(F.col(json)).startswith("["), array).otherwise(F.flatten(F.map_values(by_key)))
     return documents.select(*keep, F.posexplode(items).alias("seq", "item")).filter(F.ltrim("item").startswith("{"))
 
-
-def with_source(offers: DataFrame, name: str) -> DataFrame:
-    return offers.withColumn("sourceFile", text_of(F.lit(name)))

@@ -111,10 +111,12 @@ def profile_fields(spark, sf):
 
 @query("schema_profile", """
 SELECT '$' AS path, 'OBJECT' AS type, count(*) AS count FROM events UNION ALL SELECT 'props', 'OBJECT', count(*) FROM events
+UNION ALL SELECT p, 'OBJECT', count(*) FROM events, (VALUES ('a'), ('a.b'), ('a.b.c'), ('a.b.c.d'), ('a.b.c.d.e'), ('a.b.c.d.e.f')) t(p) GROUP BY p
+UNION ALL SELECT 'a.b.c.d.e.f.g', 'STRING', count(*) FROM events
 UNION ALL SELECT 'props.k', 'BIGINT', count(*) FROM events UNION ALL SELECT 'kinds', 'ARRAY', count(*) FROM events
 UNION ALL SELECT 'kinds[]', 'STRING', 2 * count(*) FROM events""")
 def schema_profile(spark, sf):
-    doc = F.concat(F.lit('{"props": '), "props", F.lit(', "kinds": ["'), "event_type", F.lit('", "x"]}'))
+    doc = F.concat(F.lit('{"props": '), "props", F.lit(', "kinds": ["'), "event_type", F.lit('", "x"], "a":{"b":{"c":{"d":{"e":{"f":{"g":"[{\\\\"}}}}}}}'))
     events = table(spark, sf, "events").select(doc.alias("doc"))
     return audit.schema_profile(events, "doc").select("path", "type", "count")
 
@@ -133,18 +135,26 @@ def _part_offers(spark, sf):
 
 
 @query("duplicate_items", """
-SELECT id, CAST(rank AS INTEGER) AS rank, count FROM (SELECT p_partkey AS id, row_number() OVER w AS rank, count(*) OVER (PARTITION BY p_size, p_name) AS count FROM part
- WINDOW w AS (PARTITION BY p_size, p_name ORDER BY p_partkey)) WHERE count > 1 AND rank <= 3""")
+SELECT id, count FROM (SELECT p_partkey AS id, count(*) OVER (PARTITION BY p_size, p_name) AS count FROM part) WHERE count > 1""")
 def duplicate_items(spark, sf):
-    return audit.duplicate_items(_part_offers(spark, sf), sample=3).select("id", "rank", "count")
+    return audit.duplicate_items(_part_offers(spark, sf)).select("id", "count")
 
 
 @query("near_duplicate_groups", """
 SELECT p_size AS page, p_name AS name, count(*) AS count FROM part GROUP BY ALL HAVING count(*) > 1""")
 def near_duplicate_groups(spark, sf):
-    rows = _part_offers(spark, sf).withColumn("product", F.concat(
-        F.element_at(F.array(F.lit("Světlý "), F.lit("různé druhy "), F.lit("")), (F.col("id") % 3 + 1).cast("int")), F.col("product")))
-    return audit.near_duplicate_groups(rows)
+    return audit.near_duplicate_groups(_described_offers(spark, sf))
+
+
+def _described_offers(spark, sf):
+    word = F.element_at(F.array(F.lit("Světlý "), F.lit("různé druhy "), F.lit("")), (F.col("id") % 3 + 1).cast("int"))
+    return _part_offers(spark, sf).withColumn("product", F.concat(word, F.col("product")))
+
+
+@query("near_duplicate_items", """
+SELECT p_partkey AS id, count(*) OVER (PARTITION BY p_size, p_name) AS count FROM part QUALIFY count > 1""")
+def near_duplicate_items(spark, sf):
+    return audit.near_duplicate_items(_described_offers(spark, sf)).select("id", "count")
 
 
 NOISY_SQL = """
@@ -400,8 +410,8 @@ def search_mode_comparison(spark, sf):
 
 # --- page sources ------------------------------------------------------------
 @query("source_potential", """
-SELECT page_id, CAST(0 AS INTEGER) AS "pdfLinks", false AS "hasNextData", CAST(len(list_distinct(list_filter(regexp_extract_all(html,
- '(?i)["'']([^"'']*(?:api|graphql|product|products|offers|leaflet|letak|leták|catalog|brochure)[^"'']*)["'']', 1), lambda h: length(h) < 300))) AS INTEGER) AS endpoints FROM pages""")
+SELECT page_id, CAST(0 AS INTEGER) AS "pdfLinks", false AS "hasNextData", CAST(len(list_distinct(regexp_extract_all(html,
+ '(?i)["'']([^"'']*(?:api|graphql|product|products|offers|leaflet|catalog|brochure)[^"'']*)["'']', 1))) AS INTEGER) AS endpoints FROM pages""")
 def source_potential(spark, sf):
     return audit.source_potential(wide_table(spark, sf, "pages")).select("page_id", "pdfLinks", "hasNextData", "endpoints")
 

@@ -21,7 +21,8 @@ WITH rows AS (SELECT *, unit_cents * (amount // 100) AS pack_cents FROM (
 
 def leaflets(spark, sf):
     rows = wide_table(spark, sf, "lineitem", *LINE_KEY).join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    return rows.select(
+    # The pages are written here: narrow rows are dealt out before their texts grow. A table of pages is read as it lies.
+    return rows.repartition("l_orderkey", "l_linenumber").select(
         row_key().alias("page_id"), F.col("l_linenumber").alias("page_number"), F.upper("p_name").alias("name"), "p_name", "p_brand", "p_type",
         ((F.col("p_size") % 9 + 1) * 100).alias("amount"),
         (((F.col("l_partkey") * 37 + F.col("l_suppkey") * 11) % 29 + 1) * 100 + 90).alias("unit_cents"),

@@ -11,7 +11,7 @@ from pricewren.functions.names import row_id
 from pricewren.session import shared_folder
 from pricewren.streaming.ingest import ingest, page_stream
 from pricewren.workload.registry import query
-from pricewren.workload.views import squeeze_sql, t3
+from pricewren.workload.views import squeeze_sql, t3, table
 
 
 def headlines(pages):
@@ -30,7 +30,9 @@ _TITLE = squeeze_sql("""regexp_replace(replace(regexp_extract(html, '(?is)<title
 SELECT count(*) AS offers, count(DISTINCT name) AS names FROM (SELECT min(page_id) AS page_id, name FROM (SELECT page_id, {t3(_TITLE)} AS name FROM pages) WHERE name <> '' GROUP BY name)""")
 def stream_ingest(spark, sf):
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    pages = page_stream(spark, sf, pattern="pages.parquet")
+    # Six files, one per micro batch, so that later batches meet the names of earlier ones.
+    table(spark, sf, "pages").repartition(6, "page_id").write.parquet(f"{folder}/pages")
+    pages = page_stream(spark, f"{folder}/pages", files_per_batch=1)
     ingest(pages, f"{folder}/offers", f"{folder}/checkpoint", headlines, order=("page_id",)).awaitTermination()
     from pricewren.operators.dedupe import loose_name
 

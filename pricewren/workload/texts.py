@@ -236,7 +236,7 @@ def longest_price_line(spark, sf):
 @query("classify_url", """
 WITH a AS (SELECT page_id, unnest(list_concat([url], regexp_extract_all(html, '(?is)<a\\b[^>]*href\\s*=\\s*["'']([^"'']+)["'']', 1))) AS u FROM pages)
 SELECT CASE WHEN regexp_matches(u, '(?i)logo|icon|sprite|favicon|placeholder|pagestub|fbthumb|cover') THEN 'decorative-or-cover'
- WHEN regexp_matches(u, '(?i)leaflet|page|publication|catalog|letak|leták|brochure|prospekt') THEN 'page-or-leaflet-image'
+ WHEN regexp_matches(u, '(?i)leaflet|page|publication|catalog|brochure|prospekt') THEN 'page-or-leaflet-image'
  WHEN regexp_matches(u, '(?i)product|media|image|img|asset|cdn|usercontent') THEN 'possible-product-image' ELSE 'unknown-image' END AS kind,
  count(*) AS n FROM a GROUP BY 1""")
 def classify_url(spark, sf):
@@ -250,7 +250,7 @@ SELECT page_id, array_to_string(list_filter([
  CASE WHEN regexp_matches(url, '(?i)\\.html?(?:[?#].*)?$|/\\d+/?$') THEN 'html' END,
  CASE WHEN regexp_matches(url, '(?i)\\.js(?:[?#].*)?$') THEN 'script' END,
  CASE WHEN regexp_matches(url, '(?i)\\.json(?:[?#].*)?$|/api/|\\.api|manifest|data') THEN 'json' END,
- CASE WHEN regexp_matches(url, '(?i)leaflet|letak|leták|page-|page_|catalog|brochure|prospekt') THEN 'leaflet' END], lambda x: x IS NOT NULL), ',') AS kinds
+ CASE WHEN regexp_matches(url, '(?i)leaflet|page-|page_|catalog|brochure|prospekt') THEN 'leaflet' END], lambda x: x IS NOT NULL), ',') AS kinds
 FROM pages""")
 def classify_asset(spark, sf):
     return pages(spark, sf).select("page_id", F.array_join(H.classify_asset("url"), ",").alias("kinds"))
@@ -350,7 +350,7 @@ def store_hints(spark, sf):
 
 
 @query("endpoint_hints", """
-SELECT page_id, CAST(len(list_distinct(list_filter(regexp_extract_all(html,
- '(?i)["'']([^"'']*(?:api|graphql|product|products|offers|leaflet|letak|leták|catalog|brochure)[^"'']*)["'']', 1), lambda h: length(h) < 300))) AS INTEGER) AS hints FROM pages""")
+SELECT page_id, CAST(len(list_distinct(regexp_extract_all(html,
+ '(?i)["'']([^"'']*(?:api|graphql|product|products|offers|leaflet|catalog|brochure)[^"'']*)["'']', 1))) AS INTEGER) AS hints FROM pages""")
 def endpoint_hints(spark, sf):
     return pages(spark, sf).select("page_id", F.size(H.endpoint_hints("html")).alias("hints"))

@@ -10,17 +10,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pricewren.sources.readers import spread
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def wide_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """A table for CPU-heavy work: only the needed columns, on all cores."""
+    """The needed columns of a table."""
     scan = table(spark, sf_dir, name)
-    return spread(scan.select(*columns) if columns else scan)
+    return scan.select(*columns) if columns else scan
 
 
 LINE_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
