@@ -22,16 +22,18 @@ def read_offers(spark: SparkSession, path: str) -> DataFrame:
     return explode_container(documents)
 
 
-def read_offers_lenient(spark: SparkSession, path: str, products: bool = False) -> DataFrame:
+def read_offers_lenient(spark: SparkSession, path: str, products: bool = False, lines: bool = False) -> DataFrame:
     """Offers of a bare array or of ``offers`` / ``items`` / ``products`` / ``data``.
 
+    ``lines``: the files hold one document per line, so a large feed is split over many tasks.
+
     With a container schema a top-level array reads as one document per element
     whose container arrays are all missing; those elements are offers themselves.
     """
     known = ("offers", "items", "products", "data") if products else ("offers", "items", "data")
     fields = [f for f in schema.CONTAINER.fields if f.name in known or f.name == "meta"]
     loose = type(schema.CONTAINER)(fields + list(schema.RAW_OFFER.fields))
-    documents = spark.read.schema(loose).option("multiLine", True).json(path)
+    documents = spark.read.schema(loose).option("multiLine", not lines).json(path)
     return flatten_documents(documents, known)
 
 
@@ -83,15 +85,15 @@ def load_report(offers: DataFrame, inputs: DataFrame, source: str = "sourceFile"
     )
 
 
-def scan_offer_dir(spark: SparkSession, path: str, skip: Sequence[str] = (), pattern: str = "*.json") -> DataFrame:
-    """Offers of every JSON file under a directory, tagged with their file.
+def scan_offer_dir(spark: SparkSession, path: str, skip: Sequence[str] = (), pattern: str = "*.json", lines: bool = False) -> DataFrame:
+    """Offers of every JSON file under a directory, tagged with their file (``lines``: one document per line).
 
     Files inside a directory named in ``skip`` are left out by file path.
     """
     known = ("offers", "items", "products", "data")
     loose = type(schema.CONTAINER)(list(schema.CONTAINER.fields) + list(schema.RAW_OFFER.fields))
     documents = (
-        spark.read.schema(loose).option("multiLine", True).option("recursiveFileLookup", True)
+        spark.read.schema(loose).option("multiLine", not lines).option("recursiveFileLookup", True)
         .option("pathGlobFilter", pattern).json(path).select("*", F.col("_metadata.file_path").alias("_file"))
     )
     for name in skip:
@@ -144,9 +146,9 @@ def read_html_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_validity_index(spark: SparkSession, path: str) -> DataFrame:
-    """Article validity rows of a JSON array."""
-    return spark.read.schema(schema.VALIDITY).option("multiLine", True).json(path)
+def read_validity_index(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Article validity rows of a JSON array, or of JSON lines."""
+    return spark.read.schema(schema.VALIDITY).option("multiLine", not lines).json(path)
 
 
 def flatten_json_index(documents: DataFrame, json: str, keep: Sequence[str] = ()) -> DataFrame:

@@ -21,9 +21,16 @@ def write_offers(offers: DataFrame, path: str, version: str, partitions: tuple[s
     """
     target = f"{path.rstrip('/')}/version={version}"
     offers.write.mode("errorifexists").partitionBy(*partitions).parquet(target)
+    pointer = offers.sparkSession.range(0, 1, 1, 1).select(F.lit(version).alias("version"), F.current_timestamp().alias("writtenAt"))
+    pointer.write.mode("append").parquet(_pointers(path))
     return target
 
 
+def _pointers(path: str) -> str:
+    """The small table beside an offers table that tells when each version was finished."""
+    return f"{path.rstrip('/')}-versions"
+
+
 def write_meta(spark: SparkSession, target: str, source: str, path: str) -> DataFrame:
     """One metadata row per written version (source, time, count)."""
     meta = spark.read.parquet(target).agg(F.count(F.lit(1)).alias("count")).select(
@@ -39,7 +46,6 @@ def write_json(offers: DataFrame, path: str) -> None:
 
 
 def latest_version(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version of an offers table (partition pruning on ``version``)."""
-    table = spark.read.parquet(path)
-    newest = table.agg(F.max("version").alias("v"))
-    return table.join(newest, F.col("version").cast("string") == F.col("v").cast("string"), "left_semi")
+    """The version of an offers table that was finished last; only its folder is read."""
+    newest = spark.read.schema("version string, writtenAt timestamp").parquet(_pointers(path)).agg(F.max_by("version", "writtenAt")).first()[0]
+    return spark.read.parquet(f"{path.rstrip('/')}/version={newest}")

@@ -416,7 +416,10 @@ def source_potential(spark, sf):
     return audit.source_potential(wide_table(spark, sf, "pages")).select("page_id", "pdfLinks", "hasNextData", "endpoints")
 
 
-@query("source_rating")
+@query("source_rating", """
+SELECT rating, count(*) AS pages FROM (SELECT CASE WHEN contains(html, '__NEXT_DATA__') OR len(list_distinct(regexp_extract_all(html,
+ '(?i)["'']([^"'']*(?:api|graphql|product|products|offers|leaflet|catalog|brochure)[^"'']*)["'']', 1))) > 5 THEN 'high-for-structured-data'
+ ELSE 'low-or-needs-manual-investigation' END AS rating FROM pages) GROUP BY 1""")
 def source_rating(spark, sf):
     return audit.source_potential(wide_table(spark, sf, "pages")).groupBy("rating").agg(F.count(F.lit(1)).alias("pages"))
 

@@ -265,11 +265,13 @@ def nearest_reference_price(rows):
 
 @_rows("choose_price", CANDIDATES_SQL + """
 , b AS (SELECT id, arg_min({'p': price, 'd': diff, 'a': adjusted, 'n': nearest}, (diff, adjusted, price)) AS s FROM n GROUP BY id)
-SELECT id, CASE WHEN s.d <= 0.15 THEN s.n ELSE s.p END AS price,
- CASE WHEN s.a = 1 THEN 'computed-adjusted-unit-price' ELSE 'computed' END AS source FROM b""")
+SELECT rows.id, CASE WHEN mix % 5 >= 2 THEN CASE WHEN s.d <= 0.15 THEN s.n ELSE s.p END WHEN mix % 5 = 0 THEN unit_cents / 100 END AS price,
+ CASE WHEN mix % 5 >= 2 THEN CASE WHEN s.a = 1 THEN 'computed-adjusted-unit-price' ELSE 'computed' END WHEN mix % 5 = 0 THEN 'lead' ELSE 'missing' END AS source
+FROM b JOIN rows ON b.id = rows.id""")
 def choose_price(rows):
-    best = _candidates(rows).withColumn("b", K.best_candidate(F.col("c")))
-    chosen = best.withColumn("x", R.choose_price(F.col("b"), F.lit(None).cast("double")))
+    # Every fifth row has a lead price only, another fifth has neither.
+    best = _candidates(rows).withColumn("b", F.when(F.col("mix") % 5 >= 2, K.best_candidate(F.col("c"))))
+    chosen = best.withColumn("x", R.choose_price(F.col("b"), F.when(F.col("mix") % 5 == 0, F.col("unit_cents") / 100)))
     return chosen.select("id", "x.price", "x.source")
 
 
