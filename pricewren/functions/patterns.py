@@ -23,9 +23,14 @@ AMOUNT = r"\d{1,4}(?:\s?\d{3})*,\d{2}"
 LOOSE_AMOUNT = r"\d{1,4}(?:\s?\d{3})*(?:,\d{1,2})?"
 
 
+def bare_word(*alternatives: str) -> str:
+    """Pattern (without flags) matching any alternative as a whole word."""
+    return f"{EDGE_L}(?:{'|'.join(alternatives)}){EDGE_R}"
+
+
 def word(*alternatives: str) -> str:
     """Case-insensitive pattern matching any alternative as a whole word."""
-    return f"(?iu){EDGE_L}(?:{'|'.join(alternatives)}){EDGE_R}"
+    return f"(?iu){bare_word(*alternatives)}"
 
 
 def starts(*alternatives: str) -> str:

@@ -14,7 +14,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pricewren.functions.html import canonical_image_url
-from pricewren.functions.money import number_text
 from pricewren.functions.text import first_text, normalize_loose, not_blank, text_of
 
 Key = Sequence[Column | str]
@@ -90,13 +89,6 @@ def loose_name() -> Column:
     return normalize_loose("product")
 
 
-def exact_name_key() -> Column:
-    """Exact import key: folded name, price and store."""
-    return normalize_loose(
-        F.concat_ws("|", text_of("product"), number_text("price"), first_text("storeId", "storeName"))
-    )
-
-
 def not_present(candidates: DataFrame, base: DataFrame, name: str = "product") -> DataFrame:
     """Candidates whose folded name does not occur in ``base``.
 

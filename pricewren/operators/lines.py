@@ -10,7 +10,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pricewren.functions.text import text_of
 
 
 def explode_lines(pages: DataFrame, lines: Column, keep: Sequence[str]) -> DataFrame:
@@ -91,8 +90,3 @@ def top_k_per_group(df: DataFrame, keys: Sequence[Column | str], k: int, *order:
     """The first ``k`` rows per group; limited map-side before the shuffle."""
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
-
-
-def split_lines(c: Column | str) -> Column:
-    """Trimmed non-empty lines of a text."""
-    return F.filter(F.transform(F.split(text_of(c), r"\r?\n"), lambda line: F.trim(line)), lambda line: line != "")

@@ -33,6 +33,7 @@ LEAFLET_WORDS = ("leaflet", "catalog", "brochure", "prospekt")
 # --- fixed values: units and prices ------------------------------------------
 UNIT_BASES = (r"100\s*g", r"1\s*kg", r"1\s*l", r"100\s*ml", r"1\s*ks", r"100\s*ks", r"1\s*role", r"1\s*dávka", r"0,5\s*l")
 SEGMENT_BASES = (r"100\s*g", r"1\s*kg", r"1\s*l", r"100\s*ml", r"1\s*ks", r"100\s*ks", r"1\s*m")
+SEGMENT_UNITS = ("g", "kg", "ml", "l", "ks", "m", "svazek", "balení")
 PACKAGE_UNITS = ("g", "kg", "ml", "l", "ks", "role", "dávek")
 RETAIL_CENTS = (0, 90, 99)
 COMPUTED_CENTS = (0, 20, 21, 22, 23, 24, 25, 91, 92, 93, 94)
