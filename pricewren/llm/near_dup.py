@@ -278,9 +278,13 @@ def group(
     known = staged(_similarities(tested, classes, texts, size, wide))
     enough = 100 * F.col("both") >= percent * F.col("all")
     links = known.where(enough)
-    # An id with several texts ties their classes together.
-    same = named.groupBy("sig_a", "sig_b").agg(F.min("id").alias("c")).join(named.select("sig_a", "sig_b", "id"), ["sig_a", "sig_b"])
-    links = links.select("a", "b").union(same.where("id <> c").join(classes.select("id"), "id").select(F.col("id").alias("a"), F.col("c").alias("b")))
+    # An id with several texts ties their classes together; such ids are few, so the joins that follow are small.
+    by_set = F.struct("sig_a", "sig_b")
+    several = named.groupBy("id").agg(F.min(by_set).alias("x"), F.max(by_set).alias("y")).where("x <> y").select("id")
+    of = named.join(staged(several), "id").select("id", "sig_a", "sig_b").distinct()
+    of = staged(of.join(classes.select("sig_a", "sig_b", F.col("id").alias("c")), ["sig_a", "sig_b"]).select("id", "c"))
+    ties = of.join(of.groupBy("id").agg(F.min("c").alias("m")), "id").where("c <> m").select(F.col("c").alias("a"), F.col("m").alias("b"))
+    links = links.select("a", "b").union(ties)
     first = staged(components(links))
 
     near = known.where(F.col("both") >= wide * F.col("all")).select(F.col("a").alias("id"), F.col("b").alias("p"), enough.alias("linked"))

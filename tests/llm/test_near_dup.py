@@ -69,6 +69,10 @@ def test_repeated_rows_missing_ids_and_empty_table(spark):
     got = sorted(((r.id, r.component_id, r.kept) for r in near_dup.group(df, size=2).collect()), key=str)
     assert got == sorted([(4, 2, False), (4, 2, False), (2, 2, True), (4, 2, False), (None, None, True), (9, 2, False)], key=str)
     assert near_dup.group(df.where("false"), size=2).count() == 0
+    # An id that is the smallest of none of its classes ties them as well.
+    tied = [(5, "a b c d"), (3, "a b c d"), (5, "q r s t"), (4, "q r s t")]
+    found = near_dup.group(spark.createDataFrame(tied, "doc_id long, text string"), size=2).collect()
+    assert {r.component_id for r in found} == {3}
 
 
 def test_sketch_estimates():
