@@ -53,11 +53,12 @@ def prepare_source(offers: DataFrame, name: str | Column) -> DataFrame:
 
 
 def combine_offers(sources: Mapping[str, DataFrame], order: tuple[str, ...] = ("sourceOrder", "seq"),
-                   sort: bool = True) -> DataFrame:
+                   sort: bool = False) -> DataFrame:
     """Normalise, enrich, filter and union the sources, last copy wins.
 
     Every source carries its input order in ``seq``; the sources rank in the
-    given order.  One shuffle by offer key, one range shuffle for the sort.
+    given order.  One shuffle by offer key; ``sort`` adds a range shuffle of all
+    rows, which a sink that is partitioned by chain does not need.
     """
     prepared = [
         prepare_source(df, name).withColumn("sourceOrder", F.lit(position))

@@ -66,13 +66,14 @@ def cheapest_visible(offers: DataFrame, stores=None, mode: str = "trusted", text
 
     The cheapest is decided among all selected and trusted offers, before the
     text query; the query then only has to look at the winners.  One scan, one
-    shuffle of at most one row per product and map task, no join back.
+    shuffle of at most one row per product and map task, no join back.  One row
+    per product; an id that stands for several products wins with each of them.
     """
     picked = filter_quality(offers if stores is None else filter_stores(offers, stores), mode)
     valued = picked.withColumns(
         {"key": comparable_key(picked), "value": F.coalesce(comparable_value(), F.lit(INFINITY))}
     )
-    return search(keep_one(valued, ["key"], F.asc("value"), F.asc("id")), text).dropDuplicates(["id"])
+    return search(keep_one(valued, ["key"], F.asc("value"), F.asc("id")), text)
 
 
 def flag_cheapest(offers: DataFrame, order: Sequence[str] = ("id",)) -> DataFrame:

@@ -20,7 +20,7 @@ SELECT id, "storeId", product, price, {KEY} AS "compareKey", CASE src WHEN 0 THE
  (SELECT *, row_number() OVER (PARTITION BY "storeId", {KEY}, "packageSize", price, "unitPrice", "pageNumber" ORDER BY src DESC, id DESC) AS rn FROM s) WHERE rn = 1""")
 
 
-def _combined(spark, sf, sort=True):
+def _combined(spark, sf, sort=False):
     offers = offers_view(spark, sf)
     sources = {"feed one": offers.filter("confidence <> 'low'"), "feed two": offers.filter("confidence = 'low'")}
     return combine.combine_offers(sources, order=("sourceOrder", "id"), sort=sort)

@@ -104,7 +104,7 @@ def test_combine(spark):
     one = spark.createDataFrame([("Pivo  Braník", "0,5 l", "12.9", "2", 0), ("VEZMĚTE SI nyní", "", "5", None, 1), ("bez ceny", "", None, None, 2)],
                                 "product string, packageSize string, price string, pageNumber string, seq long")
     two = spark.createDataFrame([("Pivo Braník", "0,5 l", 12.9, "true", 0), ("Máslo", "250 g", 49.9, None, 1)], "product string, packageSize string, price double, suspect string, seq long")
-    got = combine.combine_offers({"feed one": one, "feed two": two}).collect()
+    got = combine.combine_offers({"feed one": one, "feed two": two}, sort=True).collect()
     assert [(r["product"], r["chain"], r["unit"], r["confidence"]) for r in got] == [
         ("Pivo Braník", "feed one", "Kč/ks", "high"), ("Máslo", "feed two", "Kč/ks", "high")]
     beer = got[0]
