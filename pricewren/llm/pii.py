@@ -49,6 +49,7 @@ _MORE = {
     "card": re.compile(r"(?<![0-9])[0-9]{1,8}+(?:[\x20._/-]{0,2}[0-9]{1,8}+){1,8}"),
     "phone": re.compile(r"(?<![0-9A-Za-z])(?:\+|00)?\(?[0-9]{1,5}+\)?(?:[\x20./-]{0,2}\(?[0-9]{1,5}+\)?){1,6}"),
 }
+_NEEDS = {"email": re.compile(r"@|[\s\[({]at[\s\])}]"), "ip": re.compile(r"[0-9:]"), "card": re.compile("[0-9]"), "phone": re.compile("[0-9]")}
 _NATIONAL = re.compile(r"\+?[0-9]{1,3}[\x20.-]+(?=\(?[0-9])")
 #: Fixed key words, looked for in the characters before a candidate.
 _KEYS = {
@@ -89,7 +90,8 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 
 def candidates(text: str, kind: str) -> list[tuple[int, int]]:
     """Spans that the generators of a kind propose; they may overlap."""
-    if kind == "email" and "@" not in text and "at" not in text:
+    # A text without what every match needs is passed over.
+    if not _NEEDS[kind].search(text):
         return []
     found = []
     for m in _MORE[kind].finditer(text):
