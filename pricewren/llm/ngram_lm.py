@@ -1,17 +1,18 @@
 """Interpolated modified Kneser-Ney language model, counted in Spark.
 
-Tokens are words (A-Z in lower case) and one end per text, as 64-bit hashes. Spark counts the words of all training texts. Words with at
-least the share `rare` of all tokens are the vocabulary, so it has 1/rare words at most whatever the corpus; the rarer words
-share one class, and within it a word has its own smoothed count. n-grams of vocabulary numbers are counted over all
-training texts, and continuation counts, the three discounts of each order and the back-off weights come from all of them.
+Tokens are words (A-Z in lower case) and one end per text, as 64-bit hashes. Every word and every n-gram of the training texts is part of
+the model; none is dropped, and rare words share no class. n-grams are counted over all training texts, and continuation
+counts, the three discounts of each order and the back-off weights come from all of them. The probability that the unigram
+discounts free is dealt out evenly to all words and one unknown word.
 
-The model that is stored holds, of each order, the n-grams that have the same least share, again 1/rare at most; the mass of the
-others is in the back-off weight of their context, so every distribution still sums to one. It is kept as sorted arrays of
-packed n-grams beside their probabilities, in files that Spark hands to the executors and the workers map into memory.
+The logarithm of a probability is a sum with a term for each order: for the word, for the back-off weight of each context and, for an n-gram that
+was counted, its gain over backing off. So each n-gram has one entry, and a text's score is the sum of its entries. Entries of
+what has at least the share `rare` of all tokens (1/rare of an order at most) are arrays in files that Spark hands to the executors and
+the workers map into memory; all others stay in Spark. `rare` decides where an entry is looked up and changes no result.
 
-Scoring is one pass over whole texts. Tokens of the rare class need exact counts, of which there may be any number: they leave the pass as
-(document, word) rows and are joined with the counts of rare words. Frequent words never take part in this
-join, so it has no hot key. What it adds to both scores is the sum of log10(count + 0.5).
+Scoring is one pass over whole texts, which looks up the frequent entries in the arrays. What it doesn't find there leaves it as
+(document, entry) rows and is joined with the other entries. Frequent words and n-grams never take part in this join, so it
+has no hot key. A row without an entry stands for an unknown word (its terms are in the document's own row) or an unseen n-gram (no gain).
 
 A null text is the empty text: one end token. Rows with a null id are scored and not held out, and not learned from. Repeated
 rows count each and get their score each. With no training text, all words are unknown and base scores follow the formula with
@@ -34,11 +35,11 @@ from pyspark.sql import functions as F
 
 from pricewren.llm.common import slices, staged
 
-#: Least share of all tokens for the vocabulary and for stored n-grams; 1 / RARE bounds their number.
+#: Share of all tokens from which on a word or n-gram is looked up in the workers' arrays; 1 / RARE bounds their number.
 RARE = 5e-7
-#: Bits of a vocabulary number in a packed n-gram, by order.
-BITS = {2: 31, 3: 21}
-BEGIN, CLASS, FIRST = 0, 1, 2  # numbers of the text's begin, the class of rare words, the first word
+#: Bits of the hash that stands for a word outside the arrays; such numbers are negative.
+BITS = 63
+BEGIN, CLASS, FIRST = 0, 1, 2  # numbers of the text's begin, an unknown word, the first word
 END = np.uint64(0x00E5D0F7E87)  # stands for the end token among the word hashes
 #: Tokens that a task counts at a time, and words whose hashes it remembers.
 CHUNK, MAX_REMEMBERED = 4_000_000, 400_000
@@ -111,17 +112,36 @@ def numbers(hashes: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
     return np.where(vocabulary[at] == hashes, at + FIRST, CLASS)
 
 
-def packed(ids: np.ndarray, order: int, bits: int, place: np.ndarray | None = None) -> np.ndarray:
-    """The n-gram that ends at each token, packed; the last token has the lowest bits, BEGIN fills up the front.
+def known_numbers(hashes: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
+    """Vocabulary numbers of word hashes; all other words have their hash as a negative number."""
+    ids = numbers(hashes, vocabulary)
+    return np.where(ids == CLASS, (hashes | np.uint64(1 << BITS)).view(np.int64), ids)
+
+
+def gram(ids: np.ndarray, order: int, place: np.ndarray | None = None) -> list[np.ndarray]:
+    """The numbers of the n-gram that ends at each token, first to last; BEGIN fills up the front.
 
     place is each token's position in its text (default: all are one text).
     """
     place = np.arange(len(ids)) if place is None else place
     line = np.concatenate([np.full(order - 1, BEGIN, np.int64), ids])
-    out = np.zeros(len(ids), np.int64)
-    for k in range(order):
-        out = (out << bits) | np.where(place >= order - 1 - k, line[k : k + len(ids)], BEGIN)
-    return out
+    return [np.where(place >= order - 1 - k, line[k : k + len(ids)], BEGIN) for k in range(order)]
+
+
+def _scrambled(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def entry_keys(columns: list[np.ndarray]) -> np.ndarray:
+    """64-bit keys of n-grams given as columns of numbers; a single word is its number."""
+    if len(columns) == 1:
+        return columns[0]
+    key = columns[0].astype(np.int64).view(np.uint64)
+    for column in columns[1:]:
+        key = _scrambled(_scrambled(key + np.uint64(0x9E3779B97F4A7C15)) ^ column.astype(np.int64).view(np.uint64))
+    return key.view(np.int64)
 
 
 def joined(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,16 +163,70 @@ def discounts(table: DataFrame) -> list[float]:
 
 
 class Model:
-    """Files and totals of a fitted model."""
+    """Files, totals and the other entries of a fitted model."""
+
+    def __init__(self, order, files, total, distinct, unknown, entries) -> None:
+        self.order, self.bits, self.files, self.total, self.distinct = order, BITS, files, total, distinct
+        self.unknown, self.entries = unknown, entries
+
+
+def _count_grams(texts: DataFrame, names: Files, order: int) -> DataFrame:
+    """x1 to x<order> and n of all n-grams."""
+    columns = [f"x{k + 1}" for k in range(order)]
+
+    def flush(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        parts = [np.concatenate(x) for x in zip(*held, strict=True)]
+        _, at, n = np.unique(entry_keys(parts), return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([*[pa.array(x[at]) for x in parts], pa.array(n.astype(np.int64))], names=[*columns, "n"])
+
+    def run(batches):
+        known = names.mapped()["vocabulary"]
+        held, size = [], 0
+        for hashes, _, place in map(joined, _texts(batches)):
+            held.append(gram(known_numbers(hashes, known), order, place))
+            size += len(hashes)
+            if size >= CHUNK:
+                yield flush(held)
+                held, size = [], 0
+        if size:
+            yield flush(held)
+
+    counted = texts.mapInArrow(run, ", ".join(f"{c} long" for c in columns) + ", n long")
+    return staged(counted.groupBy(*columns).agg(F.sum("n").alias("n")))
 
-    def __init__(self, order, bits, files, total, distinct, rare_total, rare_distinct, rare_counts) -> None:
-        self.order, self.bits, self.files, self.total, self.distinct = order, bits, files, total, distinct
-        self.rare_total, self.rare_distinct, self.rare_counts = rare_total, rare_distinct, rare_counts
+
+def _keyed(table: DataFrame, order: int, files: Files | None = None) -> DataFrame:
+    """table with g, the key of x1 to x<order>; of pairs of words in files also t and rest of the first, p of the second."""
+    columns = [f"x{k + 1}" for k in range(order)]
+    kinds = "".join(f"{c} {t}, " for c, t in table.dtypes)
+
+    def run(batches):
+        arrays = files.mapped() if files else None
+        for batch in batches:
+            x = [batch.column(c).to_numpy() for c in columns]
+            out = [*batch.columns, pa.array(entry_keys(x))]
+            if arrays:
+                first, last = np.maximum(x[0], 0), np.maximum(x[-1], 0)
+                out += [pa.array(arrays[name][first], mask=x[0] < 0) for name in ("t", "rest")] + [pa.array(arrays["p"][last], mask=x[-1] < 0)]
+            yield pa.RecordBatch.from_arrays(out, names=[*batch.schema.names, "g", *(("t", "rest", "p") if arrays else ())])
+
+    return table.mapInArrow(run, f"{kinds}g long" + (", t double, rest double, p double" if files else ""))
+
+
+def _by_number(rows: DataFrame, names: list[str], size: int, default: float) -> list[np.ndarray]:
+    """Arrays of the columns `names` by the number x1, of the numbers in files: 1 / rare rows at most."""
+    found = rows.where("x1 >= 0").select("x1", *names).toArrow()
+    out = []
+    for name in names:
+        values = np.full(size, default)
+        values[found["x1"].to_numpy()] = found[name].to_numpy()
+        out.append(values)
+    return out
 
 
 def fit(train: DataFrame, order: int = 2, rare: float = RARE, text: str = "text") -> Model:
     """The model of all texts of train."""
-    spark, bits = train.sparkSession, BITS[order]
+    spark = train.sparkSession
     texts = train.select(F.col(text).alias("text"))
 
     def count_words(batches):
@@ -165,81 +239,126 @@ def fit(train: DataFrame, order: int = 2, rare: float = RARE, text: str = "text"
     vocabulary, counts = head["g"].to_numpy().view(np.uint64), head["n"].to_numpy()
     by_hash = np.argsort(vocabulary)
     vocabulary, counts = vocabulary[by_hash], counts[by_hash]
-    gains = np.zeros(len(vocabulary) + FIRST)  # by number, for the base score
+    size = len(vocabulary) + FIRST
+    gains = np.full(size, math.log10(0.5))  # by number, for the base score
     gains[FIRST:] = np.log10(counts + 0.5)
     names = Files(spark, {"vocabulary": vocabulary, "gains": gains})
 
-    def count_grams(batches):
-        known = names.mapped()["vocabulary"]
-        for_texts = ((hashes, place) for hashes, _, place in map(joined, _texts(batches)))
-        yield from _counted(packed(numbers(hashes, known), order, bits, place) for hashes, place in for_texts)
-
-    table = staged(texts.mapInArrow(count_grams, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")))
-    arrays: dict[str, np.ndarray] = {}
-    for k in range(order, 0, -1):
-        d = discounts(table)
-        n = F.col("n")
-        off = n - F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])
-        if k > 1:
-            kept = n >= least
-            context = F.shiftright("g", bits).alias("h")
-            sums = table.groupBy(context).agg(F.sum("n").alias("t"), F.sum(F.when(kept, off).otherwise(0.0)).alias("s"), F.max(kept).alias("any"))
-            sums = staged(sums.where("any").select("h", "t", (1 - F.col("s") / F.col("t")).alias("rest")))
-            grams = table.where(kept).select(context, "g", off.alias("a")).join(sums, "h").select("g", (F.col("a") / F.col("t")).alias("p"))
-            for name, part in ((f"gram{k}", grams.select("g", "p")), (f"context{k}", sums.select(F.col("h").alias("g"), F.col("rest").alias("p")))):
-                found = part.toArrow()  # 1 / rare rows at most
-                key, value = found["g"].to_numpy(), found["p"].to_numpy()
-                if name == "context2":  # a context of one token is looked up by its number
-                    arrays[name] = np.ones(len(vocabulary) + FIRST)
-                    arrays[name][key] = value
-                    continue
-                by_key = np.argsort(key)
-                arrays[f"{name}_keys"], arrays[f"{name}_values"] = key[by_key], value[by_key]
-            table = staged(table.groupBy(F.col("g").bitwiseAND((1 << bits * (k - 1)) - 1).alias("g")).agg(F.count("*").alias("n")))
+    # Counts of each order; below the highest, continuation counts.
+    tables = {order: _count_grams(texts, names, order)}
+    for k in range(order - 1, 0, -1):
+        later = [F.col(f"x{i + 2}").alias(f"x{i + 1}") for i in range(k)]
+        tables[k] = staged(tables[k + 1].groupBy(*later).agg(F.count("*").alias("n")))
+    n = F.col("n")
+    log = lambda x: F.log10(F.coalesce(x, F.lit(1.0)))
+    drop = {k: discounts(tables[k]) for k in tables}
+    off = {k: n - F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2]) for k, d in drop.items()}
+    # t and rest of every context of an order.
+    contexts: dict[int, DataFrame] = {}
+    for k in range(2, order + 1):
+        sums = tables[k].groupBy(*[f"x{i + 1}" for i in range(k - 1)]).agg(F.sum("n").cast("double").alias("t"), F.sum(off[k]).alias("s"))
+        contexts[k] = staged(sums.select("*", (1 - F.col("s") / F.col("t")).alias("rest")).drop("s"))
+
+    sum_n, sum_off = (x or 0 for x in tables[1].agg(F.sum("n"), F.sum(off[1])).first())
+    unknown = (1 - sum_off / sum_n if sum_n else 1.0) / (distinct + 1)
+    # p of every word, and v: what a word outside the arrays adds to a score, more than an unknown one, and as the next token's context.
+    single = tables[1].select("x1", ((off[1] / sum_n if sum_n else F.lit(0.0)) + unknown).alias("p"))
+    both = single.join(contexts[2], "x1", "full") if order > 1 else single.withColumn("rest", F.lit(None).cast("double"))
+    level = both.select("x1", (log(F.col("p") / unknown) + log(F.col("rest"))).alias("v"))
+    arrays = {"p": _by_number(single, ["p"], size, unknown)[0]}
+    arrays["single"] = np.log10(arrays["p"])
+    tail = words.where(n < least).select(F.col("g").bitwiseOR(F.lit(-(1 << BITS))).alias("x1"), "n")
+    entries = tail.join(level, "x1", "left").select(F.col("x1").alias("g"), "n", "v")
+    if order > 1:
+        arrays["t"], arrays["rest"] = _by_number(contexts[2], ["t", "rest"], size, 1.0)
+        arrays["after"] = np.log10(arrays["rest"])
+        names = Files(spark, arrays, names.names)
+    lower = single
+    arrays = {}
+    for k in range(2, order + 1):
+        columns = [f"x{i + 1}" for i in range(k)]
+        if k == 2:
+            # Words in files bring their numbers along; only the others are joined, beside keys that meet nothing.
+            near = _keyed(tables[2], 2, names)
+            far = near.where("x1 < 0 or x2 < 0")
+            own = F.col("g").bitwiseAND((1 << BITS) - 1)
+            first = contexts[2].where("x1 < 0").select(F.col("x1").alias("k1"), F.col("t").alias("far_t"), F.col("rest").alias("far_rest"))
+            last = lower.where("x1 < 0").select(F.col("x1").alias("k2"), F.col("p").alias("far_p"))
+            far = far.withColumns({"k1": F.when(F.col("x1") < 0, F.col("x1")).otherwise(own), "k2": F.when(F.col("x2") < 0, F.col("x2")).otherwise(own)})
+            far = far.join(first, "k1", "left").join(last, "k2", "left")
+            far = far.select(*columns, "n", "g", *[F.coalesce(c, f"far_{c}").alias(c) for c in ("t", "rest", "p")])
+            parts = [near.where("x1 >= 0 and x2 >= 0"), far]
+        else:
+            last = lower.select(*[F.col(f"x{i + 1}").alias(f"x{i + 2}") for i in range(k - 1)], "p")
+            parts = [_keyed(tables[k], k).join(contexts[k], columns[:-1]).join(last, columns[1:])]
+        gain = F.log10(1 + off[k] / F.col("t") / F.col("rest") / F.col("p"))
+        if k < order:
+            level = staged(parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0])
+            lower = level.select(*columns, (off[k] / F.col("t") + F.col("rest") * F.col("p")).alias("p"))
+            following = contexts[k + 1].select(*columns, F.col("rest").alias("next"))
+            # Contexts that are no n-grams consist of BEGIN only.
+            level = level.join(following, columns, "left").select("g", "n", gain.alias("gain"), log(F.col("next")).alias("after"))
+            # The context that is no n-gram itself: BEGIN only.
+            begin = following.where(" and ".join(f"{c} = {BEGIN}" for c in columns))
+            begin = _keyed(begin, k).select("g", F.lit(total).cast("long").alias("n"), F.lit(0.0).alias("gain"), log(F.col("next")).alias("after"))
+            level = level.unionByName(begin)
+            found, rest_of = level.where(n >= least), level.where(n < least).select("g", (F.col("gain") + F.col("after")).alias("v"))
         else:
-            # The vocabulary and the class: 1 / rare + 1 rows at most. What the discounts free goes to all of them alike.
-            found = table.select("g", "n", off.alias("a")).toArrow()
-            size = len(vocabulary) + 1
-            sum_n = int(np.sum(found["n"].to_numpy())) if len(found) else 0
-            p = np.zeros(len(vocabulary) + FIRST)
-            if sum_n:
-                p[found["g"].to_numpy()] = found["a"].to_numpy() / sum_n
-            p[CLASS:] += (1 - p.sum()) / size
-            arrays["single"] = p
-    files = Files(spark, arrays, names.names)
-    rare_total, rare_distinct = total - int(counts.sum()), distinct - len(vocabulary)
-    return Model(order, bits, files, total, distinct, rare_total, rare_distinct, words.where(F.col("n") < least))
-
-
-def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: float) -> np.ndarray:
+            found = parts[0].where(n >= least).select("g", gain.alias("gain"), F.lit(0.0).alias("after"))  # these n-grams' words are as frequent
+            rest_of = parts[0].where(n < least).select("g", gain.alias("v"))
+            for part in parts[1:]:
+                rest_of = rest_of.unionByName(part.select("g", gain.alias("v")))
+        entries = entries.unionByName(rest_of.select("g", F.lit(None).cast("long").alias("n"), "v"))
+        found = found.select("g", "gain", "after").toArrow()  # 1 / rare rows at most
+        by_key = np.argsort(found["g"].to_numpy())
+        arrays |= {f"gram{k}_{name}": found[column].to_numpy()[by_key] for name, column in (("keys", "g"), ("gains", "gain"), ("after", "after"))}
+    return Model(order, Files(spark, arrays, names.names), total, distinct, unknown, entries)
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    """Which of the wanted keys are there, and their values (0 for the others)."""
     if not len(keys):
-        return np.full(len(wanted), default)
+        return [np.zeros(len(wanted), bool), *[np.zeros(len(wanted)) for _ in values]]
     at = np.searchsorted(keys, wanted)
     at[at == len(keys)] = 0
-    return np.where(keys[at] == wanted, values[at], default)
+    found = keys[at] == wanted
+    return [found, *[np.where(found, x[at], 0.0) for x in values]]
 
 
-def probabilities(ids: np.ndarray, arrays: dict[str, np.ndarray], order: int, bits: int, place: np.ndarray | None = None) -> np.ndarray:
-    """The model's probability of each vocabulary number after its predecessors."""
-    p = arrays["single"][ids]
-    grams = packed(ids, order, bits, place)
+def _terms(ids: np.ndarray, arrays: dict[str, np.ndarray], order: int, place: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """What the entries in arrays give for each token; by order the keys at each token, and which of them are in arrays.
+
+    An entry outside them counts from its own token on: a word's or n-gram's term together with its term as the next token's context.
+    """
+    single = lambda name, x: np.where(x >= 0, arrays[name][np.maximum(x, 0)], 0.0)
+    columns = gram(ids, order, place)
+    total, keys, found = single("single", ids), [ids], [ids >= 0]
     for k in range(2, order + 1):
-        gram = grams & ((1 << bits * k) - 1)
-        known = _find(arrays[f"gram{k}_keys"], arrays[f"gram{k}_values"], gram, 0.0)
-        context = gram >> bits
-        rest = arrays["context2"][context] if k == 2 else _find(arrays[f"context{k}_keys"], arrays[f"context{k}_values"], context, 1.0)
-        p = known + rest * p
-    return p
+        context, key = entry_keys(columns[order - k : -1]), entry_keys(columns[order - k :])
+        if k == 2:
+            total += single("after", context)
+        else:
+            total += _find(arrays[f"gram{k - 1}_keys"], context, arrays[f"gram{k - 1}_after"])[1]
+        there, gain = _find(arrays[f"gram{k}_keys"], key, arrays[f"gram{k}_gains"])
+        total += gain
+        keys.append(key)
+        found.append(there)
+    return total, keys, found
+
+
+def probabilities(ids: np.ndarray, arrays: dict[str, np.ndarray], order: int, bits: int = BITS, place: np.ndarray | None = None) -> np.ndarray:
+    """The model's probability of each number after its predecessors, where all entries are in arrays (bits is not read)."""
+    return 10 ** _terms(ids, arrays, order, place)[0]
 
 
 def score(docs: DataFrame, model: Model, keys: list[str], text: str = "text") -> DataFrame:
     """Every row: keys, n_tokens, n_known, base_score, score (log10)."""
-    order, bits, files = model.order, model.bits, model.files
-    base_all = math.log10(model.total + 0.5 * (model.distinct + 1))
-    class_all = math.log10(model.rare_total + 0.5 * (model.rare_distinct + 1))
-    rows = docs.select(F.struct(*[F.col(k) for k in keys]).alias("key"), F.xxhash64(F.col(text)).alias("t_a"), F.col(text).alias("text"))
+    order, files = model.order, model.files
+    base_all, unknown = math.log10(model.total + 0.5 * (model.distinct + 1)), math.log10(model.unknown)
+    key = F.struct(*[F.col(k) for k in keys])
+    rows = docs.select(key.alias("key"), F.xxhash64(*[F.col(k) for k in keys], F.col(text)).alias("row"), F.col(text).alias("text"))
     key_type = rows.schema["key"].dataType.simpleString()
-    numbers_type = "struct<n_tokens:bigint,n_known:bigint,base:double,score:double>"
+    own_type = f"struct<key:{key_type},n_tokens:bigint,n_known:bigint,base:double,score:double>"
 
     def run(batches):
         arrays = files.mapped()
@@ -248,43 +367,40 @@ def score(docs: DataFrame, model: Model, keys: list[str], text: str = "text") ->
                 if not len(part):
                     continue
                 hashes, starts, place = joined(part.column("text").to_pylist())
-                ids = numbers(hashes, arrays["vocabulary"])
-                often = ids >= FIRST
+                ids = known_numbers(hashes, arrays["vocabulary"])
                 each = lambda values: np.add.reduceat(values, starts)
-                n, n_often = each(np.ones(len(ids), np.int64)), each(often.astype(np.int64))
-                base = each(arrays["gains"][ids]) - n * base_all
-                total = each(np.log10(probabilities(ids, arrays, order, bits, place))) - (n - n_often) * class_all
-                # Rare words by document, each once with its number.
+                n, n_known = each(np.ones(len(ids), np.int64)), each((ids >= 0).astype(np.int64))
+                # Words outside the arrays count as unknown here; their entries correct that.
+                base = each(arrays["gains"][np.where(ids < 0, CLASS, ids)]) - n * base_all
+                terms, wanted, found = _terms(ids, arrays, order, place)
+                total = each(terms + np.where(ids < 0, unknown, 0.0))
                 line = np.cumsum(place == 0) - 1
-                of, rare = line[~often], hashes[~often]
-                by = np.lexsort((rare, of))
-                of, rare = of[by], rare[by]
-                new = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (rare[1:] != rare[:-1])) if len(of) else np.empty(0, bool))
-                # The row of the document itself has a word of its own, so that these rows do not meet in one partition.
-                own = hashes[starts] ^ n.astype(np.uint64)
-                at = pa.array(np.concatenate([np.arange(len(n)), of[new]]))
-                words = pa.array(np.concatenate([own, rare[new]]).view(np.int64))
-                times = pa.array(np.concatenate([np.zeros(len(n)), np.diff(np.append(new, len(of)))]).astype(np.int32))
-                numbers_of = [pa.array(np.concatenate([x, np.zeros(len(new), x.dtype)])) for x in (n, n_often, base, total)]
-                is_rare = pa.array(np.arange(len(at)) >= len(n))
-                totals = pa.StructArray.from_arrays(numbers_of, names=["n_tokens", "n_known", "base", "score"], mask=is_rare)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("key").take(at), part.column("t_a").take(at), words, times, totals], names=["key", "t_a", "g", "times", "own"]
-                )
-
-    found = rows.mapInArrow(run, f"key {key_type}, t_a long, g long, times int, own {numbers_type}")
-    rare = model.rare_counts.select("g", F.col("n").alias("c"))
-    found = found.join(rare, "g", "left")
-    gain = F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)
-    sums = found.groupBy("key", "t_a").agg(
-        F.count("own").alias("copies"), F.sum("own.n_tokens").alias("n_tokens"), F.sum("own.n_known").alias("n_known"),
-        F.sum("own.base").alias("base"), F.sum("own.score").alias("score"),
-        F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"), F.sum(gain).alias("gain"),
+                # The row of the document itself has a key of its own, so that these rows do not meet in one partition.
+                at = np.concatenate([np.arange(len(n)), *[line[~x] for x in found]])
+                outside = np.concatenate([hashes[starts].view(np.int64) ^ n, *[g[~x] for g, x in zip(wanted, found, strict=True)]])
+                beyond = len(at) - len(n)
+                numbers_of = [pa.array(np.concatenate([x, np.zeros(beyond, x.dtype)])) for x in (n, n_known, base, total)]
+                key_of = part.column("key").take(pa.array(np.concatenate([np.arange(len(n)), np.zeros(beyond, np.int64)])))
+                names = ["key", "n_tokens", "n_known", "base", "score"]
+                own = pa.StructArray.from_arrays([key_of, *numbers_of], names=names, mask=pa.array(np.arange(len(at)) >= len(n)))
+                yield pa.RecordBatch.from_arrays([part.column("row").take(pa.array(at)), pa.array(outside), own], names=["row", "g", "own"])
+
+    found = rows.mapInArrow(run, f"row long, g long, own {own_type}")
+    entries = model.entries.select("g", F.col("n").alias("c"), "v")
+    # A document's own row takes no entry, whatever its key.
+    found = found.join(entries, "g", "left")
+    entry = lambda x: F.when(F.col("own").isNull(), x)
+    sums = found.groupBy("row").agg(
+        F.count("own").alias("copies"), *[F.max(f"own.key.`{k}`").alias(f"__{i}") for i, k in enumerate(keys)],
+        F.sum("own.n_tokens").alias("n_tokens"), F.sum("own.n_known").alias("n_known"),
+        F.sum("own.base").alias("base"), F.sum("own.score").alias("score"), F.count(entry(F.col("c"))).alias("rare_known"),
+        F.coalesce(F.sum(entry(F.log10(F.col("c") + 0.5) - math.log10(0.5))), F.lit(0.0)).alias("base_gain"),
+        F.coalesce(F.sum(entry(F.col("v"))), F.lit(0.0)).alias("gain"),
     )
     # Equal rows have been summed together; each is one of `copies`.
     each = sums.select("*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
     share = lambda x: x / F.col("copies")
     return each.select(
-        "key.*", share(F.col("n_tokens")).cast("long").alias("n_tokens"), share(F.col("n_known") + F.col("rare_known")).cast("long").alias("n_known"),
-        share(F.col("base") + F.col("gain")).alias("base_score"), share(F.col("score") + F.col("gain")).alias("score"),
+        *[F.col(f"__{i}").alias(k) for i, k in enumerate(keys)], share(F.col("n_tokens")).cast("long").alias("n_tokens"), share(F.col("n_known") + F.col("rare_known")).cast("long").alias("n_known"),
+        share(F.col("base") + F.col("base_gain")).alias("base_score"), share(F.col("score") + F.col("gain")).alias("score"),
     )

@@ -163,6 +163,26 @@ def test_language_model_is_a_distribution_and_kneser_ney(spark, order):
         assert ngram_lm.probabilities(ids, arrays, 2, model.bits)[-1] == pytest.approx(want)
 
 
+@pytest.mark.parametrize("order", [2, 3])
+def test_language_model_drops_no_rare_word_or_ngram(spark, order):
+    """op6_ngram_lm: what is too rare for the workers' arrays is joined, and every score stays the same."""
+    rnd = random.Random(12)
+    text = lambda: " ".join(f"w{int(rnd.paretovariate(0.7)) % 500}" for _ in range(rnd.randrange(0, 50)))
+    docs = spark.createDataFrame([(i, text()) for i in range(150)] + [(900, None), (901, "never seen w1 w2"), (901, "never seen w1 w2")], "doc_id long, text string")
+    train = docs.where("doc_id < 100")
+    got = []
+    for rare in (0.0, 0.003, 0.9):  # all, some and no entries in arrays
+        model = ngram_lm.fit(train, order=order, rare=rare)
+        got.append(sorted((r.doc_id, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in ngram_lm.score(docs, model, ["doc_id"]).collect()))
+    assert got[0] == got[1] == got[2] and len(got[0]) == 153
+    if order == 2:
+        whole = ngram_lm.fit(train, rare=0.0)
+        arrays = whole.files.mapped()
+        ids = ngram_lm.numbers(ngram_lm.token_hashes("never seen w1 w2"), arrays["vocabulary"])
+        want = float(np.log10(ngram_lm.probabilities(ids, arrays, 2, whole.bits)).sum())
+        assert [x[3] for x in got[0] if x[0] == 901] == [pytest.approx(want, abs=1e-5)] * 2
+
+
 def _discounts(counts):
     n = [sum(c == k for c in counts) for k in range(1, 5)]
     if not n[0] or not n[1]:
