@@ -4,7 +4,8 @@ Texts are words in lower case (runs of letters and digits). A seed is a fixed ma
 ignores some of them, so a window still hashes alike if an ignored word was replaced. Every window of every document is hashed
 under every mask and joined with the hashes of the benchmark's windows. A hit aligns document and item; the words around it
 are compared, and a stretch of MIN_WORDS words (the whole of a shorter item) that holds the hit must agree in
-MIN_SHARE of its words. Items shorter than SPAN words use a contiguous mask of their length.
+MIN_SHARE of its words. The masks miss nothing that agrees so: wherever the unequal words of a stretch stand, some mask lies inside it
+and uses equal words only (tests enumerate them all). Items shorter than SPAN words have masks of their own length.
 
 No text is shuffled. Words become 64-bit hashes in place, and array operations combine them to seeds; generating and probing
 seeds is one compiled loop that looks into the words' array at a hit. Only verified hits go on, and are combined by
@@ -12,7 +13,7 @@ seeds is one compiled loop that looks into the words' array at a hit. Only verif
 that the same join is left to Spark, which shuffles the windows with the words around them.
 
 Null or empty texts have no words and no hits. Repeated rows are one document by their id; rows with a null id are reported
-under a null id. An item whose text is null or empty is never found. Empty tables give no rows. Other columns are not read.
+under a null id, each text by itself. An item whose text is null or empty is never found. Empty tables give no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,13 +23,13 @@ from pyspark.sql import functions as F
 
 from pricewren.llm.common import bound
 
-#: Masks over SPAN words, made of three pairs each (the places where a pair begins): 11111100, 11110011 and 11001111.
+#: Masks over SPAN words at most, as the places they use: 11101100, 11010011 and 11111000.
 SPAN = 8
-MASKS = ((0, 2, 4), (0, 2, 6), (0, 4, 6))
+MASKS = ((0, 1, 2, 4, 5), (0, 1, 3, 6, 7), (0, 1, 2, 3, 4))
 #: An overlap counts at this many words (or the whole of a shorter item) and this share of equal words.
 MIN_WORDS, MIN_SHARE = 13, 0.8
-#: Words before and after a window's first word that a stretch around the window can reach.
-BEFORE, AFTER = MIN_WORDS - SPAN, MIN_WORDS - 1
+#: Words before and after a mask's first word that a stretch around the mask can reach.
+BEFORE, AFTER = MIN_WORDS - 1 - min(m[-1] for m in MASKS), MIN_WORDS - 1
 #: Benchmark windows that are broadcast at most (about 200 bytes each).
 MAX_BROADCAST = 500_000
 
@@ -44,23 +45,37 @@ def _around(words: Column, at: Column) -> Column:
     return F.array(*[F.get(words, at + k) for k in range(-BEFORE, AFTER + 1)])
 
 
-def _seeds(words: Column, lengths: list[int]) -> Column:
-    """Array of seeds: for each mask, then each shorter length, the hash at every position (number of mask * size + position).
+def short_masks(length: int) -> list[tuple[int, ...]]:
+    """Masks of an item shorter than SPAN: all its words, or where one may differ, all but two neighbours in turn."""
+    if length - 1 < MIN_SHARE * length:
+        return [tuple(range(length))]
+    return [tuple(k for k in range(length) if k not in (skip, skip + 1)) for skip in range(0, length, 2)]
 
-    Where words lack at the end, the hash is of those that are there.
-    """
-    later = lambda x, k: F.slice(x, k + 1, F.greatest(F.size(x) - k, F.lit(0)))
 
-    def masked(pairs: Column, number: int, places: tuple[int, int, int]) -> Column:
-        first = F.zip_with(later(pairs, places[0]), later(pairs, places[1]), lambda x, y: F.xxhash64(F.lit(number), x, y))
-        return F.zip_with(first, later(pairs, places[2]), lambda x, y: F.xxhash64(x, y))
+def _seeds(words: Column, short: list[tuple[int, tuple[int, ...]]]) -> Column:
+    """Array of seeds: for each mask, then each one of short, the hash at every position (number of mask * size + position).
 
-    def run(number: int, length: int) -> Column:
-        return F.transform(words, lambda w, i: F.xxhash64(F.lit(number), *[F.get(words, i + k) for k in range(length)]))
+    Where words lack at the end, the hash is of those that are there.
+    """
+    later = lambda x, k: F.slice(x, k + 1, F.greatest(F.size(x) - k, F.lit(0))) if k else x
+
+    def masked(pairs: Column, number: int, mask: tuple[int, ...]) -> Column:
+        parts, at = [], 0
+        while at < len(mask):
+            paired = mask[at + 1 : at + 2] == (mask[at] + 1,)
+            parts.append(later(pairs if paired else words, mask[at]))
+            at += 2 if paired else 1
+        out = F.zip_with(parts[0], parts[1], lambda x, y: F.xxhash64(F.lit(number), x, y))
+        for part in parts[2:]:
+            out = F.zip_with(out, part, lambda x, y: F.xxhash64(x, y))
+        return out
+
+    def run(number: int, mask: tuple[int, ...]) -> Column:
+        return F.transform(words, lambda w, i: F.xxhash64(F.lit(number), *[F.get(words, i + k) for k in mask]))
 
     pairs = F.zip_with(words, later(words, 1), lambda x, y: F.xxhash64(x, y))
-    shorter = [run(len(MASKS) + i, length) for i, length in enumerate(lengths)]
-    return bound(pairs, lambda p: F.concat(*[masked(p, i, places) for i, places in enumerate(MASKS)], *shorter))
+    shorter = [run(len(MASKS) + i, mask) for i, (_, mask) in enumerate(short)]
+    return bound(pairs, lambda p: F.concat(*[masked(p, i, mask) for i, mask in enumerate(MASKS)], *shorter))
 
 
 def benchmark_items(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
@@ -70,13 +85,13 @@ def benchmark_items(benchmark: DataFrame, item_id: str = "item_id", text: str =
     return rows.withColumn("b_size", F.size("b_words")).where("b_size > 0")
 
 
-def benchmark_windows(items: DataFrame, lengths: list[int]) -> DataFrame:
+def benchmark_windows(items: DataFrame, short: list[tuple[int, tuple[int, ...]]]) -> DataFrame:
     """seed, item_id, b_size, b_near (the words around the window): the hashes of all windows of all items."""
-    rows = items.withColumn("b_seeds", _seeds(F.col("b_words"), lengths))
+    rows = items.withColumn("b_seeds", _seeds(F.col("b_words"), short))
     rows = rows.select("item_id", "b_size", "b_words", F.posexplode("b_seeds").alias("b_at", "seed"))
     # A short mask serves only the items of its own length, from their first word.
     number, place = F.floor(F.col("b_at") / F.col("b_size")), F.col("b_at") % F.col("b_size")
-    whole = F.element_at(F.lit([0] * len(MASKS) + lengths), (number + 1).cast("int"))
+    whole = F.element_at(F.lit([0] * len(MASKS) + [length for length, _ in short]), (number + 1).cast("int"))
     rows = rows.where((number < len(MASKS)) | ((whole == F.col("b_size")) & (place == 0)))
     return rows.select("seed", "item_id", "b_size", _around(F.col("b_words"), place).alias("b_near"))
 
@@ -95,29 +110,40 @@ def _matched(near: Column, b_near: Column, b_size: Column) -> Column:
     return bound(bound(equal, best), enough)
 
 
-def overlaps(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", max_broadcast: int = MAX_BROADCAST
-) -> DataFrame:
-    """Verified overlaps, one row per document and item: doc_id, item_id, n_item_words, n_matched (of the best stretch)."""
+def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, text: str, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """Verified overlaps by document and item: doc_id, apart (which tells texts without an id apart), item_id, n_item_words, n_matched."""
     items = benchmark_items(benchmark)
     lengths = sorted(r["b_size"] for r in items.where(F.col("b_size") < SPAN).select("b_size").distinct().collect())  # at most SPAN - 1
-    seeds = benchmark_windows(items, lengths)
-    rows = docs.select(F.col(id_col).alias("doc_id"), word_hashes(F.col(text)).alias("words"))
-    probes = rows.withColumn("seeds", _seeds(F.col("words"), lengths))
+    short = [(length, mask) for length in lengths for mask in short_masks(length)]
+    seeds = benchmark_windows(items, short)
+    rows = docs.select(F.col(id_col).alias("doc_id"), _apart(docs, id_col, text).alias("apart"), word_hashes(F.col(text)).alias("words"))
+    probes = rows.withColumn("seeds", _seeds(F.col("words"), short))
     # The outer form keeps Spark from adding a filter on the seeds' number, which would compute them twice.
-    probes = probes.select("doc_id", "words", F.posexplode_outer("seeds").alias("at", "seed")).where("seed is not null")
+    probes = probes.select("doc_id", "apart", "words", F.posexplode_outer("seeds").alias("at", "seed")).where("seed is not null")
     near = _around(F.col("words"), F.col("at") % F.size("words")).alias("near")
     if seeds.count() <= max_broadcast:
-        hits = probes.join(F.broadcast(seeds), "seed").select("doc_id", "item_id", "b_size", "b_near", near)
+        hits = probes.join(F.broadcast(seeds), "seed").select("doc_id", "apart", "item_id", "b_size", "b_near", near)
     else:
-        hits = probes.select("doc_id", "seed", near).join(seeds, "seed")
-    hits = hits.select("doc_id", "item_id", "b_size", _matched(F.col("near"), F.col("b_near"), F.col("b_size")).alias("n"))
+        hits = probes.select("doc_id", "apart", "seed", near).join(seeds, "seed")
+    hits = hits.select("doc_id", "apart", "item_id", "b_size", _matched(F.col("near"), F.col("b_near"), F.col("b_size")).alias("n"))
     # The test comes after the grouping; before it, Spark would make it a condition of the join, which then isn't compiled.
-    found = hits.groupBy("doc_id", "item_id").agg(F.max("b_size").alias("n_item_words"), F.max("n").alias("n_matched"))
+    found = hits.groupBy("doc_id", "apart", "item_id").agg(F.max("b_size").alias("n_item_words"), F.max("n").alias("n_matched"))
     return found.where("n_matched is not null")
 
 
+def _apart(docs: DataFrame, id_col: str, text: str) -> Column:
+    return F.when(docs[id_col].isNull(), F.md5(docs[text].cast("binary")))
+
+
+def overlaps(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", max_broadcast: int = MAX_BROADCAST
+) -> DataFrame:
+    """Verified overlaps, one row per document and item: doc_id, item_id, n_item_words, n_matched (of the best stretch)."""
+    return _found(docs, benchmark, id_col, text, max_broadcast).drop("apart")
+
+
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that overlap no benchmark item, with all their columns."""
-    found = overlaps(docs, benchmark, id_col, text).select(F.col("doc_id").alias("__found")).distinct()
-    return docs.join(found, docs[id_col].eqNullSafe(F.col("__found")), "left_anti")
+    found = _found(docs, benchmark, id_col, text).select(F.col("doc_id").alias("__found"), F.col("apart").alias("__apart")).distinct()
+    same = docs[id_col].eqNullSafe(F.col("__found")) & _apart(docs, id_col, text).eqNullSafe(F.col("__apart"))
+    return docs.join(found, same, "left_anti")

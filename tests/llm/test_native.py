@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -126,3 +128,26 @@ def test_overlaps_tolerate_substitutions(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 6, 9] and kept.columns == df.columns
     assert decontaminate.overlaps(df, bench.where("false")).count() == 0
     assert decontaminate.overlaps(df.where("false"), bench).count() == 0
+
+
+def test_overlaps_find_every_pattern_that_meets_the_bar(spark):
+    """op4_decontaminate: all places of the unequal words, for items shorter than, as long as and longer than a stretch."""
+    items = {n: [f"i{n}w{k}" for k in range(n)] for n in (*range(5, 14), 15)}
+    docs, want = [], set()
+    for n, words in items.items():
+        need = min(n, 13)
+        for swapped in itertools.combinations(range(n), 3 if n == 15 else n - math.ceil(0.8 * n - 1e-9)):
+            text = [f"x{k}" if k in swapped else w for k, w in enumerate(words)]
+            if max(sum(i + k not in swapped for k in range(need)) for i in range(n - need + 1)) >= 0.8 * need:
+                want.add((len(docs), n))
+            docs.append((len(docs), " ".join(["before", "it", *text, "after", "it"])))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.overlaps(df, bench).collect()} == want
+
+
+def test_contaminated_rows_without_id_are_kept_apart(spark):
+    item = " ".join(f"word{k}" for k in range(20))
+    df = spark.createDataFrame([(None, item), (None, "a clean text"), (None, None), (1, "clean")], "doc_id long, text string")
+    bench = spark.createDataFrame([(0, item)], "item_id long, text string")
+    assert sorted(r.text or "" for r in decontaminate.remove_contaminated(df, bench).collect()) == ["", "a clean text", "clean"]
