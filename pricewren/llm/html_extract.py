@@ -7,8 +7,9 @@ Counting is a Spark aggregation over a sample bounded by max_pages in expectatio
 tag name.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments score as tags do and are never part of
-the text; they are known by fixed element names and class words. The region is widened to whole blocks, and to the article
-or main element that holds it. Character references are decoded once; white space inside a block is one space; blocks
+the text; they are known by fixed element names, and by whole class names, ids or roles (`ad`, not a part of `no-ad`). These never mark html,
+body, article, main or an element that holds an article or main; only comments stay marked if they hold others than the page's first.
+The region is widened to whole blocks, and to the outermost article or main element that holds it, with all that is inside. Character references are decoded once; white space inside a block is one space; blocks
 are joined by line feeds.
 
 Rows are independent: no shuffle, one page at a time. A null or empty page has the empty text; so has a page without
@@ -42,31 +43,34 @@ ASIDE_WORDS = frozenset(
     " sidebar cookie cookies consent notice notices alert popup modal newsletter subscribe signup share sharing social related comment comments"
     " reply replies respond discussion disqus contentinfo complementary search form login pagination".split()
 )
+COMMENT_WORDS = frozenset("comment comments reply replies respond discussion disqus".split())
 #: Fixed weights where no page is labelled.
 DEFAULT_WORD, DEFAULT_TAG = 0.5, -3.0
 #: A tag scores this much at most, a word this much at least.
 MOST_TAG, LEAST_WORD = -0.05, 0.05
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
-_NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_NAMED = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAMES = sorted(VOID | BLOCKS | RAW | ASIDE | set("a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q s samp small span strong sub sup time tt u var".split()))
 
 
 def tokens(html: str) -> list[tuple]:
     """The page as (kind, value, block, aside, content): kind is `word` (value: the text of a run) or a tag name.
 
-    block numbers the blocks of the page, aside tells what is inside an element that is not content, content numbers the
-    innermost article or main element (0: none).
+    block numbers the blocks of the page, aside tells what is inside an element that is not content, content is the tuple of the
+    numbers of the article and main elements around, outermost first.
     """
     out: list[tuple] = []
-    stack: list[tuple[str, bool, int]] = []  # name, aside, content
+    stack: list[tuple[str, bool, tuple, int]] = []  # name, aside by elements, content, innermost element marked by its names (0: none)
+    marks: list[tuple[int, bool]] = [(0, False)]  # of each marked element: the one around it, whether it is comments
+    held: set[int] = {0}  # marked elements that hold content
     block = made = at = 0
-    end = len(html)
+    end, outside = len(html), (False, (), 0)
 
     def text(begin: int, stop: int) -> None:
         if begin < stop:
             run = entities.unescape(html[begin:stop])
-            out.append(("word", run, block, stack[-1][1] if stack else False, stack[-1][2] if stack else 0))
+            out.append(("word", run, block, *(stack[-1][1:] if stack else outside)))
 
     while at < end:
         m = _TOKEN.search(html, at)
@@ -78,15 +82,15 @@ def tokens(html: str) -> list[tuple]:
         if m[2] is None:
             continue
         name, attributes = m[2].lower(), m[3]
-        known, aside, content = name if name in _KNOWN else "other", stack[-1][1] if stack else False, stack[-1][2] if stack else 0
+        known, (aside, content, mark) = name if name in _KNOWN else "other", stack[-1][1:] if stack else outside
         if m[1]:
             depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
             if depth is not None and not (name not in BLOCKS and any(x[0] in ("article", "main", "body", "td", "li", "div") for x in stack[depth + 1 :])):
                 del stack[depth:]
-            aside, content = stack[-1][1] if stack else False, stack[-1][2] if stack else 0
+            aside, content, mark = stack[-1][1:] if stack else outside
             if name in BLOCKS:
                 block += 1
-            out.append((known, "", block, aside, content))
+            out.append((known, "", block, aside, content, mark))
             continue
         if name in BLOCKS:
             block += 1
@@ -96,32 +100,43 @@ def tokens(html: str) -> list[tuple]:
                     del stack[depth:]
             elif name in ("li", "td", "th", "tr", "dt", "dd", "option") and stack and stack[-1][0] == name:
                 stack.pop()
-            aside, content = stack[-1][1] if stack else False, stack[-1][2] if stack else 0
+            aside, content, mark = stack[-1][1:] if stack else outside
         if name in RAW:
             close = re.compile(rf"</{name}\s*>", re.I).search(html, at)
             at = close.end() if close else end
-            out.append((known, "", block, True, content))
+            out.append((known, "", block, True, content, mark))
             continue
-        aside = aside or name in ASIDE or _named_aside(attributes)
+        aside = aside or name in ASIDE
         if name in ("article", "main"):
             made += 1
-            content = made
-        out.append((known, "", block, aside, content))
+            content = (*content, made)
+            around = mark
+            while around not in held:
+                outer, comments = marks[around]
+                if made == 1 or not comments:
+                    held.add(around)
+                around = outer
+        elif name not in ("html", "body") and (words := _aside_words(attributes)):
+            marks.append((mark, not words.isdisjoint(COMMENT_WORDS)))
+            mark = len(marks) - 1
+        out.append((known, "", block, aside, content, mark))
         if name == "br":
-            out.append(("word", " ", block, aside, content))
+            out.append(("word", " ", block, aside, content, mark))
         if name not in VOID and not attributes.endswith("/"):
-            stack.append((name, aside, content))
-    return out
+            stack.append((name, aside, content, mark))
+    out_of = [False]  # by mark: whether the element or one around it is not content
+    for number, (outer, _) in enumerate(marks[1:], 1):
+        out_of.append(number not in held or out_of[outer])
+    return [(kind, value, block, aside or out_of[mark], content) for kind, value, block, aside, content, mark in out]
 
 
 _KNOWN = frozenset(_NAMES)
 
 
-def _named_aside(attributes: str) -> bool:
+def _aside_words(attributes: str) -> set[str]:
     if "=" not in attributes:
-        return False
-    words = (w for m in _NAMED.finditer(attributes) for w in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower()))
-    return any(w in ASIDE_WORDS for w in words)
+        return set()
+    return {w for m in _NAMED.finditer(attributes) for w in (m[1] or m[2] or m[3] or "").lower().split()} & ASIDE_WORDS
 
 
 def _labels(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -129,7 +144,7 @@ def _labels(batch: pa.RecordBatch) -> pa.RecordBatch:
     counts: dict[str, list[int]] = {}
     for page in batch.column("html").to_pylist():
         found = tokens(page)
-        if max((t[4] for t in found), default=0) != 1:
+        if max((t[4][-1] for t in found if t[4]), default=0) != 1:
             continue
         for kind, value, _, aside, content in found:
             n = len(value.split()) if kind == "word" else 1
@@ -187,7 +202,7 @@ def extract_text(page: str | None, weights: dict[str, float]) -> str:
     begin, last = run
     holder = _holder(found, begin, last)
     if holder:
-        inside = [t for t in found if t[4] == holder]
+        inside = [t for t in found if holder in t[4]]
     else:
         first_block, last_block = found[begin][2], found[last][2]
         inside = [t for t in found if first_block <= t[2] <= last_block]
@@ -200,13 +215,14 @@ def extract_text(page: str | None, weights: dict[str, float]) -> str:
 
 
 def _holder(found: list[tuple], begin: int, last: int) -> int:
-    """The content element with most of the run's words, if it has more than half of them, else 0."""
-    counts: dict[int, int] = {}
+    """The outermost content element with more than half of the run's words, else 0."""
+    counts: dict[tuple, int] = {}
     for kind, value, _, aside, content in found[begin : last + 1]:
         if kind == "word" and not aside:
-            counts[content] = counts.get(content, 0) + len(value.split())
-    holder = max(counts, key=lambda k: (counts[k], -k), default=0)
-    return holder if 2 * counts.get(holder, 0) > sum(counts.values()) else 0
+            outermost = content[:1]
+            counts[outermost] = counts.get(outermost, 0) + len(value.split())
+    holder = max(counts, key=lambda k: counts[k], default=())
+    return holder[0] if holder and 2 * counts[holder] > sum(counts.values()) else 0
 
 
 def extract(pages: DataFrame, weights: dict[str, float], keys: list[str], html: str = "html") -> DataFrame:

@@ -213,6 +213,21 @@ def test_html_extraction_on_pages_without_article(spark):
         assert anonymous == plain
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body class="no-sidebar"><main class="has-sidebar"><h1>Title</h1><p>Lead</p><article class="page header">Body text</article></main></body>',
+        '<div class="header page"><article><h1>Title</h1><p>Lead</p><div id="login-guide">Body text</div></article></div>',
+        '<main><h1>Title</h1><div class="promo"><p>Lead</p><article>Body text</article></div><div class=comments><article>Nice one</article></div></main>',
+        '<article><h1>Title</h1><p>Lead</p><article data-class="ad">Body text</article><p class="ad big">Buy</p></article><p>Else</p>',
+    ],
+)
+def test_html_extraction_keeps_whole_articles(page):
+    """op9_html_extract: class names drop no article and no holder, and nested elements stay."""
+    weights = {"word": 1.0} | dict.fromkeys(html_extract._KNOWN, -0.1)
+    assert html_extract.extract_text(page, weights) == "Title\nLead\nBody text"
+
+
 def test_best_run():
     assert html_extract.best_run([-1, 2, -1, 3, -5, 4]) == (1, 3)
     assert html_extract.best_run([-1, -2]) is None and html_extract.best_run([]) is None
