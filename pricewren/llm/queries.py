@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewren.llm import byte_bpe, decontaminate, html_extract, language_id, line_dedup, near_dup, ngram_lm, pii, quality_rules, url_filter
+from pricewren.llm import (
+    byte_bpe, collocations, decontaminate, hard_negatives, html_extract, language_id, line_dedup, near_dup, ngram_lm, pii,
+    quality_rules, substring_dedup, url_filter,
+)
 from pricewren.llm.common import remainder, table
 from pricewren.llm.url_filter import Rule
 
@@ -86,6 +89,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", changed), F.col("id") % 100 == 0)
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_byte_bpe": op2_byte_bpe,
@@ -97,4 +114,7 @@ QUERIES = {
     "op8_near_dup": op8_near_dup,
     "op9_html_extract": op9_html_extract,
     "op10_quality_rules": op10_quality_rules,
+    "op11_collocations": op11_collocations,
+    "op12_substring_dedup": op12_substring_dedup,
+    "op13_hard_negatives": op13_hard_negatives,
 }
