@@ -14,6 +14,7 @@ from pricewren.functions.quality import is_true
 from pricewren.functions.text import (
     first_text, let, normalize_ascii, normalize_loose, normalize_search, not_blank, text_of,
 )
+from pricewren.operators.ordered import range_join
 
 
 def present(df: DataFrame, fields: Sequence[str]) -> list[Column]:
@@ -204,16 +205,12 @@ def category_by_page_range(page: Column, product: Column, ranges=rules.PAGE_CATE
 
 
 def category_by_ranges(offers: DataFrame, ranges: DataFrame, page: str = "pageNumber") -> DataFrame:
-    """E8 for a ranges *table* ``(from, to, category)`` of any size.
+    """E8 for a ranges *table* ``(from, to, category)`` of any size and width.
 
-    Every range is unrolled to the pages it covers, so the range join is an equi
-    join on the page; the first range (by ``from``) wins where ranges overlap.
+    The first range (by ``from``, then category) wins where ranges overlap; see ``ordered.range_join``.
     """
-    pages = (
-        ranges.select(F.explode(F.sequence("from", "to")).alias("_page"), F.struct("from", "category").alias("_range"))
-        .groupBy("_page").agg(F.min("_range")["category"].alias("rangeCategory"))
-    )
-    return offers.join(pages, offers[page] == pages["_page"], "left").drop("_page")
+    named = ranges.withColumnRenamed("category", "rangeCategory")
+    return range_join(offers, named, point=page, first="from", last="to", order=["from", "rangeCategory"], take=["rangeCategory"])
 
 
 def terms_for_category(product: Column, category: Column) -> Column:

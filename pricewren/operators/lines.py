@@ -1,7 +1,8 @@
 """Windows over page lines, ranks, sorts and top-k (rows W1-W5, O1-O6).
 
-All windows here are partitioned by page: a page is one cell of the input, so a
-window never grows with the table.
+The windows here are partitioned by page: a page is one cell of the input, so a
+window never grows with the table.  Running block ids and ordinals work for keys of
+any size (``operators.ordered``); so do the global orders as a rank column.
 """
 
 from __future__ import annotations
@@ -10,7 +11,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from pricewren.operators.ordered import running_totals, with_ordinal, with_rank
 
+__all__ = [
+    "comparable_value", "explode_lines", "page_order", "rank_of", "risk_order", "sort_by_page", "sort_by_risk",
+    "sort_by_store_and_product", "sort_visible", "store_and_product_order", "top_k", "top_k_per_group", "visible_order",
+    "with_block_id", "with_line_window", "with_neighbours", "with_ordinal", "with_rank",
+]
 
 def explode_lines(pages: DataFrame, lines: Column, keep: Sequence[str]) -> DataFrame:
     """One row per line: the kept columns, 0-based ``pos`` and ``line``."""
@@ -31,8 +38,7 @@ def with_neighbours(markers: DataFrame, keys: Sequence[str], start: str = "start
 
 def with_block_id(lines: DataFrame, keys: Sequence[str], flag: Column, order: str = "pos") -> DataFrame:
     """Running number of the flagged lines (0 before the first one)."""
-    window = _page(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return lines.withColumn("block", F.sum(flag.cast("int")).over(window))
+    return running_totals(lines, keys, [order], {"block": flag.cast("int")})
 
 
 def with_line_window(lines: DataFrame, keys: Sequence[str], before: int, after: int, separator: str = " ",
@@ -42,31 +48,46 @@ def with_line_window(lines: DataFrame, keys: Sequence[str], before: int, after:
     return lines.withColumn("context", F.array_join(F.collect_list("line").over(window), separator))
 
 
-def with_ordinal(df: DataFrame, keys: Sequence[str], *order: Column | str, name: str = "ordinal") -> DataFrame:
-    """1-based position within the page."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-
-
 # --- sorts -------------------------------------------------------------------
 def comparable_value(unit_price: Column | str = "unitPrice", price: Column | str = "price") -> Column:
     """Unit price, else price; zero counts as missing."""
     return F.coalesce(F.nullif(F.col(unit_price), F.lit(0.0)), F.nullif(F.col(price), F.lit(0.0)))
 
 
-def sort_visible(offers: DataFrame, by: str = "unitPrice", *ties: Column | str) -> DataFrame:
+def visible_order(by: str = "unitPrice", *ties: Column | str) -> list[Column | str]:
     """O1: cheapest first, missing values as 0."""
     value = F.coalesce(F.col("price"), F.lit(0.0)) if by == "price" else F.coalesce(comparable_value(), F.lit(0.0))
-    return offers.orderBy(value, *(ties or ("id",)))
+    return [value, *(ties or ("id",))]
 
 
-def sort_by_store_and_product(offers: DataFrame) -> DataFrame:
+def store_and_product_order(*ties: Column | str) -> list[Column | str]:
     """O2: store, then product, in Czech collation (Ch sorts after H)."""
-    return offers.orderBy(F.collate("storeName", "cs"), F.collate("product", "cs"))
+    return [F.collate("storeName", "cs"), F.collate("product", "cs"), *ties]
 
 
-def sort_by_page(offers: DataFrame) -> DataFrame:
+def page_order(*ties: Column | str) -> list[Column | str]:
     """O3: page, then product in Czech collation."""
-    return offers.orderBy("pageNumber", F.collate("product", "cs"))
+    return [F.col("pageNumber"), F.collate("product", "cs"), *ties]
+
+
+def risk_order(risk: str = "risk", count: str = "missing", *ties: Column | str) -> list[Column | str]:
+    """High risk first, then the larger count."""
+    return [F.desc(rank_of(F.col(risk), {"high": 3, "medium": 2, "low": 1})), F.desc(count), *ties]
+
+
+def sort_visible(offers: DataFrame, by: str = "unitPrice", *ties: Column | str) -> DataFrame:
+    """O1 as a sorted table; ``with_rank`` gives the order as a column."""
+    return offers.orderBy(*visible_order(by, *ties))
+
+
+def sort_by_store_and_product(offers: DataFrame) -> DataFrame:
+    """O2 as a sorted table."""
+    return offers.orderBy(*store_and_product_order())
+
+
+def sort_by_page(offers: DataFrame) -> DataFrame:
+    """O3 as a sorted table."""
+    return offers.orderBy(*page_order())
 
 
 def rank_of(level: Column, ranks: dict[str, int]) -> Column:
@@ -77,8 +98,8 @@ def rank_of(level: Column, ranks: dict[str, int]) -> Column:
 
 
 def sort_by_risk(pages: DataFrame, risk: str = "risk", count: str = "missing") -> DataFrame:
-    """High risk first, then the larger count."""
-    return pages.orderBy(F.desc(rank_of(F.col(risk), {"high": 3, "medium": 2, "low": 1})), F.desc(count))
+    """O4 as a sorted table."""
+    return pages.orderBy(*risk_order(risk, count))
 
 
 def top_k(df: DataFrame, k: int, *order: Column | str) -> DataFrame:

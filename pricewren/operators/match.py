@@ -7,56 +7,103 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pricewren.functions.text import normalize_search, not_blank, text_of
+from pricewren.session import staged
+
+#: Gram lengths; a needle is found by the longest that its longest part can fill.
+SIZES = (8, 4, 2, 1)
+#: Bits of the table of anchor grams, as 64-bit words: 256 KB however many needles there are.
+BITS = 21
+
 
 def grams(text: Column, size: int) -> Column:
-    """Distinct substrings of ``size`` characters (one linear pass)."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+    """All substrings of ``size`` characters in order (one linear pass)."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{size}}}))"), F.lit(1))
 
 
-def substring_join(texts: DataFrame, needles: DataFrame, *, text_id: str, text: str, needle_id: str, parts: str,
-                   on: Sequence[str] = (), size: int = 3) -> DataFrame:
-    """All pairs ``(text_id, needle_id)`` where every part occurs in the text.
+def _of_size(size: Column, value) -> Column:
+    """``value(n)`` for the one ``n`` of SIZES that ``size`` is."""
+    out = F.lit(None)
+    for n in SIZES:
+        out = F.when(size == n, value(n)).otherwise(out)
+    return out
+
+
+def _places(gram: Column) -> list[Column]:
+    """Two places in the bit table."""
+    hashed = F.xxhash64(gram)
+    return [hashed.bitwiseAND(F.lit((1 << BITS) - 1)), F.shiftright(hashed, 32).bitwiseAND(F.lit((1 << BITS) - 1))]
 
-    Exact "contains" join between two tables of any size, without comparing all
-    pairs.  Each needle is represented by its *rarest* character gram (measured
-    on the texts); texts are split into their distinct grams; an equi join on
-    the gram yields the candidates and ``contains`` verifies them.  Only ids and
-    grams are shuffled, the texts are joined back afterwards.  ``on`` names
-    equi-join columns both sides share (e.g. the page).  Ids must be unique;
-    empty parts are ignored and needles without parts match nothing.
+
+def anchor_index(needles: DataFrame, *, needle_id: str, parts: str, on: Sequence[str] = ()) -> DataFrame:
+    """One row per needle with its anchor, the gram that finds it: ``_gram``, ``_size``, ``_part``, ``_offset``.
+
+    The anchor is the gram of the needle that fewest needles have, with the part it
+    comes from and its 0-based place there.  Needles are read only; empty parts are
+    ignored and needles without parts are left out.
     """
     on = list(on)
-    wanted = F.filter(parts, lambda p: p != "")
-    usable = needles.select(*on, F.col(needle_id), wanted.alias("_parts")).filter(F.size("_parts") > 0)
-    short = F.transform(F.filter("_parts", lambda p: F.length(p) < size), lambda p: p)
-    long = F.flatten(F.transform("_parts", lambda p: grams(p, size)))
-    needle_grams = usable.select(
-        *on, needle_id,
-        # A part shorter than a gram can only be an anchor when nothing longer exists.
-        F.explode(F.when(F.size(long) > 0, F.array_distinct(long)).otherwise(short)).alias("_gram"),
-    )
-    text_grams = texts.select(
-        *on, text_id,
-        F.explode(F.concat(*[grams(F.col(text), n) for n in range(size, 0, -1)])).alias("_gram"),
+    usable = needles.select(*on, F.col(needle_id), F.filter(parts, lambda p: p != "").alias("_parts")).filter(F.size("_parts") > 0)
+    longest = F.array_max(F.transform("_parts", F.length))
+    size = F.lit(SIZES[-1])
+    for n in reversed(SIZES):
+        size = F.when(longest >= n, F.lit(n)).otherwise(size)
+    placed = usable.withColumn("_size", size).select(*on, needle_id, "_size", F.posexplode("_parts").alias("_part", "_p")).select(
+        *on, needle_id, "_size", "_part", F.posexplode(_of_size(F.col("_size"), lambda n: grams(F.col("_p"), n))).alias("_offset", "_gram")
     )
-    keys = [*on, "_gram"]
-    # Distinct needle grams (pre-aggregated map-side) restrict the text grams.
-    hits = text_grams.join(needle_grams.select(*keys).distinct(), keys, "left_semi")
-    frequency = hits.groupBy(*keys).agg(F.count(F.lit(1)).alias("_texts"))
-    anchors = (
-        needle_grams.join(frequency, keys, "left")
-        .groupBy(*on, needle_id)
-        .agg(F.min(F.struct(F.coalesce("_texts", F.lit(0)).alias("n"), F.col("_gram").alias("g"))).alias("_best"))
-        .filter("_best.n > 0")
-        .select(*on, needle_id, F.col("_best.g").alias("_gram"))
-    )
-    pairs = hits.join(anchors, keys).select(text_id, needle_id)
-    return (
-        pairs.join(usable.select(needle_id, "_parts"), needle_id)
-        .join(texts.select(text_id, F.col(text).alias("_text")), text_id)
-        .filter(F.forall("_parts", lambda p: F.contains(F.col("_text"), p)))
-        .select(text_id, needle_id)
+    shared = placed.select(needle_id, *on, "_gram").distinct().groupBy("_gram").agg(F.count(F.lit(1)).alias("_needles"))
+    best = F.min(F.struct("_needles", F.xxhash64("_gram").alias("h"), "_part", "_offset", "_gram", "_size")).alias("_best")
+    chosen = placed.join(shared, "_gram").groupBy(*on, needle_id).agg(best)
+    return chosen.select(*on, needle_id, *[F.col(f"_best.{c}") for c in ("_gram", "_size", "_part", "_offset")])
+
+
+def _bit_table(anchors: DataFrame) -> Column:
+    """The anchors' bits and gram lengths as one value for all rows: ``struct(bits, sizes)``, its size fixed."""
+    spark = anchors.sparkSession
+    bits = anchors.select(F.explode(F.array(*_places(F.col("_gram")))).alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(F.lit(63)).cast("int"))).alias("bits")
     )
+    words = spark.range(1 << (BITS - 6)).withColumnRenamed("id", "word").join(bits, "word", "left")
+    dense = words.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0)).alias("bits")))), lambda w: w["bits"]).alias("bits"))
+    sizes = anchors.agg(F.collect_set("_size").alias("sizes"))
+    return F.struct(dense.scalar().alias("bits"), sizes.scalar().alias("sizes"))
+
+
+def substring_join(texts: DataFrame, needles: DataFrame, *, text_id: str, text: str, needle_id: str, parts: str,
+                   on: Sequence[str] = (), carry: Sequence[str] = (), derive=None) -> DataFrame:
+    """All pairs ``(text_id, needle_id)`` where every part occurs in the text.
+
+    Exact "contains" join between two tables of any size, in one scan of the texts.
+    Each needle has an anchor gram (``anchor_index``).  A bit table of all anchors, of
+    fixed size, goes to every row; the text's grams are looked up in it inside the row,
+    and only the few that hit leave it, with the text.  An equi join of these on the
+    gram finds the needles, and ``contains`` verifies them.  No text is joined, sorted
+    or read twice; a text moves only if the anchors are too many to be broadcast, once
+    a hit.  ``on`` names equi-join columns both sides share (e.g. the page), ``carry``
+    further columns of the texts to keep, ``derive(text, parts)`` columns made from a
+    hit.  Needle ids must be unique; empty parts are ignored and needles without parts
+    match nothing.
+    """
+    on, keys = list(on), [*on, "_gram"]
+    anchors = staged(anchor_index(needles, needle_id=needle_id, parts=parts, on=on), "anchors")
+    known = F.filter(parts, lambda p: p != "").alias("_parts")
+    found = anchors.select(*keys, F.col(needle_id).alias("_needle")).join(needles.select(F.col(needle_id).alias("_needle"), known), "_needle")
+
+    def in_table(gram: Column, table: Column) -> Column:
+        test = lambda at: F.call_function(
+            "getbit", F.get(table["bits"], F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")
+        ) == 1
+        first, second = _places(gram)
+        return test(first) & test(second)
+
+    columns = list(dict.fromkeys([*on, text_id, *carry]))
+    rows = texts.select(*columns, F.col(text).alias("_text")).withColumn("_table", _bit_table(anchors))
+    every = F.flatten(F.array_compact(F.array(*[
+        F.when(F.array_contains("_table.sizes", n), F.filter(grams(F.col("_text"), n), lambda g: in_table(g, F.col("_table")))) for n in SIZES
+    ])))
+    hits = rows.select(*columns, "_text", F.explode(F.array_distinct(every)).alias("_gram"))
+    pairs = hits.join(found, keys).filter(F.forall("_parts", lambda p: F.contains(F.col("_text"), p)))
+    extra = derive(F.col("_text"), F.col("_parts")) if derive else []
+    return pairs.select(text_id, F.col("_needle").alias(needle_id), *[c for c in carry if c != text_id], *extra)
 
 
 def match_checks(df: DataFrame, text: Column, checks: Sequence[tuple[str, str]], normalize=normalize_search) -> DataFrame:
@@ -95,7 +142,7 @@ def words_of(term: Column, shortest: int = 3) -> Column:
 
 
 def match_expected(texts: DataFrame, expected: DataFrame, *, text_id: str, text: str, term_id: str, term: str,
-                   shortest: int = 3) -> DataFrame:
+                   shortest: int = 3, carry: Sequence[str] = ()) -> DataFrame:
     """Pairs where the expected term, or all its longer words, occur.
 
     When the whole term occurs so do its words, hence the words alone decide
@@ -106,7 +153,7 @@ def match_expected(texts: DataFrame, expected: DataFrame, *, text_id: str, text:
     needles = folded.select(
         term_id, F.when(F.size(words) > 0, words).otherwise(F.array("_term")).alias("_needles")
     )
-    return substring_join(texts, needles, text_id=text_id, text=text, needle_id=term_id, parts="_needles")
+    return substring_join(texts, needles, text_id=text_id, text=text, needle_id=term_id, parts="_needles", carry=carry)
 
 
 # --- validity and catalog ----------------------------------------------------
@@ -213,8 +260,11 @@ def key_occurrences(texts: DataFrame, keys: DataFrame, *, text_id: str, text: st
     """Where each key first occurs in each text, with its surroundings."""
     known = keys.select(F.col(key).alias("_key")).distinct()
     needles = known.select("_key", F.array("_key").alias("_parts"))
-    pairs = substring_join(texts, needles, text_id=text_id, text=text, needle_id="_key", parts="_parts")
-    placed = pairs.join(texts, text_id).withColumn("pos", F.instr(F.col(text), F.col("_key")) - 1)
-    start = F.greatest(F.col("pos") - before, F.lit(0))
-    context = F.substring(F.col(text), start + 1, F.col("pos") + after - start)
-    return placed.select(text_id, F.col("_key").alias(key), "pos", context.alias("context"))
+
+    def place(value: Column, parts: Column) -> list[Column]:
+        pos = F.instr(value, parts[0]) - 1
+        start = F.greatest(pos - before, F.lit(0))
+        return [pos.alias("pos"), F.substring(value, start + 1, pos + after - start).alias("context")]
+
+    pairs = substring_join(texts, needles, text_id=text_id, text=text, needle_id="_key", parts="_parts", derive=place)
+    return pairs.select(text_id, F.col("_key").alias(key), "pos", "context")

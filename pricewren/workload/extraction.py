@@ -235,7 +235,7 @@ def pair_tables_by_ordinal(spark, sf):
     from pricewren.operators.lines import with_ordinal
 
     events = table(spark, sf, "events").filter(F.col("event_type").isin("view", "purchase"))
-    ranked = with_ordinal(events, ["user_id", "event_type"], "ts", "event_id")
+    ranked = with_ordinal(events, ["user_id", "event_type"], "ts", "event_id").withColumn("ordinal", F.col("ordinal").cast("int"))
     products = ranked.filter("event_type = 'view'").select("user_id", "ordinal", F.col("value").alias("viewed"))
     prices = ranked.filter("event_type = 'purchase'").select("user_id", "ordinal", F.col("value").alias("price"))
     return X.pair_tables_by_ordinal(prices, products, ["user_id"])

@@ -33,11 +33,10 @@ SELECT term, CAST(sum(n) AS BIGINT) AS matches FROM e JOIN d ON
  len(list_filter(string_split({t2('term')}, ' '), lambda w: length(w) >= 3 AND NOT contains(text, w))) = 0 GROUP BY term"""))
 def match_expected(spark, sf):
     offers = offers_view(spark, sf).select("id", T.normalize_search(F.concat_ws(" ", "product", "category", "chain")).alias("text"))
-    texts = offers.groupBy("text").agg(F.count(F.lit(1)).alias("n")).withColumn("text_id", F.xxhash64("text"))
-    expected = offers_view(spark, sf).select(F.concat_ws(" ", "chain", "category").alias("term")).distinct()
-    expected = expected.withColumn("term_id", F.xxhash64("term"))
-    pairs = match.match_expected(texts, expected, text_id="text_id", text="text", term_id="term_id", term="term")
-    return pairs.join(texts, "text_id").join(expected, "term_id").groupBy("term").agg(F.sum("n").alias("matches"))
+    texts = offers.groupBy("text").agg(F.count(F.lit(1)).alias("n"))
+    expected = offers_view(spark, sf).select(F.concat_ws(" ", "chain", "category").alias("term")).distinct().withColumn("name", F.col("term"))
+    pairs = match.match_expected(texts, expected, text_id="n", text="text", term_id="name", term="term")
+    return pairs.groupBy(F.col("name").alias("term")).agg(F.sum("n").alias("matches"))
 
 
 @query("match_checks", with_offers(f"""
@@ -71,32 +70,37 @@ def attach_validity(spark, sf):
 
 
 @query("pages_with_counts", """
-SELECT p_partkey AS page, p_name AS text, (SELECT count(*) FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_linenumber = 1) AS offers FROM part""")
+WITH pages AS (SELECT p_partkey AS page, p_name AS text FROM part UNION ALL SELECT -1 - p_partkey, p_name FROM part),
+c AS (SELECT l_partkey AS page, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT page, text, coalesce(n, 0) AS offers FROM pages LEFT JOIN c USING (page)""")
 def pages_with_counts(spark, sf):
-    pages = table(spark, sf, "part").select(F.col("p_partkey").alias("page"), F.col("p_name").alias("text"))
-    items = table(spark, sf, "lineitem").filter("l_returnflag = 'R' and l_linenumber = 1").select(F.col("l_partkey").alias("page"))
-    return match.pages_with_counts(pages, items, "page")
+    """Every page twice: under its own number, and under a number that no offer has."""
+    pages = table(spark, sf, "part").select(F.explode(F.array(F.col("p_partkey"), -1 - F.col("p_partkey"))).alias("page"), F.col("p_name").alias("text"))
+    return match.pages_with_counts(pages, table(spark, sf, "lineitem").select(F.col("l_partkey").alias("page")), "page")
 
 
 def _candidates(spark, sf):
-    """Candidates whose names sometimes extend, sometimes shorten a part's name."""
-    return table(spark, sf, "part").select(
+    """Candidates whose names sometimes extend, sometimes shorten a part's name; under negative ids, names that nothing has."""
+    named = table(spark, sf, "part").select(
         F.col("p_partkey").alias("id"), (F.col("p_size") % 12).alias("pageNumber"),
         F.when(F.col("p_partkey") % 3 == 0, F.concat("p_name", F.lit(" extra"))).when(F.col("p_partkey") % 3 == 1, F.split("p_name", " ")[1])
         .otherwise(F.concat_ws(" ", "p_name", "p_brand")).alias("product"),
     )
+    absent = named.select((-1 - F.col("id")).alias("id"), "pageNumber", F.concat(F.reverse("product"), F.lit(" zz"), F.col("id").cast("string")).alias("product"))
+    return named.unionByName(absent)
 
 
 def _known(spark, sf):
-    return table(spark, sf, "part").filter("p_partkey % 5 = 0").select(
+    return table(spark, sf, "part").select(
         ((F.col("p_partkey") * 7) % 14).cast("int").alias("pageNumber"), F.col("p_name").alias("product"), F.col("p_type").alias("category")
     )
 
 
 CANDIDATES_SQL = """
-WITH c AS (SELECT p_partkey AS id, p_size % 12 AS page, CASE p_partkey % 3 WHEN 0 THEN p_name || ' extra' WHEN 1 THEN split_part(p_name, ' ', 2)
+WITH named AS (SELECT p_partkey AS id, p_size % 12 AS page, CASE p_partkey % 3 WHEN 0 THEN p_name || ' extra' WHEN 1 THEN split_part(p_name, ' ', 2)
   ELSE p_name || ' ' || p_brand END AS product FROM part),
-k AS (SELECT CAST((p_partkey * 7) % 14 AS INTEGER) AS page, p_name AS product, p_type AS category FROM part WHERE p_partkey % 5 = 0)"""
+c AS (SELECT * FROM named UNION ALL SELECT -1 - id, page, reverse(product) || ' zz' || id::VARCHAR FROM named),
+k AS (SELECT CAST((p_partkey * 7) % 14 AS INTEGER) AS page, p_name AS product, p_type AS category FROM part)"""
 
 
 @query("matches_existing", CANDIDATES_SQL + f"""
@@ -157,8 +161,7 @@ def substring_join_offers(spark, sf):
     """Search-box queries kept in a table, run against every offer at once."""
     offers = offers_view(spark, sf)
     texts = offers.select(T.normalize_ascii(joined_text(offers)).alias("text")).groupBy("text").agg(F.count(F.lit(1)).alias("n"))
-    texts = texts.withColumn("text_id", F.xxhash64("text"))
     queries = table(spark, sf, "part").select(F.concat_ws(" ", "p_brand", "p_type").alias("q")).distinct()
     needles = queries.withColumn("_parts", F.array(T.normalize_ascii("q")))
-    pairs = match.substring_join(texts, needles, text_id="text_id", text="text", needle_id="q", parts="_parts")
-    return pairs.join(texts, "text_id").groupBy("q").agg(F.sum("n").alias("matches"))
+    pairs = match.substring_join(texts, needles, text_id="n", text="text", needle_id="q", parts="_parts")
+    return pairs.groupBy("q").agg(F.sum("n").alias("matches"))

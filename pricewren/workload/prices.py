@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pricewren.functions import money as M, package as K, quality as Q
-from pricewren.operators import extract as X, reconcile as R
+from pricewren.operators import extract as X, ordered, reconcile as R
 from pricewren.workload.registry import query
 from pricewren.workload.views import amount_sql, amount_text, priced_lines, table, with_prices
 
@@ -338,3 +338,20 @@ def segment_confidence(rows):
     return rows.select(
         "id", Q.segment_confidence(F.col("mix") % 5 == 0, F.col("cents") / 100, F.lit("KÁVA ALFA"), (F.col("pack") % 30).cast("double")).alias("confidence")
     )
+
+
+@query("nearest_reference_join", """
+WITH f AS (SELECT row_number() OVER () AS id, l_orderkey, l_linenumber, l_linenumber AS page, floor(l_extendedprice / l_quantity + 0.5) AS price FROM lineitem),
+r AS (SELECT p_size % 8 AS page, p_partkey AS part, p_name AS name, floor(p_retailprice + 0.5) AS price FROM part WHERE p_size % 8 <> 5),
+n AS (SELECT f.*, r.part, r.name, r.price AS near, abs(f.price - r.price) AS diff,
+  row_number() OVER (PARTITION BY id ORDER BY abs(f.price - r.price), r.part) AS k
+ FROM f LEFT JOIN r ON f.page = r.page)
+SELECT l_orderkey, l_linenumber, price, near AS nearest_reference, part AS nearest_part, name AS nearest_name, diff FROM n WHERE k = 1""")
+def nearest_reference_join(spark, sf):
+    """R2 against a table: unit prices of all line items and the closest retail price of their page; page 5 has none."""
+    items = table(spark, sf, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_linenumber as page", "floor(l_extendedprice / l_quantity + 0.5) * 1D as price")
+    parts = table(spark, sf, "part").filter("p_size % 8 <> 5").selectExpr(
+        "p_size % 8 as page", "p_partkey as part", "p_name as name", "floor(p_retailprice + 0.5) * 1D as reference"
+    )
+    found = ordered.nearest_join(items, parts, ["page"], value="price", reference="reference", order="part", keep=["name"])
+    return found.select("l_orderkey", "l_linenumber", "price", "nearest_reference", "nearest_part", "nearest_name", "diff")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pricewren.functions import html as H, quality as Q, text as T
 from pricewren.functions.names import clean_product_name, row_id
-from pricewren.operators import dedupe, enrich, lines, match
+from pricewren.operators import dedupe, enrich, lines, match, ordered
 from pricewren.plans import serve
 from pricewren.workload.registry import query
 from pricewren.workload.views import (
@@ -214,6 +214,24 @@ def category_by_ranges(spark, sf):
     return enrich.category_by_ranges(items, ranges).select("id", "rangeCategory")
 
 
+WIDE_RANGES_SQL = """
+WITH ranges AS (SELECT s_suppkey * 40000 AS f, s_suppkey * 40000 + s_nationkey * 300000 AS t, s_name AS category FROM supplier
+ UNION ALL SELECT 0, 3000000, 'early' UNION ALL SELECT 7, 7, 'seven' UNION ALL SELECT 9, 8, 'reversed'),
+o AS (SELECT o_orderkey AS id, o_orderkey * 97 AS page FROM orders)"""
+
+
+@query("category_by_wide_ranges", WIDE_RANGES_SQL + """
+SELECT id, category AS "rangeCategory" FROM (SELECT o.id, r.category, row_number() OVER (PARTITION BY o.id ORDER BY r.f NULLS LAST, r.category) AS n
+ FROM o LEFT JOIN ranges r ON page BETWEEN f AND t) WHERE n = 1""")
+def category_by_wide_ranges(spark, sf):
+    """E8 with ranges of up to millions of pages that overlap."""
+    ranges = table(spark, sf, "supplier").selectExpr(
+        "s_suppkey * 40000L as `from`", "s_suppkey * 40000L + s_nationkey * 300000L as `to`", "s_name as category"
+    ).unionByName(spark.createDataFrame([(0, 3_000_000, "early"), (7, 7, "seven"), (9, 8, "reversed")], "from long, to long, category string"))
+    pages = table(spark, sf, "orders").selectExpr("o_orderkey as id", "o_orderkey * 97 as pageNumber")
+    return enrich.category_by_ranges(pages, ranges).select("id", "rangeCategory")
+
+
 DICTIONARY = (("fastening", ("bolt", "screw")), ("colour", ("red", "blue")), ("small goods", ("small",)))
 
 
@@ -395,27 +413,47 @@ def probably_new(spark, sf):
 
 
 # --- sorts and top-k ---------------------------------------------------------
-@query("sort_visible", with_offers('SELECT id, coalesce(nullif("unitPrice", 0), price, 0) AS value FROM offers ORDER BY 2, 1'))
+# The global order is the answer, so it is a column: a comparison of row sets sees no order.
+CZECH = "replace(lower({}), 'ch', 'h{{')"
+
+
+@query("sort_visible", with_offers("""
+, v AS (SELECT id, coalesce(nullif("unitPrice", 0), nullif(price, 0), 0) AS value FROM offers)
+SELECT id, value, row_number() OVER (ORDER BY value, id) AS rank FROM v"""))
 def sort_visible(spark, sf):
-    ordered = lines.sort_visible(offers_view(spark, sf))
-    return ordered.select("id", F.coalesce(lines.comparable_value(), F.lit(0.0)).alias("value"))
+    ranked = lines.with_rank(offers_view(spark, sf), *lines.visible_order())
+    return ranked.select("id", F.coalesce(lines.comparable_value(), F.lit(0.0)).alias("value"), "rank")
 
 
-@query("sort_by_store_and_product", with_offers('SELECT id, "storeName", product FROM offers ORDER BY 2, 3'))
+@query("sort_by_store_and_product", with_offers(f"""
+SELECT id, "storeName", product, row_number() OVER (ORDER BY {CZECH.format('"storeName"')}, {CZECH.format('product')}, id) AS rank FROM offers"""))
 def sort_by_store_and_product(spark, sf):
-    return lines.sort_by_store_and_product(offers_view(spark, sf)).select("id", "storeName", "product")
+    return lines.with_rank(offers_view(spark, sf), *lines.store_and_product_order("id")).select("id", "storeName", "product", "rank")
 
 
-@query("sort_by_page", with_offers('SELECT id, "pageNumber", product FROM offers ORDER BY 2, 3'))
+@query("sort_by_page", with_offers(f"""
+SELECT id, "pageNumber", product, row_number() OVER (ORDER BY "pageNumber", {CZECH.format('product')}, id) AS rank FROM offers"""))
 def sort_by_page(spark, sf):
-    return lines.sort_by_page(offers_view(spark, sf)).select("id", "pageNumber", "product")
+    return lines.with_rank(offers_view(spark, sf), *lines.page_order("id")).select("id", "pageNumber", "product", "rank")
 
 
 @query("sort_by_risk", with_offers("""
-SELECT "storeId", confidence AS risk, count(*) AS missing FROM offers GROUP BY ALL ORDER BY 2, 3 DESC"""))
+, c AS (SELECT "storeId", confidence AS risk, count(*) AS missing FROM offers GROUP BY ALL)
+SELECT *, row_number() OVER (ORDER BY CASE risk WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC, missing DESC, "storeId") AS rank FROM c"""))
 def sort_by_risk(spark, sf):
     counts = offers_view(spark, sf).groupBy("storeId", F.col("confidence").alias("risk")).agg(F.count(F.lit(1)).alias("missing"))
-    return lines.sort_by_risk(counts)
+    return lines.with_rank(counts, *lines.risk_order("risk", "missing", "storeId"))
+
+
+@query("chain_ordinals", with_offers("""
+SELECT id, chain, row_number() OVER (PARTITION BY chain ORDER BY price, id) AS ordinal,
+ CAST(sum(CASE WHEN suspect THEN 1 ELSE 0 END) OVER (PARTITION BY chain ORDER BY price, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS block FROM offers"""))
+def chain_ordinals(spark, sf):
+    """W2 and W4 where five keys hold all rows: ordinals and running block ids by chain."""
+    numbered = ordered.running_totals(
+        offers_view(spark, sf), ["chain"], ["price", "id"], {"ordinal": F.lit(1), "block": F.col("suspect").cast("int")}
+    )
+    return numbered.select("id", "chain", "ordinal", "block")
 
 
 @query("top_missing_pages", """

@@ -324,7 +324,8 @@ def line_windows(spark, sf):
 @query("page_ordinals", """
 SELECT conv_id, role, turn, CAST(row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS INTEGER) AS ordinal FROM conversations""")
 def page_ordinals(spark, sf):
-    return L.with_ordinal(table(spark, sf, "conversations"), ["conv_id", "role"], "turn").select("conv_id", "role", "turn", "ordinal")
+    numbered = L.with_ordinal(table(spark, sf, "conversations"), ["conv_id", "role"], "turn")
+    return numbered.select("conv_id", "role", "turn", F.col("ordinal").cast("int").alias("ordinal"))
 
 
 @query("line_predicates", """
