@@ -10,15 +10,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pricewren.functions import html as H, money as M, names as N, package as K, quality as Q
-from pricewren.functions.patterns import EDGE_L, EDGE_R, LETTER, quote
+from pricewren.functions.patterns import EDGE_L, EDGE_R, LETTER
 from pricewren.functions.text import (
     compact_text, each, first_text, let, normalize_for_index, normalize_line, normalize_search, normalize_text,
     remove_page_noise, single_line, squeeze, text_of,
 )
 from pricewren.operators.enrich import category_by_page_range, guess_category
+from pricewren.operators.match import SIZES, bit_table, in_bit_table
+from pricewren.session import staged
 
 
 _ALL = 1_000_000_000  # slice length meaning "to the end" (start + length must fit an int)
@@ -422,37 +424,68 @@ def extract_price_marker_candidates(pages: DataFrame, text: str = "text", page:
 
 
 # --- dictionaries ------------------------------------------------------------
-def extract_dictionary_blocks(pages: DataFrame, starts: Sequence[str], text: str = "text", keep: Sequence[str] = ("page_id",)) -> DataFrame:
-    """Blocks from one known product start to the next.
-
-    The page is cut at every (accent-insensitive) start by a zero-width split;
-    where two starts share a position the longer one names the block.  The folded
-    text keeps positions, so block borders carry over to the original text.
+def extract_dictionary_blocks(pages: DataFrame, starts: Sequence[str] | DataFrame, text: str = "text",
+                              keep: Sequence[str] = ("page_id",)) -> DataFrame:
+    """Blocks from one known product start to the next, accents and case apart.
+
+    ``starts`` is a list or a table (column ``start``) of any size.  Where several
+    starts share a position the longest names the block; of equal ones the first of
+    the list, or the smallest of the table.
+
+    One pass over a page: the few characters that follow each position are looked up
+    in a bit table of the starts' first grams, whose size is fixed, inside the row; the
+    page is cut at the positions that pass.  Only these pieces leave the row.  An equi join on the
+    gram verifies them, pieces without a start are joined to the block before them.
+    The work is linear in the page, and the plan the same for every dictionary.
+    Characters beyond the basic plane count as alike.
     """
-    folded = {s: _fold(s) for s in starts}
-    ordered = sorted(folded.items(), key=lambda item: -len(item[1]))
-    alternation = "|".join(quote(f) for _, f in ordered)
-    pieces = F.split(normalize_for_index(text), f"(?={alternation})")
-
-    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<at:int,size:int,piece:string>>").alias("done"))
-
-    def step(state: Column, piece: Column) -> Column:
-        return F.struct(
-            (state["at"] + F.length(piece)).alias("at"),
-            F.concat(
-                state["done"], F.array(F.struct(state["at"].alias("at"), F.length(piece).alias("size"), piece.alias("piece")))
-            ).alias("done"),
-        )
-
-    placed = F.aggregate(pieces, start, step, lambda s: s["done"])
-    rows = pages.select(*keep, F.col(text).alias("_text"), F.explode(placed).alias("_p"))
-    label = F.lit(None).cast("string")
-    for original, fold in reversed(ordered):
-        label = F.when(F.startswith(F.col("_p.piece"), F.lit(fold)), F.lit(original)).otherwise(label)
-    return rows.withColumn("start", label).filter("start is not null").select(
-        *keep, (F.col("_p.at") - 1).alias("pos"), "start",
-        single_line(F.expr("substring(_text, _p.at, _p.size)")).alias("block"),
-    )
+    spark = pages.sparkSession
+    if isinstance(starts, DataFrame):
+        listed = starts.filter("start is not null").select("start", F.lit(0).alias("_order")).distinct()
+    else:
+        listed = spark.createDataFrame([(s, i) for i, s in enumerate(starts)], "start string, _order int")
+    basic = lambda c: F.regexp_replace(normalize_for_index(c), r"[\x{10000}-\x{10FFFF}]", "\ufffc")
+    size = F.lit(SIZES[-1])
+    for n in reversed(SIZES):
+        size = F.when(F.length("_fold") >= n, F.lit(n)).otherwise(size)
+    known = staged(
+        listed.withColumn("_fold", basic("start")).filter("_fold <> ''").groupBy("_fold").agg(F.min(F.struct("_order", "start"))["start"].alias("start"))
+        .withColumn("_size", size).withColumn("_gram", F.expr("left(_fold, _size)")), "starts",
+    )
+    longest = known.agg(F.max(F.length("_fold"))).first()[0] or 1
+
+    def heads(window: Column, table: Column) -> Column:
+        """The grams at a position that some start begins with."""
+        grams = [F.when(F.array_contains(table["sizes"], n), F.left(window, F.lit(n))) for n in SIZES]
+        return F.filter(F.array_distinct(F.array_compact(F.array(*grams))), lambda g: in_bit_table(g, table["bits"]))
+
+    rows = pages.select(*keep, F.monotonically_increasing_id().alias("_row"), F.col(text).alias("_text")).withColumn("_table", bit_table(known))
+    windows = F.regexp_extract_all(basic("_text"), F.lit(rf"(?s)(?=(.{{1,{longest}}}))"), F.lit(1))
+    candidates = F.filter(
+        F.transform(windows, lambda w, i: F.struct((i + 1).alias("at"), w.alias("window"), heads(w, F.col("_table")).alias("grams"))),
+        lambda c: F.size(c["grams"]) > 0,
+    )
+
+    def pieces(found: Column, chars: Column) -> Column:
+        end = lambda j: F.coalesce(F.get(found, j + 1)["at"], F.size(chars) + 1)
+        return F.transform(found, lambda c, j: F.struct(
+            c["at"].alias("at"), c["window"].alias("window"), c["grams"].alias("grams"),
+            F.array_join(F.slice(chars, c["at"], F.greatest(end(j) - c["at"], F.lit(0))), "").alias("piece"),
+        ))
+
+    cut = let(candidates, lambda found: let(F.split(F.coalesce("_text", F.lit("")), ""), lambda chars: pieces(found, chars)))
+    hits = rows.select(*keep, "_row", F.explode(cut).alias("_c")).select(
+        *keep, "_row", "_c.at", "_c.window", "_c.piece", F.explode("_c.grams").alias("_gram")
+    )
+    matched = hits.join(known, (hits["_gram"] == known["_gram"]) & F.startswith("window", "_fold"), "left")
+    # max_by skips nulls: the longest start, or none.
+    named = matched.groupBy("_row", *keep, "at").agg(F.max_by("start", F.length("_fold")).alias("start"), F.first("piece").alias("piece"))
+    block = F.count("start").over(Window.partitionBy("_row").orderBy("at"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda x: x["piece"]), "")
+    blocks = named.withColumn("_block", block).filter("_block > 0").groupBy("_row", *keep, "_block").agg(
+        (F.min("at") - 1).alias("pos"), F.min_by("start", "at").alias("start"), single_line(joined).alias("block")
+    )
+    return blocks.select(*keep, "pos", "start", "block")
 
 
 def dictionary_offers(blocks: DataFrame) -> DataFrame:
@@ -472,20 +505,12 @@ def dictionary_offers(blocks: DataFrame) -> DataFrame:
     )
 
 
-def missing_starts(blocks: DataFrame, starts: Sequence[str]) -> DataFrame:
-    """Dictionary entries that no page contains."""
-    spark = blocks.sparkSession
-    known = spark.createDataFrame([(s,) for s in starts], "start string")
+def missing_starts(blocks: DataFrame, starts: Sequence[str] | DataFrame) -> DataFrame:
+    """Dictionary entries (a list, or a table with the column ``start``) that no page contains."""
+    known = starts.select("start") if isinstance(starts, DataFrame) else blocks.sparkSession.createDataFrame([(s,) for s in starts], "start string")
     return known.join(blocks.select("start").distinct(), "start", "left_anti")
 
 
-def _fold(term: str) -> str:
-    import unicodedata
-
-    base = "".join(ch for ch in unicodedata.normalize("NFD", term) if not 0x0300 <= ord(ch) <= 0x036F)
-    return base.lower().replace("–", "-").replace("—", "-")
-
-
 def pair_by_ordinal(pages: DataFrame, prices: Column, blocks: Column, keep: Sequence[str] = ("page_id",)) -> DataFrame:
     """X11: n-th price with n-th product of the same page, mismatch flagged."""
     return pages.withColumns({"_prices": prices, "_blocks": blocks}).select(

@@ -56,7 +56,7 @@ def anchor_index(needles: DataFrame, *, needle_id: str, parts: str, on: Sequence
     return chosen.select(*on, needle_id, *[F.col(f"_best.{c}") for c in ("_gram", "_size", "_part", "_offset")])
 
 
-def _bit_table(anchors: DataFrame) -> Column:
+def bit_table(anchors: DataFrame) -> Column:
     """The anchors' bits and gram lengths as one value for all rows: ``struct(bits, sizes)``, its size fixed."""
     spark = anchors.sparkSession
     bits = anchors.select(F.explode(F.array(*_places(F.col("_gram")))).alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(
@@ -68,6 +68,15 @@ def _bit_table(anchors: DataFrame) -> Column:
     return F.struct(dense.scalar().alias("bits"), sizes.scalar().alias("sizes"))
 
 
+def in_bit_table(gram: Column, bits: Column) -> Column:
+    """Whether a gram may be an anchor: never wrong for one that is."""
+    def test(at: Column) -> Column:
+        return F.call_function("getbit", F.get(bits, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+    first, second = _places(gram)
+    return test(first) & test(second)
+
+
 def substring_join(texts: DataFrame, needles: DataFrame, *, text_id: str, text: str, needle_id: str, parts: str,
                    on: Sequence[str] = (), carry: Sequence[str] = (), derive=None) -> DataFrame:
     """All pairs ``(text_id, needle_id)`` where every part occurs in the text.
@@ -88,17 +97,10 @@ def substring_join(texts: DataFrame, needles: DataFrame, *, text_id: str, text:
     known = F.filter(parts, lambda p: p != "").alias("_parts")
     found = anchors.select(*keys, F.col(needle_id).alias("_needle")).join(needles.select(F.col(needle_id).alias("_needle"), known), "_needle")
 
-    def in_table(gram: Column, table: Column) -> Column:
-        test = lambda at: F.call_function(
-            "getbit", F.get(table["bits"], F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")
-        ) == 1
-        first, second = _places(gram)
-        return test(first) & test(second)
-
     columns = list(dict.fromkeys([*on, text_id, *carry]))
-    rows = texts.select(*columns, F.col(text).alias("_text")).withColumn("_table", _bit_table(anchors))
+    rows = texts.select(*columns, F.col(text).alias("_text")).withColumn("_table", bit_table(anchors))
     every = F.flatten(F.array_compact(F.array(*[
-        F.when(F.array_contains("_table.sizes", n), F.filter(grams(F.col("_text"), n), lambda g: in_table(g, F.col("_table")))) for n in SIZES
+        F.when(F.array_contains("_table.sizes", n), F.filter(grams(F.col("_text"), n), lambda g: in_bit_table(g, F.col("_table.bits")))) for n in SIZES
     ])))
     hits = rows.select(*columns, "_text", F.explode(F.array_distinct(every)).alias("_gram"))
     pairs = hits.join(found, keys).filter(F.forall("_parts", lambda p: F.contains(F.col("_text"), p)))

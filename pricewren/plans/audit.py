@@ -23,6 +23,7 @@ from pricewren.operators.enrich import joined_text
 from pricewren.operators.extract import extract_price_marker_candidates
 from pricewren.operators.lines import top_k_per_group
 from pricewren.operators.match import already_in, count_checks, match_checks, pages_with_counts, substring_join
+from pricewren.operators.similar import similar_groups
 from pricewren.session import staged
 
 
@@ -104,6 +105,14 @@ def near_duplicate_groups(offers: DataFrame) -> DataFrame:
     return keyed.groupBy("page", "name").agg(count_rows("count")).filter("name is not null and count > 1")
 
 
+def similar_name_groups(offers: DataFrame, percent: int = 60) -> DataFrame:
+    """A14 at scale: offers with ``groupId``, the smallest id of the same page whose name is connected to theirs.
+
+    Names link where their word sets have a Jaccard similarity of ``percent`` % or more.
+    """
+    return similar_groups(offers, ["pageNumber"], id_col="id", tokens=F.split(normalize_search("product"), " "), percent=percent)
+
+
 def _members(offers: DataFrame, key: Sequence[Column], groups: DataFrame) -> DataFrame:
     """The rows of ``offers`` in the counted groups, with the group's count.
 

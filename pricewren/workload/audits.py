@@ -157,6 +157,21 @@ def near_duplicate_items(spark, sf):
     return audit.near_duplicate_items(_described_offers(spark, sf)).select("id", "count")
 
 
+@query("similar_name_groups", """
+WITH RECURSIVE o AS (SELECT p_partkey AS id, p_size AS page, list_sort(list_distinct(string_split(trim(regexp_replace(lower(p_name || ' ' || p_type || ' ' || p_brand), '[^a-z0-9]+', ' ', 'g')), ' '))) AS ws FROM part),
+c AS (SELECT page, ws, min(id) AS id FROM o GROUP BY ALL),
+l AS (SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON a.page = b.page AND a.id <> b.id
+ AND 100 * len(list_intersect(a.ws, b.ws)) >= 60 * (len(a.ws) + len(b.ws) - len(list_intersect(a.ws, b.ws)))),
+r AS (SELECT id, id AS other FROM c UNION SELECT r.id, l.b FROM r JOIN l ON r.other = l.a),
+g AS (SELECT id, min(other) AS "groupId" FROM r GROUP BY id)
+SELECT o.id, g."groupId" FROM o JOIN c ON o.page = c.page AND o.ws = c.ws JOIN g ON g.id = c.id""")
+def similar_name_groups(spark, sf):
+    offers = table(spark, sf, "part").select(
+        F.col("p_partkey").alias("id"), F.col("p_size").alias("pageNumber"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("product")
+    )
+    return audit.similar_name_groups(offers).select("id", "groupId")
+
+
 NOISY_SQL = """
 WITH o AS (SELECT p_partkey AS id, p_size AS page, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN 'záloha na lahev ' || p_name WHEN 2 THEN 'a 12,90 ' || p_name
  ELSE p_name || ' < 9,90 Kč' END AS product, CASE WHEN p_partkey % 8 = 0 THEN '' ELSE p_type END AS category FROM part)"""

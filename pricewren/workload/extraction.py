@@ -212,6 +212,27 @@ def extract_dictionary_blocks(spark, sf):
     return offers.select("page_id", "pos", "start", "product", "packageSize", "price")
 
 
+DICTIONARY_PAGES_SQL = """
+WITH p AS (SELECT p_partkey AS k, '#' || p_name AS name, p_partkey % 7 = 0 AS bare FROM part),
+pages AS (SELECT k, name, bare, 'Úvod ' || upper(name) || CASE WHEN bare THEN '' ELSE ' NR' || k::VARCHAR || 'X' END AS first,
+ upper(name) || ' NR' || (k * 3)::VARCHAR || 'X' AS second FROM p),
+has AS (SELECT DISTINCT name || ' nr' || k::VARCHAR || 'x' AS long FROM p)"""
+
+
+@query("dictionary_table_blocks", DICTIONARY_PAGES_SQL + """
+SELECT k AS page_id, 5 AS pos, CASE WHEN bare THEN name ELSE name || ' nr' || k::VARCHAR || 'x' END AS start, substr(first, 6) || ' 100 g < 12,90 Kč' AS block FROM pages
+UNION ALL SELECT k, CAST(length(first) + 18 AS INTEGER), coalesce(long, name), second || ' konec' FROM pages LEFT JOIN has ON long = name || ' nr' || (k * 3)::VARCHAR || 'x'""")
+def dictionary_table_blocks(spark, sf):
+    """X10 with a table: all part names, bare and with a number of their own, so that the longer start must win."""
+    parts = table(spark, sf, "part").select("p_partkey", F.concat(F.lit("#"), "p_name").alias("name"))
+    number = F.col("p_partkey").cast("string")
+    names = parts.select(F.explode(F.array(F.col("name"), F.concat("name", F.lit(" nr"), number, F.lit("x")))).alias("start"))
+    own = F.when(F.col("p_partkey") % 7 == 0, F.lit("")).otherwise(F.concat(F.lit(" NR"), number, F.lit("X")))
+    other = F.concat(F.lit(" NR"), (F.col("p_partkey") * 3).cast("string"), F.lit("X"))
+    text = F.concat(F.lit("Úvod "), F.upper("name"), own, F.lit(" 100 g < 12,90 Kč "), F.upper("name"), other, F.lit(" konec"))
+    return X.extract_dictionary_blocks(parts.select(F.col("p_partkey").alias("page_id"), text.alias("text")), names)
+
+
 @query("missing_starts", "SELECT 'NOWHERE TO BE FOUND' AS start WHERE (SELECT count(*) FROM part) > 0")
 def missing_starts(spark, sf):
     return X.missing_starts(_dictionary_blocks(spark, sf), DICTIONARY)
