@@ -343,8 +343,10 @@ def query_report(offers: DataFrame, checks: Sequence[tuple[str, str, int]], fiel
     return counted.withColumn("minimum", least[F.col("label")]).withColumn("problem", F.col("matches") < F.col("minimum"))
 
 
-def search_mode_comparison(offers: DataFrame, queries: Sequence[str]) -> DataFrame:
-    """Matches per query in all fields, name + description, name only."""
+def search_mode_comparison(offers: DataFrame, queries: Sequence[str], chain: str | None = None) -> DataFrame:
+    """Matches per query in all fields, name + description, name only; of one ``chain`` if it is named."""
+    if chain is not None:
+        offers = offers.filter(Q.is_chain(chain, *[F.col(f) for f in rules.STORE_FIELDS if f in offers.columns]))
     modes = {
         "full": (*rules.SEARCH_FIELDS, "rawContext"),
         "productDescription": ("product", "name", "title", "description"),

@@ -28,6 +28,7 @@ VIEWER_WORDS = (
 ENDPOINT_WORDS = ("api", "graphql", "product", "products", "offers", "leaflet", "catalog", "brochure")
 STORE_HINT_KEYS = ("storeName", "storename", "store-name", "storeId", "storeID", "market", "branch", "filiale", "store")
 STORE_ENDPOINT_WORDS = ("kloffers", "klxtra", "offer", "offers", "leaflet", "filiale", "storeName", "store")
+LEAFLET_LINK_WORDS = ("letak", "leták", "prolistovat")
 LEAFLET_WORDS = ("leaflet", "catalog", "brochure", "prospekt")
 
 # --- fixed values: units and prices ------------------------------------------

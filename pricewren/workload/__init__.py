@@ -4,7 +4,7 @@ from pricewren.workload.registry import ORACLES, QUERIES
 
 
 def _load() -> None:
-    from pricewren.workload import audits, extraction, files, matching, prices, serving, streams, texts  # noqa: F401
+    from pricewren.workload import audits, extraction, files, matching, prices, serving, streams, texts, verdicts  # noqa: F401
 
 
 def all_queries():
