@@ -107,11 +107,11 @@ def extract_unit_segments(pages: DataFrame, line: str = "line", page: str = "pag
         )
 
     def name(part: Column) -> Column:
-        return F.struct(
-            N.name_from_segment(part["prefix"]).alias("product"),
-            part["packageSize"].alias("packageSize"),
-            part["unitText"].alias("unitText"),
-        )
+        # An unparsed price counts wherever it stands before the package, so it is looked for before the descriptors are cut.
+        return let(N.clean_segment_prefix(part["prefix"]), lambda prefix: F.struct(
+            N.shorten_segment_name(prefix).alias("product"), N.has_unparsed_price(prefix).alias("unparsed"),
+            part["packageSize"].alias("packageSize"), part["unitText"].alias("unitText"),
+        ))
 
     located = each(each(N.segment_texts("_body"), split_segment), locate, lambda p: p["packageSize"] != "")
     segments = each(located, name, lambda p: ~N.bad_segment_name(p["product"]))
@@ -119,7 +119,7 @@ def extract_unit_segments(pages: DataFrame, line: str = "line", page: str = "pag
     def priced(p: Column, ordinal: Column) -> Column:
         return F.struct(
             ordinal.alias("ordinal"), p["product"].alias("product"), p["packageSize"].alias("packageSize"),
-            F.when(~N.has_unparsed_price(p["product"]), M.parse_unit_multi(p["unitText"])).alias("unit"),
+            F.when(~p["unparsed"], M.parse_unit_multi(p["unitText"])).alias("unit"),
         )
 
     rows = F.filter(F.transform(segments, priced), lambda p: p["unit"].isNotNull())

@@ -89,6 +89,23 @@ def schema_profile(items: DataFrame, json: str) -> DataFrame:
     return everything.groupBy("path", "type").agg(count_rows("count"), F.min("_text").alias("sample"))
 
 
+def object_keys(items: DataFrame, json: str) -> DataFrame:
+    """Per path of objects inside JSON texts, each key with the number of objects that have it."""
+    spark = items.sparkSession
+    level = items.select(F.lit("$").alias("path"), F.try_parse_json(json).alias("v")).filter("v is not null")
+    found = []
+    for _ in range(items.agg(F.max(nesting(json))).first()[0] or 0):
+        inner = level.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
+        found.append(inner.filter("key is not null").select("path", "key"))
+        path = F.when(F.col("key").isNull(), F.concat("path", F.lit("[]"))).when(F.col("path") == "$", F.col("key")).otherwise(
+            F.concat_ws(".", "path", "key")
+        )
+        level = inner.select(path.alias("path"), F.col("value").alias("v"))
+    if not found:
+        return spark.createDataFrame([], "path string, key string, count long")
+    return reduce(DataFrame.union, found).groupBy("path", "key").agg(count_rows("count"))
+
+
 # --- duplicates --------------------------------------------------------------
 def exact_key() -> list[Column]:
     return [F.col("pageNumber").alias("page"), normalize_search("product").alias("name"), F.col("price").alias("price")]
@@ -489,8 +506,9 @@ def hidden_vs_visible(pages: DataFrame, terms: Sequence[str], html: str = "html"
 def nearest_images(pages: DataFrame, offers: DataFrame, html: str = "html", page: str = "page_id", url: str = "url", k: int = 2) -> DataFrame:
     """The images closest to the first long word of a product on its page.
 
-    Offers meet their page by an equi join that carries positions only: image
-    positions are an array on the page side, so pairs are ranked inside a row.
+    The words (the first five long ones, as the definition has it) are looked up beside
+    the page, distinct per page and in one scan; what meets the offers are positions of
+    words and images, no text.
     """
     tag = rf"(?is)<img{EDGE_R}[^>]*>"
     source = r"""(?i)\s(?:src|data-src|data-original)\s*=\s*["']([^"']+)["']"""
@@ -498,15 +516,26 @@ def nearest_images(pages: DataFrame, offers: DataFrame, html: str = "html", page
         F.transform(H.match_positions(html, tag), lambda m: F.struct(m["pos"].alias("pos"), F.regexp_extract(m["match"], source, 1).alias("src"))),
         lambda i: i["src"] != "",
     )
-    spots = pages.select(page, F.col(url).alias("_url"), normalize_for_index(H.decode_html(html)).alias("_text"), images.alias("_images"))
     tokens = F.slice(F.filter(F.split(normalize_search("product"), " "), lambda t: F.length(t) >= 4), 1, 5)
-    joined = offers.withColumn("_tokens", tokens).join(spots.filter(F.size("_images") > 0), page)
-    found = F.filter(F.transform("_tokens", lambda t: F.instr(F.col("_text"), t)), lambda p: p > 0)
-    placed = joined.select(*offers.columns, "_url", "_images", (F.array_min(found) - 1).alias("_at"))
+    wanted = offers.select(page, F.explode(F.array_distinct(tokens)).alias("_token")).distinct().select(
+        page, "_token", F.concat_ws("\u0001", F.col(page).cast("string"), "_token").alias("_needle"), F.array("_token").alias("_parts")
+    )
+    texts = pages.select(page, normalize_for_index(H.decode_html(html)).alias("_text"))
+    places = substring_join(
+        texts, wanted, text_id=page, text="_text", needle_id="_needle", parts="_parts", on=[page],
+        derive=lambda text, parts: [parts[0].alias("_token"), (F.instr(text, parts[0]) - 1).alias("_pos")],
+    ).select(F.col(page).alias("_of"), "_token", "_pos")
+    columns = F.struct(*offers.columns)
+    numbered = offers.withColumn("_row", F.monotonically_increasing_id())
+    words = numbered.select("_row", columns.alias("_offer"), F.col(page).alias("_page"), F.explode(F.array_distinct(tokens)).alias("_word"))
+    placed = words.join(places, (F.col("_page") == F.col("_of")) & (F.col("_word") == F.col("_token"))).groupBy("_row").agg(
+        F.min("_pos").alias("_at"), F.first("_offer").alias("_offer"), F.first("_page").alias("_page")
+    )
+    spots = pages.select(F.col(page).alias("_of"), F.col(url).alias("_url"), images.alias("_images")).filter(F.size("_images") > 0)
     ranked = F.slice(F.array_sort(F.transform(
         "_images", lambda i, n: F.struct(F.abs(i["pos"] - F.col("_at")).alias("distance"), n.alias("n"), i["src"].alias("src"))
     )), 1, k)
-    near = placed.filter("_at is not null").select(*offers.columns, "_url", F.explode(ranked).alias("_i"))
+    near = placed.join(spots, F.col("_page") == F.col("_of")).select("_offer.*", "_url", F.explode(ranked).alias("_i"))
     address = H.resolve_url("_i.src", F.col("_url"))
     return near.select(*offers.columns, address.alias("imageUrl"), F.col("_i.distance").alias("distance")).withColumn(
         "imageClass", H.classify_image("imageUrl")

@@ -27,13 +27,15 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8) -> SparkSess
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach, as the cluster names it.
+    """Folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Read from ``spark.checkpoint.dir``.  Only where the setting is absent (tests
-    on one machine) is a temporary folder chosen, and then stored in the session.
+    Where the setting is absent a folder is made only for a session whose executors are
+    threads of this machine (``local[..]``); anywhere else other machines could not read it.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -121,6 +121,18 @@ def schema_profile(spark, sf):
     return audit.schema_profile(events, "doc").select("path", "type", "count")
 
 
+@query("object_keys", """
+WITH n AS (SELECT count(*) AS n, count(*) FILTER (WHERE event_id % 3 = 0) AS t FROM events)
+SELECT '$' AS path, k AS key, n AS count FROM n, (VALUES ('props'), ('list')) v(k) UNION ALL SELECT '$', 'extra', t FROM n
+UNION ALL SELECT 'props', 'k', n FROM n UNION ALL SELECT 'list[]', 'a', 2 * n FROM n UNION ALL SELECT 'list[]', 'b', n FROM n
+UNION ALL SELECT 'list[].a', 'c', n FROM n UNION ALL SELECT 'extra', 'deep', t FROM n""")
+def object_keys(spark, sf):
+    """Keys of the objects at every path, some of which only a third of the items have."""
+    extra = F.when(F.col("event_id") % 3 == 0, F.lit(', "extra": {"deep": null}')).otherwise(F.lit(""))
+    doc = F.concat(F.lit('{"props": '), "props", F.lit(', "list": [{"a": {"c": 1}}, {"a": 2, "b": []}, 7]'), extra, F.lit("}"))
+    return audit.object_keys(table(spark, sf, "events").select(doc.alias("doc")), "doc")
+
+
 # --- duplicates and noise ----------------------------------------------------
 @query("exact_duplicate_groups", """
 SELECT p_size AS page, p_name AS name, CAST(p_size % 5 AS DOUBLE) AS price, count(*) AS count FROM part GROUP BY ALL HAVING count(*) > 1""")

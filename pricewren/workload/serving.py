@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pricewren.functions import html as H, quality as Q, text as T
 from pricewren.functions.names import clean_product_name, row_id
 from pricewren.operators import dedupe, enrich, lines, match, ordered
-from pricewren.plans import serve
+from pricewren.plans import index, serve
+from pricewren.session import shared_folder
 from pricewren.workload.registry import query
 from pricewren.workload.views import (
     QUALITY_SQL, SEARCH_SQL, base_rows, compare_key_sql, offers_view, t1, t3, table, with_offers,
@@ -66,6 +69,26 @@ def search(spark, sf):
     return serve.search(offers_view(spark, sf), "Blue-Bolt Brand#4").select("id", "product")
 
 
+def _stored_index(spark, sf):
+    folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    index.write_search_index(enrich.with_search_index(offers_view(spark, sf)).select("id", "product", "searchIndex"), folder, buckets=64)
+    return folder
+
+
+@query("search_stored", with_offers(f"SELECT id, product FROM offers WHERE contains({SEARCH_SQL}, 'blue bolt brand 4')"))
+def search_stored(spark, sf):
+    """Q8 through a stored index."""
+    return index.search_stored(spark, _stored_index(spark, sf), "Blue-Bolt Brand#4").select("id", "product")
+
+
+@query("count_stored", with_offers(f"""
+, q(query, f) AS (VALUES ('Blue-Bolt', 'blue bolt'), ('brand 2', 'brand 2'), ('8', '8'), ('no such product', 'no such product'))
+SELECT query, (SELECT count(*) FROM offers WHERE contains({SEARCH_SQL}, f)) AS matches FROM q"""))
+def count_stored(spark, sf):
+    """Many queries served by one index."""
+    return index.count_stored(spark, _stored_index(spark, sf), ["Blue-Bolt", "brand 2", "8", "no such product"])
+
+
 @query("search_index", with_offers(f'SELECT id, {SEARCH_SQL} AS "searchIndex" FROM offers'))
 def search_index(spark, sf):
     return enrich.with_search_index(offers_view(spark, sf)).select("id", "searchIndex")
