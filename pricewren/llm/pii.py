@@ -5,12 +5,15 @@ propose spans that may overlap: obfuscated addresses, digits in any grouping, nu
 with a port or of version 6. Each candidate becomes format features (digits, groups, separators, checksum, ...) and context
 features (kinds of the neighbouring characters and key words before it). Boosted trees per kind give a probability, which is
 calibrated on rows the trees haven't seen, and a span is added where it reaches the kind's threshold: the least at
-which held-out precision is `precision`. Of overlapping spans of a kind the base ones win, then the more probable.
+which held-out precision is `precision`. What overlaps a base span of any kind isn't added; of overlapping others of a kind the more probable wins.
 
-Training labels come from the data: a candidate is positive where it lies on a base span of its kind; the features leave out what
-defines the base (a leading plus sign with country code). It uses the candidates of a sample: max_documents documents and
-max_candidates candidates of a kind in expectation, chosen by hashes, whole texts. Fixed thresholds of 1 (nothing is added) hold where a kind has
-fewer than MIN_EXAMPLES of either label.
+No labelled personal data exists, so positives are made: base spans of a sample are rewritten in place as people hide or regroup them (at and
+dot as words or in brackets, other separators, version 6, national numbers), and the candidate that covers the rewritten span is positive, in
+its own context. Candidates of the unchanged texts that touch no base span of their kind are negative, and so are look-alikes (amounts, times,
+dates, device numbers) put in the place of base spans. What defines the base (an at sign, the checksum, parts
+up to 255, a plus sign with country code) is no feature. The sample has max_documents documents and max_candidates distinct feature vectors
+of a kind in expectation, chosen by hashes of rows and of vectors, so copies don't enlarge it; whole texts. Thresholds of 1 (nothing is added)
+hold where a kind has fewer than MIN_EXAMPLES of either label.
 
 Texts are processed whole, one at a time, and nothing is shuffled. All searches are linear in the text. A null text is the empty text
 and has no spans. Repeated rows each get their spans. Empty tables give empty results. Positions count code points.
@@ -23,6 +26,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,6 +62,13 @@ _KEYS = {
     "card": re.compile(r"card|visa|master|amex|credit|karte|carte|tarjeta|payment", re.I),
     "phone": re.compile(r"phone|\btel|call|mobile|fax|cell|telefon|tél|whatsapp", re.I),
 }
+#: Characters around a rewritten span that its features are taken with.
+_CONTEXT = 120
+#: Times that one feature vector counts at most.
+_MOST_COPIES = 50
+#: Words and brackets that stand for signs in hidden addresses.
+_SENTENCE = re.compile(r"\.\s")
+_WORDS, _BRACKETS = re.compile(r"\b(?:at|dot)\b"), re.compile(r"[\[({]\s?(?:at|dot)\s?[\])}]")
 _BEFORE = 40
 _HEX = frozenset("abcdefABCDEF")
 
@@ -117,8 +128,8 @@ def features(text: str, kind: str, begin: int, end: int) -> list[float]:
     before, after = text[begin - 1 : begin], text[end : end + 1]
     return [
         len(core), len(digits), len(groups), max(map(len, groups), default=0), min(map(len, groups), default=0), letters,
-        core.count("."), core.count("-"), core.count(" "), core.count("(") + core.count("["), core.count(":"), float("@" in core),
-        float(13 <= len(digits) <= 19 and luhn(digits)), float(all(len(g) <= 3 and int(g) <= 255 for g in groups)), len(set(digits)),
+        core.count("."), core.count("-"), core.count(" "), core.count("(") + core.count("["), core.count(":"), core.count(",") + core.count("_") + core.count("/"),
+        len(_WORDS.findall(core)), core.count("dot"), len(_SENTENCE.findall(core)), len(_BRACKETS.findall(core)), max(map(len, re.findall(r"[A-Za-z]+", core)), default=0),
         float(digits[:1] == "0"), float(before.isalnum()), float(after.isalnum()), float(before in _HEX and before != ""), float(after in _HEX and after != ""),
         float(before in "=\"'#:/" and before != ""), float(_KEYS[kind].search(text, max(0, begin - _BEFORE), begin) is not None),
     ]
@@ -135,12 +146,12 @@ def spans(text: str | None, model: Model) -> tuple[dict[str, list[tuple[int, int
     if not text:
         return {k: [] for k in KINDS}, []
     base = base_spans(text)
+    every = _merged(sorted(s for found in base.values() for s in found))
     out = []
     for kind in KINDS:
         taken = sorted(base[kind])
         if kind in model.trees:
-            proposed = sorted(set(candidates(text, kind)) - set(taken))
-            proposed = _apart(proposed, taken)
+            proposed = _apart(sorted(set(candidates(text, kind))), every)
             if proposed:
                 p = model.trees[kind].probability(np.array([features(text, kind, *s) for s in proposed]))
                 good = [(-x, s) for x, s in zip(p, proposed, strict=True) if x >= model.thresholds[kind]]
@@ -160,6 +171,17 @@ def _apart(proposed: list[tuple[int, int]], taken: list[tuple[int, int]]) -> lis
     return out
 
 
+def _merged(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans with overlapping ones joined."""
+    out: list[tuple[int, int]] = []
+    for begin, end in found:
+        if out and begin < out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((begin, end))
+    return out
+
+
 def _chosen(ranked: list[tuple[float, tuple[int, int]]], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """taken and, in order of rank, the spans that overlap nothing chosen before. Candidates of a kind are short, so marks by position do."""
     marks: set[int] = set()
@@ -177,17 +199,66 @@ _N_FEATURES = len(features("1", "phone", 0, 1))
 _ROWS = "kind string, label int, x array<double>"
 
 
+def rewritten(kind: str, span: str) -> list[str]:
+    """Other ways to write a base span, as the generators propose them."""
+    if kind == "email":
+        local, domain = span.split("@")
+        parts, plain = domain.split("."), re.sub(r"[^A-Za-z]", "", local) or "a"
+        return [
+            f"{local} [at] {' [dot] '.join(parts)}", f"{local} at {' dot '.join(parts)}", f"{local}(at){domain}", f"{local} {{at}} {' dot '.join(parts)}",
+            f"{local}[at]{'[dot]'.join(parts)}", f"{local} (at) {' (dot) '.join(parts)}", f"{plain} [at] {' [dot] '.join(parts[-2:])}",
+            f"{plain} at {' dot '.join(parts[-2:])}", f"{plain}(at){'.'.join(parts[-2:])}",
+        ]
+    if kind == "ip":
+        parts = span.split(".")
+        word = xxhash.xxh3_64_hexdigest(span.encode())
+        six = [word[k : k + 4] for k in range(0, 16, 4)]
+        return [",".join(parts), " . ".join(parts), ", ".join(parts), ":".join(["2001", "db8", *six, *six[:2]]), ":".join(["fe80", "", *six])]
+    digits = _digits(span)
+    if kind == "card":
+        groups = [digits[k : k + 4] for k in range(0, len(digits), 4)]
+        return ["_".join(groups), "/".join(groups), ".".join(groups), "  ".join(groups), "--".join(groups)]
+    national = digits[-10:]
+    if len(digits) < 9:
+        return []
+    area, first, last = national[:-7], national[-7:-4], national[-4:]
+    return [f"({area}) {first}-{last}", f"{area}-{first}-{last}", f"{area} {first} {last}", f"{area}/{first}-{last}", f"00{digits[:-10] or 1} {area} {first} {last}"]
+
+
+def look_alikes(kind: str, span: str) -> list[str]:
+    """Things that are no personal data and that the generators of a kind propose: amounts, times, dates, device and order numbers."""
+    word = xxhash.xxh3_128_hexdigest(span.encode())
+    d = str(int(word, 16))[1:]
+    if kind == "ip":
+        return [f"{d[0]},{d[1:4]},{d[4:7]},{d[7:10]}", ":".join(word[k : k + 2] for k in range(0, 12, 2)), f"{d[:2]}:{d[2:4]}:{d[4:6]}", f"{d[:2]}:{d[2:4]}:{d[4:6]}:{d[6:8]}"]
+    if kind == "card":
+        return [f"{d[:16]}", f"{d[:2]}.{d[2:4]}.{d[4:8]} {d[8:10]}.{d[10:12]}.{d[12:16]}", f"{d[:3]} {d[3:6]} {d[6:9]} {d[9:12]} {d[12:15]}", f"{d[:6]}/{d[6:10]}-{d[10:14]}"]
+    if kind == "phone":
+        return [f"20{d[:2]}-{d[2:4]}-{d[4:6]}", f"{d[:2]}.{d[2:4]}.20{d[4:6]}", f"{d[0]} {d[1:4]} {d[4:7]}.{d[7:9]}", f"{d[:9]}", f"{d[:14]}", f"{d[:4]}/{d[4:8]}"]
+    return [f"seen at {word[:5]}. Then", f"{word[:4]} at {word[4:9]}. {word[9:12]}"]
+
+
 def _examples(batch: pa.RecordBatch) -> pa.RecordBatch:
     kinds, labels, rows = [], [], []
+
+    def add(kind: str, label: int, text: str, span: tuple[int, int]) -> None:
+        kinds.append(kind)
+        labels.append(label)
+        rows.append(features(text, kind, *span))
+
     for text in batch.column("text").to_pylist():
         base = base_spans(text)
         for kind in KINDS:
-            proposed = sorted(set(candidates(text, kind)) | set(base[kind]))
-            outside = set(_apart(proposed, sorted(base[kind])))
-            for span in proposed:
-                kinds.append(kind)
-                labels.append(int(span not in outside))
-                rows.append(features(text, kind, *span))
+            taken = sorted(base[kind])
+            for span in _apart(sorted(set(candidates(text, kind))), taken):
+                add(kind, 0, text, span)
+            for begin, end in taken:
+                before, after = text[max(0, begin - _CONTEXT) : begin], text[end : end + _CONTEXT]
+                for label, other in [*((1, x) for x in rewritten(kind, text[begin:end])), *((0, x) for x in look_alikes(kind, text[begin:end]))]:
+                    changed = before + other + after
+                    for a, b in candidates(changed, kind):
+                        if (a, b) == (len(before), len(before) + len(other)) or not label and a < len(before) + len(other) and b > len(before):
+                            add(kind, label, changed, (a, b))
     return pa.RecordBatch.from_arrays(
         [pa.array(kinds, pa.string()), pa.array(labels, pa.int32()), pa.array(rows, pa.list_(pa.float64()))], names=["kind", "label", "x"]
     )
@@ -198,19 +269,23 @@ def fit(docs: DataFrame, text: str = "text", max_documents: int = 4000, max_cand
     # Only texts with a digit or an at sign can hold a base span.
     rows = docs.select(F.col(text).alias("text")).where(F.col("text").rlike("[0-9@]"))
     rate = min(1.0, max_documents / max(1, rows.count()))
-    chosen = rows.where(F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(1 << 20)) < rate * (1 << 20))
-    found = staged(map_slices(chosen, _examples, _ROWS))
-    sizes = {(r["kind"], r["label"]): r["n"] for r in found.groupBy("kind", "label").agg(F.count("*").alias("n")).collect()}
+    chosen = rows.where(F.pmod(F.xxhash64(F.lit(3), F.monotonically_increasing_id()), F.lit(1 << 20)) < rate * (1 << 20))
+    found = staged(map_slices(chosen, _examples, _ROWS).groupBy("kind", "label", "x").agg(F.count("*").alias("n")))
+    sizes = {(r["kind"], r["label"]): r["n"] for r in found.groupBy("kind", "label").agg(F.sum(F.least("n", F.lit(_MOST_COPIES))).alias("n")).collect()}
     model = Model()
     for kind in KINDS:
         if min(sizes.get((kind, 0), 0), sizes.get((kind, 1), 0)) < MIN_EXAMPLES:
             continue
         share = min(1.0, max_candidates / (sizes[kind, 0] + sizes[kind, 1]))
-        part = found.where((F.col("kind") == kind) & (F.pmod(F.hash("x"), F.lit(1 << 20)) < share * (1 << 20))).select("label", "x", F.hash("x").alias("h"))
-        table = part.orderBy("h", "label").toArrow()  # max_candidates rows in expectation
-        x = np.array(table["x"].to_pylist(), float).reshape(-1, _N_FEATURES)
-        y, h = table["label"].to_numpy().astype(float), table["h"].to_numpy()
-        later = (h % 3) == 0  # held out for calibration
+        picked = F.pmod(F.hash("x"), F.lit(1 << 20)) < share * (1 << 20)
+        table = found.where((F.col("kind") == kind) & picked).select("label", "x", F.hash("x").alias("h"), F.least("n", F.lit(_MOST_COPIES)).alias("n")).toArrow()
+        order = np.lexsort((table["label"].to_numpy(), table["h"].to_numpy()))  # as the rows come from any task first
+        copies = table["n"].to_numpy()[order]
+        copy = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
+        order = np.repeat(order, copies)
+        x = np.array(table["x"].to_pylist(), float).reshape(-1, _N_FEATURES)[order]
+        y, h = table["label"].to_numpy()[order].astype(float), table["h"].to_numpy()[order]
+        later = ((h + copy) % 3) == 0  # occurrences held out for calibration
         if min(y[~later].sum(), (1 - y[~later]).sum(), y[later].sum(), (1 - y[later]).sum()) < 1:
             continue
         trees = fit_trees(x[~later], y[~later])

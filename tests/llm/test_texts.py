@@ -79,6 +79,43 @@ def test_pii_adds_spans_and_keeps_base(spark):
     assert pii.find(empty, pii.fit(empty), ["doc_id"]).count() == 0
 
 
+def test_pii_adds_every_kind_and_leaves_look_alikes(spark):
+    rnd = random.Random(8)
+    number = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+    word = lambda: "".join(rnd.choice("abcdeilnorst") for _ in range(rnd.randrange(2, 9)))
+    line = lambda n: " ".join(word() for _ in range(n))
+
+    def card():
+        digits = "4" + number(14)
+        return next(digits + c for c in "0123456789" if pii.luhn(digits + c))
+
+    def plain(k):
+        return [
+            f"{line(5)} they met at noon. And {line(3)}", f"{line(3)} version {k}.{number(2)}.{number(3)} at 12:{number(2)}:{number(2)} {line(2)}",
+            f"{line(3)} number {number(16)} of {line(2)} and {number(3)} at end. Then", f"{line(4)} sum {number(4)},{number(2)} on 19{number(2)}-0{number(1)} {line(2)}",
+        ][k % 4]
+
+    texts = [plain(k) for k in range(1200)]
+    for _ in range(150):
+        texts.append(f"{line(4)} {word()}.{number(2)}@mail{number(1)}.example.com {line(3)}")
+        texts.append(f"{line(4)} {'.'.join(str(rnd.randrange(256)) for _ in range(4))} {line(3)}")
+        texts.append(f"{line(4)} {card()} {line(3)}")
+        texts.append(f"{line(4)} +1 ({number(3)}) 555-{number(4)} {line(3)}")
+    hidden = {
+        "email": "nora.12 [at] mail3 [dot] example [dot] com", "ip": "10,20,30,40", "card": "4111_1111_1111_1111", "phone": "(212) 555-0199",
+    }
+    asked = [(k, f"{line(4)} {v} {line(3)}") for k, v in hidden.items()] + [("ip", f"{line(3)} 2001:db8:85a3:8d31:1319:8a2e:70:7344 {line(3)}")]
+    clean = [plain(k) for k in range(5000, 5200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = pii.fit(docs)
+    assert set(model.trees) == set(pii.KINDS)
+    for kind, text in asked:
+        base, found = pii.spans(text, model)
+        assert not base[kind] and any(k == kind for k, _, _ in found), (kind, text, found)
+    noisy = [t for t in clean if {s for s in pii.spans(t, model)[1]} - {(k, a, b) for k, v in pii.base_spans(t).items() for a, b in v}]
+    assert len(noisy) <= 4, noisy[:5]
+
+
 def test_boosting_separates_and_calibrates():
     rnd = np.random.default_rng(0)
     x = rnd.normal(size=(2000, 4))
