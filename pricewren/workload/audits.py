@@ -55,12 +55,14 @@ def filter_marketing(spark, sf):
 
 @query("import_reconciliation", with_offers(f"""
 , e(label) AS (VALUES ('small ring'), ('red widget'), ('no such product')),
-s AS (SELECT id, confidence, {t2("product || ' ' || brand || ' ' || category || ' ' || \"packageSize\" || ' ' || \"storeName\" || ' ' || \"storeId\" || ' ' || chain")} AS t FROM offers),
-r AS (SELECT label, (SELECT count(*) FROM s WHERE contains(t, label)) AS a, (SELECT count(*) FROM s WHERE contains(t, label) AND confidence = 'none') AS b FROM e)
+s AS (SELECT id, contains(product, 'red widget') AS gone, {t2("product || ' ' || brand || ' ' || category || ' ' || \"packageSize\" || ' ' || \"storeName\" || ' ' || \"storeId\" || ' ' || chain")} AS t FROM offers),
+r AS (SELECT label, (SELECT count(*) FROM s WHERE contains(t, label)) AS a, (SELECT count(*) FROM s WHERE contains(t, label) AND NOT gone) AS b FROM e)
 SELECT label, a AS "inSource", b AS "inCombined", CASE WHEN a > 0 AND b = 0 THEN 'lost-in-combine' WHEN a = 0 THEN 'missing-in-source' ELSE 'ok' END AS diagnosis FROM r"""))
 def import_reconciliation(spark, sf):
+    """The combined side lacks one of the products, so that all three diagnoses occur."""
     offers = offers_view(spark, sf)
-    return audit.import_reconciliation(offers, offers.filter("confidence = 'none'"), ["small ring", "red widget", "no such product"])
+    combined = offers.filter(~F.contains("product", F.lit("red widget")))
+    return audit.import_reconciliation(offers, combined, ["small ring", "red widget", "no such product"])
 
 
 @query("coverage_by_file", with_offers(f"""

@@ -77,21 +77,30 @@ def extract_unit_segments(spark, sf):
     )
 
 
-@query("reconcile_segments", LEAFLET_SQL + """
-SELECT page_id, product, least(abs(p1), abs(p2)) <= 0.15 AS near_lead, 'x' AS kind FROM (
- SELECT page_id, name AS product, 0.0 AS p1, 1.0 AS p2 FROM rows)""")
+# Two segments a page: the first is priced by the lead price, the second lies up to 200 Kč from the nearest one (69,90 or the first's).
+SEGMENTS_SQL = LEAFLET_SQL + """
+, s AS (SELECT page_id, 0 AS ordinal, name AS product, pack_cents AS cents, 0 AS diff, unit_cents FROM rows
+ UNION ALL SELECT page_id, 1, name || ' EXTRA', 2 * unit_cents, least(abs(2 * unit_cents - 6990), abs(2 * unit_cents - pack_cents)), unit_cents FROM rows),
+j AS (SELECT *, concat_ws(',', CASE WHEN cents > 99900 THEN 'very-high-price' END, CASE WHEN diff > 2000 THEN 'computed-price-far-from-nearest-lead-price' END,
+ CASE WHEN cents >= 8000 AND diff > 1500 THEN 'small-package-high-price' END) AS reasons FROM s)"""
+
+
+@query("reconcile_segments", SEGMENTS_SQL + """
+SELECT page_id, ordinal, product, cents / 100 AS price, unit_cents / 100 AS "unitPrice", 'computed' AS source, reasons, reasons <> '' AS suspect FROM j""")
 def reconcile_segments(spark, sf):
-    # The first product of a page is priced by its lead price, so the chosen price is near a lead.
-    offers = R.reconcile_segments(X.extract_unit_segments(_segment_pages(spark, sf)).filter("ordinal = 0"))
-    return offers.select("page_id", "product", (F.col("debug.diff") <= 0.15).alias("near_lead"), F.lit("x").alias("kind"))
+    offers = R.reconcile_segments(X.extract_unit_segments(_segment_pages(spark, sf)))
+    return offers.select(
+        "page_id", "ordinal", "product", F.round("price", 2).alias("price"), "unitPrice", F.col("debug.source").alias("source"),
+        F.array_join("suspectReasons", ",").alias("reasons"), "suspect",
+    )
 
 
-@query("reconciled_confidence", LEAFLET_SQL + """
-SELECT page_id, pack_cents / 100 AS price, CASE WHEN pack_cents > 99900 THEN 'medium' WHEN length(name) > 8 THEN 'high' ELSE 'low' END AS confidence
-FROM rows WHERE unit_cents < 1000""")
+@query("reconciled_confidence", SEGMENTS_SQL + """
+SELECT page_id, ordinal, CASE WHEN reasons <> '' THEN 'medium' WHEN length(product) <= 8 THEN 'low' WHEN diff <= 15 THEN 'high' ELSE 'medium' END AS confidence,
+ diff / 100 AS diff FROM j""")
 def reconciled_confidence(spark, sf):
-    offers = R.reconcile_segments(X.extract_unit_segments(_segment_pages(spark, sf)).filter("ordinal = 0"))
-    return offers.filter(F.col("unitPrice") < 10).select("page_id", "price", "confidence")
+    offers = R.reconcile_segments(X.extract_unit_segments(_segment_pages(spark, sf)))
+    return offers.select("page_id", "ordinal", "confidence", F.round("debug.diff", 2).alias("diff"))
 
 
 def _bullet_pages(spark, sf):
@@ -111,12 +120,11 @@ RETAIL = """CASE WHEN c % 100 BETWEEN 91 AND 94 THEN c // 100 + 0.9 WHEN c % 100
 SELECT page_id, name AS product, '' AS description, amount::VARCHAR || ' g' AS "packageSize", CAST({RETAIL} AS DOUBLE) AS price,
  unit_cents / 100 AS "unitPrice", 'Kč/100 g' AS unit FROM c
 UNION ALL SELECT page_id, p_brand || ' ' || name || ' zrnková', 'originál', '1 kg',
- CAST((SELECT {RETAIL} FROM (SELECT pack_cents AS c)) AS DOUBLE), 99.9, 'Kč/1 kg' FROM rows WHERE pack_cents < 1000000 AND pack_cents <> 9990""")
+ CAST((SELECT {RETAIL} FROM (SELECT pack_cents AS c)) AS DOUBLE), 99.9, 'Kč/1 kg' FROM rows WHERE pack_cents < 1000000""")
 def extract_bullet_blocks(spark, sf):
-    # A main price equal to the unit price cannot be told apart from it; such pages fall back to the computed price.
-    offers = X.extract_bullet_blocks(_bullet_pages(spark, sf), keep=("page_id", "pack_cents"))
-    kept = offers.filter("block = 0 or pack_cents <> 9990")
-    return kept.select("page_id", "product", "description", "packageSize", "price", "unitPrice", "unit")
+    # A main price equal to the unit price cannot be told apart from it; such pages fall back to the computed price, which is the same.
+    offers = X.extract_bullet_blocks(_bullet_pages(spark, sf))
+    return offers.select("page_id", "product", "description", "packageSize", "price", "unitPrice", "unit")
 
 
 @query("classify_quality_reasons", LEAFLET_SQL + """
@@ -154,8 +162,9 @@ def extract_bullet_pattern(spark, sf):
 SELECT page_id, name AS product, amount::VARCHAR || ' g' AS "packageSize", pack_cents / 100 AS price, unit_cents / 100 AS "unitPrice"
 FROM rows WHERE pack_cents <> unit_cents""")
 def extract_by_unit_window(spark, sf):
+    """All pages go in; those whose main price equals the unit price print no price of their own and give no offer."""
     text = _t("@name", " • ", "@amount", " g • 100 g = ", "#unit_cents", " Kč • ", "#pack_cents", " Kč")
-    offers = X.extract_by_unit_window(leaflets(spark, sf).filter("pack_cents <> unit_cents").select("page_id", text.alias("text")))
+    offers = X.extract_by_unit_window(leaflets(spark, sf).select("page_id", text.alias("text")))
     return offers.select("page_id", "product", "packageSize", "price", "unitPrice")
 
 
