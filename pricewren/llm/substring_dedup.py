@@ -17,7 +17,7 @@ smaller id.
 
 A class or window is identified by 128 bits from two independent hash functions of words. Hot minimizers (a passage that a third of the rows
 share) are combined before the shuffle, and in joins Spark splits them at run time. A document gathers at most its own paths.
-A task holds a slice of some megabytes or one text; a text needs some twenty times its size for a while.
+A task holds a slice of two megabytes or one text; a text needs some twenty times its size for a while.
 
 Null and empty texts have no words and give an empty text. Fewer words than a window: nothing goes. Repeats within one document stay,
 also across rows that share an id. Rows without an id keep all words and count for no other row. Repeated rows have equal results.
@@ -38,27 +38,42 @@ from pricewren.llm.common import map_slices, slices, staged
 
 #: Words of a minimizer.
 ANCHOR = 16
-#: Words whose hashes a task remembers; the table is emptied when full.
-MAX_REMEMBERED = 400_000
+#: Words that a worker remembers before it begins anew.
+MAX_REMEMBERED = 250_000
+#: Bytes of text that a task works on at a time.
+SLICE = 2_000_000
 #: Windows of a path at most, as they are bits of a long.
 MAX_PATH = 62
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_LOW = (1 << 64) - 1
 
 
-class _Hashes(dict):
-    """128-bit hashes by word (bytes), as two 64-bit numbers, bounded."""
+class _Words(dict):
+    """Numbers of words (bytes), and by number two independent 64-bit hashes; emptied between slices when full."""
 
-    def __missing__(self, word: bytes) -> tuple[int, int]:
-        if len(self) >= MAX_REMEMBERED:
+    def __init__(self) -> None:
+        self.fresh: list[bytes] = []
+        self.first = self.second = np.empty(0, np.uint64)
+
+    def __missing__(self, word: bytes) -> int:
+        self.fresh.append(word)
+        number = self[word] = len(self)
+        return number
+
+    def hashes(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self) > MAX_REMEMBERED:
             self.clear()
-        digest = xxhash.xxh3_128_intdigest(word)
-        value = self[word] = (digest & _LOW, digest >> 64)
-        return value
+            self.__init__()
+        numbers = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+        if self.fresh:
+            digests = b"".join(map(xxhash.xxh3_128_digest, self.fresh))
+            pairs = np.frombuffer(digests, ">u8").astype(np.uint64).reshape(-1, 2)
+            self.first, self.second = np.concatenate([self.first, pairs[:, 1]]), np.concatenate([self.second, pairs[:, 0]])
+            self.fresh = []
+        return self.first[numbers], self.second[numbers]
 
 
-_hashes = _Hashes()
+_words = _Words()
 
 
 def words(text: str | None) -> list[bytes]:
@@ -131,11 +146,6 @@ def window_hashes(second: np.ndarray, start: int, n: int, window: int) -> np.nda
     return runs(second[start : start + n + window - 1], window).view(np.int64)
 
 
-def _hashed(tokens: list[bytes]) -> np.ndarray:
-    """Two columns of word hashes."""
-    return np.array(list(map(_hashes.__getitem__, tokens)), np.uint64).reshape(-1, 2)
-
-
 def paths(docs: DataFrame, window: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per path: id, t_a (hash of the text), at (first window), n (windows), a (minimizer), p (path hash)."""
 
@@ -143,8 +153,7 @@ def paths(docs: DataFrame, window: int, id_col: str = "doc_id", text: str = "tex
         tokens = [words(x) for x in batch.column("text").to_pylist()]
         sizes = np.array([len(x) for x in tokens])
         ends = np.cumsum(sizes)
-        flat = _hashed([w for x in tokens for w in x])
-        start, n, a, p = window_paths(np.ascontiguousarray(flat[:, 0]), np.ascontiguousarray(flat[:, 1]), np.repeat(ends, sizes), window)
+        start, n, a, p = window_paths(*_words.hashes([w for x in tokens for w in x]), np.repeat(ends, sizes), window)
         row = np.searchsorted(ends, start, side="right")
         rows = pa.array(row)
         columns = [
@@ -156,7 +165,7 @@ def paths(docs: DataFrame, window: int, id_col: str = "doc_id", text: str = "tex
     rows = docs.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("t_a"), F.col(text).alias("text")
     )
-    return map_slices(rows, run, "id long, t_a long, at int, n int, a long, p long")
+    return map_slices(rows, run, "id long, t_a long, at int, n int, a long, p long", slice_bytes=SLICE)
 
 
 def _unpacked(heads: DataFrame, docs: DataFrame, window: int, id_col: str, text: str) -> DataFrame:
@@ -170,7 +179,7 @@ def _unpacked(heads: DataFrame, docs: DataFrame, window: int, id_col: str, text:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[list[np.ndarray]] = [[] for _ in range(5)]
         for i, value, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            second = np.ascontiguousarray(_hashed(words(value))[:, 1])
+            second = _words.hashes(words(value))[1]
             for head in found:
                 n = head["n"]
                 w = window_hashes(second, head["at"], n, window)
@@ -179,7 +188,7 @@ def _unpacked(heads: DataFrame, docs: DataFrame, window: int, id_col: str, text:
         arrays = [pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64()) for x in out]
         return pa.RecordBatch.from_arrays(arrays, names=["a", "p", "first", "j", "w"])
 
-    return map_slices(rows, run, "a long, p long, first long, j long, w long")
+    return map_slices(rows, run, "a long, p long, first long, j long, w long", slice_bytes=SLICE)
 
 
 def repeated(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -188,17 +197,18 @@ def repeated(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text: st
     shared = found.groupBy("a").agg(
         F.min("id").alias("first"), F.max("id").alias("last"), (F.min("p") != F.max("p")).alias("branches")
     ).where("first < last").select("a", "first", "branches")
-    rows = staged(found.join(shared, "a"))
+    # Joins with written tables, so that Spark can split their hot keys.
+    rows = staged(found.join(staged(shared), "a"))
 
     classes = rows.where("branches").groupBy("a", "p").agg(
         F.min(F.struct("id", "t_a", "at", "n")).alias("head")
     ).select("a", "p", "head.*")
     heads = staged(classes)
     unpacked = staged(_unpacked(heads, docs, window, id_col, text))
-    earliest = unpacked.groupBy("a", "w").agg(F.min("first").alias("least"))
-    gone = unpacked.join(earliest, ["a", "w"]).where("least < first")
+    earliest = unpacked.groupBy("a", "w").agg(F.min("first").alias("least"), F.max("first").alias("most")).where("least < most")
+    gone = unpacked.join(staged(earliest.drop("most")), ["a", "w"]).where("least < first")
     masks = gone.groupBy("a", "p").agg(F.bit_or(F.expr("shiftleft(1L, cast(j AS INT))")).alias("part"))
-    resolved = heads.select("a", "p", F.col("id").alias("head")).join(masks, ["a", "p"], "left")
+    resolved = staged(heads.select("a", "p", F.col("id").alias("head")).join(masks, ["a", "p"], "left"))
 
     every = F.expr("shiftleft(1L, n) - 1")
     plain = rows.where("NOT branches AND id > first").select("id", "t_a", "at", every.alias("mask"))
@@ -237,7 +247,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index(text)
         for batch in batches:
-            for part in slices(batch, text, 4_000_000):
+            for part in slices(batch, text, SLICE):
                 kept, n, removed = [], [], []
                 for value, found in zip(part.column(text).to_pylist(), part.column("__spans").to_pylist(), strict=True):
                     tokens = words(value)
