@@ -34,6 +34,8 @@ MAX_VOCABULARY_BYTES = 64_000_000
 MAX_REMEMBERED = 500_000
 #: Longer pieces are not remembered.
 MAX_REMEMBERED_LENGTH = 64
+#: Ids that are decoded together.
+DECODED_IDS = 1_000_000
 _NONE = 1 << 62
 
 
@@ -149,15 +151,32 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "token_ids")
     tokens = [b""] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():
         tokens[rank] = token
+    every = np.frombuffer(b"".join(tokens), np.uint8)
+    sizes = np.array([len(x) for x in tokens], np.int32)
+    starts = np.cumsum(sizes, dtype=np.int64) - sizes
     fields = ", ".join(f"`{k}` {t}" for k, t in encoded.dtypes)
 
+    def texts(lists: pa.ListArray) -> pa.Array:
+        """The bytes of each list, gathered from one buffer of all tokens."""
+        flat, counts = np.asarray(lists.flatten()), np.asarray(lists.value_lengths().fill_null(0))
+        if len(flat) and flat.min() < 0:
+            raise IndexError("a token id is negative")
+        each = sizes[flat]
+        ends = np.cumsum(each, dtype=np.int64)
+        total = int(ends[-1]) if len(ends) else 0
+        places = np.repeat(starts[flat] - (ends - each), each)
+        places += np.arange(total)
+        edges = np.append(0, ends)[np.append(0, np.cumsum(counts))].astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(edges), pa.py_buffer(every[places])])
+
     def run(batches):
         for batch in batches:
-            lists = batch.column(ids)
-            for start in range(0, len(lists), 512):
-                part = batch.slice(start, 512)
-                texts = [b"".join(map(tokens.__getitem__, x or ())) for x in part.column(ids).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], names=[*part.schema.names, "decoded"])
+            counts = np.asarray(batch.column(ids).value_lengths().fill_null(0))
+            piece = np.cumsum(counts, dtype=np.int64) // DECODED_IDS  # rows of about so many ids at a time
+            edges = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), batch.num_rows]
+            for start, end in zip(edges, edges[1:], strict=False):
+                part = batch.slice(start, end - start)
+                yield pa.RecordBatch.from_arrays([*part.columns, texts(part.column(ids))], names=[*part.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, f"{fields}, decoded binary")
 
