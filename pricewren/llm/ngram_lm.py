@@ -1,48 +1,54 @@
-"""Interpolated modified Kneser-Ney language model, counted in Spark.
+"""Interpolated modified Kneser-Ney language model, counted in Spark and stored as sorted hash arrays.
 
-Tokens are words (A-Z in lower case) and one end per text, as 64-bit hashes. Every word and every n-gram of the training texts is part of
-the model; none is dropped, and rare words share no class. n-grams are counted over all training texts, and continuation
-counts, the three discounts of each order and the back-off weights come from all of them. The probability that the unigram
-discounts free is dealt out evenly to all words and one unknown word.
+Tokens are words (A-Z in lower case) and one end per text, as 64-bit hashes; n-grams of two words or more have 64-bit keys made of them.
+n-grams are counted over all training texts, and continuation counts, the three discounts of each order and the back-off weights come from
+all of them. The probability that the unigram discounts free is dealt out evenly to all words and one unknown word.
 
-The logarithm of a probability is a sum with a term for each order: for the word, for the back-off weight of each context and, for an n-gram that
-was counted, its gain over backing off. So each n-gram has one entry, and a text's score is the sum of its entries. Entries of
-what has at least the share `rare` of all tokens (1/rare of an order at most) are arrays in files that Spark hands to the executors and
-the workers map into memory; all others stay in Spark. `rare` decides where an entry is looked up and changes no result.
+Every word and every n-gram of the training texts is stored; none is dropped. The hash of the first word chooses the bucket of an n-gram
+(all its words, where the first has the share `hot` of all tokens or begins the text, so that no bucket holds all that follows a frequent word).
+A task counts its texts by chunks and packs each chunk's counts by bucket; one task per bucket adds them up and writes two files to the shared
+folder: sorted keys, and the counts beside them. It sends on what the next lower order needs: a continuation for each n-gram's suffix, and for
+each prefix its total and the numbers of its successors seen once, twice and more often. All orders are one chain of shuffles; the driver
+receives one row of totals per bucket and order, and the words of the share `hot`, at most 1 / hot per bucket.
 
-Scoring is one pass over whole texts, which looks up the frequent entries in the arrays. What it doesn't find there leaves it as
-(document, entry) rows and is joined with the other entries. Frequent words and n-grams never take part in this join, so it
-has no hot key. A row without an entry stands for an unknown word (its terms are in the document's own row) or an unseen n-gram (no gain).
+Scoring has no shuffle. A worker takes a slice of texts, sorts the keys it needs, and searches them bucket by bucket in the mapped files,
+which it maps one at a time. The folder must be mounted on all machines: spark.checkpoint.dir with a file: address, or `folder`. Files have
+fixed names and are put in place whole, so that a task that runs again writes the same. They stay as long as the model is needed.
 
 A null text is the empty text: one end token. Rows with a null id are scored and not held out, and not learned from. Repeated
 rows count each and get their score each. With no training text, all words are unknown and base scores follow the formula with
-zero counts. Empty tables give empty results.
+zero counts. Empty tables give empty results. A text is a row and is held whole, however long.
 """
 
 from __future__ import annotations
 
 import math
-import tempfile
+import os
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
+from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import SparkFiles
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricewren.llm.common import slices, staged
+from pricewren.llm.common import shared_dir, slices
 
-#: Share of all tokens from which on a word or n-gram is looked up in the workers' arrays; 1 / RARE bounds their number.
-RARE = 5e-7
-#: Bits of the hash that stands for a word outside the arrays; such numbers are negative.
-BITS = 63
-BEGIN, CLASS, FIRST = 0, 1, 2  # numbers of the text's begin, an unknown word, the first word
+#: Share of all tokens from which on the n-grams that begin with a word are dealt over all buckets.
+HOT = 1e-3
 END = np.uint64(0x00E5D0F7E87)  # stands for the end token among the word hashes
-#: Tokens that a task counts at a time, and words whose hashes it remembers.
-CHUNK, MAX_REMEMBERED = 4_000_000, 400_000
+BEGIN = np.uint64(0x00BE610F7E87)  # stands for what precedes a text
+#: Tokens that a task counts at a time, tokens per bucket on average, and words whose hashes a worker remembers.
+CHUNK, PER_BUCKET, MAX_REMEMBERED = 3_000_000, 3_000_000, 400_000
+#: Bytes of text that are read, and scored, at a time.
+READ_BYTES, SCORE_BYTES = 2_000_000, 12_000_000
+#: Level of the words' own counts, and of the rows of totals; level k >= 1 holds the n-grams of k words.
+WORDS, TOTALS = 0, -1
+BLOCKS = "bucket int, level int, block binary"
 
 
 class _Hashes(dict):
@@ -65,67 +71,19 @@ def token_hashes(text: str | None) -> np.ndarray:
     return out
 
 
-def _counted(values: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Values and their numbers, by chunks."""
-
-    def flush(held: list[np.ndarray]) -> pa.RecordBatch:
-        found, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["g", "n"])
-
-    held, size = [], 0
-    for value in values:
-        held.append(value)
-        size += len(value)
-        if size >= CHUNK:
-            yield flush(held)
-            held, size = [], 0
-    if size:
-        yield flush(held)
-
-
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[str | None]]:
-    for batch in batches:
-        for part in slices(batch, "text", 2_000_000):
-            yield part.column("text").to_pylist()
-
-
-class Files:
-    """Arrays by name in files that Spark sends to every executor once; workers map them into memory."""
-
-    def __init__(self, spark, arrays: dict[str, np.ndarray], known: dict[str, str] | None = None) -> None:
-        folder, self.names = tempfile.mkdtemp(prefix="spark-lm-"), dict(known or {})
-        for name, array in arrays.items():
-            self.names[name] = f"{name}-{uuid.uuid4().hex}.npy"
-            np.save(f"{folder}/{self.names[name]}", array)
-            spark.sparkContext.addFile(f"{folder}/{self.names[name]}")
-
-    def mapped(self) -> dict[str, np.ndarray]:
-        return {name: np.load(SparkFiles.get(file), mmap_mode="r") for name, file in self.names.items()}
-
-
-def numbers(hashes: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-    """Vocabulary numbers of word hashes; CLASS for rare words."""
-    if not len(vocabulary):
-        return np.full(len(hashes), CLASS, np.int64)
-    at = np.searchsorted(vocabulary, hashes)
-    at[at == len(vocabulary)] = 0
-    return np.where(vocabulary[at] == hashes, at + FIRST, CLASS)
-
-
-def known_numbers(hashes: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-    """Vocabulary numbers of word hashes; all other words have their hash as a negative number."""
-    ids = numbers(hashes, vocabulary)
-    return np.where(ids == CLASS, (hashes | np.uint64(1 << BITS)).view(np.int64), ids)
-
+def joined(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token hashes of several texts in one array, the start of each text, and each token's position in its text."""
+    parts = [token_hashes(x) for x in texts]
+    sizes = np.array([len(x) for x in parts])
+    starts = np.cumsum(sizes) - sizes
+    flat = np.concatenate(parts)
+    return flat, starts, np.arange(len(flat)) - np.repeat(starts, sizes)
 
-def gram(ids: np.ndarray, order: int, place: np.ndarray | None = None) -> list[np.ndarray]:
-    """The numbers of the n-gram that ends at each token, first to last; BEGIN fills up the front.
 
-    place is each token's position in its text (default: all are one text).
-    """
-    place = np.arange(len(ids)) if place is None else place
-    line = np.concatenate([np.full(order - 1, BEGIN, np.int64), ids])
-    return [np.where(place >= order - 1 - k, line[k : k + len(ids)], BEGIN) for k in range(order)]
+def gram(ids: np.ndarray, order: int, place: np.ndarray, begin: int) -> list[np.ndarray]:
+    """The n-gram that ends at each token, as columns from first to last; `begin` fills up the front of a text."""
+    line = np.concatenate([np.full(order - 1, begin, ids.dtype), ids])
+    return [np.where(place >= order - 1 - k, line[k : k + len(ids)], begin).astype(ids.dtype) for k in range(order)]
 
 
 def _scrambled(x: np.ndarray) -> np.ndarray:
@@ -135,272 +93,298 @@ def _scrambled(x: np.ndarray) -> np.ndarray:
 
 
 def entry_keys(columns: list[np.ndarray]) -> np.ndarray:
-    """64-bit keys of n-grams given as columns of numbers; a single word is its number."""
-    if len(columns) == 1:
-        return columns[0]
-    key = columns[0].astype(np.int64).view(np.uint64)
+    """64-bit keys of n-grams given as columns of word hashes; a single word is its hash."""
+    key = columns[0]
     for column in columns[1:]:
-        key = _scrambled(_scrambled(key + np.uint64(0x9E3779B97F4A7C15)) ^ column.astype(np.int64).view(np.uint64))
-    return key.view(np.int64)
+        key = _scrambled(_scrambled(key + np.uint64(0x9E3779B97F4A7C15)) ^ column)
+    return key
 
 
-def joined(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token hashes of several texts in one array, the start of each text, and each token's position in its text."""
-    parts = [token_hashes(x) for x in texts]
-    sizes = np.array([len(x) for x in parts])
-    starts = np.cumsum(sizes) - sizes
-    flat = np.concatenate(parts)
-    return flat, starts, np.arange(len(flat)) - np.repeat(starts, sizes)
+def buckets_of(columns: list[np.ndarray], keys: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each n-gram: by its first word, or by its key where that is a hot word."""
+    by = columns[0] if len(columns) == 1 else np.where(np.isin(columns[0], hot), keys, columns[0])
+    return ((_scrambled(by) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
 
 
-def discounts(table: DataFrame) -> list[float]:
+def discounts(n: list[int]) -> list[float]:
     """The discounts for counts of 1, 2 and 3 or more, from the numbers of n-grams of counts 1 to 4."""
-    n = [x or 0 for x in table.agg(*[F.sum((F.col("n") == k).cast("long")) for k in range(1, 5)]).first()]
     if not n[0] or not n[1]:
         return [0.5, 0.5, 0.5]
     y = n[0] / (n[0] + 2 * n[1])
     return [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.1), float(k)) if n[k - 1] else k * y for k in (1, 2, 3)]
 
 
-class Model:
-    """Files, totals and the other entries of a fitted model."""
+def _small(values: np.ndarray) -> np.ndarray:
+    return values.astype(np.min_scalar_type(int(values.max())) if len(values) else np.uint8)
+
+
+def _pack(arrays: list[np.ndarray]) -> bytes:
+    """Unsigned arrays of any lengths in one compressed block, byte by byte of all values."""
+    head = np.array([len(arrays), *(x for a in arrays for x in (a.itemsize, len(a)))], np.int64)
+    planes = [np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() for a in arrays]
+    return zstandard.compress(head.tobytes() + b"".join(planes), 1)
+
+
+def _unpack(block: bytes) -> list[np.ndarray]:
+    data = np.frombuffer(zstandard.decompress(block), np.uint8)
+    count = int(data[:8].view(np.int64)[0])
+    head = data[8 : 8 + 16 * count].view(np.int64).reshape(count, 2)
+    out, at = [], 8 + 16 * count
+    for width, size in head.tolist():
+        planes = data[at : at + width * size].reshape(width, size)
+        out.append(np.ascontiguousarray(planes.T).view(f"u{width}").reshape(-1))
+        at += width * size
+    return out
+
+
+def _merged(size: int, ids: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Rows with equal ids (numbers below `size`) become one, with the sums of their values; sorted by ids."""
+    code = ids[0].astype(np.int64)
+    for k, column in enumerate(ids[1:]):
+        if k:  # two numbers below 2**31 fit in 63 bits, three may not
+            code = np.unique(code, return_inverse=True)[1]
+        code = code * size + column
+    _, at, row = np.unique(code, return_index=True, return_inverse=True)
+    return [c[at] for c in ids], [np.bincount(row, weights=v, minlength=len(at)).astype(np.int64) for v in values]
+
 
-    def __init__(self, order, files, total, distinct, unknown, entries) -> None:
-        self.order, self.bits, self.files, self.total, self.distinct = order, BITS, files, total, distinct
-        self.unknown, self.entries = unknown, entries
+def _dealt(level: int, words: np.ndarray, ids: list[np.ndarray], values: list[np.ndarray], hot: np.ndarray, buckets: int) -> Iterator[tuple[int, int, bytes]]:
+    """Rows sorted by ids, packed by bucket: hashes of the words, each column as numbers of them, the values."""
+    columns = [words[c] for c in ids]
+    bucket = buckets_of(columns, entry_keys(columns), hot, buckets)
+    order = np.argsort(bucket, kind="stable")
+    chosen, starts = np.unique(bucket[order], return_index=True)
+    for b, rows in zip(chosen.tolist(), np.split(order, starts[1:]), strict=True):
+        used, local = np.unique(np.concatenate([c[rows] for c in ids]), return_inverse=True)
+        local = local.reshape(len(ids), -1)
+        numbers = [np.diff(local[0], prepend=0), *local[1:]]  # the first column never falls
+        yield b, level, _pack([words[used], *map(_small, numbers), *[_small(v[rows]) for v in values]])
 
 
-def _count_grams(texts: DataFrame, names: Files, order: int) -> DataFrame:
-    """x1 to x<order> and n of all n-grams."""
-    columns = [f"x{k + 1}" for k in range(order)]
+def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    bucket, level, block = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(level, pa.int32()), pa.array(block, pa.binary())], names=["bucket", "level", "block"])
 
-    def flush(held: list[list[np.ndarray]]) -> pa.RecordBatch:
-        parts = [np.concatenate(x) for x in zip(*held, strict=True)]
-        _, at, n = np.unique(entry_keys(parts), return_index=True, return_counts=True)
-        return pa.RecordBatch.from_arrays([*[pa.array(x[at]) for x in parts], pa.array(n.astype(np.int64))], names=[*columns, "n"])
+
+def _counted(texts: DataFrame, level: int, hot: np.ndarray, buckets: int) -> DataFrame:
+    """Packed counts of the n-grams of `level` words (WORDS: of the words) of chunks of texts."""
+    order = max(1, level)
+
+    def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        flat, place = (np.concatenate(x) for x in zip(*held, strict=True))
+        words, ids = np.unique(np.append(flat, BEGIN), return_inverse=True)
+        begin, ids = int(ids[-1]), ids[:-1].astype(np.int32)
+        ids, n = _merged(len(words), gram(ids, order, place, begin), [np.ones(len(ids))])
+        return _batch(list(_dealt(level, words, ids, n, hot, buckets)))
 
     def run(batches):
-        known = names.mapped()["vocabulary"]
         held, size = [], 0
-        for hashes, _, place in map(joined, _texts(batches)):
-            held.append(gram(known_numbers(hashes, known), order, place))
-            size += len(hashes)
-            if size >= CHUNK:
-                yield flush(held)
-                held, size = [], 0
+        for batch in batches:
+            for part in slices(batch, "text", READ_BYTES):
+                if len(part):
+                    flat, _, place = joined(part.column("text").to_pylist())
+                    held.append((flat, place))
+                    size += len(flat)
+                if size >= CHUNK:
+                    yield flush(held)
+                    held, size = [], 0
         if size:
             yield flush(held)
 
-    counted = texts.mapInArrow(run, ", ".join(f"{c} long" for c in columns) + ", n long")
-    return staged(counted.groupBy(*columns).agg(F.sum("n").alias("n")))
-
-
-def _keyed(table: DataFrame, order: int, files: Files | None = None) -> DataFrame:
-    """table with g, the key of x1 to x<order>; of pairs of words in files also t and rest of the first, p of the second."""
-    columns = [f"x{k + 1}" for k in range(order)]
-    kinds = "".join(f"{c} {t}, " for c, t in table.dtypes)
+    return texts.mapInArrow(run, BLOCKS)
+
+
+def _read(blocks: list[bytes], columns: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """The rows of packed blocks together: words, merged columns of numbers, summed values."""
+    parts = [_unpack(x) for x in blocks]
+    words, number = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    offsets = np.cumsum([0, *(len(p[0]) for p in parts)])
+    number = number.astype(np.int32)
+    ids = []
+    for k in range(columns):
+        local = [np.cumsum(p[1], dtype=np.int64) if k == 0 else p[1 + k] for p in parts]
+        ids.append(np.concatenate([number[o : o + len(p[0])][x] for o, p, x in zip(offsets, parts, local, strict=False)]))
+    values = [np.concatenate([p[k] for p in parts]) for k in range(1 + columns, len(parts[0]))]
+    ids, values = _merged(len(words), ids, values)
+    return words, ids, values
+
+
+def _store(folder: str, level: int, bucket: int, keys: np.ndarray, values: list[np.ndarray]) -> None:
+    """Sorted keys and their values (a row each), put in place whole."""
+    order = np.argsort(keys)
+    wide = any(len(v) and int(v.max()) >= 1 << 32 for v in values)
+    table = np.stack(values, 1).astype(np.uint64 if wide else np.uint32)[order]
+    os.makedirs(folder, exist_ok=True)
+    for kind, array in (("values", table), ("keys", keys[order])):
+        scratch = f"{folder}/.{uuid.uuid4().hex}"
+        with open(scratch, "wb") as file:
+            np.save(file, array)
+        os.replace(scratch, f"{folder}/{level}-{bucket}-{kind}.npy")
+
+
+def _added_up(blocks: DataFrame, level: int, highest: bool, folder: str, hot: np.ndarray, buckets: int, share: float = HOT) -> DataFrame:
+    """Stores each bucket of a level; returns its row of totals, those that came along, and the blocks of the level below."""
+
+    def add(bucket: int, held: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
+        order = max(1, level)
+        words, ids, values = _read(held, order)
+        n = values[0]
+        keys = entry_keys([words[c] for c in ids])
+        _store(folder, level, bucket, keys, values)
+        found = n > 0  # the others are contexts only
+        of = [int((n == k).sum()) for k in range(1, 5)]
+        totals = [level, bucket, *of, int(found.sum()), int(n.sum())]
+        if level == WORDS:
+            often = n >= share * n.sum()
+            totals += [x for pair in zip(words[ids[0][often]].view(np.int64).tolist(), n[often].tolist(), strict=True) for x in pair]
+        yield bucket, TOTALS, np.array(totals, np.int64).tobytes()
+        if level < 2:
+            return
+        ids, n = [c[found] for c in ids], n[found]
+        none, one = np.zeros(len(n), np.int64), np.ones(len(n), np.int64)
+        below = [np.concatenate([first, later]) for first, later in zip(ids[:-1], ids[1:], strict=True)]
+        sums = [(none, one), (n, none), (n == 1, none), (n == 2, none), (n > 2, none)]
+        below, sums = _merged(len(words), below, [np.concatenate(x) for x in sums])
+        yield from _dealt(level - 1, words, below, sums, hot, buckets)
 
     def run(batches):
-        arrays = files.mapped() if files else None
+        held: dict[int, list[bytes]] = {}
         for batch in batches:
-            x = [batch.column(c).to_numpy() for c in columns]
-            out = [*batch.columns, pa.array(entry_keys(x))]
-            if arrays:
-                first, last = np.maximum(x[0], 0), np.maximum(x[-1], 0)
-                out += [pa.array(arrays[name][first], mask=x[0] < 0) for name in ("t", "rest")] + [pa.array(arrays["p"][last], mask=x[-1] < 0)]
-            yield pa.RecordBatch.from_arrays(out, names=[*batch.schema.names, "g", *(("t", "rest", "p") if arrays else ())])
-
-    return table.mapInArrow(run, f"{kinds}g long" + (", t double, rest double, p double" if files else ""))
-
-
-def _by_number(rows: DataFrame, names: list[str], size: int, default: float) -> list[np.ndarray]:
-    """Arrays of the columns `names` by the number x1, of the numbers in files: 1 / rare rows at most."""
-    found = rows.where("x1 >= 0").select("x1", *names).toArrow()
-    out = []
-    for name in names:
-        values = np.full(size, default)
-        values[found["x1"].to_numpy()] = found[name].to_numpy()
-        out.append(values)
-    return out
+            rows = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+            yield _batch([r for r in rows if r[1] == TOTALS])
+            for bucket, kind, block in rows:
+                if kind != TOTALS:
+                    held.setdefault(bucket, []).append(block)
+        for bucket in sorted(held):
+            yield _batch(list(add(bucket, held.pop(bucket))))
 
+    return blocks.repartitionById(buckets, F.col("bucket")).mapInArrow(run, BLOCKS)
 
-def fit(train: DataFrame, order: int = 2, rare: float = RARE, text: str = "text") -> Model:
-    """The model of all texts of train."""
+
+def mounted(folder: str) -> str:
+    """The path of a folder that workers can map files of."""
+    address = urlparse(folder)
+    if address.scheme not in ("", "file"):
+        raise ValueError(f"{folder}: the model's files are mapped into memory; name a mounted folder that all machines share")
+    return unquote(address.path) if address.scheme else folder
+
+
+@dataclass
+class Model:
+    """Where the arrays of a fitted model are, and its totals."""
+
+    order: int
+    folder: str
+    hot: np.ndarray
+    buckets: dict[int, int]  # by level
+    filled: dict[int, frozenset[int]]  # by level: the buckets that have files
+    drop: dict[int, list[float]]  # by level: the discounts
+    total: int  # training tokens
+    distinct: int  # distinct training tokens
+    continuations: int  # the sum of the counts of level 1
+    unknown: float  # probability of an unknown word
+
+    def find(self, level: int, columns: list[np.ndarray], width: int) -> np.ndarray:
+        """The stored values (`width` each) of n-grams, given as columns of word hashes without repeats; zeros where there are none."""
+        keys = entry_keys(columns)
+        out = np.zeros((len(keys), width))
+        bucket = buckets_of(columns, keys, self.hot, self.buckets[level])
+        order = np.lexsort((keys, bucket))
+        chosen, starts = np.unique(bucket[order], return_index=True)
+        for b, rows in zip(chosen.tolist(), np.split(order, starts[1:]), strict=True):
+            if b not in self.filled[level]:
+                continue
+            stored, values = (np.load(f"{self.folder}/{level}-{b}-{kind}.npy", mmap_mode="r") for kind in ("keys", "values"))
+            wanted = keys[rows]
+            at = np.searchsorted(stored, wanted)
+            at[at == len(stored)] = 0
+            there = stored[at] == wanted
+            out[rows[there]] = values[at[there]]
+        return out
+
+    def off(self, level: int, n: np.ndarray) -> np.ndarray:
+        """Counts less their discounts."""
+        return n - np.array([0.0, *self.drop[level]])[np.minimum(n, 3).astype(np.int64)]
+
+    def tokens(self, flat: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each token its count in training and its probability after its predecessors."""
+        words, ids = np.unique(np.append(flat, BEGIN), return_inverse=True)
+        begin, ids = int(ids[-1]), ids[:-1]
+        counts = self.find(WORDS, [words], 1)[ids, 0]
+        below = self.find(1, [words], 1 if self.order == 1 else 5)  # the level below, by the number of its n-gram
+        p = (self.off(1, below[:, 0]) / self.continuations if self.continuations else 0.0 * below[:, 0]) + self.unknown
+        p, numbers, size = p[ids], ids, len(words)
+        context = np.where(place >= 1, np.concatenate([[begin], ids[:-1]]), begin)  # rows of below
+        for k in range(2, self.order + 1):
+            # A token's k-gram is its context and itself.
+            columns = gram(ids, k, place, begin)
+            _, at, row = np.unique(context.astype(np.int64) * len(words) + ids, return_index=True, return_inverse=True)
+            grams = [words[c[at]] for c in columns]
+            stored = self.find(k, grams, 1 if k == self.order else 5)
+            t, *seen = (below[context, j] for j in range(1, 5))
+            rest = sum(d * x for d, x in zip(self.drop[k], seen, strict=True))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                p = np.where(t > 0, (self.off(k, stored[row, 0]) + rest * p) / t, p)
+            if k < self.order:
+                # The next context is the k-gram of the token before, or begins the text.
+                starts = [words[np.full(1, begin)] for _ in range(k)]
+                below = np.concatenate([stored, self.find(k, starts, 5)])
+                context = np.where(place >= 1, np.concatenate([[len(stored)], row[:-1]]), len(stored))
+        return counts, p
+
+
+def fit(train: DataFrame, order: int = 2, text: str = "text", hot: float = HOT, per_bucket: int = PER_BUCKET, folder: str | None = None) -> Model:
+    """The model of all texts of train; per_bucket is the number of training tokens per bucket on average."""
     spark = train.sparkSession
+    folder = mounted(folder or shared_dir(spark))
     texts = train.select(F.col(text).alias("text"))
-
-    def count_words(batches):
-        yield from _counted(joined(x)[0] for x in _texts(batches))
-
-    words = staged(texts.mapInArrow(count_words, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")))
-    total, distinct = (x or 0 for x in words.agg(F.sum("n"), F.count("*")).first())
-    least = max(1, math.ceil(rare * total))
-    head = words.where(F.col("n") >= least).toArrow()  # 1 / rare rows at most
-    vocabulary, counts = head["g"].to_numpy().view(np.uint64), head["n"].to_numpy()
-    by_hash = np.argsort(vocabulary)
-    vocabulary, counts = vocabulary[by_hash], counts[by_hash]
-    size = len(vocabulary) + FIRST
-    gains = np.full(size, math.log10(0.5))  # by number, for the base score
-    gains[FIRST:] = np.log10(counts + 0.5)
-    names = Files(spark, {"vocabulary": vocabulary, "gains": gains})
-
-    # Counts of each order; below the highest, continuation counts.
-    tables = {order: _count_grams(texts, names, order)}
-    for k in range(order - 1, 0, -1):
-        later = [F.col(f"x{i + 2}").alias(f"x{i + 1}") for i in range(k)]
-        tables[k] = staged(tables[k + 1].groupBy(*later).agg(F.count("*").alias("n")))
-    n = F.col("n")
-    log = lambda x: F.log10(F.coalesce(x, F.lit(1.0)))
-    drop = {k: discounts(tables[k]) for k in tables}
-    off = {k: n - F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2]) for k, d in drop.items()}
-    # t and rest of every context of an order.
-    contexts: dict[int, DataFrame] = {}
-    for k in range(2, order + 1):
-        sums = tables[k].groupBy(*[f"x{i + 1}" for i in range(k - 1)]).agg(F.sum("n").cast("double").alias("t"), F.sum(off[k]).alias("s"))
-        contexts[k] = staged(sums.select("*", (1 - F.col("s") / F.col("t")).alias("rest")).drop("s"))
-
-    sum_n, sum_off = (x or 0 for x in tables[1].agg(F.sum("n"), F.sum(off[1])).first())
-    unknown = (1 - sum_off / sum_n if sum_n else 1.0) / (distinct + 1)
-    # p of every word, and v: what a word outside the arrays adds to a score, more than an unknown one, and as the next token's context.
-    single = tables[1].select("x1", ((off[1] / sum_n if sum_n else F.lit(0.0)) + unknown).alias("p"))
-    both = single.join(contexts[2], "x1", "full") if order > 1 else single.withColumn("rest", F.lit(None).cast("double"))
-    level = both.select("x1", (log(F.col("p") / unknown) + log(F.col("rest"))).alias("v"))
-    arrays = {"p": _by_number(single, ["p"], size, unknown)[0]}
-    arrays["single"] = np.log10(arrays["p"])
-    tail = words.where(n < least).select(F.col("g").bitwiseOR(F.lit(-(1 << BITS))).alias("x1"), "n")
-    entries = tail.join(level, "x1", "left").select(F.col("x1").alias("g"), "n", "v")
-    if order > 1:
-        arrays["t"], arrays["rest"] = _by_number(contexts[2], ["t", "rest"], size, 1.0)
-        arrays["after"] = np.log10(arrays["rest"])
-        names = Files(spark, arrays, names.names)
-    lower = single
-    arrays = {}
-    for k in range(2, order + 1):
-        columns = [f"x{i + 1}" for i in range(k)]
-        if k == 2:
-            # Words in files bring their numbers along; only the others are joined, beside keys that meet nothing.
-            near = _keyed(tables[2], 2, names)
-            far = near.where("x1 < 0 or x2 < 0")
-            own = F.col("g").bitwiseAND((1 << BITS) - 1)
-            first = contexts[2].where("x1 < 0").select(F.col("x1").alias("k1"), F.col("t").alias("far_t"), F.col("rest").alias("far_rest"))
-            last = lower.where("x1 < 0").select(F.col("x1").alias("k2"), F.col("p").alias("far_p"))
-            far = far.withColumns({"k1": F.when(F.col("x1") < 0, F.col("x1")).otherwise(own), "k2": F.when(F.col("x2") < 0, F.col("x2")).otherwise(own)})
-            far = far.join(first, "k1", "left").join(last, "k2", "left")
-            far = far.select(*columns, "n", "g", *[F.coalesce(c, f"far_{c}").alias(c) for c in ("t", "rest", "p")])
-            parts = [near.where("x1 >= 0 and x2 >= 0"), far]
-        else:
-            last = lower.select(*[F.col(f"x{i + 1}").alias(f"x{i + 2}") for i in range(k - 1)], "p")
-            parts = [_keyed(tables[k], k).join(contexts[k], columns[:-1]).join(last, columns[1:])]
-        gain = F.log10(1 + off[k] / F.col("t") / F.col("rest") / F.col("p"))
-        if k < order:
-            level = staged(parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0])
-            lower = level.select(*columns, (off[k] / F.col("t") + F.col("rest") * F.col("p")).alias("p"))
-            following = contexts[k + 1].select(*columns, F.col("rest").alias("next"))
-            # Contexts that are no n-grams consist of BEGIN only.
-            level = level.join(following, columns, "left").select("g", "n", gain.alias("gain"), log(F.col("next")).alias("after"))
-            # The context that is no n-gram itself: BEGIN only.
-            begin = following.where(" and ".join(f"{c} = {BEGIN}" for c in columns))
-            begin = _keyed(begin, k).select("g", F.lit(total).cast("long").alias("n"), F.lit(0.0).alias("gain"), log(F.col("next")).alias("after"))
-            level = level.unionByName(begin)
-            found, rest_of = level.where(n >= least), level.where(n < least).select("g", (F.col("gain") + F.col("after")).alias("v"))
-        else:
-            found = parts[0].where(n >= least).select("g", gain.alias("gain"), F.lit(0.0).alias("after"))  # these n-grams' words are as frequent
-            rest_of = parts[0].where(n < least).select("g", gain.alias("v"))
-            for part in parts[1:]:
-                rest_of = rest_of.unionByName(part.select("g", gain.alias("v")))
-        entries = entries.unionByName(rest_of.select("g", F.lit(None).cast("long").alias("n"), "v"))
-        found = found.select("g", "gain", "after").toArrow()  # 1 / rare rows at most
-        by_key = np.argsort(found["g"].to_numpy())
-        arrays |= {f"gram{k}_{name}": found[column].to_numpy()[by_key] for name, column in (("keys", "g"), ("gains", "gain"), ("after", "after"))}
-    return Model(order, Files(spark, arrays, names.names), total, distinct, unknown, entries)
-
-
-def _find(keys: np.ndarray, wanted: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
-    """Which of the wanted keys are there, and their values (0 for the others)."""
-    if not len(keys):
-        return [np.zeros(len(wanted), bool), *[np.zeros(len(wanted)) for _ in values]]
-    at = np.searchsorted(keys, wanted)
-    at[at == len(keys)] = 0
-    found = keys[at] == wanted
-    return [found, *[np.where(found, x[at], 0.0) for x in values]]
-
-
-def _terms(ids: np.ndarray, arrays: dict[str, np.ndarray], order: int, place: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """What the entries in arrays give for each token; by order the keys at each token, and which of them are in arrays.
-
-    An entry outside them counts from its own token on: a word's or n-gram's term together with its term as the next token's context.
-    """
-    single = lambda name, x: np.where(x >= 0, arrays[name][np.maximum(x, 0)], 0.0)
-    columns = gram(ids, order, place)
-    total, keys, found = single("single", ids), [ids], [ids >= 0]
-    for k in range(2, order + 1):
-        context, key = entry_keys(columns[order - k : -1]), entry_keys(columns[order - k :])
-        if k == 2:
-            total += single("after", context)
-        else:
-            total += _find(arrays[f"gram{k - 1}_keys"], context, arrays[f"gram{k - 1}_after"])[1]
-        there, gain = _find(arrays[f"gram{k}_keys"], key, arrays[f"gram{k}_gains"])
-        total += gain
-        keys.append(key)
-        found.append(there)
-    return total, keys, found
-
-
-def probabilities(ids: np.ndarray, arrays: dict[str, np.ndarray], order: int, bits: int = BITS, place: np.ndarray | None = None) -> np.ndarray:
-    """The model's probability of each number after its predecessors, where all entries are in arrays (bits is not read)."""
-    return 10 ** _terms(ids, arrays, order, place)[0]
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+    def totals(blocks: DataFrame) -> list[list[int]]:
+        return [np.frombuffer(x, np.int64).tolist() for x in blocks.where(F.col("level") == TOTALS).toArrow()["block"].to_pylist()]
+
+    none = np.array([BEGIN])
+    buckets = {WORDS: max(8, math.ceil(size / (8 * per_bucket)))}
+    found = totals(_added_up(_counted(texts, WORDS, none, buckets[WORDS]), WORDS, True, folder, none, buckets[WORDS], hot))
+    filled = {WORDS: frozenset(x[1] for x in found)}
+    distinct, total = (sum(x[k] for x in found) for k in (6, 7))
+    words, counts = (np.array([v for x in found for v in x[8 + k :: 2]], np.int64) for k in (0, 1))
+    hot_words = np.append(words[counts >= hot * total].view(np.uint64), BEGIN)
+
+    many = max(8, math.ceil(total / per_bucket))
+    blocks = _counted(texts, order, hot_words, many)
+    for k in range(order, 0, -1):
+        blocks = _added_up(blocks, k, k == order, folder, hot_words, many)
+    found = totals(blocks)
+    drop, sums = {}, {}
+    for k in range(1, order + 1):
+        level = [x for x in found if x[0] == k]
+        buckets[k], filled[k] = many, frozenset(x[1] for x in level)
+        of = [sum(x[j] for x in level) for j in range(2, 6)]
+        drop[k] = discounts(of)
+        sums[k] = (of, sum(x[6] for x in level), sum(x[7] for x in level))
+    of, kinds, continuations = sums[1]
+    freed = sum(d * n for d, n in zip(drop[1], (of[0], of[1], kinds - of[0] - of[1]), strict=True))
+    unknown = (freed / continuations if continuations else 1.0) / (distinct + 1)
+    return Model(order, folder, hot_words, buckets, filled, drop, total, distinct, continuations, unknown)
 
 
 def score(docs: DataFrame, model: Model, keys: list[str], text: str = "text") -> DataFrame:
     """Every row: keys, n_tokens, n_known, base_score, score (log10)."""
-    order, files = model.order, model.files
-    base_all, unknown = math.log10(model.total + 0.5 * (model.distinct + 1)), math.log10(model.unknown)
-    key = F.struct(*[F.col(k) for k in keys])
-    rows = docs.select(key.alias("key"), F.xxhash64(*[F.col(k) for k in keys], F.col(text)).alias("row"), F.col(text).alias("text"))
-    key_type = rows.schema["key"].dataType.simpleString()
-    own_type = f"struct<key:{key_type},n_tokens:bigint,n_known:bigint,base:double,score:double>"
+    base_all = math.log10(model.total + 0.5 * (model.distinct + 1))
+    rows = docs.select(*[F.col(k) for k in keys], F.col(text).alias("__text"))
+    fields = "".join(f"`{k}` {t}, " for k, t in rows.dtypes[:-1])
+    names = [*keys, "n_tokens", "n_known", "base_score", "score"]
 
     def run(batches):
-        arrays = files.mapped()
         for batch in batches:
-            for part in slices(batch, "text", 2_000_000):
+            for part in slices(batch, "__text", SCORE_BYTES):
                 if not len(part):
                     continue
-                hashes, starts, place = joined(part.column("text").to_pylist())
-                ids = known_numbers(hashes, arrays["vocabulary"])
-                each = lambda values: np.add.reduceat(values, starts)
-                n, n_known = each(np.ones(len(ids), np.int64)), each((ids >= 0).astype(np.int64))
-                # Words outside the arrays count as unknown here; their entries correct that.
-                base = each(arrays["gains"][np.where(ids < 0, CLASS, ids)]) - n * base_all
-                terms, wanted, found = _terms(ids, arrays, order, place)
-                total = each(terms + np.where(ids < 0, unknown, 0.0))
-                line = np.cumsum(place == 0) - 1
-                # The row of the document itself has a key of its own, so that these rows do not meet in one partition.
-                at = np.concatenate([np.arange(len(n)), *[line[~x] for x in found]])
-                outside = np.concatenate([hashes[starts].view(np.int64) ^ n, *[g[~x] for g, x in zip(wanted, found, strict=True)]])
-                beyond = len(at) - len(n)
-                numbers_of = [pa.array(np.concatenate([x, np.zeros(beyond, x.dtype)])) for x in (n, n_known, base, total)]
-                key_of = part.column("key").take(pa.array(np.concatenate([np.arange(len(n)), np.zeros(beyond, np.int64)])))
-                names = ["key", "n_tokens", "n_known", "base", "score"]
-                own = pa.StructArray.from_arrays([key_of, *numbers_of], names=names, mask=pa.array(np.arange(len(at)) >= len(n)))
-                yield pa.RecordBatch.from_arrays([part.column("row").take(pa.array(at)), pa.array(outside), own], names=["row", "g", "own"])
-
-    found = rows.mapInArrow(run, f"row long, g long, own {own_type}")
-    entries = model.entries.select("g", F.col("n").alias("c"), "v")
-    # A document's own row takes no entry, whatever its key.
-    found = found.join(entries, "g", "left")
-    entry = lambda x: F.when(F.col("own").isNull(), x)
-    sums = found.groupBy("row").agg(
-        F.count("own").alias("copies"), *[F.max(f"own.key.`{k}`").alias(f"__{i}") for i, k in enumerate(keys)],
-        F.sum("own.n_tokens").alias("n_tokens"), F.sum("own.n_known").alias("n_known"),
-        F.sum("own.base").alias("base"), F.sum("own.score").alias("score"), F.count(entry(F.col("c"))).alias("rare_known"),
-        F.coalesce(F.sum(entry(F.log10(F.col("c") + 0.5) - math.log10(0.5))), F.lit(0.0)).alias("base_gain"),
-        F.coalesce(F.sum(entry(F.col("v"))), F.lit(0.0)).alias("gain"),
-    )
-    # Equal rows have been summed together; each is one of `copies`.
-    each = sums.select("*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
-    share = lambda x: x / F.col("copies")
-    return each.select(
-        *[F.col(f"__{i}").alias(k) for i, k in enumerate(keys)], share(F.col("n_tokens")).cast("long").alias("n_tokens"), share(F.col("n_known") + F.col("rare_known")).cast("long").alias("n_known"),
-        share(F.col("base") + F.col("base_gain")).alias("base_score"), share(F.col("score") + F.col("gain")).alias("score"),
-    )
+                flat, starts, place = joined(part.column("__text").to_pylist())
+                counts, p = model.tokens(flat, place)
+                each = lambda values: pa.array(np.add.reduceat(values, starts))
+                sums = each(np.ones(len(flat), np.int64)), each((counts > 0).astype(np.int64)), each(np.log10(counts + 0.5) - base_all), each(np.log10(p))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *sums], names=names)
+
+    return rows.mapInArrow(run, f"{fields}n_tokens long, n_known long, base_score double, score double")

@@ -159,8 +159,8 @@ def test_language_model_base_scores_and_duplicates(spark):
     count = Counter(w for t in tokens for w in t)
     n, v = sum(count.values()), len(count)
     keep = F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1)
-    for rare in (ngram_lm.RARE, 0.004):  # without and with a class of rare words
-        model = ngram_lm.fit(docs.where(keep), rare=rare)
+    for per_bucket in (ngram_lm.PER_BUCKET, 100):  # few and many buckets
+        model = ngram_lm.fit(docs.where(keep), per_bucket=per_bucket)
         out = ngram_lm.score(docs, model, ["doc_id"]).collect()
         assert len(out) == len(rows) and model.total == n and model.distinct == v
         for r in out:
@@ -174,50 +174,71 @@ def test_language_model_base_scores_and_duplicates(spark):
     assert all(math.isfinite(r.score) for r in ngram_lm.score(docs, none, ["doc_id"]).collect())
 
 
-@pytest.mark.parametrize("order", [2, 3])
-def test_language_model_is_a_distribution_and_kneser_ney(spark, order):
-    rnd = random.Random(9)
-    texts = [" ".join(rnd.choice(["a", "b", "c", "d", "a b", "c a"]) for _ in range(rnd.randrange(1, 12))) for _ in range(120)]
-    model = ngram_lm.fit(spark.createDataFrame([(t,) for t in texts], "text string"), order=order)
-    arrays = model.files.mapped()
-    size = len(arrays["vocabulary"]) + ngram_lm.FIRST
-    for history in ([], [2, 3], [4], [ngram_lm.CLASS, 5]):
-        total = sum(ngram_lm.probabilities(np.array([*history, w]), arrays, order, model.bits)[-1] for w in range(ngram_lm.CLASS, size))
-        assert total == pytest.approx(1.0)
-    if order == 2:  # one bigram probability by the formula
-        pairs = Counter()
-        for t in texts:
-            w = ["<s>", *t.split(), "</s>"]
-            pairs.update(zip(w, w[1:], strict=False))
-        d = _discounts(pairs.values())
-        follow = Counter(b for _, b in pairs)
-        d1 = _discounts(follow.values())
-        off = lambda c, d: c - d[min(c, 3) - 1]
-        single = off(follow["b"], d1) / sum(follow.values()) + sum(c - off(c, d1) for c in follow.values()) / sum(follow.values()) / (len(arrays["vocabulary"]) + 1)
-        after = {b: c for (a, b), c in pairs.items() if a == "a"}
-        want = off(after["b"], d) / sum(after.values()) + sum(c - off(c, d) for c in after.values()) / sum(after.values()) * single
-        ids = ngram_lm.numbers(ngram_lm.token_hashes("a b")[:2], arrays["vocabulary"])
-        assert ngram_lm.probabilities(ids, arrays, 2, model.bits)[-1] == pytest.approx(want)
-
-
-@pytest.mark.parametrize("order", [2, 3])
-def test_language_model_drops_no_rare_word_or_ngram(spark, order):
-    """op6_ngram_lm: what is too rare for the workers' arrays is joined, and every score stays the same."""
+def _brute_kneser_ney(texts, order):
+    """Probability of a word after a history by the definition, from dictionaries; None stands for a text's begin, "" for its end."""
+    grams = Counter()
+    for t in texts:
+        line = [None] * (order - 1) + [*brute.words(t), ""]
+        grams.update(tuple(line[i : i + order]) for i in range(len(line) - order + 1))
+    counts = {order: grams}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    drop = {k: _discounts(c.values()) for k, c in counts.items()}
+    off = lambda k, c: c - drop[k][min(c, 3) - 1] if c else 0.0
+    total = sum(counts[1].values())
+    seen = {w for t in texts for w in [*brute.words(t), ""]}
+    after = {k: {} for k in counts}
+    for k, table in counts.items():
+        for g, c in table.items():
+            after[k].setdefault(g[:-1], []).append(c)
+
+    def p(history, word):
+        value = off(1, counts[1][word,]) / total + sum(c - off(1, c) for c in counts[1].values()) / total / (len(seen) + 1)
+        for k in range(2, order + 1):
+            context = tuple(history[len(history) - k + 1 :])
+            if followers := after[k].get(context):
+                t = sum(followers)
+                value = off(k, counts[k][(*context, word)]) / t + sum(c - off(k, c) for c in followers) / t * value
+        return value
+
+    return p, seen
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_language_model_equals_kneser_ney_by_definition(spark, order):
+    """op6_ngram_lm: scores of seen and unseen texts, whatever the number of buckets and the share of words dealt over all of them."""
     rnd = random.Random(12)
-    text = lambda: " ".join(f"w{int(rnd.paretovariate(0.7)) % 500}" for _ in range(rnd.randrange(0, 50)))
-    docs = spark.createDataFrame([(i, text()) for i in range(150)] + [(900, None), (901, "never seen w1 w2"), (901, "never seen w1 w2")], "doc_id long, text string")
-    train = docs.where("doc_id < 100")
-    got = []
-    for rare in (0.0, 0.003, 0.9):  # all, some and no entries in arrays
-        model = ngram_lm.fit(train, order=order, rare=rare)
-        got.append(sorted((r.doc_id, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in ngram_lm.score(docs, model, ["doc_id"]).collect()))
-    assert got[0] == got[1] == got[2] and len(got[0]) == 153
-    if order == 2:
-        whole = ngram_lm.fit(train, rare=0.0)
-        arrays = whole.files.mapped()
-        ids = ngram_lm.numbers(ngram_lm.token_hashes("never seen w1 w2"), arrays["vocabulary"])
-        want = float(np.log10(ngram_lm.probabilities(ids, arrays, 2, whole.bits)).sum())
-        assert [x[3] for x in got[0] if x[0] == 901] == [pytest.approx(want, abs=1e-5)] * 2
+    text = lambda: " ".join(f"w{int(rnd.paretovariate(0.7)) % 90}" for _ in range(rnd.randrange(0, 40)))
+    texts = [text() for _ in range(150)] + ["", None, "Never seen w1 w2", "Never seen w1 w2", " w1\tw1 "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    p, seen = _brute_kneser_ney(texts[:100], order)
+    want = {}
+    for i, t in enumerate(texts):
+        line = [None] * (order - 1) + [*brute.words(t), ""]
+        want[i] = sum(math.log10(p(line[:j], line[j])) for j in range(order - 1, len(line)))
+    for per_bucket, hot in ((10**6, 1e-3), (50, 0.02), (50, 2.0)):
+        model = ngram_lm.fit(docs.where("doc_id < 100"), order=order, per_bucket=per_bucket, hot=hot)
+        got = {r.doc_id: r.score for r in ngram_lm.score(docs, model, ["doc_id"]).collect()}
+        assert got == pytest.approx(want) and len(got) == len(texts)
+    # The probabilities of all words and one unknown word after a history sum to 1.
+    for history in ("", "w1", "w1 w2", "unseen w1", "unseen"):
+        flat = [ngram_lm.token_hashes(f"{history} {w}")[:-1] if w else ngram_lm.token_hashes(history) for w in [*seen, "nowhere"]]
+        last = np.cumsum([len(x) for x in flat]) - 1
+        p_all = model.tokens(np.concatenate(flat), np.concatenate([np.arange(len(x)) for x in flat]))[1]
+        assert p_all[last].sum() == pytest.approx(1.0)
+
+
+def test_language_model_spreads_a_frequent_context_and_stores_every_ngram(spark):
+    """op6_ngram_lm: n-grams that begin with a frequent word, or a text, are not in one bucket; tables with clashing names are scored."""
+    texts = [f"the u{i} the v{i}" for i in range(400)] + [""] * 200
+    docs = spark.createDataFrame([(i, t, 1, "x", 2.0) for i, t in enumerate(texts)], "doc_id long, text string, block int, bucket string, score double")
+    model = ngram_lm.fit(docs, per_bucket=200)
+    sizes = [len(np.load(f"{model.folder}/2-{b}-keys.npy")) for b in model.filled[2]]
+    pairs = {x for t in texts for w in [["<s>", *t.split(), "</s>"]] for x in zip(w, w[1:], strict=False)}
+    assert sum(sizes) == len(pairs) and max(sizes) < len(pairs) / 3 and len(model.hot) == 3
+    assert ngram_lm.score(docs, model, ["doc_id", "block", "bucket"]).count() == len(texts)
+    with pytest.raises(ValueError, match="mounted folder"):
+        ngram_lm.fit(docs, folder="hdfs://host/models")
 
 
 def _discounts(counts):
