@@ -12,8 +12,8 @@ body, article, main or an element that holds an article or main; only comments s
 The region is widened to whole blocks, and to the outermost article or main element that holds it, with all that is inside. Character references are decoded once; white space inside a block is one space; blocks
 are joined by line feeds.
 
-Rows are independent: no shuffle, one page at a time. A null or empty page has the empty text; so has a page without
-words. Unclosed and stray tags are tolerated; an unclosed comment or script runs to the end of the page. Repeated rows each
+Rows are independent: no shuffle, one page at a time, in time linear in its length, however its tags are nested or left open. A null or empty page has the empty text; so has a page without
+words. Of equal runs the first counts. Unclosed and stray tags are tolerated; an unclosed comment or script runs to the end of the page. Repeated rows each
 get their text. Empty tables give empty results; without labelled pages fixed default weights hold.
 """
 
@@ -49,28 +49,43 @@ DEFAULT_WORD, DEFAULT_TAG = 0.5, -3.0
 #: A tag scores this much at most, a word this much at least.
 MOST_TAG, LEAST_WORD = -0.05, 0.05
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+#: Elements that an inline end tag inside them does not close.
+WALLS = frozenset("article main body td li div".split())
+
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 _NAMED = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_LONG_NUMBER = re.compile("&#[0-9]{1000}")
 _NAMES = sorted(VOID | BLOCKS | RAW | ASIDE | set("a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q s samp small span strong sub sup time tt u var".split()))
 
 
 def tokens(html: str) -> list[tuple]:
     """The page as (kind, value, block, aside, content): kind is `word` (value: the text of a run) or a tag name.
 
-    block numbers the blocks of the page, aside tells what is inside an element that is not content, content is the tuple of the
-    numbers of the article and main elements around, outermost first.
+    block numbers the blocks of the page, aside tells what is inside an element that is not content, content has the numbers of the
+    outermost and the innermost article or main element around (empty: none). A quote that nothing closes is a character like others.
     """
     out: list[tuple] = []
     stack: list[tuple[str, bool, tuple, int]] = []  # name, aside by elements, content, innermost element marked by its names (0: none)
+    depths: dict[str, list[int]] = {}  # by name: where in the stack it is open
+    blocks: list[int] = []  # where blocks are open
+    walls: list[int] = []  # where elements are open that no inline end tag reaches over
     marks: list[tuple[int, bool]] = [(0, False)]  # of each marked element: the one around it, whether it is comments
     held: set[int] = {0}  # marked elements that hold content
+    passed: set[int] = set()  # marked elements that a content element has been looked for around
     block = made = at = 0
     end, outside = len(html), (False, (), 0)
 
     def text(begin: int, stop: int) -> None:
         if begin < stop:
-            run = entities.unescape(html[begin:stop])
-            out.append(("word", run, block, *(stack[-1][1:] if stack else outside)))
+            out.append(("word", _decoded(html[begin:stop]), block, *(stack[-1][1:] if stack else outside)))
+
+    def cut(depth: int) -> None:
+        while len(stack) > depth:
+            gone = stack.pop()[0]
+            depths[gone].pop()
+            for places in (blocks, walls):
+                if places and places[-1] == len(stack):
+                    places.pop()
 
     while at < end:
         m = _TOKEN.search(html, at)
@@ -84,9 +99,9 @@ def tokens(html: str) -> list[tuple]:
         name, attributes = m[2].lower(), m[3]
         known, (aside, content, mark) = name if name in _KNOWN else "other", stack[-1][1:] if stack else outside
         if m[1]:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if depth is not None and not (name not in BLOCKS and any(x[0] in ("article", "main", "body", "td", "li", "div") for x in stack[depth + 1 :])):
-                del stack[depth:]
+            open_at = depths.get(name)
+            if open_at and (name in BLOCKS or not walls or walls[-1] <= open_at[-1]):
+                cut(open_at[-1])
             aside, content, mark = stack[-1][1:] if stack else outside
             if name in BLOCKS:
                 block += 1
@@ -95,11 +110,10 @@ def tokens(html: str) -> list[tuple]:
         if name in BLOCKS:
             block += 1
             if stack and stack[-1][0] == "p" or name == "p":  # a block ends a paragraph, and inline elements left open in it
-                depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p" or stack[k][0] in BLOCKS), None)
-                if depth is not None and stack[depth][0] == "p":
-                    del stack[depth:]
+                if blocks and stack[blocks[-1]][0] == "p":
+                    cut(blocks[-1])
             elif name in ("li", "td", "th", "tr", "dt", "dd", "option") and stack and stack[-1][0] == name:
-                stack.pop()
+                cut(len(stack) - 1)
             aside, content, mark = stack[-1][1:] if stack else outside
         if name in RAW:
             close = re.compile(rf"</{name}\s*>", re.I).search(html, at)
@@ -109,9 +123,10 @@ def tokens(html: str) -> list[tuple]:
         aside = aside or name in ASIDE
         if name in ("article", "main"):
             made += 1
-            content = (*content, made)
+            content = (content[0] if content else made, made)
             around = mark
-            while around not in held:
+            while around not in held and around not in passed:
+                passed.add(around)
                 outer, comments = marks[around]
                 if made == 1 or not comments:
                     held.add(around)
@@ -123,6 +138,11 @@ def tokens(html: str) -> list[tuple]:
         if name == "br":
             out.append(("word", " ", block, aside, content, mark))
         if name not in VOID and not attributes.endswith("/"):
+            depths.setdefault(name, []).append(len(stack))
+            if name in BLOCKS:
+                blocks.append(len(stack))
+            if name in WALLS:
+                walls.append(len(stack))
             stack.append((name, aside, content, mark))
     out_of = [False]  # by mark: whether the element or one around it is not content
     for number, (outer, _) in enumerate(marks[1:], 1):
@@ -133,6 +153,14 @@ def tokens(html: str) -> list[tuple]:
 _KNOWN = frozenset(_NAMES)
 
 
+def _decoded(run: str) -> str:
+    """Character references decoded; numbers of any length."""
+    if _LONG_NUMBER.search(run):
+        run = re.sub("&#0+(?=[0-9])", "&#", run)
+        run = re.sub("&#[0-9]{8,};?", "\ufffd", run)
+    return entities.unescape(run)
+
+
 def _aside_words(attributes: str) -> set[str]:
     if "=" not in attributes:
         return set()
@@ -156,11 +184,14 @@ def _labels(batch: pa.RecordBatch) -> pa.RecordBatch:
     )
 
 
-def fit(pages: DataFrame, max_pages: int = 4000, html: str = "html") -> dict[str, float]:
-    """Weights by token kind from the self-labelled pages of a sample."""
-    rows = pages.select(F.col(html).alias("html")).where(F.lower("html").rlike("<(article|main)[ >]"))
+def fit(pages: DataFrame, max_pages: int = 4000, html: str = "html", keys: tuple[str, ...] = ()) -> dict[str, float]:
+    """Weights by token kind from the self-labelled pages of a sample, drawn by keys and html.
+
+    Name the keys of the rows, so that copies of a page are not drawn all or none.
+    """
+    rows = pages.select(F.xxhash64(*keys, html).alias("draw"), F.col(html).alias("html")).where(F.lower("html").rlike("<(article|main)[ >]"))
     rate = min(1.0, max_pages / max(1, rows.count()))
-    chosen = rows.where(F.pmod(F.xxhash64("html"), F.lit(1 << 20)) < rate * (1 << 20))
+    chosen = rows.where(F.pmod("draw", F.lit(1 << 20)) < rate * (1 << 20)).select("html")
     counts = map_slices(chosen, _labels, "kind string, inside long, outside long", "html").groupBy("kind").agg(F.sum("inside"), F.sum("outside"))
     counts = {kind: (a, b) for kind, a, b in counts.collect()}  # one row per known name at most
     if "word" not in counts:

@@ -80,7 +80,7 @@ def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    texts = html_extract.extract(pages, html_extract.fit(pages), ["page_id", "url"])
+    texts = html_extract.extract(pages, html_extract.fit(pages, keys=("page_id",)), ["page_id", "url"])
     return texts.withColumn("n_chars", F.length("text").cast("long"))
 
 

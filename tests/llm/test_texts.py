@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -262,6 +263,51 @@ def test_html_extraction(spark):
     assert html_extract.extract(df.where("false"), html_extract.fit(df.where("false")), ["page_id"]).count() == 0
 
 
+def test_html_extraction_equals_generated_articles(spark):
+    """op9_html_extract: pages built from a known article, with noise around and inside it."""
+    rnd = random.Random(21)
+    word = lambda: rnd.choice(["plain", "caf\u00e9", "a&b", "x<y", "1,5", "Word"])
+    words = lambda most: " ".join(word() for _ in range(rnd.randrange(1, most)))
+    escaped = lambda x: x.replace("&", "&amp;").replace("<", "&lt;").replace("\u00e9", rnd.choice(["\u00e9", "&eacute;", "&#233;", "&#xE9;"]))
+    noise = ["<nav><ul><li>Menu</li></ul></nav>", "<div class='x ad'><p>Buy <b>now</b></p></div>", "<script>if (a<b) '<p>no</p>'</script>", "<form><input>Send</form>", "<!-- <p>gone</p> -->",
+             "<style>p{}</style>", "<aside><p>Side bar</p></aside>", "<div id=comments><div><p>Nice</p></div></div>", "<footer>End</footer>"]
+    pages, want = [], []
+    for _ in range(200):
+        parts, texts = [], []
+        for _ in range(rnd.randrange(1, 12)):
+            tag, text = rnd.choice(["p", "h2", "li", "blockquote", "td", "div"]), words(30)
+            texts.append(text)
+            first, _, rest = text.partition(" ")
+            parts.append(f"<{tag}>\n <b>{escaped(first)}</b>" + (f" \t{escaped(rest)}" if rest else "") + f" </{tag}>")
+            if rnd.random() < 0.5:
+                parts.append(rnd.choice(noise))
+        around = [rnd.choice(noise) for _ in range(4)]
+        pages.append(f"<html><head><title>T</title></head><body>{around[0]}{around[1]}<article>{''.join(parts)}</article>{around[2]}{around[3]}</body></html>")
+        want.append("\n".join(texts))
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")
+    for weights in (html_extract.fit(df, keys=("page_id",)), {}):
+        got = {r.page_id: r.text for r in html_extract.extract(df, weights, ["page_id"]).collect()}
+        assert [got[i] for i in range(len(pages))] == want
+
+
+def test_html_extraction_takes_linear_time_on_awkward_pages():
+    size = 1_000_000
+    article = "<article><p>The text of the page</p></article>"
+    pages = {
+        "open tags and one quote": "<a " * (size // 3) + '"', "stray ends": "<div>" * (size // 12) + "</span>" * (size // 12),
+        "ends behind a wall": "<span><div>" + "<b>" * (size // 11) + "</span>" * (size // 11), "nested articles": "<article>" * (size // 9),
+        "marked elements": "<article></article>" + "<div class=comment>" * (size // 30) + "<article>" * (size // 30),
+        "paragraphs in inline elements": "<div>" + "<b>" * (size // 11) + "<p></p>" * (size // 11), "mixed quotes": "<a '\">" * (size // 6) + "<a '",
+        "comments": "<!--" * (size // 4), "scripts": "<script>" * (size // 8), "signs": "<" * size,
+    }
+    for name, page in pages.items():
+        begin = time.process_time()
+        html_extract.extract_text(article + page, {})
+        assert time.process_time() - begin < 5, name
+    assert html_extract.extract_text(f"<p>x &#{'9' * 10**6}; &#{'0' * 9000}65;</p>", {}) == "x \ufffd A"
+    assert html_extract.extract_text('<p class="x>The text <b title=\'y>of the</b> page</p>', {}) == "The text of the page"
+
+
 def test_html_extraction_on_pages_without_article(spark):
     pages = spark.read.parquet(f"{SAMPLE}/pages.parquet")
     weights = html_extract.fit(pages)
