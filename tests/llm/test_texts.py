@@ -137,6 +137,39 @@ def test_language_id_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in out)
 
 
+def _brute_grams(text):
+    kept = " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
+    return [f" {kept} "[i : i + k] for k in (2, 3, 4) for i in range(len(kept) + 3 - k)]
+
+
+def test_language_id_equals_exact_ngram_sets(spark):
+    """op5_language_id: the filters' corrected counts against sets of n-grams in dictionaries, over all labelled texts."""
+    docs = spark.read.parquet(f"{SAMPLE}/documents.parquet").where("text is not null and lang is not null").select("doc_id", "lang", "text")
+    rows = docs.collect()
+    counts = {}
+    for r in rows:
+        counts.setdefault(r.lang, Counter()).update(_brute_grams(r.text))
+    totals = {k: sum(c.values()) for k, c in counts.items()}
+    best = {}
+    for lang, table in counts.items():
+        for g, n in table.items():
+            best[g] = max(best.get(g, 0.0), n / totals[lang])
+    member = {k: {g for g, n in c.items() if n >= language_id.MIN_COUNT and n / totals[k] >= language_id.MIN_RATIO * best[g]} for k, c in counts.items()}
+    model = language_id.fit(docs, per_language=10**9)
+    assert model.languages == sorted(counts)
+    got = {r.doc_id: r for r in language_id.predict(docs, model, ["doc_id"]).collect()}
+    for r in rows:
+        grams = _brute_grams(r.text)
+        hits = {k: sum(g in member[k] for g in grams) for k in model.languages}
+        if not sum(hits.values()):
+            continue
+        first, second = sorted(hits.values(), reverse=True)[:2]
+        share = first / sum(hits.values())
+        assert abs(got[r.doc_id].score - share) < 0.03, (r.doc_id, got[r.doc_id].score, share)
+        if first - second > 0.05 * len(grams):  # what false positives of the filters cannot turn round
+            assert got[r.doc_id].lang_pred == max(model.languages, key=lambda k: hits[k])
+
+
 def test_language_id_edges(spark):
     rows = [(1, None, None), (2, "", "en"), (3, "123 !!", "en"), (4, "Ω", "en"), (5, "the cat and the dog", "en"), (5, "the cat and the dog", "en"), (6, "le chat et le chien", "fr"), (7, "le chat", "fr")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("clash"))
