@@ -13,6 +13,8 @@ from pricewren.session import staged
 SIZES = (8, 4, 2, 1)
 #: Bits of the table of anchor grams, as 64-bit words: 256 KB however many needles there are.
 BITS = 21
+#: Needles that a join may broadcast; more are sorted and merged, as the estimate of a derived table says nothing of its rows.
+BROADCAST_NEEDLES = 100_000
 
 
 def grams(text: Column, size: int) -> Column:
@@ -52,7 +54,7 @@ def anchor_index(needles: DataFrame, *, needle_id: str, parts: str, on: Sequence
     )
     shared = placed.select(needle_id, *on, "_gram").distinct().groupBy("_gram").agg(F.count(F.lit(1)).alias("_needles"))
     best = F.min(F.struct("_needles", F.xxhash64("_gram").alias("h"), "_part", "_offset", "_gram", "_size")).alias("_best")
-    chosen = placed.join(shared, "_gram").groupBy(*on, needle_id).agg(best)
+    chosen = placed.join(shared.hint("merge"), "_gram").groupBy(*on, needle_id).agg(best)
     return chosen.select(*on, needle_id, *[F.col(f"_best.{c}") for c in ("_gram", "_size", "_part", "_offset")])
 
 
@@ -86,8 +88,8 @@ def substring_join(texts: DataFrame, needles: DataFrame, *, text_id: str, text:
     fixed size, goes to every row; the text's grams are looked up in it inside the row,
     and only the few that hit leave it, with the text.  An equi join of these on the
     gram finds the needles, and ``contains`` verifies them.  No text is joined, sorted
-    or read twice; a text moves only if the anchors are too many to be broadcast, once
-    a hit.  ``on`` names equi-join columns both sides share (e.g. the page), ``carry``
+    or read twice; a text moves only if the anchors are too many to be broadcast (they
+    are counted), once a hit.  ``on`` names equi-join columns both sides share (e.g. the page), ``carry``
     further columns of the texts to keep, ``derive(text, parts)`` columns made from a
     hit.  Needle ids must be unique; empty parts are ignored and needles without parts
     match nothing.
@@ -95,7 +97,10 @@ def substring_join(texts: DataFrame, needles: DataFrame, *, text_id: str, text:
     on, keys = list(on), [*on, "_gram"]
     anchors = staged(anchor_index(needles, needle_id=needle_id, parts=parts, on=on), "anchors")
     known = F.filter(parts, lambda p: p != "").alias("_parts")
-    found = anchors.select(*keys, F.col(needle_id).alias("_needle")).join(needles.select(F.col(needle_id).alias("_needle"), known), "_needle")
+    sorted_join = (lambda df: df.hint("merge")) if anchors.count() > BROADCAST_NEEDLES else (lambda df: df)
+    found = anchors.select(*keys, F.col(needle_id).alias("_needle")).join(
+        sorted_join(needles.select(F.col(needle_id).alias("_needle"), known)), "_needle"
+    )
 
     columns = list(dict.fromkeys([*on, text_id, *carry]))
     rows = texts.select(*columns, F.col(text).alias("_text")).withColumn("_table", bit_table(anchors))
@@ -103,7 +108,7 @@ def substring_join(texts: DataFrame, needles: DataFrame, *, text_id: str, text:
         F.when(F.array_contains("_table.sizes", n), F.filter(grams(F.col("_text"), n), lambda g: in_bit_table(g, F.col("_table.bits")))) for n in SIZES
     ])))
     hits = rows.select(*columns, "_text", F.explode(F.array_distinct(every)).alias("_gram"))
-    pairs = hits.join(found, keys).filter(F.forall("_parts", lambda p: F.contains(F.col("_text"), p)))
+    pairs = hits.join(sorted_join(found), keys).filter(F.forall("_parts", lambda p: F.contains(F.col("_text"), p)))
     extra = derive(F.col("_text"), F.col("_parts")) if derive else []
     return pairs.select(text_id, F.col("_needle").alias(needle_id), *[c for c in carry if c != text_id], *extra)
 
@@ -206,7 +211,7 @@ def matches_existing(candidates: DataFrame, offers: DataFrame, offer_text: Colum
     inner = names.select("page", F.col("key").alias("needle"), F.array("name").alias("parts"))
     backward = substring_join(wanted, inner, text_id="key", text="name", needle_id="needle", parts="parts", on=["page"])
     covered = forward.select(F.col("needle").alias("key")).union(backward.select("key")).distinct()
-    return wanted.join(covered, "key", "left_semi").select("page", "name")
+    return wanted.join(covered.hint("merge"), "key", "left_semi").select("page", "name")
 
 
 def split_by_existing(candidates: DataFrame, offers: DataFrame, offer_text: Column, page: str = "pageNumber") -> DataFrame:
@@ -229,8 +234,9 @@ def already_in(candidates: DataFrame, offers: DataFrame, offer_text: Column, fol
     wanted = _named(candidates.filter(fold("product") != ""), page, name=fold("product"))
     known = _named(offers.filter(offer_text != ""), page, text=offer_text)
     busy = known.select("page").distinct()
-    here = wanted.join(busy, "page", "left_semi")
-    elsewhere = wanted.join(busy, "page", "left_anti")
+    # Tables that grow with the pages are never broadcast: their estimates leave out what was derived.
+    here = wanted.join(busy.hint("merge"), "page", "left_semi")
+    elsewhere = wanted.join(busy.hint("merge"), "page", "left_anti")
     everything = known.groupBy("text").agg(F.min("key").alias("key"))
 
     def covered(names: DataFrame, texts: DataFrame, on: list[str]) -> DataFrame:
@@ -242,7 +248,7 @@ def already_in(candidates: DataFrame, offers: DataFrame, offer_text: Column, fol
         inner = texts.select(*on, F.col("key").alias("needle"), F.array("text").alias("parts"))
         backward = substring_join(names, inner, text_id="key", text="name", needle_id="needle", parts="parts", on=on)
         found = forward.select(F.split("needle", "\u0001")[0].alias("key"))
-        return names.join(found.union(backward.select("key")).distinct(), "key", "left_semi").select("page", "name")
+        return names.join(found.union(backward.select("key")).distinct().hint("merge"), "key", "left_semi").select("page", "name")
 
     return covered(here, known, ["page"]).union(covered(elsewhere, everything, []))
 
@@ -254,7 +260,7 @@ def pages_with_counts(pages: DataFrame, offers: DataFrame, page: str = "pageNumb
     The offers are counted before the join, so a crowded page is one row.
     """
     counts = offers.groupBy(page).agg(F.count(F.lit(1)).alias("offers"))
-    return pages.join(counts, page, "left").withColumn("offers", F.coalesce("offers", F.lit(0)))
+    return pages.join(counts.hint("merge"), page, "left").withColumn("offers", F.coalesce("offers", F.lit(0)))
 
 
 def key_occurrences(texts: DataFrame, keys: DataFrame, *, text_id: str, text: str, key: str, before: int = 500,

@@ -236,7 +236,7 @@ def coverage_audit(pages: DataFrame, offers: DataFrame, text: str = "text", page
         F.col("page").alias("_page"), F.col("name").alias("_name"), F.lit(True).alias("_hit")
     )
     keyed = good.withColumn("_loose", normalize_loose("product"))
-    judged = keyed.join(covered, (keyed[page] == F.col("_page")) & (F.col("_loose") == F.col("_name")), "left")
+    judged = keyed.join(covered.hint("merge"), (keyed[page] == F.col("_page")) & (F.col("_loose") == F.col("_name")), "left")
     missing = judged.groupBy(page).agg(count_rows("useful"), F.count_if(F.col("_hit").isNull()).alias("missing"))
     markers = M.price_markers(text)
     base = pages.select(
@@ -245,7 +245,7 @@ def coverage_audit(pages: DataFrame, offers: DataFrame, text: str = "text", page
     )
     counted = pages_with_counts(base, offers, page)
     all_candidates = candidates.groupBy(page).agg(count_rows("candidates"))
-    joined = counted.join(all_candidates, page, "left").join(missing, page, "left").fillna(0, ["candidates", "useful", "missing"])
+    joined = counted.join(all_candidates.hint("merge"), page, "left").join(missing.hint("merge"), page, "left").fillna(0, ["candidates", "useful", "missing"])
     return joined.withColumn(
         "risk", coverage_risk(F.col("actionMarkers"), F.col("offers"), F.col("missing"), F.col("useful"), F.col(page) == 1)
     )
@@ -528,14 +528,15 @@ def nearest_images(pages: DataFrame, offers: DataFrame, html: str = "html", page
     columns = F.struct(*offers.columns)
     numbered = offers.withColumn("_row", F.monotonically_increasing_id())
     words = numbered.select("_row", columns.alias("_offer"), F.col(page).alias("_page"), F.explode(F.array_distinct(tokens)).alias("_word"))
-    placed = words.join(places, (F.col("_page") == F.col("_of")) & (F.col("_word") == F.col("_token"))).groupBy("_row").agg(
+    # Positions and images grow with the pages: neither side is broadcast, whatever its estimate.
+    placed = words.join(places.hint("merge"), (F.col("_page") == F.col("_of")) & (F.col("_word") == F.col("_token"))).groupBy("_row").agg(
         F.min("_pos").alias("_at"), F.first("_offer").alias("_offer"), F.first("_page").alias("_page")
     )
     spots = pages.select(F.col(page).alias("_of"), F.col(url).alias("_url"), images.alias("_images")).filter(F.size("_images") > 0)
     ranked = F.slice(F.array_sort(F.transform(
         "_images", lambda i, n: F.struct(F.abs(i["pos"] - F.col("_at")).alias("distance"), n.alias("n"), i["src"].alias("src"))
     )), 1, k)
-    near = placed.join(spots, F.col("_page") == F.col("_of")).select("_offer.*", "_url", F.explode(ranked).alias("_i"))
+    near = placed.join(spots.hint("merge"), F.col("_page") == F.col("_of")).select("_offer.*", "_url", F.explode(ranked).alias("_i"))
     address = H.resolve_url("_i.src", F.col("_url"))
     return near.select(*offers.columns, address.alias("imageUrl"), F.col("_i.distance").alias("distance")).withColumn(
         "imageClass", H.classify_image("imageUrl")

@@ -10,7 +10,7 @@ from pricewren.plans import audit, combine
 from pricewren.sources import readers
 from pricewren.workload.extraction import LEAFLET_SQL, _t, leaflets
 from pricewren.workload.registry import query
-from pricewren.workload.views import amount_text, compare_key_sql, offers_view, t2, table, wide_table, with_offers
+from pricewren.workload.views import amount_text, compare_key_sql, dealt_parts, offers_view, t2, table, wide_table, with_offers
 
 # --- combine -----------------------------------------------------------------
 KEY = compare_key_sql("product", '"packageSize"')
@@ -346,7 +346,7 @@ def _coverage_pages(spark, sf):
     filler = " " + "x" * 300 + " "
     name = F.concat(F.upper("p_name"), F.lit(" NR"), F.col("p_partkey").cast("string"), F.lit("X"))
     text = F.concat(F.lit("strana 50% "), name, F.lit(" 100 g < 12,90 Kč" + filler + "30% "), name, F.lit(" PIVO 200 g < 15,90 Kč" + filler + "konec"))
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("pageNumber"), text.alias("text"))
+    return dealt_parts(spark, sf).select(F.col("p_partkey").alias("pageNumber"), text.alias("text"))
 
 
 @query("coverage_audit", """
@@ -475,8 +475,8 @@ def nearest_image(spark, sf):
     key = F.col("p_partkey").cast("string")
     html = F.concat(F.lit("<p>" + "x" * 80 + '</p><img src="/i/3.jpg"><p>'), F.lit("y" * 200), F.lit('</p><img class="a" src="/i/2.jpg"><p>'), "p_name",
                     F.lit(' zboží </p><img data-src="/i/1.jpg"><b>'), key, F.lit("</b>"))
-    pages = table(spark, sf, "part").select(F.col("p_partkey").alias("page_id"), F.lit("https://shop.example/p.html").alias("url"), html.alias("html"))
-    offers = table(spark, sf, "part").select(F.col("p_partkey").alias("page_id"), F.concat("p_name", F.lit(" zboží")).alias("product"))
+    pages = dealt_parts(spark, sf).select(F.col("p_partkey").alias("page_id"), F.lit("https://shop.example/p.html").alias("url"), html.alias("html"))
+    offers = dealt_parts(spark, sf).select(F.col("p_partkey").alias("page_id"), F.concat("p_name", F.lit(" zboží")).alias("product"))
     return audit.nearest_images(pages, offers).select(F.col("page_id").alias("id"), F.col("imageUrl").alias("image"))
 
 
