@@ -1,10 +1,10 @@
 """A stored search index (rows Q8, D14 at scale): offers are found by grams, without a scan of their texts.
 
-The index is two tables in one folder.  ``grams`` holds every gram of an offer's search
-text with its place, filed by a hash of the gram; ``offers`` holds the offers, filed by a
-hash of the id.  A query of length n is covered by about n / 3 grams; it reads the files of
-their buckets only, and an offer matches where all of them stand at the right distance, which
-is exact.  Then only the buckets of the ids found are read from ``offers``.
+The index is two tables in one folder.  ``offers`` holds the offers, filed by a hash of the id
+into parts and, within these, blocks.  ``grams`` holds for every gram the blocks that have it, once
+each and filed by a hash of the gram, so it is far smaller than the texts it indexes.  A query of
+length n is covered by about n / 3 grams; it reads the files of their buckets only.  Blocks that
+have all of them are looked up in the parts concerned, and there the text itself decides, which is exact.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from pricewren.session import staged
 
 #: Characters of a gram.
 GRAM = 3
+#: Blocks of a part.
+BLOCKS = 256
 
 
 def _bucket(value: Column, buckets: int) -> Column:
@@ -31,11 +33,15 @@ def write_search_index(offers: DataFrame, folder: str, buckets: int = 256) -> No
     grams are split over several files of their bucket.
     """
     text = F.col("searchIndex") if "searchIndex" in offers.columns else normalize_ascii(joined_text(offers))
-    found = offers.select("id", F.posexplode(grams(text, GRAM)).alias("at", "gram")).withColumn("bucket", _bucket(F.col("gram"), buckets))
-    spread = found.hint("rebalance", "bucket").sortWithinPartitions("bucket", "gram")
+    block = F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(BLOCKS)).cast("int")
+    filed = offers.withColumns({"searchIndex": text, "block": block, "part": _bucket(F.col("id"), buckets)})
+    sorted_ = filed.hint("rebalance", "part").sortWithinPartitions("part", "block")
+    sorted_.write.mode("overwrite").partitionBy("part").parquet(f"{folder}/offers")
+    # A task reads rows sorted by block: a gram of a block leaves it about once.
+    stored = offers.sparkSession.read.schema(sorted_.schema).parquet(f"{folder}/offers")
+    found = stored.select("part", "block", F.explode(F.array_distinct(grams(F.col("searchIndex"), GRAM))).alias("gram")).distinct()
+    spread = found.withColumn("bucket", _bucket(F.col("gram"), buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", "gram")
     spread.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/grams")
-    filed = offers.withColumns({"searchIndex": text, "part": _bucket(F.col("id"), buckets)})
-    filed.hint("rebalance", "part").write.mode("overwrite").partitionBy("part").parquet(f"{folder}/offers")
     offers.sparkSession.range(1).select(F.lit(buckets).alias("buckets")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/size")
 
 
@@ -57,12 +63,16 @@ def matching_ids(spark: SparkSession, folder: str, queries: list[str]) -> DataFr
     long = [r for r in folded if len(r.f) >= GRAM]
     out = []
     if long:
-        rows = [(r.query, r.f[p : p + GRAM], p, len(_cover(len(r.f)))) for r in long for p in _cover(len(r.f))]
-        wanted = spark.createDataFrame(rows, "query string, gram string, place int, needed int")
+        covers = {r.query: (r.f, sorted({r.f[p : p + GRAM] for p in _cover(len(r.f))})) for r in long}
+        rows = [(query, f, gram, len(cover)) for query, (f, cover) in covers.items() for gram in cover]
+        wanted = spark.createDataFrame(rows, "query string, f string, gram string, needed int")
         numbers = sorted(r[0] for r in wanted.select(_bucket(F.col("gram"), buckets)).distinct().collect())
-        stored = spark.read.parquet(f"{folder}/grams").filter(F.col("bucket").isin(numbers) & F.col("gram").isin(sorted({r[1] for r in rows})))
-        hits = stored.join(wanted, "gram").groupBy("query", "needed", "id", (F.col("at") - F.col("place")).alias("start")).agg(F.count(F.lit(1)).alias("n"))
-        out.append(hits.filter("n = needed").select("query", "id").distinct())
+        stored = spark.read.parquet(f"{folder}/grams").filter(F.col("bucket").isin(numbers) & F.col("gram").isin(sorted({r[2] for r in rows})))
+        hits = stored.join(F.broadcast(wanted), "gram").groupBy("query", "f", "needed", "part", "block").agg(F.count(F.lit(1)).alias("n"))
+        blocks = staged(hits.filter("n = needed").select("query", "f", "part", "block"), "blocks")
+        parts = sorted(r[0] for r in blocks.select("part").distinct().collect())  # no more than there are buckets
+        texts = spark.read.parquet(f"{folder}/offers").filter(F.col("part").isin(parts)).select("id", "searchIndex", "part", "block")
+        out.append(texts.join(blocks, ["part", "block"]).filter(F.contains("searchIndex", "f")).select("query", "id"))
     if short:
         table = spark.read.parquet(f"{folder}/offers").select("id", "searchIndex")
         needles = F.array(*[F.struct(F.lit(r.query).alias("query"), F.lit(r.f).alias("f")) for r in short])
@@ -79,7 +89,7 @@ def search_stored(spark: SparkSession, folder: str, text: str) -> DataFrame:
     buckets = spark.read.parquet(f"{folder}/size").first()["buckets"]
     parts = sorted(r[0] for r in ids.select(_bucket(F.col("id"), buckets)).distinct().collect())  # no more than there are buckets
     offers = spark.read.parquet(f"{folder}/offers").filter(F.col("part").isin(parts))
-    return offers.join(ids, "id", "left_semi").drop("part")
+    return offers.join(ids, "id", "left_semi").drop("part", "block")
 
 
 def count_stored(spark: SparkSession, folder: str, queries: list[str]) -> DataFrame:
