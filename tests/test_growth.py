@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from pricewren.operators import extract as X, match
-from pricewren.plans import audit
+from pricewren.plans import audit, index
 
 
 def broadcast_keys(df):
@@ -48,3 +48,12 @@ def test_once_per_page_parses_a_page_once(spark):
     numbered = lambda p, keep: p.select(*keep, F.monotonically_increasing_id().alias("n"))
     found = X.once_per_page(pages, numbered, ["text"])
     assert found.count() == 1000 and found.select("n").distinct().count() == 1
+
+
+def test_index_files_a_gram_once_a_block(spark, tmp_path):
+    offers = spark.range(5000).select(F.col("id").cast("string").alias("id"), F.lit("mleko polotucne").alias("searchIndex"))
+    folder = str(tmp_path / "index")
+    index.write_search_index(offers, folder, buckets=4)
+    filed = spark.read.parquet(f"{folder}/grams")
+    assert filed.count() == filed.select("gram", "part", "block").distinct().count() <= 13 * 4 * index.BLOCKS < 13 * 5000
+    assert index.search_stored(spark, folder, "ko polo").count() == 5000
