@@ -216,7 +216,11 @@ def resolve_url(href: Column | str, base: Column | str) -> Column:
     Covers absolute, protocol-relative, root-relative, query, fragment and
     relative references, with ``.`` and ``..`` segments folded.
     """
-    ref, page = strip(text_of(href)), text_of(base)
+    # Both texts are read by nearly every branch, so each is bound once.
+    return let(strip(text_of(href)), lambda ref: let(text_of(base), lambda page: _resolved(ref, page)))
+
+
+def _resolved(ref: Column, page: Column) -> Column:
     origin = F.regexp_extract(page, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
     scheme = F.regexp_extract(page, r"^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1)
     bare = F.regexp_replace(page, r"[?#].*$", "")
@@ -241,7 +245,7 @@ def resolve_url(href: Column | str, base: Column | str) -> Column:
         .when(ref == "", bare)
         .when(ref.startswith("#"), F.concat(F.regexp_replace(page, "#.*$", ""), ref))
         .when(ref.startswith("?"), F.concat(bare, ref))
-        .otherwise(F.concat(origin, fold(relative)))
+        .otherwise(F.concat(origin, let(relative, fold)))
     )
 
 

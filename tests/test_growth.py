@@ -4,6 +4,8 @@ import re
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+from pricewren.functions import html as H
 from pricewren.operators import extract as X, match
 from pricewren.plans import audit, index
 
@@ -50,6 +52,19 @@ def test_once_per_page_parses_a_page_once(spark):
     assert found.count() == 1000 and found.select("n").distinct().count() == 1
 
 
+def test_product_tiles_read_each_page_once(spark):
+    plan = entry.queries()["extract_product_tiles"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("Generate posexplode"):]
+
+
+def test_an_address_is_read_once(spark):
+    pages = spark.createDataFrame([("a/../b.html", "https://a.cz/x/y?z")], "href string, page string")
+    resolved = pages.select(H.resolve_url(F.upper("href"), F.lower("page")).alias("u"))
+    plan = resolved._jdf.queryExecution().optimizedPlan().toString().split("LogicalRDD")[0]
+    assert plan.count("upper(") == 1 and plan.count("lower(") == 1
+    assert resolved.first()["u"] == "https://a.cz/x/B.HTML"
+
+
 def test_index_files_a_gram_once_a_block(spark, tmp_path):
     offers = spark.range(5000).select(F.col("id").cast("string").alias("id"), F.lit("mleko polotucne").alias("searchIndex"))
     folder = str(tmp_path / "index")
