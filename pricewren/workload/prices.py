@@ -81,7 +81,8 @@ def classify_price(rows):
         F.lit("A < "), _price("unit_cents"), F.lit(" Kč" + filler), amount_text(F.col("unit_cents") + 1000), F.lit(filler + "100 g "),
         amount_text(F.col("unit_cents") + 5), F.lit(" Kč" + filler + "záloha 3,00 Kč"),
     )
-    flat = rows.select("id", F.inline(M.classify_price(text)))
+    pages = rows.select("id", text.alias("text"))
+    flat = X.once_per_page(pages, lambda p, keep: p.select(*keep, F.inline(M.classify_price("text"))), ["text"], keep=("id",))
     return flat.select("id", "price", "isLowest30", "isUnitPrice", "isDeposit")
 
 
@@ -237,21 +238,22 @@ def _references():
     return F.array(cents % 40 + 1.5, cents % 90 + 9.9, cents % 130 + 25.9)
 
 
-def _candidates(rows):
+def _candidates():
     package = F.concat(F.col("pack").cast("string"), F.lit("/"), (F.col("pack") + 20).cast("string"), F.lit(" g"))
-    return rows.withColumn("c", K.price_candidates(package, F.lit("100 g"), F.array(F.col("unit_cents") / 100), _references()))
+    return K.price_candidates(package, F.lit("100 g"), F.array(F.col("unit_cents") / 100), _references())
 
 
 @_rows("price_candidates", CANDIDATES_SQL + """
 SELECT id, adjusted, price, round(diff, 6) AS diff FROM n""")
 def price_candidates(rows):
-    return _candidates(rows).select("id", F.inline("c")).select("id", "adjusted", "price", F.round("diff", 6).alias("diff"))
+    # A generator over a named column gets a filter on it, which would build the candidates twice more.
+    return rows.select("id", F.inline(_candidates())).select("id", "adjusted", "price", F.round("diff", 6).alias("diff"))
 
 
 @_rows("best_candidate", CANDIDATES_SQL + """
 SELECT id, round(diff, 6) AS diff, CASE WHEN diff <= 0.15 THEN 'near' ELSE 'far' END AS kind FROM (SELECT id, min(diff) AS diff FROM n GROUP BY 1)""")
 def best_candidate(rows):
-    best = _candidates(rows).withColumn("b", K.best_candidate(F.col("c")))
+    best = rows.withColumn("b", K.best_candidate(_candidates()))
     return best.select("id", F.round("b.diff", 6).alias("diff"), F.when(F.col("b.diff") <= 0.15, "near").otherwise("far").alias("kind"))
 
 
@@ -270,7 +272,7 @@ SELECT rows.id, CASE WHEN mix % 5 >= 2 THEN CASE WHEN s.d <= 0.15 THEN s.n ELSE
 FROM b JOIN rows ON b.id = rows.id""")
 def choose_price(rows):
     # Every fifth row has a lead price only, another fifth has neither.
-    best = _candidates(rows).withColumn("b", F.when(F.col("mix") % 5 >= 2, K.best_candidate(F.col("c"))))
+    best = rows.withColumn("b", F.when(F.col("mix") % 5 >= 2, K.best_candidate(_candidates())))
     chosen = best.withColumn("x", R.choose_price(F.col("b"), F.when(F.col("mix") % 5 == 0, F.col("unit_cents") / 100)))
     return chosen.select("id", "x.price", "x.source")
 
