@@ -11,7 +11,7 @@ from pricewren.session import staged
 
 #: Gram lengths; a needle is found by the longest that its longest part can fill.
 SIZES = (8, 4, 2, 1)
-#: Bits of the table of anchor grams, as 64-bit words: 256 KB however many needles there are.
+#: Most bits of a table of grams, as a power of two: 256 KB however many needles there are.
 BITS = 21
 #: Needles that a join may broadcast; more are sorted and merged, as the estimate of a derived table says nothing of its rows.
 BROADCAST_NEEDLES = 100_000
@@ -30,10 +30,15 @@ def _of_size(size: Column, value) -> Column:
     return out
 
 
-def _places(gram: Column) -> list[Column]:
+def bits_for(grams: int) -> int:
+    """Bits of a table for so many grams: 64 a gram as far as the bound allows, since a table is copied with every row."""
+    return min(BITS, max(10, (64 * grams).bit_length()))
+
+
+def _places(gram: Column, bits: int = BITS) -> list[Column]:
     """Two places in the bit table."""
     hashed = F.xxhash64(gram)
-    return [hashed.bitwiseAND(F.lit((1 << BITS) - 1)), F.shiftright(hashed, 32).bitwiseAND(F.lit((1 << BITS) - 1))]
+    return [hashed.bitwiseAND(F.lit((1 << bits) - 1)), F.shiftright(hashed, 32).bitwiseAND(F.lit((1 << bits) - 1))]
 
 
 def anchor_index(needles: DataFrame, *, needle_id: str, parts: str, on: Sequence[str] = ()) -> DataFrame:
@@ -58,24 +63,24 @@ def anchor_index(needles: DataFrame, *, needle_id: str, parts: str, on: Sequence
     return chosen.select(*on, needle_id, *[F.col(f"_best.{c}") for c in ("_gram", "_size", "_part", "_offset")])
 
 
-def bit_table(anchors: DataFrame) -> Column:
-    """The anchors' bits and gram lengths as one value for all rows: ``struct(bits, sizes)``, its size fixed."""
+def bit_table(anchors: DataFrame, size: int = BITS) -> Column:
+    """The anchors' bits and gram lengths as one value for all rows: ``struct(bits, sizes)``, of ``2**size`` bits."""
     spark = anchors.sparkSession
-    bits = anchors.select(F.explode(F.array(*_places(F.col("_gram")))).alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(
+    bits = anchors.select(F.explode(F.array(*_places(F.col("_gram"), size))).alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(F.lit(63)).cast("int"))).alias("bits")
     )
-    words = spark.range(1 << (BITS - 6)).withColumnRenamed("id", "word").join(bits, "word", "left")
+    words = spark.range(1 << (size - 6)).withColumnRenamed("id", "word").join(bits, "word", "left")
     dense = words.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0)).alias("bits")))), lambda w: w["bits"]).alias("bits"))
     sizes = anchors.agg(F.collect_set("_size").alias("sizes"))
     return F.struct(dense.scalar().alias("bits"), sizes.scalar().alias("sizes"))
 
 
-def in_bit_table(gram: Column, bits: Column) -> Column:
+def in_bit_table(gram: Column, bits: Column, size: int = BITS) -> Column:
     """Whether a gram may be an anchor: never wrong for one that is."""
     def test(at: Column) -> Column:
         return F.call_function("getbit", F.get(bits, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1
 
-    first, second = _places(gram)
+    first, second = _places(gram, size)
     return test(first) & test(second)
 
 
@@ -97,15 +102,17 @@ def substring_join(texts: DataFrame, needles: DataFrame, *, text_id: str, text:
     on, keys = list(on), [*on, "_gram"]
     anchors = staged(anchor_index(needles, needle_id=needle_id, parts=parts, on=on), "anchors")
     known = F.filter(parts, lambda p: p != "").alias("_parts")
-    sorted_join = (lambda df: df.hint("merge")) if anchors.count() > BROADCAST_NEEDLES else (lambda df: df)
+    counts = anchors.agg(F.count(F.lit(1)).alias("needles"), F.count_distinct("_gram").alias("grams")).first()
+    sorted_join = (lambda df: df.hint("merge")) if counts["needles"] > BROADCAST_NEEDLES else (lambda df: df)
+    bits = bits_for(counts["grams"])
     found = anchors.select(*keys, F.col(needle_id).alias("_needle")).join(
         sorted_join(needles.select(F.col(needle_id).alias("_needle"), known)), "_needle"
     )
 
     columns = list(dict.fromkeys([*on, text_id, *carry]))
-    rows = texts.select(*columns, F.col(text).alias("_text")).withColumn("_table", bit_table(anchors))
+    rows = texts.select(*columns, F.col(text).alias("_text")).withColumn("_table", bit_table(anchors, bits))
     every = F.flatten(F.array_compact(F.array(*[
-        F.when(F.array_contains("_table.sizes", n), F.filter(grams(F.col("_text"), n), lambda g: in_bit_table(g, F.col("_table.bits")))) for n in SIZES
+        F.when(F.array_contains("_table.sizes", n), F.filter(grams(F.col("_text"), n), lambda g: in_bit_table(g, F.col("_table.bits"), bits))) for n in SIZES
     ])))
     hits = rows.select(*columns, "_text", F.explode(F.array_distinct(every)).alias("_gram"))
     pairs = hits.join(sorted_join(found), keys).filter(F.forall("_parts", lambda p: F.contains(F.col("_text"), p)))
@@ -155,12 +162,34 @@ def match_expected(texts: DataFrame, expected: DataFrame, *, text_id: str, text:
     When the whole term occurs so do its words, hence the words alone decide
     whenever there is one; only terms made of short words need the phrase.
     """
+    needles = _expected_parts(expected, term_id, term, shortest)
+    return substring_join(texts, needles, text_id=text_id, text=text, needle_id=term_id, parts="_needles", carry=carry)
+
+
+def _expected_parts(expected: DataFrame, term_id: str, term: str, shortest: int = 3) -> DataFrame:
+    """``_needles``, what of an expected term must occur: its longer words, else the whole term."""
     folded = expected.select(term_id, normalize_search(term).alias("_term"))
     words = words_of(F.col("_term"), shortest)
-    needles = folded.select(
-        term_id, F.when(F.size(words) > 0, words).otherwise(F.array("_term")).alias("_needles")
-    )
-    return substring_join(texts, needles, text_id=text_id, text=text, needle_id=term_id, parts="_needles", carry=carry)
+    return folded.select(term_id, F.when(F.size(words) > 0, words).otherwise(F.array("_term")).alias("_needles"))
+
+
+def telling_words(texts: DataFrame, text: str, expected: DataFrame, term: str, shortest: int = 3) -> DataFrame:
+    """``texts`` with ``_telling``: the words of a folded text that decide which expected terms occur in it (J7), once each.
+
+    A part without blanks occurs in a text when it occurs in one of its words, so the distinct words of
+    all texts are matched with the parts.  The words that hold one are known to every row by a bit
+    table; a few others may pass it, which changes no match.  Where some term is a phrase of short words, whole texts are kept.
+    """
+    parts = _expected_parts(expected, term, term, shortest).select(F.explode("_needles").alias("_sought")).filter("_sought <> ''").distinct()
+    parts = staged(parts.withColumn("_seek", F.array("_sought")), "parts")
+    if parts.filter(F.contains("_sought", F.lit(" "))).limit(1).count():
+        return texts.withColumn("_telling", F.col(text))
+    words = texts.select(F.explode(F.split(text, " ")).alias("_word")).distinct()
+    held = staged(substring_join(words, parts, text_id="_word", text="_word", needle_id="_sought", parts="_seek").select(
+        F.col("_word").alias("_gram"), F.lit(0).alias("_size")).distinct(), "words")
+    bits = bits_for(held.count())
+    kept = F.filter(F.array_distinct(F.split(text, " ")), lambda w: in_bit_table(w, F.col("_table.bits"), bits))
+    return texts.withColumn("_table", bit_table(held, bits)).withColumn("_telling", F.array_join(kept, " ")).drop("_table")
 
 
 # --- validity and catalog ----------------------------------------------------

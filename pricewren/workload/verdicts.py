@@ -116,11 +116,11 @@ def traced_sources(spark, sf):
     offers = offers_view(spark, sf).drop("category", "brand").withColumns({
         "price": F.when(page == 7, F.lit(None)).otherwise(F.col("price")),
         "rawContext": F.when(page == 5, F.lit("dnes vezměte si z regálu")).otherwise(F.lit("")),
-        "compareKey": F.when(page == 6, F.lit("gone")).otherwise(F.lit("")), "product": F.when(page == 6, F.lit("")).otherwise(F.col("product")),
+        "compareKey": F.when(page == 6, F.lit("gone")).otherwise(F.lit("")), "ring": F.contains("product", F.lit("ring")), "product": F.when(page == 6, F.lit("")).otherwise(F.col("product")),
     })
     first = offers.filter("confidence <> 'low'")
-    again = first.join(offers_view(spark, sf).filter(F.contains("product", F.lit("ring"))).select("id").distinct(), "id", "left_semi")
-    sources = {"feed one": first, "feed two": offers.filter("confidence = 'low'"), "feed three": again}
+    sources = {name: rows.drop("ring") for name, rows in {
+        "feed one": first, "feed two": offers.filter("confidence = 'low'"), "feed three": first.filter("ring")}.items()}
     return verdicts.traced_sources(sources, ("sourceOrder", "id")).select("sourceFile", "id", "fate", "replacedBy", "replacedFrom")
 
 
