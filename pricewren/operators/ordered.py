@@ -168,12 +168,13 @@ def range_join(rows: DataFrame, ranges: DataFrame, *, point: str, first: str, la
                how: str = "left") -> DataFrame:
     """Every row with the first range (by ``order``) whose ``first..last`` holds its point.
 
-    A range is cut into at most two dyadic blocks a level (2 log n rows, whatever
-    its width); a point lies in one block a level, and probes only the levels that
-    occur.  The join is an equi join on (level, block); of the ranges that share a
-    block only the first by ``order`` goes on.  Points are reduced to distinct values
-    before, so a crowded point is one probe.  Adds the ``take`` columns of the range.
-    Null points and ranges with a null or reversed border match nothing.
+    Which range is first changes only at borders, the places where one begins or the
+    place after its end.  The first range of every border comes from dyadic blocks: a range is
+    cut into at most two a level (2 log n rows, whatever its width), a border lies in one a level and
+    probes those that occur by an equi join.  Points and borders are then sorted together; the running
+    count of borders tells every point the last one that isn't above it, and one equi join fetches
+    its range.  So a point is one row whatever the levels; points are reduced to distinct values before.
+    Adds the ``take`` columns of the range.  Null points and ranges with a null or reversed border match nothing.
     """
     levels = F.sequence(F.lit(0), F.lit(LEVELS))
     a, b = F.col(first).cast("long"), F.col(last).cast("long")
@@ -184,13 +185,19 @@ def range_join(rows: DataFrame, ranges: DataFrame, *, point: str, first: str, la
     )
     blocks = staged(blocks, "blocks")
     used = sorted(r["level"] for r in blocks.select("level").distinct().collect())
-    point_ = F.col("_point").cast("long")
-    probes = rows.select(F.col(point).alias("_point")).filter("_point is not null").distinct().select("_point", F.explode(F.array(*[
-        F.struct(F.lit(k).alias("level"), F.shiftright(point_, k).alias("block")) for k in used
-    ])).alias("_node")).select("_point", "_node.*") if used else None
-    if probes is None:
-        found = rows.select(F.col(point).alias("_point")).limit(0).withColumn("_range", F.lit(None).cast(blocks.schema["_range"].dataType))
+    values = rows.select(F.col(point).alias("_point")).filter("_point is not null").distinct()
+    if not used:
+        found = values.limit(0).withColumn("_range", F.lit(None).cast(blocks.schema["_range"].dataType))
     else:
-        found = probes.join(blocks, ["level", "block"]).groupBy("_point").agg(F.min("_range").alias("_range"))
+        ends = ranges.filter(a <= b).select(F.explode(F.array(a, F.when(b < (1 << 63) - 1, b + 1))).alias("_place")).filter("_place is not null").distinct()
+        probes = ends.select("_place", F.explode(F.array(*[
+            F.struct(F.lit(k).alias("level"), F.shiftright("_place", k).alias("block")) for k in used
+        ])).alias("_node")).select("_place", "_node.*")
+        first_of = probes.join(blocks, ["level", "block"], "left").groupBy("_place").agg(F.min("_range").alias("_range"))
+        borders = staged(first_of, "borders").withColumn("_point", F.lit(None).cast(values.schema["_point"].dataType)).withColumn("_border", F.lit(1))
+        placed = values.select(F.col("_point").cast("long").alias("_place"), F.lit(None).cast(blocks.schema["_range"].dataType).alias("_range"), "_point", F.lit(0).alias("_border"))
+        counted = running_totals(borders.unionByName(placed.filter("_place is not null")), [], [F.col("_place"), F.desc("_border")], {"_n": F.col("_border")})
+        segments = counted.filter("_border = 1 and _range is not null").select("_n", "_range")
+        found = counted.filter("_border = 0").select("_n", "_point").join(segments, "_n").select("_point", "_range")
     joined = rows.join(found, F.col(point) == F.col("_point"), how)
     return joined.select(*[rows[c] for c in rows.columns], *[F.col(f"_range.t{i}").alias(c) for i, c in enumerate(take)])

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from pricewren.functions import html as H
-from pricewren.operators import extract as X, match
-from pricewren.plans import audit, index
+from pricewren.functions import text as T
+from pricewren.operators import extract as X, match, ordered
+from pricewren.plans import audit, index, verdicts
+from pricewren.workload.views import dealt_parts
 
 
 def broadcast_keys(df):
@@ -72,3 +74,56 @@ def test_index_files_a_gram_once_a_block(spark, tmp_path):
     filed = spark.read.parquet(f"{folder}/grams")
     assert filed.count() == filed.select("gram", "part", "block").distinct().count() <= 13 * 4 * index.BLOCKS < 13 * 5000
     assert index.search_stored(spark, folder, "ko polo").count() == 5000
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_classified_texts_are_read_once(spark):
+    assert "Aggregate" in optimized(entry.queries()["classify_price"](spark, "/root/testdata/sf0.001"))
+
+
+def test_candidates_are_built_once(spark):
+    assert "Filter" not in optimized(entry.queries()["price_candidates"](spark, "/root/testdata/sf0.001"))
+
+
+def test_plain_texts_skip_the_fold(spark):
+    rows = spark.createDataFrame([("Plain 1-2, X",), ("Žluťoučký kůň",), ("ΑΒΓ 7",), (None,), ("",)], "t string")
+    found = rows.select(T.normalize_search("t").alias("a"), T.fold_accents("t").alias("b"))
+    assert optimized(found).count("octet_length") == 2
+    assert [tuple(r) for r in found.collect()] == [
+        ("plain 1 2 x", "Plain 1-2, X"), ("zlutoucky kun", "Zlutoucky kun"), ("αβγ 7", "ΑΒΓ 7"), ("", None), ("", "")]
+
+
+def test_texts_are_cut_to_telling_words(spark):
+    texts = spark.createDataFrame([(i, f"store{i} kava zrnkova kava {i}") for i in range(50)], "i long, t string")
+    expected = spark.createDataFrame([("Káva zrnková",), ("čaj",)], "expected string")
+    assert [r._telling for r in match.telling_words(texts, "t", expected, "expected").select("_telling").distinct().collect()] == ["kava zrnkova"]
+    phrase = spark.createDataFrame([("a 12",)], "expected string")
+    assert match.telling_words(texts, "t", phrase, "expected").select("_telling").distinct().count() == 50
+
+
+def test_dealt_parts_stay_dealt_and_tables_fit_their_grams(spark):
+    assert dealt_parts(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4
+    assert match.bits_for(0) == 10 and match.bits_for(100) == 13 and match.bits_for(10**9) == match.BITS
+
+
+def test_third_feed_reads_the_offers_once(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(verdicts, "traced_sources", lambda sources, order: seen.update(sources) or spark.range(0).selectExpr(
+        "'' as sourceFile", "id", "'' as fate", "'' as replacedBy", "'' as replacedFrom"))
+    entry.queries()["traced_sources"](spark, "/root/testdata/sf0.001")
+    assert "LeftSemi" not in optimized(seen["feed three"]) and "ring" not in seen["feed three"].columns
+
+
+def test_a_point_is_one_row_whatever_the_levels(spark):
+    ranges = [(0, 10, "a"), (5, 100, "b"), (50, 49, "reversed"), (None, 7, "null"), (90, (1 << 60) - 1, "c"), (-9, -9, "d")]
+    table = spark.createDataFrame(ranges, "`from` long, `to` long, category string")
+    points = [-10, -9, 0, 5, 10, 11, 89, 100, 101, 1 << 40, None, 5]
+    rows = spark.createDataFrame([(i, p) for i, p in enumerate(points)], "id long, page long")
+    found = ordered.range_join(rows, table, point="page", first="from", last="to", order=["from", "category"], take=["category"])
+    assert "Generate" not in optimized(found)
+    whole = [r for r in ranges if r[0] is not None and r[0] <= r[1]]
+    want = {i: min(((a, c) for a, b, c in whole if p is not None and a <= p <= b), default=(0, None))[1] for i, p in enumerate(points)}
+    assert {r.id: r.category for r in found.collect()} == want
