@@ -2,6 +2,7 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -59,6 +60,24 @@ def test_product_tiles_read_each_page_once(spark):
     assert "Aggregate" in plan[plan.index("Generate posexplode"):]
 
 
+def test_line_windows_normalize_a_page_once(spark):
+    text = "\u00a0KÁVA\u2014ALFA \t x \r\n 1\u00a0299,90\t Kč\u2003\n\t\n \ufeff500 g\nB\u2003 \u2003C\nD"
+    pages = spark.createDataFrame([(1, text)], "page_id long, text string")
+    found = X.extract_line_windows(pages)
+    assert optimized(found).count("[ \\t]+") == 1
+    rest = "1 299,90 Kč 500 g B\u2003 \u2003C D"
+    assert [(r.rawContext, r.priceText, r.price, r.packageSize) for r in found.collect()] == [
+        (f"KÁVA–ALFA x {rest}", "1 299,90 Kč", 1299.9, "500 g"), (rest, "1 299,90 Kč", 1299.9, "500 g"),
+    ]
+
+
+@pytest.mark.parametrize("name, parsed", [("extract_line_windows", "array_distinct(")])
+def test_leaflet_queries_parse_distinct_pages(spark, name, parsed):
+    """The step that parses stands above the distinct pages, and the feed is joined without its text."""
+    plan = optimized(entry.queries()[name](spark, "/root/testdata/sf0.001"))
+    assert "Aggregate" in plan[plan.index(parsed):] and "rightHint=(strategy=merge)" in plan
+
+
 def test_an_address_is_read_once(spark):
     pages = spark.createDataFrame([("a/../b.html", "https://a.cz/x/y?z")], "href string, page string")
     resolved = pages.select(H.resolve_url(F.upper("href"), F.lower("page")).alias("u"))
