@@ -73,7 +73,7 @@ def test_line_windows_normalize_a_page_once(spark):
 
 @pytest.mark.parametrize("name, parsed", [
     ("extract_line_windows", "array_distinct("), ("reconciled_confidence", "Generate explode"),
-    ("extract_heading_blocks", "Generate posexplode"),
+    ("extract_heading_blocks", "Generate posexplode"), ("extract_uppercase_lines", "Generate inline"),
 ])
 def test_leaflet_queries_parse_distinct_pages(spark, name, parsed):
     """The step that parses stands above the distinct pages, and the feed is joined without its text."""
