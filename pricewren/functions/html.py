@@ -71,8 +71,11 @@ def clean_fragment(c: Column | str) -> Column:
     return squeeze(F.regexp_replace(value, _TAG, " "))
 
 
-def html_to_lines(c: Column | str) -> Column:
-    """Non-empty text lines; headings carry ``### ``, bullets are bare."""
+def html_line_text(c: Column | str) -> Column:
+    """T10 as one text: a line break stands around every line, some lines may be empty.
+
+    Blanks and bullets are cut in the whole text, as a pattern on every line costs far more.
+    """
     value = drop_code(c, "")
     for pattern, by in (
         (r"(?is)<h[1-6][^>]*>(.*?)</h[1-6]>", "\n### $1\n"),
@@ -81,9 +84,15 @@ def html_to_lines(c: Column | str) -> Column:
         (_TAG, " "),
     ):
         value = F.regexp_replace(value, pattern, by)
-    lines = F.split(decode_html(value, script_escapes=False), r"\n+")
-    cleaned = F.transform(lines, lambda line: F.trim(F.regexp_replace(squeeze(line), r"^[-*]\s*", "")))
-    return F.filter(cleaned, lambda line: line != "")
+    # Of blanks only runs and odd ones are found; the line break itself is no blank here.
+    blanks = r"(?U:[\s\ufeff&&[^\n ]][\s\ufeff&&[^\n]]*| [\s\ufeff&&[^\n]]+)"
+    spaced = F.regexp_replace(decode_html(value, script_escapes=False), blanks, " ")
+    return F.regexp_replace(F.concat(F.lit("\n"), spaced, F.lit("\n")), r" ?\n[ \n]*(?:[-*] ?)?", "\n")
+
+
+def html_to_lines(c: Column | str) -> Column:
+    """Non-empty text lines; headings carry ``### ``, bullets are bare."""
+    return F.filter(F.split(html_line_text(c), "\n"), lambda line: line != "")
 
 
 def block_lines(c: Column | str) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from pricewren.functions import html as H
 from pricewren.functions import text as T
+from pricewren.functions.patterns import SPACES
 from pricewren.operators import extract as X, match, ordered
 from pricewren.plans import audit, index, verdicts
 from pricewren.workload.views import dealt_parts
@@ -102,6 +103,13 @@ def optimized(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_html_lines_are_cut_in_the_whole_text(spark):
+    html = "<ul><li>\u00a0Káva\t Alfa \r</li><li>-</li><li>- - x</li></ul><h2> A\u2003</h2>\n \n* &#10;\u2028konec &nbsp;"
+    found = spark.createDataFrame([(html,)], "html string").select(H.html_to_lines("html").alias("lines"))
+    assert SPACES not in optimized(found)
+    assert found.first()["lines"] == ["Káva Alfa", "-", "- - x", "### A", "konec"]
+
+
 def test_classified_texts_are_read_once(spark):
     assert "Aggregate" in optimized(entry.queries()["classify_price"](spark, "/root/testdata/sf0.001"))
 
