@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from pricewren import rules
 from pricewren.functions import html as H
 from pricewren.functions import text as T
-from pricewren.functions.patterns import SPACES
+from pricewren.functions.patterns import SPACES, opening
 from pricewren.operators import extract as X, match, ordered
 from pricewren.plans import audit, index, verdicts
 from pricewren.workload.views import dealt_parts
@@ -110,6 +111,17 @@ def test_html_lines_are_cut_in_the_whole_text(spark):
     assert found.first()["lines"] == ["Káva Alfa", "-", "- - x", "### A", "konec"]
 
 
+def test_alternatives_are_tried_where_one_can_begin(spark):
+    assert (opening("nízké ceny", r"<\s*N"), opening("x?y", "a"), opening("a|b"), opening(r"\d")) == ("(?=[<n])", "", "", "")
+    line = "7 NÍZKÉ CENY hezky česky 69,90 BANÁNY 2 kg 1 kg 19,90 Kč MADE WITH flippingbook"
+    pages = spark.createDataFrame([(1, 7, line)], "page_id long, page_number int, line string")
+    found = X.extract_unit_segments(pages)
+    assert opening(*rules.PAGE_SLOGANS) in optimized(found) and optimized(found).count("(?=1)") > 3
+    assert [(r.product, r.packageSize, r.unitPrices, r.leadPrices) for r in found.collect()] == [("BANÁNY", "2 kg", [19.9], [69.9])]
+    noise = spark.createDataFrame([("5 12x káva 7x",)], "t string").select(T.remove_page_noise("t", F.lit(5), (r"\d+x", "K?Z")).alias("t"))
+    assert noise.first()["t"] == "káva"
+
+
 def test_classified_texts_are_read_once(spark):
     assert "Aggregate" in optimized(entry.queries()["classify_price"](spark, "/root/testdata/sf0.001"))
 
