@@ -122,6 +122,21 @@ def test_alternatives_are_tried_where_one_can_begin(spark):
     assert noise.first()["t"] == "káva"
 
 
+def test_a_line_is_judged_a_start_once(spark):
+    text = "12,90\r\nKÁVA ALFA\r\nrůzné druhy\nČAJ BETA\n500 g\n9,90"
+    pages = spark.createDataFrame([(1, 9, text)], "page_id long, page_number int, text string")
+    found = X.extract_uppercase_lines(pages)
+    assert optimized(found).count(rules.UPPER_LINE) == 1
+    assert [(r.line, r.product, r.packageSize, r.price) for r in found.collect()] == [
+        (1, "KÁVA ALFA různé druhy", "500 g", 12.9), (3, "ČAJ BETA 500 g", "500 g", 12.9)]
+
+
+def test_positions_need_no_split(spark):
+    found = spark.createDataFrame([("aXbXX\n😀X c",), ("",), (None,)], "t string").select(H.match_positions("t", "(?i)x|(?<=😀X) ").alias("m"))
+    assert "split(" not in optimized(found)
+    assert [[tuple(m) for m in r.m] for r in found.collect()] == [[(1, "X"), (3, "X"), (4, "X"), (7, "X"), (8, " ")], [], []]
+
+
 def test_classified_texts_are_read_once(spark):
     assert "Aggregate" in optimized(entry.queries()["classify_price"](spark, "/root/testdata/sf0.001"))
 
