@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -151,3 +152,20 @@ def test_contaminated_rows_without_id_are_kept_apart(spark):
     df = spark.createDataFrame([(None, item), (None, "a clean text"), (None, None), (1, "clean")], "doc_id long, text string")
     bench = spark.createDataFrame([(0, item)], "item_id long, text string")
     assert sorted(r.text or "" for r in decontaminate.remove_contaminated(df, bench).collect()) == ["", "a clean text", "clean"]
+
+
+def test_hits_hold_only_the_words_around_them(spark):
+    """op4_decontaminate: what is compared outside the compiled loop, where a document's hits are held, has no document's words."""
+    passage = " ".join(f"w{i}" for i in range(20))
+    df = spark.createDataFrame([(1, f"{passage} " * 30), (2, "clean")], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, f"{passage} x{k} y{k}") for k in range(6)], "item_id long, text string")
+    found = decontaminate.overlaps(df, bench)
+    compared = [line for line in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "array_max(" in line]
+    assert len(compared) == 1 and not re.search(r"\bwords#", compared[0])
+    want = sorted(map(tuple, found.collect()))
+    assert want == [(1, k, 22, 13) for k in range(6)]
+    # A benchmark beyond the bound takes several passes, none of which shuffles a text.
+    parts = decontaminate.overlaps(df, bench, max_broadcast=100)
+    plan = parts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("rightHint=(strategy=broadcast)") == 8
+    assert sorted(map(tuple, parts.collect())) == want
