@@ -184,3 +184,25 @@ def test_a_point_is_one_row_whatever_the_levels(spark):
     whole = [r for r in ranges if r[0] is not None and r[0] <= r[1]]
     want = {i: min(((a, c) for a, b, c in whole if p is not None and a <= p <= b), default=(0, None))[1] for i, p in enumerate(points)}
     assert {r.id: r.category for r in found.collect()} == want
+
+
+def test_starts_that_share_a_gram_are_found_by_their_whole(spark):
+    """A position is looked up once a length of the starts its gram begins, not compared with each of them."""
+    starts = [f"Káva alfa {i}" for i in range(300)] + ["Káva alfa", "KAVA ALFA 7 bez", "ka", "k", "Čaj", "čaj beta", "😀x", None, ""]
+    texts = ["Úvod KÁVA ALFA 7 BEZ a káva  alfa 1234 konec", "kava alfa", "ČAJ BETA čaj bet", "😀x 😀", "nic", "", None, "kávička"]
+    pages = spark.createDataFrame(list(enumerate(texts)), "page_id long, text string")
+    table = spark.createDataFrame([(s,) for s in starts], "start string")
+    found = X.extract_dictionary_blocks(pages, table)
+    assert "StartsWith" not in optimized(found)
+    fold = lambda s: T.normalize_for_index(F.lit(s))
+    folds = spark.range(1).select(*[fold(s).alias(f"s{i}") for i, s in enumerate(starts)], *[fold(t).alias(f"t{i}") for i, t in enumerate(texts)]).first()
+    key = lambda s: re.sub("[\U00010000-\U0010ffff]", "￼", s or "")
+    known = {}
+    for i, s in enumerate(starts):
+        if key(folds[f"s{i}"]):
+            known[key(folds[f"s{i}"])] = min(s, known.get(key(folds[f"s{i}"]), s))
+    want = set()
+    for p in range(len(texts)):
+        text = key(folds[f"t{p}"])
+        want |= {(p, at, known[max(fits, key=len)]) for at in range(len(text)) if (fits := [f for f in known if text.startswith(f, at)])}
+    assert {(r.page_id, r.pos, r.start) for r in found.collect()} == want and len(want) == 9
