@@ -6,13 +6,17 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pricewren.functions.text import normalize_search, not_blank, text_of
+from pricewren.functions.text import let, normalize_search, not_blank, text_of
 from pricewren.session import staged
 
 #: Gram lengths; a needle is found by the longest that its longest part can fill.
 SIZES = (8, 4, 2, 1)
 #: Most bits of a table of grams, as a power of two: 256 KB however many needles there are.
 BITS = 21
+#: The same where the table is read in place and not copied with the rows: 8 MB, so that few grams pass that are no anchor's.
+WIDE_BITS = 26
+#: Places of the table that counts how often a needle has a gram, as a power of two.
+COUNT_BITS = 17
 #: Needles that a join may broadcast; more are sorted and merged, as the estimate of a derived table says nothing of its rows.
 BROADCAST_NEEDLES = 100_000
 
@@ -30,9 +34,9 @@ def _of_size(size: Column, value) -> Column:
     return out
 
 
-def bits_for(grams: int) -> int:
-    """Bits of a table for so many grams: 64 a gram as far as the bound allows, since a table is copied with every row."""
-    return min(BITS, max(10, (64 * grams).bit_length()))
+def bits_for(grams: int, most: int = BITS) -> int:
+    """Bits of a table for so many grams: 64 a gram as far as the bound allows, since a table may be copied with every row."""
+    return min(most, max(10, (64 * grams).bit_length()))
 
 
 def _places(gram: Column, bits: int = BITS) -> list[Column]:
@@ -42,35 +46,68 @@ def _places(gram: Column, bits: int = BITS) -> list[Column]:
 
 
 def anchor_index(needles: DataFrame, *, needle_id: str, parts: str, on: Sequence[str] = ()) -> DataFrame:
-    """One row per needle with its anchor, the gram that finds it: ``_gram``, ``_size``, ``_part``, ``_offset``.
+    """One row per needle with its anchor, the gram that finds it: ``_gram``, ``_size``, ``_part``, ``_offset``, and its ``_parts``.
 
     The anchor is the gram of the needle that fewest needles have, with the part it
     comes from and its 0-based place there.  Needles are read only; empty parts are
-    ignored and needles without parts are left out.
+    ignored and needles without parts are left out.  How many needles have a gram is counted
+    in a table of hashed grams of fixed size, which each needle reads in place: neither
+    needles nor their grams are shuffled.  Grams that share a place count as one, which may
+    cost a better anchor, but no match.
     """
     on = list(on)
-    usable = needles.select(*on, F.col(needle_id), F.filter(parts, lambda p: p != "").alias("_parts")).filter(F.size("_parts") > 0)
-    longest = F.array_max(F.transform("_parts", F.length))
-    size = F.lit(SIZES[-1])
-    for n in reversed(SIZES):
-        size = F.when(longest >= n, F.lit(n)).otherwise(size)
-    placed = usable.withColumn("_size", size).select(*on, needle_id, "_size", F.posexplode("_parts").alias("_part", "_p")).select(
-        *on, needle_id, "_size", "_part", F.posexplode(_of_size(F.col("_size"), lambda n: grams(F.col("_p"), n))).alias("_offset", "_gram")
-    )
-    shared = placed.select(needle_id, *on, "_gram").distinct().groupBy("_gram").agg(F.count(F.lit(1)).alias("_needles"))
-    best = F.min(F.struct("_needles", F.xxhash64("_gram").alias("h"), "_part", "_offset", "_gram", "_size")).alias("_best")
-    chosen = placed.join(shared.hint("merge"), "_gram").groupBy(*on, needle_id).agg(best)
-    return chosen.select(*on, needle_id, *[F.col(f"_best.{c}") for c in ("_gram", "_size", "_part", "_offset")])
+    rows = _apart(needles, *on, needle_id, F.filter(parts, lambda p: p != "").alias("_parts"))
+    place = lambda g: F.xxhash64(g).bitwiseAND(F.lit((1 << COUNT_BITS) - 1))
+
+    def size_of(own: Column) -> Column:
+        longest = F.array_max(F.transform(own, F.length))
+        size = F.lit(SIZES[-1])
+        for n in reversed(SIZES):
+            size = F.when(longest >= n, F.lit(n)).otherwise(size)
+        return size
+
+    of_part = lambda p, size: _of_size(size, lambda n: grams(p, n))
+    own_grams = let(size_of(F.col("_parts")), lambda size: F.array_distinct(F.flatten(F.transform("_parts", lambda p: of_part(p, size)))))
+    placed = rows.select(F.transform(own_grams, place).alias("_places")).select(F.explode_outer("_places").alias("word")).filter("word is not null")
+    table = _dense(placed.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "n", 1 << COUNT_BITS)
+
+    def best(counts: Column, size: Column) -> Column:
+        def of(p: Column, part: Column) -> Column:
+            return F.transform(of_part(p, size), lambda g, at: F.struct(
+                F.get(counts, place(g).cast("int")).alias("_needles"), F.xxhash64(g).alias("h"), part.alias("_part"), at.alias("_offset"),
+                g.alias("_gram"), size.alias("_size"),
+            ))
+
+        return F.array_min(F.flatten(F.transform("_parts", of)))
+
+    anchor = let(F.col("_counts"), lambda counts: let(size_of(F.col("_parts")), lambda size: F.array(best(counts, size))))
+    chosen = rows.withColumn("_counts", table.scalar()).select(*on, needle_id, "_parts", anchor.alias("_best"))
+    chosen = chosen.select(*on, needle_id, "_parts", F.explode_outer("_best").alias("_best")).filter("_best is not null")
+    return chosen.select(*on, needle_id, *[F.col(f"_best.{c}").alias(c) for c in ("_gram", "_size", "_part", "_offset")], "_parts")
+
+
+def _apart(df: DataFrame, *columns: Column | str) -> DataFrame:
+    """Columns behind a generator of one row.
+
+    A table added to them as one value is then always merged into the projection that uses it
+    once; with columns that are derived in the same step it might be copied with every row instead.
+    """
+    return df.select(F.explode_outer(F.array(F.struct(*columns))).alias("_row")).select("_row.*")
+
+
+def _dense(words: DataFrame, value: str, size: int) -> DataFrame:
+    """One array of ``size`` values from rows of ``word`` and a value, 0 where there is none."""
+    every = words.sparkSession.range(size).withColumnRenamed("id", "word").join(words, "word", "left")
+    listed = F.array_sort(F.collect_list(F.struct("word", F.coalesce(value, F.lit(0)).alias("value"))))
+    return every.agg(F.transform(listed, lambda w: w["value"]).alias("values"))
 
 
 def bit_table(anchors: DataFrame, size: int = BITS) -> Column:
     """The anchors' bits and gram lengths as one value for all rows: ``struct(bits, sizes)``, of ``2**size`` bits."""
-    spark = anchors.sparkSession
     bits = anchors.select(F.explode(F.array(*_places(F.col("_gram"), size))).alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(F.lit(63)).cast("int"))).alias("bits")
     )
-    words = spark.range(1 << (size - 6)).withColumnRenamed("id", "word").join(bits, "word", "left")
-    dense = words.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0)).alias("bits")))), lambda w: w["bits"]).alias("bits"))
+    dense = _dense(bits, "bits", 1 << (size - 6))
     sizes = anchors.agg(F.collect_set("_size").alias("sizes"))
     return F.struct(dense.scalar().alias("bits"), sizes.scalar().alias("sizes"))
 
@@ -101,20 +138,19 @@ def substring_join(texts: DataFrame, needles: DataFrame, *, text_id: str, text:
     """
     on, keys = list(on), [*on, "_gram"]
     anchors = staged(anchor_index(needles, needle_id=needle_id, parts=parts, on=on), "anchors")
-    known = F.filter(parts, lambda p: p != "").alias("_parts")
     counts = anchors.agg(F.count(F.lit(1)).alias("needles"), F.count_distinct("_gram").alias("grams")).first()
     sorted_join = (lambda df: df.hint("merge")) if counts["needles"] > BROADCAST_NEEDLES else (lambda df: df)
-    bits = bits_for(counts["grams"])
-    found = anchors.select(*keys, F.col(needle_id).alias("_needle")).join(
-        sorted_join(needles.select(F.col(needle_id).alias("_needle"), known)), "_needle"
-    )
+    bits = bits_for(counts["grams"], WIDE_BITS)
+    found = anchors.select(*keys, F.col(needle_id).alias("_needle"), "_parts")
+
+    def every(table: Column) -> Column:
+        kept = lambda n: F.filter(grams(F.col("_text"), n), lambda g: in_bit_table(g, table["bits"], bits))
+        return F.array_distinct(F.flatten(F.array_compact(F.array(*[F.when(F.array_contains(table["sizes"], n), kept(n)) for n in SIZES]))))
 
     columns = list(dict.fromkeys([*on, text_id, *carry]))
-    rows = texts.select(*columns, F.col(text).alias("_text")).withColumn("_table", bit_table(anchors, bits))
-    every = F.flatten(F.array_compact(F.array(*[
-        F.when(F.array_contains("_table.sizes", n), F.filter(grams(F.col("_text"), n), lambda g: in_bit_table(g, F.col("_table.bits"), bits))) for n in SIZES
-    ])))
-    hits = rows.select(*columns, "_text", F.explode(F.array_distinct(every)).alias("_gram"))
+    rows = _apart(texts, *columns, F.col(text).alias("_text")).withColumn("_table", bit_table(anchors, bits))
+    rows = rows.select(*columns, "_text", let(F.col("_table"), every).alias("_grams"))
+    hits = rows.select(*columns, "_text", F.explode_outer("_grams").alias("_gram"))
     pairs = hits.join(sorted_join(found), keys).filter(F.forall("_parts", lambda p: F.contains(F.col("_text"), p)))
     extra = derive(F.col("_text"), F.col("_parts")) if derive else []
     return pairs.select(text_id, F.col("_needle").alias(needle_id), *[c for c in carry if c != text_id], *extra)
@@ -221,9 +257,9 @@ def join_stores(offers: DataFrame, stores: DataFrame) -> DataFrame:
 
 # --- presence of candidates --------------------------------------------------
 def _named(df: DataFrame, page: str, **columns: Column) -> DataFrame:
-    """Distinct folded texts per page, each with a dense text key."""
+    """Distinct folded texts per page, each with a key of 128 bits."""
     picked = df.select(F.col(page).alias("page"), *[c.alias(n) for n, c in columns.items()]).distinct()
-    return picked.withColumn("key", F.sha2(F.concat_ws("\u0001", F.col("page").cast("string"), *columns), 256))
+    return picked.withColumn("key", F.unhex(F.md5(F.concat_ws("\u0001", F.col("page").cast("string"), *columns).cast("binary"))))
 
 
 def matches_existing(candidates: DataFrame, offers: DataFrame, offer_text: Column, page: str = "pageNumber") -> DataFrame:
@@ -269,14 +305,13 @@ def already_in(candidates: DataFrame, offers: DataFrame, offer_text: Column, fol
     everything = known.groupBy("text").agg(F.min("key").alias("key"))
 
     def covered(names: DataFrame, texts: DataFrame, on: list[str]) -> DataFrame:
+        # A text with the name has its words, so these alone decide where there are two.
         long_words = F.slice(words_of(F.col("name"), 4), 1, 3)
-        either = names.select(*on, "key", F.explode(F.array_compact(F.array(
-            F.array("name"), F.when(F.size(long_words) >= 2, long_words)
-        ))).alias("parts")).withColumn("needle", F.concat_ws("\u0001", "key", F.array_join("parts", "\u0002")))
+        either = names.select(*on, F.col("key").alias("needle"), F.when(F.size(long_words) >= 2, long_words).otherwise(F.array("name")).alias("parts"))
         forward = substring_join(texts, either, text_id="key", text="text", needle_id="needle", parts="parts", on=on)
         inner = texts.select(*on, F.col("key").alias("needle"), F.array("text").alias("parts"))
         backward = substring_join(names, inner, text_id="key", text="name", needle_id="needle", parts="parts", on=on)
-        found = forward.select(F.split("needle", "\u0001")[0].alias("key"))
+        found = forward.select(F.col("needle").alias("key"))
         return names.join(found.union(backward.select("key")).distinct().hint("merge"), "key", "left_semi").select("page", "name")
 
     return covered(here, known, ["page"]).union(covered(elsewhere, everything, []))

@@ -238,12 +238,11 @@ def coverage_audit(pages: DataFrame, offers: DataFrame, text: str = "text", page
     keyed = good.withColumn("_loose", normalize_loose("product"))
     judged = keyed.join(covered.hint("merge"), (keyed[page] == F.col("_page")) & (F.col("_loose") == F.col("_name")), "left")
     missing = judged.groupBy(page).agg(count_rows("useful"), F.count_if(F.col("_hit").isNull()).alias("missing"))
-    markers = M.price_markers(text)
-    base = pages.select(
-        page, F.length(text).alias("textLength"), F.size(markers).alias("markers"),
-        F.size(F.filter(markers, lambda m: m["kind"] == "action-lt")).alias("actionMarkers"),
-    )
-    counted = pages_with_counts(base, offers, page)
+    actions = lambda found: F.size(F.filter(found, lambda m: m["kind"] == "action-lt"))
+    numbers = let(M.price_markers(text), lambda found: F.struct(F.size(found).alias("markers"), actions(found).alias("actionMarkers")))
+    base = pages.select(page, F.length(text).alias("textLength"), numbers.alias("_numbers"))
+    # Taken apart behind the join, so that a page's markers are looked for once.
+    counted = pages_with_counts(base, offers, page).select(page, "textLength", "_numbers.*", "offers")
     all_candidates = candidates.groupBy(page).agg(count_rows("candidates"))
     joined = counted.join(all_candidates.hint("merge"), page, "left").join(missing.hint("merge"), page, "left").fillna(0, ["candidates", "useful", "missing"])
     return joined.withColumn(

@@ -206,3 +206,45 @@ def test_starts_that_share_a_gram_are_found_by_their_whole(spark):
         text = key(folds[f"t{p}"])
         want |= {(p, at, known[max(fits, key=len)]) for at in range(len(text)) if (fits := [f for f in known if text.startswith(f, at)])}
     assert {(r.page_id, r.pos, r.start) for r in found.collect()} == want and len(want) == 9
+
+
+def test_anchors_and_tables_move_no_needle(spark):
+    """Anchors are chosen inside the needle's row; tables of bits and counts are read in place, so they may be large."""
+    needles = spark.createDataFrame([(f"n{i}", [f"kava zrnkova nr{i}x", ""]) for i in range(40)], "id string, parts array<string>")
+    index = match.anchor_index(needles, needle_id="id", parts="parts")
+    tree = [line for line in optimized(index).split("\n") if ":" not in line.split("- ")[0] and not line.startswith(":")]
+    assert not [line for line in tree if re.search(r"Join|Aggregate", line.split("[")[0].split("(")[0])]
+    assert "AS _counts#" not in optimized(index)
+    assert {r.id: r._gram for r in index.collect()} == {r.id: r._gram for r in index.filter("_gram like '%x' or _gram like '%nr%'").collect()}
+    texts = spark.createDataFrame([(i, f"jedna kava zrnkova nr{i}x a dalsi") for i in range(60)], "tid int, text string")
+    joined = match.substring_join(texts, needles, text_id="tid", text="text", needle_id="id", parts="parts")
+    assert "AS _table#" not in optimized(joined)
+    assert {(r.tid, r.id) for r in joined.collect()} == {(i, f"n{i}") for i in range(40)}
+    assert match.bits_for(10**9, match.WIDE_BITS) == match.WIDE_BITS > match.BITS
+
+
+def test_covered_names_by_words_and_by_whole(spark):
+    """J6 by definition: names of two long words are sought by their words alone."""
+    offers = [(1, "kava alfa mleta nr7x"), (1, "caj"), (2, "pivo svetle"), (3, ""), (3, "mleko polotucne trvanlive lahev")]
+    wanted = [(1, "alfa kava"), (1, "caj zeleny"), (1, "kava"), (1, "mleta kava nr7x extra"), (2, "caj"), (2, "svetle pivo"), (9, "caj bily"),
+              (9, "nr7x"), (9, "polotucne mleko lahev x"), (9, "polotucne mleko rum1"), (9, "neznamy"), (3, "lah"), (3, ""), (2, "piv sve")]
+    good = spark.createDataFrame(wanted, "pageNumber int, product string")
+    known = spark.createDataFrame(offers, "pageNumber int, t string")
+    found = {(r.page, r.name) for r in match.already_in(good, known, F.col("t"), T.normalize_loose).collect()}
+    busy = {p for p, t in offers if t}
+    want = set()
+    for page, name in wanted:
+        long = [w for w in name.split(" ") if len(w) >= 4][:3]
+        texts = [t for p, t in offers if t and (p == page or page not in busy)]
+        if name and any(name in t or t in name or (len(long) >= 2 and all(w in t for w in long)) for t in texts):
+            want.add((page, name))
+    assert found == want and (9, "polotucne mleko lahev x") in want
+
+
+def test_markers_are_looked_for_once_and_where_one_can_begin(spark, monkeypatch):
+    pages = spark.createDataFrame([(2, "x za 5,90 Kč ZA 7,90 Kč < 12,90 Kč kazda 3,90 Kč\n<1,5 kč"), (3, None)], "pageNumber int, text string")
+    offers = spark.createDataFrame([(2, "", "a")], "pageNumber int, category string, product string")
+    found = audit.coverage_audit(pages, offers)
+    assert optimized(found).count(r"za\s+") == 2  # the matches and what lies between them
+    assert r"[\s\S]" not in optimized(found) and "(?=[<z])" in optimized(found)
+    assert {r.pageNumber: (r.markers, r.actionMarkers) for r in found.filter("pageNumber = 2").collect()} == {2: (4, 2)}
